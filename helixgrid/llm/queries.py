@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .byte_bpe import bpe_round_trip
+from .near_dup import near_duplicates
 from .token_counts import token_counts
 
 
@@ -18,8 +20,18 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(_table(spark, sf_dir, "documents"))
 
 
+def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate groups of all documents; see near_duplicates."""
+    return near_duplicates(_table(spark, sf_dir, "documents"))
+
+
+def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document encoded and decoded again; see bpe_round_trip."""
+    return bpe_round_trip(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_token_counts": op1_token_counts}
+    return {f.__name__: f for f in (op1_token_counts, op2_minhash_near_dedup, op4_byte_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
