@@ -41,7 +41,7 @@ class Shingler:
                 continue
             h = np.fromiter(map(get, found), np.uint64, n)
             m = min(k, n)
-            total = np.full(n - m + 1, np.uint64(m) * self.weights[0], dtype=np.uint64)
+            total = np.full(n - m + 1, m * 0x9E3779B1, dtype=np.uint64)
             for i in range(m):
                 total += h[i : n - m + 1 + i] * self.weights[i]
             total ^= total >> np.uint64(31)

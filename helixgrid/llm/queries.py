@@ -8,6 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .byte_bpe import bpe_round_trip
 from .near_dup import near_duplicates
+from .packing import pack
+from .quality import quality_rules
+from .token_files import token_file_round_trip
 from .token_counts import token_counts
 
 
@@ -30,8 +33,23 @@ def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_round_trip(_table(spark, sf_dir, "documents"))
 
 
+def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base rules and learned decision list over all documents; see quality_rules."""
+    return quality_rules(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents packed into sequences of 4096 tokens; see pack."""
+    return pack(_table(spark, sf_dir, "documents"))
+
+
+def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token files of all documents, written and read back; see token_file_round_trip."""
+    return token_file_round_trip(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_counts, op2_minhash_near_dedup, op4_byte_bpe)}
+    return {f.__name__: f for f in (op1_token_counts, op2_minhash_near_dedup, op4_byte_bpe, op6_quality_rules, op7_best_fit_packing, op8_token_files)}
 
 
 def oracle_sql() -> dict[str, str]:
