@@ -7,10 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .byte_bpe import bpe_round_trip
+from .language import language_id
 from .near_dup import near_duplicates
 from .packing import pack
 from .quality import quality_rules
 from .token_files import token_file_round_trip
+from .toxicity import toxicity
 from .token_counts import token_counts
 
 
@@ -48,8 +50,18 @@ def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_file_round_trip(_table(spark, sf_dir, "documents"))
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of all documents; see toxicity."""
+    return toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of all documents; see language_id."""
+    return language_id(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_counts, op2_minhash_near_dedup, op4_byte_bpe, op6_quality_rules, op7_best_fit_packing, op8_token_files)}
+    return {f.__name__: f for f in (op1_token_counts, op2_minhash_near_dedup, op4_byte_bpe, op6_quality_rules, op7_best_fit_packing, op8_token_files, op9_toxicity, op10_language_id)}
 
 
 def oracle_sql() -> dict[str, str]:
