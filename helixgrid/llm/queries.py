@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .ann import nearest
 from .byte_bpe import bpe_round_trip
 from .language import language_id
 from .near_dup import near_duplicates
@@ -35,6 +36,11 @@ def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_round_trip(_table(spark, sf_dir, "documents"))
 
 
+def op5_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Five nearest vectors of every fiftieth one; see nearest."""
+    return nearest(_table(spark, sf_dir, "embeddings"))
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base rules and learned decision list over all documents; see quality_rules."""
     return quality_rules(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
@@ -61,7 +67,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_counts, op2_minhash_near_dedup, op4_byte_bpe, op6_quality_rules, op7_best_fit_packing, op8_token_files, op9_toxicity, op10_language_id)}
+    return {f.__name__: f for f in (op1_token_counts, op2_minhash_near_dedup, op4_byte_bpe, op5_nearest_neighbours, op6_quality_rules, op7_best_fit_packing, op8_token_files, op9_toxicity, op10_language_id)}
 
 
 def oracle_sql() -> dict[str, str]:
