@@ -9,12 +9,13 @@ from pyspark.sql import DataFrame, SparkSession
 from .ann import nearest
 from .byte_bpe import bpe_round_trip
 from .language import language_id
+from .licenses import scan_licenses
 from .near_dup import near_duplicates
 from .packing import pack
 from .quality import quality_rules
+from .token_counts import token_counts
 from .token_files import token_file_round_trip
 from .toxicity import toxicity
-from .token_counts import token_counts
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,6 +32,11 @@ def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License templates in all documents; see scan_licenses."""
+    return scan_licenses(_table(spark, sf_dir, "documents"))
+
+
 def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document encoded and decoded again; see bpe_round_trip."""
     return bpe_round_trip(_table(spark, sf_dir, "documents"))
@@ -67,7 +73,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_counts, op2_minhash_near_dedup, op4_byte_bpe, op5_nearest_neighbours, op6_quality_rules, op7_best_fit_packing, op8_token_files, op9_toxicity, op10_language_id)}
+    return {f.__name__: f for f in (op1_token_counts, op2_minhash_near_dedup, op3_license_scan, op4_byte_bpe, op5_nearest_neighbours, op6_quality_rules, op7_best_fit_packing, op8_token_files, op9_toxicity, op10_language_id)}
 
 
 def oracle_sql() -> dict[str, str]:
