@@ -92,7 +92,7 @@ def correct_barcodes(reads: DataFrame, counts: DataFrame, read_id: list[str], ba
     queries = todo.select(F.col(barcode).alias("q")).distinct()
     near = queries.select("q", F.explode(_neighbours("q", distance, F.length("q"))).alias("x")).select("q", "x.*").join(sent, "cand")
     capped = lambda p: error_probability(F.least(F.ascii(F.substr(F.col(qual), p, F.lit(1))), F.lit(66)))
-    weight = (1 + F.col("n")) * capped(F.col("p1")) * F.coalesce(capped(F.col("p2")), F.lit(1.0))
+    weight = (1 + F.col("n")) * capped(F.col("p1")) * F.when(F.col("p2").isNull(), 1.0).otherwise(capped(F.col("p2")))
     scored = todo.join(near, F.col(barcode) == F.col("q")).select(*read_id, weight.alias("w"), "ord", "cand")
     best = scored.groupBy(*read_id).agg(F.max(F.struct("w", (-F.col("ord")).alias("o"), "cand")).alias("m"), F.sum("w").alias("s"))
     best = best.select(*read_id, F.col("m.cand").alias("_cand"), (F.col("m.w") / F.col("s")).alias("_share"))
