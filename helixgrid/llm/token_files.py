@@ -117,7 +117,7 @@ def stage_ids(docs: DataFrame, id_col: str, text_col: str, path: str, end_id: in
     read = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     out = read.mapInArrow(run, "kind int, id long, place long, ids binary")
     to = f"{shared_dir(spark)}/ids-{uuid.uuid4().hex}"
-    out.write.partitionBy("kind").parquet(to)
+    out.write.partitionBy("kind").option("compression", "zstd").parquet(to)
     return spark.read.schema("id long, place long, ids binary, kind int").parquet(to)
 
 

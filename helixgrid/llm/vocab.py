@@ -111,7 +111,7 @@ class Encoder:
         self.bare = Tokenizer(self.tok.model)
         self.bare.pre_tokenizer = WhitespaceSplit()
         (self.mark,) = self.bare.encode("!", add_special_tokens=False).ids
-        self.known = ChunkCache(self.library, 600_000)
+        self.known = ChunkCache(self.library, 800_000)
 
     def library(self, units: list[str]) -> list[bytes]:
         """Ids of units. Words of letters go many at a time to the library's model, in its own byte characters and set
