@@ -47,7 +47,7 @@ def read_fragments(spark: SparkSession, path: str) -> DataFrame:
     return parse_fragments(spark.read.text(path))
 
 
-def write_fragments(fragments: DataFrame, path: str, header: dict[str, str] | None = None, compression: str = "zstd") -> None:
+def write_fragments(fragments: DataFrame, path: str, header: dict[str, str] | None = None, compression: str = "gzip") -> None:
     """A folder of fragment files, in the order of cells and places; the header is a file of its own that sorts first."""
     spark = fragments.sparkSession
     lines = ordered_fragments(fragments).select(fragment_line().alias("value"))

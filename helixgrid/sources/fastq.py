@@ -14,9 +14,37 @@ from ..functions.seq import strip_mate_suffix
 BROADCAST_SPLITS = 500_000
 
 
+def _zstd_lines(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """Lines of zstd files, which Spark's text reader only knows with native libraries: each file is read whole by a task
+    and decompressed as a stream."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import io
+
+        import zstandard
+
+        for batch in batches:
+            for name, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                text = io.TextIOWrapper(zstandard.ZstdDecompressor().stream_reader(io.BytesIO(raw), read_across_frames=True))
+                first, held = 0, []
+                for line in text:
+                    held.append(line.rstrip("\r\n"))
+                    if len(held) == 20_000:
+                        yield pa.RecordBatch.from_arrays([pa.array([name] * len(held)), pa.array(range(first, first + len(held)), pa.int64()), pa.array(held)], ["file", "line_no", "value"])
+                        first, held = first + len(held), []
+                if held:
+                    yield pa.RecordBatch.from_arrays([pa.array([name] * len(held)), pa.array(range(first, first + len(held)), pa.int64()), pa.array(held)], ["file", "line_no", "value"])
+
+    return spark.read.format("binaryFile").load(paths).select("path", "content").mapInArrow(run, "file string, line_no long, value string")
+
+
 def _numbered(spark: SparkSession, paths: list[str]) -> DataFrame:
     """file, line_no (from 0 in its file) and value of every line. Lines are numbered within their split as they stream;
     the splits' first numbers are a running sum over the splits' counts."""
+    packed = [p for p in paths if p.endswith(".zst")]
+    if packed:
+        lines, rest = _zstd_lines(spark, packed), [p for p in paths if not p.endswith(".zst")]
+        return lines.unionByName(_numbered(spark, rest)) if rest else lines
     raw = spark.read.text(paths).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), "value")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -111,7 +139,8 @@ def fastq_record(name: Column | str, seq: Column | str, qual: Column | str | Non
 
 
 def write_fastq(reads: DataFrame, path: str, name: str = "name", seq: str = "seq", qual: str | None = "qual", compression: str = "gzip", order: str | None = "rec_idx") -> None:
-    """A folder of FASTQ files; ordered over all files by `order`. Compression: none, gzip or zstd."""
+    """A folder of FASTQ files; ordered over all files by `order`. Compression: none, gzip, or another codec that Spark's
+    text writer has."""
     kept = reads.orderBy(order) if order else reads
     kept.select(fastq_record(name, seq, qual).alias("value")).write.option("compression", compression).text(path)
 
