@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
@@ -43,6 +44,18 @@ def small_batches(spark: SparkSession, rows: int = 500) -> None:
         spark.conf.set(key, str(rows))
 
 
+_tool: dict = {}
+
+
+def tool(key: tuple, make: Callable[[], object]):
+    """What an operator keeps in a Python worker process between batches. A worker holds one at a time, as Spark reuses
+    workers for later stages, whose tools would else add up."""
+    if key not in _tool:
+        _tool.clear()
+        _tool[key] = make()
+    return _tool[key]
+
+
 def grouped(items: Iterable, size: Callable[[object], int], most: int = GROUP_CHARS) -> Iterator[list]:
     """Consecutive items in lists of about `most` units at most; a larger item stands alone."""
     group: list = []
@@ -88,3 +101,30 @@ class ChunkCache(dict):
             self.clear()
             self.update(held)
         self.update(zip(unknown, self.fill(unknown), strict=True))
+
+
+class RowCache(dict):
+    """Rows of a matrix by word. `fill` gets the list of unknown words and returns their rows; bounded as ChunkCache."""
+
+    def __init__(self, fill: Callable[[list], np.ndarray], columns: int, most: int = CACHE_CHUNKS):
+        super().__init__()
+        self.fill, self.most = fill, most
+        self.rows = np.zeros((1024, columns))
+
+    def learn(self, lists: Iterable[list]) -> None:
+        unknown = list({c for words in lists for c in words if c not in self})
+        if not unknown:
+            return
+        if len(self) + len(unknown) > self.most and len(self):
+            self.clear()
+            unknown = list({c for words in lists for c in words})
+        found, n = self.fill(unknown), len(self)
+        if n + len(found) > len(self.rows):
+            more = np.zeros((max(n + len(found), 2 * len(self.rows)) - n, self.rows.shape[1]))
+            self.rows = np.concatenate([self.rows[:n], more])
+        self.rows[n : n + len(found)] = found
+        self.update(zip(unknown, range(n, n + len(found)), strict=True))
+
+    def total(self, words: list) -> np.ndarray:
+        """Sum of the rows of words, all of them learned."""
+        return self.rows[np.fromiter(map(self.__getitem__, words), np.int64, len(words))].sum(axis=0)

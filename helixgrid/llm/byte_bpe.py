@@ -10,7 +10,6 @@ from __future__ import annotations
 
 import base64
 import hashlib
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -18,7 +17,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .batches import ChunkCache, small_batches, text_groups
+from .batches import ChunkCache, small_batches, text_groups, tool
 from .vocab import BYTE_PATTERN, default_path, is_latin
 
 #: Above every rank; a leaf without a pair holds it.
@@ -198,10 +197,9 @@ class BytePairs:
         return b"".join(map(self.bytes_of.__getitem__, np.frombuffer(ids, "<u4").tolist()))
 
 
-@lru_cache(maxsize=2)
 def vocabulary(path: str, pattern: str) -> BytePairs:
     """One for each Python worker process."""
-    return BytePairs(path, pattern)
+    return tool(("byte_bpe", path, pattern), lambda: BytePairs(path, pattern))
 
 
 def _pattern() -> str:

@@ -6,7 +6,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .batches import ChunkCache, small_batches, text_groups
+from .batches import ChunkCache, small_batches, text_groups, tool
 from .vocab import WORD_PATTERN, Encoder, byte_characters, default_path, is_latin, load
 
 def prove_whole_tokens(path: str, word_end: str = "</w>") -> frozenset[str]:
@@ -50,14 +50,9 @@ class Counter:
         return [n + sum(map(get, rest)) for n, rest in zip(out, rests, strict=True)]
 
 
-_counters: dict[str, Counter] = {}
-
-
 def _counter(path: str, whole) -> Counter:
-    """One for each Python worker process and vocabulary; `whole` is the broadcast set."""
-    if path not in _counters:
-        _counters[path] = Counter(path, whole.value)
-    return _counters[path]
+    """One for each Python worker process; `whole` is the broadcast set."""
+    return tool(("token_counts", path), lambda: Counter(path, whole.value))
 
 
 def token_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str | None = None, limit: int = 2048) -> DataFrame:

@@ -18,7 +18,7 @@ os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 from tokenizers import Tokenizer  # noqa: E402
 from tokenizers.pre_tokenizers import WhitespaceSplit  # noqa: E402
 
-from .batches import ChunkCache  # noqa: E402
+from .batches import ChunkCache, tool  # noqa: E402
 
 #: Classes of the patterns within Latin-1: letters, numbers, white space.
 LETTER, NUMBER, SPACE = "A-Za-zªµºÀ-ÖØ-öø-ÿ", "0-9²³¹¼½¾", r"\t-\r \x85\xa0"
@@ -147,7 +147,6 @@ class Encoder:
         return [b"".join(map(get, x)) for x in lists]
 
 
-@lru_cache(maxsize=4)
 def encoder(path: str, spaces_matter: bool) -> Encoder:
-    """One for each Python worker process and vocabulary."""
-    return Encoder(path, spaces_matter)
+    """One for each Python worker process."""
+    return tool(("encoder", path, spaces_matter), lambda: Encoder(path, spaces_matter))
