@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .batches import ChunkCache, small_batches, text_groups
+from .batches import ChunkCache, small_batches, text_groups, tool
 
 WORD = re.compile(r"[A-Za-z0-9]+")
 #: Words of a fingerprinted run, and runs of a window of which the smallest is kept.
@@ -176,14 +176,18 @@ class Scanner:
                 by.setdefault(k, []).append((j, i))
         found = []
         for k, hits in by.items():
-            n, last = len(self.words[k]), None
+            n = len(self.words[k])
             band = max(1, min(BAND, n // 4))
+            # Diagonals that lie close together, as insertions and deletions leave them, share one band.
+            near: list[list[int]] = []
             for shift in sorted({j - i for j, i in hits}):
-                if last is not None and shift - last <= band // 2:
-                    continue  # the band around the diagonal before covers this one
-                last = shift
-                a, b = max(0, shift - band), min(len(h), shift + n + band + 1)
-                _, m, first, stop = align(self.words[k], h[a:b], shift - a, band)
+                if near and shift - near[-1][1] <= 2 * band and shift - near[-1][0] <= 4 * band:
+                    near[-1][1] = shift
+                else:
+                    near.append([shift, shift])
+            for low, high in near:
+                a, b = max(0, low - band), min(len(h), high + n + band + 1)
+                _, m, first, stop = align(self.words[k], h[a:b], (low + high) // 2 - a, band + (high - low + 1) // 2)
                 if m >= self.coverage * n:
                     found.append((m, m / n, k, a + first, a + stop))
         # Of matches that overlap, the one with the most words of its template stands.
@@ -198,9 +202,6 @@ class Scanner:
         return [(self.names[k], spans[first][0], spans[stop - 1][1], m, len(self.words[k])) for m, _, k, first, stop in sorted(kept, key=lambda x: x[3])]
 
 
-_scanners: dict = {}
-
-
 def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates: dict[str, str] | None = None, coverage: float = 0.75) -> DataFrame:
     """Places of texts that match a license template: id, template, start_char, end_char (code points, end exclusive),
     matched_words, template_words and coverage (matched share of the template's words), for alignments with at least
@@ -214,10 +215,7 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     small_batches(docs.sparkSession)
 
     def run(batches):
-        key = (tuple(wanted.items()), coverage)
-        if key not in _scanners:
-            _scanners[key] = Scanner(wanted, coverage)
-        scanner = _scanners[key]
+        scanner = tool(("licenses", tuple(wanted.items()), coverage), lambda: Scanner(wanted, coverage))
         for part, texts in text_groups(batches):
             ids = part.column(0).to_pylist()
             rows = [(i, *m, m[3] / m[4]) for i, found in zip(ids, scanner.scan(texts), strict=True) for m in found]
