@@ -13,11 +13,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .batches import ChunkCache, grouped, small_batches, written
+from .batches import ChunkCache, grouped, small_batches, tool, written
 from .components import connected_components
 
 #: Elements of a block of hash evaluations (shingles times permutations).
 BLOCK = 1 << 18
+#: Rows of a bucket that a task compares with its outliers, and outliers beyond which a bucket is divided first.
+BLOCK_ROWS, MOST_OTHERS = 1024, 4000
 
 
 class Shingler:
@@ -77,27 +79,26 @@ class MinMax:
         return low, high
 
     def keys(self, found: np.ndarray) -> np.ndarray:
+        return self.signature(found)[0]
+
+    def signature(self, found: np.ndarray) -> tuple[np.ndarray, bytes]:
+        """Band keys, and the low byte of every minimum and maximum, which two sets share with about probability J."""
         low, high = self.extremes(found)
+        sketch = np.concatenate([low, high]).astype(np.uint8).tobytes()
         both = np.concatenate([low, high]).astype(np.uint64).reshape(2 * self.half, self.rows)
         key = (both + np.uint64(1)) @ self.mix.reshape(-1) + self.place
         key ^= key >> np.uint64(32)
         key *= np.uint64(0xD6E8FEB86659FD93)
         key ^= key >> np.uint64(32)
-        return key[: self.bands].view(np.int64)
-
-
-_held: dict = {}
+        return key[: self.bands].view(np.int64), sketch
 
 
 def _tools(words: int, bands: int, rows: int) -> tuple[Shingler, MinMax]:
-    key = (words, bands, rows)
-    if key not in _held:
-        _held[key] = Shingler(words), MinMax(bands, rows)
-    return _held[key]
+    return tool(("near_dup", words, bands, rows), lambda: (Shingler(words), MinMax(bands, rows)))
 
 
 def signatures(docs: DataFrame, id_col: str, text_col: str, words: int, bands: int, rows: int) -> DataFrame:
-    """id, n (set size), d1, d2 (digest of the set) and keys (of the bands), a row for each row."""
+    """id, n (set size), d1, d2 (digest of the set), keys (of the bands) and sketch, a row for each row."""
 
     def run(batches):
         shingler, minmax = _tools(words, bands, rows)
@@ -110,28 +111,94 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, words: int, bands: i
                 start += len(group)
                 digest = [xxhash.xxh3_128_digest(s.tobytes()) for s in sets]
                 halves = np.frombuffer(b"".join(digest), np.int64).reshape(-1, 2)
-                keys = [minmax.keys(s) if len(s) else np.zeros(0, np.int64) for s in sets]
+                both = [minmax.signature(s) if len(s) else (np.zeros(0, np.int64), b"") for s in sets]
+                keys = [k for k, _ in both]
                 yield pa.RecordBatch.from_arrays(
-                    [ids, pa.array([len(s) for s in sets], pa.int64()), pa.array(halves[:, 0]), pa.array(halves[:, 1]), pa.array(keys, pa.list_(pa.int64()))],
-                    ["id", "n", "d1", "d2", "keys"],
+                    [ids, pa.array([len(s) for s in sets], pa.int64()), pa.array(halves[:, 0]), pa.array(halves[:, 1]), pa.array(keys, pa.list_(pa.int64())), pa.array([x for _, x in both], pa.binary())],
+                    ["id", "n", "d1", "d2", "keys", "sketch"],
                 )
 
     read = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").cast("binary").alias("text"))
-    return read.mapInArrow(run, "id long, n long, d1 long, d2 long, keys array<long>")
+    return read.mapInArrow(run, "id long, n long, d1 long, d2 long, keys array<long>, sketch binary")
 
 
-def candidates(classes: DataFrame) -> DataFrame:
-    """Pairs (a, b), a < b, of classes (node, keys). In each bucket of a band every node is paired with the smallest and
-    with the largest one, so that pairs grow with the bucket and not with its square; a bucket is never collected."""
+def bucket_rows(classes: DataFrame) -> DataFrame:
+    """(key, node, lo, hi): the rows of all buckets with more than one class; lo and hi are a bucket's extreme nodes."""
     rows = classes.select("node", F.explode("keys").alias("key"))
     buckets = rows.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi")
-    return (
-        rows.join(buckets, "key")
-        .select(F.explode(F.array(F.struct(F.col("lo").alias("a"), F.col("node").alias("b")), F.struct(F.col("node").alias("a"), F.col("hi").alias("b")))).alias("p"))
-        .select("p.a", "p.b")
-        .where("a < b")
-        .distinct()
-    )
+    return rows.join(buckets, "key").select("key", "node", "lo", "hi")
+
+
+def star_pairs(met: DataFrame) -> DataFrame:
+    """Pairs (a, b), a < b, of every node with the smallest and the largest one of each of its buckets: they grow with the
+    bucket and not with its square."""
+    ends = F.array(F.struct(F.col("lo").alias("a"), F.col("node").alias("b")), F.struct(F.col("node").alias("a"), F.col("hi").alias("b")))
+    return met.select(F.explode(ends).alias("p")).select("p.a", "p.b").where("a < b").distinct()
+
+
+def _split(rows: DataFrame) -> DataFrame:
+    """Adds major (the bucket's component with the most rows), total and others (rows outside of it) to rows (key, node,
+    comp) of buckets with more than one component; other buckets go."""
+    parts = rows.groupBy("key", "comp").agg(F.count("*").alias("c"))
+    sums = parts.groupBy("key").agg(F.max(F.struct("c", "comp")).alias("m"), F.sum("c").alias("total")).where(F.col("m.c") < F.col("total"))
+    return rows.join(sums.select("key", F.col("m.comp").alias("major"), "total", (F.col("total") - F.col("m.c")).alias("others")), "key")
+
+
+def missing_pairs(met: DataFrame, classes: DataFrame, parts: DataFrame, percent: int, depth: int = 3) -> DataFrame:
+    """Pairs of nodes of different components that share a bucket and whose sketches do not rule a link out.
+
+    In each bucket that holds more than one component, the rows outside of its largest component are compared with all of
+    its rows, in blocks of BLOCK_ROWS, so that a large group of copies costs no more than its outliers times its size. A
+    bucket with very many outliers is first divided by its rows' other band keys, in which linked rows agree again.
+    """
+    named = met.select("key", "node").join(parts, "node", "left").select("key", "node", F.coalesce("component", "node").alias("comp"))
+    held = classes.select("node", "sketch")
+    out: DataFrame | None = None
+    rows = named
+    for level in range(depth):
+        work = written(_split(rows), "unresolved")
+        crowded = (F.col("others") > MOST_OTHERS) if level < depth - 1 else F.lit(False)
+        fine = work.where(~crowded)
+        blocks = F.ceil(F.col("total") / BLOCK_ROWS)
+        own = F.pmod(F.xxhash64("node", F.lit(3)), blocks)
+        outlier = F.col("comp") != F.col("major")
+        here = fine.select("key", "node", "comp", F.lit(False).alias("asks"), own.cast("long").alias("block"))
+        asks = fine.where(outlier).select("key", "node", "comp", F.lit(True).alias("asks"), F.explode(F.sequence(F.lit(0).cast("long"), (blocks - 1).cast("long"))).alias("block"))
+        both = here.unionByName(asks).join(held, "node")
+        found = both.groupBy("key", "block").applyInArrow(_comparer(percent), "a long, b long").distinct()
+        out = found if out is None else out.unionByName(found)
+        if level == depth - 1 or work.where(crowded).isEmpty():
+            break
+        keys = classes.select("node", F.explode("keys").alias("k2"))
+        again = work.where(crowded).select("key", "node", "comp").join(keys, "node").where("k2 <> key")
+        rows = again.select(F.xxhash64("key", "k2").alias("key"), "node", "comp")
+    return out.distinct()
+
+
+def _comparer(percent: int):
+    """Pairs of a block: each asking row with every other row of another component whose sketch agrees in enough places
+    for a similarity of `percent` (less five standard deviations)."""
+    share = percent / 100
+
+    def run(table: pa.Table) -> pa.Table:
+        asks = np.array(table["asks"].to_pylist(), bool)
+        node, comp = table["node"].to_numpy(), table["comp"].to_numpy()
+        width = len(table["sketch"][0].as_py())
+        sketch = np.frombuffer(b"".join(table["sketch"].to_pylist()), np.uint8).reshape(-1, width)
+        need = width * share - 5 * np.sqrt(width * share * (1 - share))
+        left, right = np.flatnonzero(asks), np.flatnonzero(~asks)
+        a, b = [], []
+        step = max(1, 8_000_000 // max(1, len(right) * width))
+        for i in range(0, len(left), step):
+            part = left[i : i + step]
+            same = (sketch[part][:, None, :] == sketch[right][None, :, :]).sum(axis=2)
+            x, y = np.nonzero((same >= need) & (comp[part][:, None] != comp[right][None, :]))
+            a.append(node[part[x]])
+            b.append(node[right[y]])
+        a, b = (np.concatenate(v) if v else np.zeros(0, np.int64) for v in (a, b))
+        return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)})
+
+    return run
 
 
 def confirmed(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
@@ -171,16 +238,22 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     count as one document and stay as many rows; a row without an id takes its class's component and isn't kept
     unless it has no shingles either way. Other columns, whatever their names, are not read. An empty table gives an
     empty result. At a similarity of 0.75 a link is missed by all bands with probability (1 - 0.75 ** rows) ** bands,
-    about 2e-6; every link is confirmed on full sets.
+    about 2e-6; every link is confirmed on full sets. Stars within buckets find most links; what they leave apart is
+    compared by missing_pairs, so that no link between components is lost to the choice of a star's centre.
     """
     small_batches(docs.sparkSession)
     read = docs.select(F.col(id_col).cast("long").alias(id_col), F.col(text_col).cast("string").alias(text_col))
     signed = written(signatures(read, id_col, text_col, words, bands, rows), "signatures")
     some = signed.where("n > 0 and id is not null")
-    classes = written(some.groupBy("d1", "d2").agg(F.min(F.struct("id", "keys")).alias("m")).select("d1", "d2", F.col("m.id").alias("node"), F.col("m.keys").alias("keys")), "classes")
+    first = F.min(F.struct("id", "keys", "sketch")).alias("m")
+    classes = written(some.groupBy("d1", "d2").agg(first).select("d1", "d2", F.col("m.id").alias("node"), F.col("m.keys").alias("keys"), F.col("m.sketch").alias("sketch")), "classes")
     texts = read.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text"))
-    links = confirmed(candidates(classes), texts, words, percent)
+    met = written(bucket_rows(classes), "buckets")
+    links = written(confirmed(star_pairs(met), texts, words, percent), "links")
     parts = connected_components(links)
+    more = written(confirmed(missing_pairs(met, classes, parts, percent), texts, words, percent), "links")
+    if not more.isEmpty():
+        parts = connected_components(links.unionByName(more))
     named = classes.select("d1", "d2", "node").join(parts, "node", "left").select("d1", "d2", F.coalesce("component", "node").alias("component"))
     out = signed.select("id", "n", "d1", "d2").join(named, ["d1", "d2"], "left")
     component = F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("id"))
