@@ -15,12 +15,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .batches import ChunkCache, small_batches, text_groups, written
-from .vocab import default_path
+from .batches import RowCache, small_batches, text_groups, tool, written
+from .vocab import default_path, is_latin
 
 WORD = re.compile(r"[^\W\d_]+")
+#: The same within Latin-1, written out.
+LATIN_WORD = re.compile(r"[a-zª²³µ¹º¼-¾ß-öø-ÿ]+")
 #: Words of more characters go through the forward algorithm one by one, rescaled as they go.
 TOGETHER_CHARS = 32
+#: Distinct words that the expectation step handles side by side.
+WORDS_TOGETHER = 50_000
 #: The score counts evidence of so many characters at most, so that long texts are not always certain.
 SCORE_CHARS = 60
 #: Languages that may be learned, as a table of pieces by languages is sent to every task.
@@ -28,6 +32,13 @@ MOST_LANGUAGES = 500
 UNDETERMINED = "und"
 
 
+def words_of(text: str | None) -> list[str]:
+    if not text:
+        return []
+    low = text.lower()
+    return LATIN_WORD.findall(low) if is_latin(low) else WORD.findall(low)
+
+
 @lru_cache(maxsize=2)
 def pieces(path: str) -> tuple[dict[str, int], int]:
     """Lower-cased pieces of letters, with a mark where they begin a word, and the length of the longest. Index 0 is
@@ -44,19 +55,69 @@ def pieces(path: str) -> tuple[dict[str, int], int]:
     return found, max(map(len, found))
 
 
+class HashTable:
+    """Numbers by 64-bit key, for whole arrays of keys at once: a few levels of slots, each key in the first level where
+    its slot was free."""
+
+    BITS = 17
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray):
+        self.levels = []
+        left = np.arange(len(keys))
+        while len(left):
+            slot = self._slots(keys[left], len(self.levels))
+            _, first = np.unique(slot, return_index=True)
+            held, value = np.zeros(1 << self.BITS, np.uint64), np.full(1 << self.BITS, -1, np.int32)
+            held[slot[first]], value[slot[first]] = keys[left[first]], values[left[first]]
+            self.levels.append((held, value))
+            left = np.delete(left, first)
+
+    def _slots(self, keys: np.ndarray, level: int) -> np.ndarray:
+        return ((keys * np.uint64(0x9E3779B97F4A7C15 + 2 * level)) >> np.uint64(64 - self.BITS)).astype(np.int64)
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """The numbers, -1 for unknown keys."""
+        out = np.full(keys.shape, -1, np.int32)
+        for level, (held, value) in enumerate(self.levels):
+            slot = self._slots(keys, level)
+            np.copyto(out, value[slot], where=held[slot] == keys)
+        return out
+
+
+def _extend(h: np.ndarray, chars: np.ndarray) -> np.ndarray:
+    """Hashes of texts, each longer by a character."""
+    h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) + chars.astype(np.uint64) + np.uint64(1)
+    return h
+
+
 class Lattice:
     """Pieces that match within words: (words, starts, lengths), -1 for none, for words of one length."""
 
     def __init__(self, path: str):
         self.index, self.longest = pieces(path)
+        texts = list(self.index)
+        keys = np.zeros(len(texts), np.uint64)
+        for i, t in enumerate(texts):
+            h = np.zeros(1, np.uint64)
+            for c in t:
+                h = _extend(h, np.array([ord(c)]))
+            keys[i] = h[0]
+        self.table = HashTable(keys, np.array(list(self.index.values()), np.int32))
 
     def build(self, found: list[str]) -> np.ndarray:
         """For words of n characters, which begin with the mark; entry [w, i, k] is the piece of characters i .. i + k,
         where the mark belongs to the first character."""
         n = len(found[0])
-        get, most = self.index.get, min(self.longest, n)
-        flat = [get(w[: k + 2] if i == 0 else w[i + 1 : i + k + 2], -1) if i + k + 1 < n else -1 for w in found for i in range(n - 1) for k in range(most)]
-        out = np.array(flat, np.int32).reshape(len(found), n - 1, most)
+        chars = np.frombuffer("".join(found).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(len(found), n)
+        most = min(self.longest, n)
+        out = np.full((len(found), n - 1, most), -1, np.int32)
+        for i in range(n - 1):
+            h = np.zeros(len(found), np.uint64)
+            if i == 0:
+                h = _extend(h, chars[:, 0])
+            for k in range(min(most, n - 1 - i)):
+                h = _extend(h, chars[:, i + k + 1])
+                out[:, i, k] = self.table.find(h)
         out[:, :, 0][out[:, :, 0] < 0] = 0  # a single character is always possible
         return out
 
@@ -103,18 +164,17 @@ class Scorer:
 
     def __init__(self, path: str, prob: np.ndarray):
         self.lattice, self.prob = Lattice(path), prob
-        self.known = ChunkCache(self.score, 400_000)
+        self.known = RowCache(self.score, prob.shape[1], 500_000)
 
-    def score(self, words: list[str]) -> list[np.ndarray]:
-        out: list = [None] * len(words)
+    def score(self, words: list[str]) -> np.ndarray:
+        out = np.zeros((len(words), self.prob.shape[1]))
         by, long = self.lattice.groups(words)
         for n, at in by.items():
             step = max(1, 400_000 // (n * n))
             for s in range(0, len(at), step):
                 part = at[s : s + step]
                 last = forward(self.lattice.build(["▁" + words[i] for i in part]), self.prob)[-1]
-                for i, x in zip(part, np.log(np.maximum(last, 1e-300)), strict=True):
-                    out[i] = x
+                out[part] = np.log(np.maximum(last, 1e-300))
         for i in long:
             out[i] = self.score_long(words[i])
         return out
@@ -130,22 +190,15 @@ class Scorer:
 
     def texts(self, texts: list[str | None]) -> tuple[list[np.ndarray | None], list[int]]:
         """Log-probabilities of texts by language (None: no letter) and their numbers of letters."""
-        lists = [WORD.findall(t.lower()) if t else [] for t in texts]
+        lists = [words_of(t) for t in texts]
         lists = [x if any(c.isalpha() for w in x for c in w) else [] for x in lists]
         self.known.learn(lists)
-        get = self.known.__getitem__
-        return [np.sum(list(map(get, x)), axis=0) if x else None for x in lists], [sum(map(len, x)) for x in lists]
-
-
-_scorers: dict = {}
+        return [self.known.total(x) if x else None for x in lists], [sum(map(len, x)) for x in lists]
 
 
 def _scorer(path: str, key: str, model) -> Scorer:
     """One for each Python worker process and model."""
-    if key not in _scorers:
-        _scorers.clear()
-        _scorers[key] = Scorer(path, model.value)
-    return _scorers[key]
+    return tool(("language", path, key), lambda: Scorer(path, model.value))
 
 
 def word_counts(texts: DataFrame) -> DataFrame:
@@ -167,7 +220,7 @@ def word_counts(texts: DataFrame) -> DataFrame:
         for part, found in text_groups(batches):
             for lang, t in zip(part.column(0).to_pylist(), found, strict=True):
                 if t:
-                    held.setdefault(lang, Counter()).update(WORD.findall(t.lower()))
+                    held.setdefault(lang, Counter()).update(words_of(t))
             if sum(map(len, held.values())) > 400_000:
                 yield from drain()
         yield from drain()
@@ -183,17 +236,27 @@ def expected_counts(counts: DataFrame, path: str, prob: np.ndarray) -> np.ndarra
     def run(batches):
         lattice, p = Lattice(path), model.value
         total = np.zeros(p.shape)
-        for batch in batches:
-            words, lang, n = (c.to_pylist() for c in batch.columns)
+
+        def add(words: list[str], lang: np.ndarray, n: np.ndarray) -> None:
             by, long = lattice.groups(words)
             for length, at in by.items():
-                step = max(1, 400_000 // (length * length))
+                step = max(1, 2_000_000 // (length * length))
                 for s in range(0, len(at), step):
                     part = at[s : s + step]
-                    m = lattice.build(["▁" + words[i] for i in part])
-                    _expect(m, p, np.array([lang[i] for i in part]), np.array([n[i] for i in part], float), total)
+                    _expect(lattice.build(["▁" + words[i] for i in part]), p, lang[part], n[part], total)
             for i in long:
                 _expect_long(lattice.one(words[i]), p[:, lang[i]], n[i], total[:, lang[i]])
+
+        words, lang, n = [], [], []
+        for batch in batches:
+            words += batch.column(0).to_pylist()
+            lang.append(batch.column(1).to_numpy())
+            n.append(batch.column(2).to_numpy().astype(float))
+            if len(words) >= WORDS_TOGETHER:
+                add(words, np.concatenate(lang), np.concatenate(n))
+                words, lang, n = [], [], []
+        if words:
+            add(words, np.concatenate(lang), np.concatenate(n))
         at = np.argwhere(total > 0)
         if len(at):
             yield pa.RecordBatch.from_arrays([pa.array(at[:, 0]), pa.array(at[:, 1]), pa.array(total[at[:, 0], at[:, 1]])], ["piece", "lang", "n"])
@@ -217,10 +280,14 @@ def _expect(m: np.ndarray, p: np.ndarray, lang: np.ndarray, n: np.ndarray, total
         for k in range(min(length - i, most)):
             b[i] += b[i + k + 1] * edge[:, i, k]
     share = n / np.maximum(a[length], 1e-300)
+    at, worth = [], []
     for i in range(length):
+        left = a[i] * share
         for k in range(min(length - i, most)):
             w = np.flatnonzero(m[:, i, k] >= 0)
-            np.add.at(total, (m[w, i, k], lang[w]), a[i, w] * edge[w, i, k] * b[i + k + 1, w] * share[w])
+            at.append(m[w, i, k].astype(np.int64) * p.shape[1] + lang[w])
+            worth.append(left[w] * edge[w, i, k] * b[i + k + 1, w])
+    total += np.bincount(np.concatenate(at), np.concatenate(worth), total.size).reshape(total.shape)
 
 
 def _expect_long(ends: list[list[tuple[int, int]]], p: np.ndarray, n: float, total: np.ndarray) -> None:
