@@ -28,7 +28,7 @@ MOST_SEEN = 0.9
 BLOCK = 4096
 #: Labels up to so many rows are sent to the texts; beyond that the texts are joined by shuffle.
 BROADCAST_LABELS = 2_000_000
-#: Labelled rows that the calibration is fitted on at most, those of smallest hash.
+#: Labelled rows that the calibration is fitted on at most; all others are counted.
 CALIBRATION_ROWS = 20_000
 #: Words of a window whose mean ratio is looked at, besides the whole text.
 WINDOWS = (1, 3)
@@ -225,12 +225,25 @@ def _crc(c: Column) -> Column:
     return F.crc32(c.cast("string").cast("binary"))
 
 
+def _last_place(said: DataFrame) -> int | None:
+    """Place of the last id of the calibration: as many ids of `said` (place, rows) as make up a quarter, while their rows
+    are at most CALIBRATION_ROWS. None if there is none."""
+    wanted = min(-(-said.count() // 4), CALIBRATION_ROWS)
+    last, held = None, 0
+    for r in said.orderBy("place").limit(wanted).select("place", "rows").collect():
+        held += r["rows"]
+        if held > CALIBRATION_ROWS:
+            break
+        last = r["place"]
+    return last
+
+
 def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", held_out: int | None = 2, cut: float = 0.3) -> DataFrame:
     """id, held_out, score (0 to 1) and predicted (1 if score >= cut, else 0), a row for each row of `docs`.
 
-    Labels are learned only from rows whose crc32(id as text) mod 4 is not `held_out` (None: from all). Of those, three
-    in four (by another hash) feed the counts of both classes and the fourth, at most CALIBRATION_ROWS of smallest hash,
-    the calibration. An id labelled twice is toxic if any label is; null labels and null ids teach nothing. Null and
+    Labels are learned only from rows whose crc32(id as text) mod 4 is not `held_out` (None: from all). Of those, the ids
+    of smallest hash, a quarter but no more than CALIBRATION_ROWS rows, are kept for the calibration; all others feed the
+    counts of both classes. An id labelled twice is toxic if any label is; null labels and null ids teach nothing. Null and
     empty texts get the score of a text without words; repeated rows are scored as often as they stand; other columns,
     whatever their names, are not read. Empty documents give an empty result; without labels of both classes every score
     is the share of toxic ones (0 without labels).
@@ -241,8 +254,12 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     said = labels.select(ident.alias("id"), F.col(label_col).cast("int").alias("y")).where("id is not null and y in (0, 1)")
     if held_out is not None:
         said = said.where(_crc(F.col("id")) % 4 != held_out)
-    said = written(said.groupBy("id").agg(F.max("y").alias("y")).withColumn("fits", F.pmod(F.xxhash64("id", F.lit(5)), F.lit(4)) == 0), "labels")
+    said = said.groupBy("id").agg(F.max("y").alias("y"))
     read = docs.select(ident.alias("id"), F.col(text_col).cast("string").alias("text"))
+    rows = read.where("id is not null").groupBy("id").agg(F.count("*").alias("rows"))
+    said = written(said.join(rows, "id").withColumn("place", F.xxhash64("id", F.lit(9))), "labels")
+    last = _last_place(said)
+    said = said.withColumn("fits", F.col("place") <= last if last is not None else F.lit(False))
     taught = said.where("not fits").select("id", "y")
     if said.count() <= BROADCAST_LABELS:
         taught = F.broadcast(taught)
@@ -254,7 +271,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
             yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(c, pa.float64()) for c in zip(*rows, strict=True))], ["id", *FEATURES])
 
     seen = written(read.mapInArrow(run, "id long, " + ", ".join(f"{x} double" for x in FEATURES)), "ratios")
-    sample = seen.join(said.where("fits").select("id", "y"), "id").orderBy(F.xxhash64("id", F.lit(9)), "id").limit(CALIBRATION_ROWS).collect()
+    sample = seen.join(said.where("fits").select("id", "y"), "id").collect()
     y = np.array([r["y"] for r in sample], dtype=float)
     if len(y) and 0 < y.sum() < len(y):
         w, mean, scale = _fit(np.array([[r[k] for k in FEATURES] for r in sample]), y)
