@@ -1,14 +1,16 @@
 """Toxicity by class-conditional Kneser-Ney models.
 
 Two bigram models, of toxic and of ordinary labelled texts, give every word the logarithm of the ratio of its two
-probabilities. Every count is of distinct contexts, the words before a word or a bigram, so that copies of a text count
-once. Bigrams fall back on words, and those on counts that both classes share, so that an expression seen in too few
-contexts says nothing. Counts live in tables of fixed size addressed by hash: rare expressions that
-share a cell average out, and what is broadcast has the same size for any corpus.
+probabilities. Copies of a text count once. A bigram counts with its occurrences, if enough distinct texts of the class
+hold it; else it falls back on the distinct words before its second word, and those on counts that both classes share, so
+that an expression seen in too few texts says nothing. All counts are exact and keyed by both words' hashes. What no class
+keeps has one ratio for all, so the model is a table of the kept bigrams and words; it is broadcast while it has at most
+MOST_ENTRIES rows and joined with the texts' distinct bigrams beyond that, with the same result.
 """
 
 from __future__ import annotations
 
+import math
 import re
 import zlib
 
@@ -28,13 +30,17 @@ MOST_SEEN = 0.9
 BLOCK = 4096
 #: Labels up to so many rows are sent to the texts; beyond that the texts are joined by shuffle.
 BROADCAST_LABELS = 2_000_000
+#: Kept bigrams and words up to so many are sent to the texts; beyond that the texts' bigrams are joined by shuffle.
+MOST_ENTRIES = 4_000_000
+#: Rows of texts (a power of two) that are scored together where the model is joined.
+CHUNK_ROWS = 128
 #: Labelled rows that the calibration is fitted on at most; all others are counted.
 CALIBRATION_ROWS = 20_000
 #: Words of a window whose mean ratio is looked at, besides the whole text.
 WINDOWS = (1, 3)
 WORD = re.compile(r"[^\W\d_]+")
 TABLES = ("pair", "total", "before")
-#: Bigrams and words with fewer contexts in a class are left to the lower order.
+#: Bigrams in fewer distinct texts of a class, and words behind fewer distinct words, are left to the lower order.
 LEAST_CONTEXTS = 4
 FEATURES = ("whole", "peak1", "peak3", "top3", "short")
 
@@ -158,36 +164,239 @@ def count_tables(texts: DataFrame) -> dict[tuple[str, int], np.ndarray]:
     return out
 
 
-def _discount(counts: np.ndarray) -> float:
-    one, two = int((np.round(counts) == 1).sum()), int((np.round(counts) == 2).sum())
+def _mixed(first: np.ndarray, second: np.ndarray) -> np.ndarray:
+    """Hashes of bigrams in 64 bits."""
+    x = first.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + second.view(np.uint64)
+    x ^= x >> np.uint64(32)
+    x *= np.uint64(0xD6E8FEB86659FD93)
+    return x ^ x >> np.uint64(29)
+
+
+def _summed(keys: np.ndarray, *columns: np.ndarray, keep: int = 0) -> tuple[np.ndarray, ...]:
+    """Rows of equal keys as one: the first `keep` columns as they are, the others summed."""
+    order = np.argsort(keys, kind="stable")
+    keys = keys[order]
+    at = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]) if len(keys) else np.zeros(0, np.int64)
+    out = [c[order][at] if i < keep else np.add.reduceat(c[order], at) if len(at) else c for i, c in enumerate(columns)]
+    return (keys[at], *out)
+
+
+def _distinct_texts(read: DataFrame, taught: DataFrame, small: bool) -> DataFrame:
+    """(text, y): every distinct text of a class once. Texts are told apart by 128 bits of hash and stay where they are; only
+    rows that repeat both id and text are shuffled."""
+    hashed = read.where("id is not null and text is not null").withColumns({"h1": F.xxhash64("text"), "h2": F.xxhash64(F.lit(1), "text")})
+    rows = hashed.select("id", "h1", "h2").join(taught, "id").groupBy("h1", "h2", "y", "id").agg(F.count("*").alias("n"))
+    first = rows.groupBy("h1", "h2", "y").agg(F.min(F.struct("id", "n")).alias("m"))
+    first = written(first.select("h1", "h2", "y", "m.id", "m.n"), "texts")
+    pick = lambda which: F.broadcast(first.where(which).drop("n")) if small else first.where(which).drop("n")
+    once, again = (hashed.join(pick(x), ["id", "h1", "h2"]).select("text", "y") for x in ("n = 1", "n > 1"))
+    return once.unionByName(again.distinct())
+
+
+def bigram_counts(texts: DataFrame) -> DataFrame:
+    """(first, second, y, n, c): distinct bigrams of a class over `texts` (text, y) that hold no copies, with the number
+    of texts and of occurrences. Tasks add up what they have seen before the shuffle."""
+
+    def run(batches):
+        held: list[tuple] = []
+        size = 0
+
+        def send(keys, first, second, n, c):
+            for i in range(0, len(keys), 50_000):
+                part = slice(i, i + 50_000)
+                yield pa.RecordBatch.from_arrays([pa.array(first[part]), pa.array(second[part]), *(pa.array(x[part], pa.int32()) for x in (n, c))], ["first", "second", "n", "c"])
+
+        def merged():
+            return _summed(*(np.concatenate(x) for x in zip(*held, strict=True)), keep=2)
+
+        for part, found in text_groups(batches):
+            for h, y in zip(words().hashes(found), part.column(1).to_pylist(), strict=True):
+                if len(h) > 1:
+                    first = h[:-1] << 1 | y  # a hash has 63 bits
+                    keys, at, c = np.unique(_mixed(first, h[1:]), return_index=True, return_counts=True)
+                    held.append((keys, first[at], h[1:][at], np.ones(len(keys), np.int32), c.astype(np.int32)))
+                    size += len(keys)
+            if size > 2_000_000:
+                held = [merged()]
+                size = len(held[0][0])
+                if size > 1_000_000:
+                    yield from send(*held[0])
+                    held, size = [], 0
+        if held:
+            yield from send(*merged())
+
+    found = texts.select("text", "y").mapInArrow(run, "first long, second long, n int, c int")
+    found = found.groupBy("first", "second").agg(F.sum("n").alias("n"), F.sum("c").alias("c"))
+    return found.select(F.shiftrightunsigned("first", 1).alias("first"), "second", F.col("first").bitwiseAND(F.lit(1)).cast("int").alias("y"), "n", "c")
+
+
+def _parts(bigrams: DataFrame) -> DataFrame:
+    """(kind, a, b, y, n) in one pass over bigrams: total (occurrences of bigrams that begin with the word a), before
+    (distinct words before the word a), ones (bigrams that occur a times, for a of 1 and 2) and pair (occurrences of a
+    bigram a, b in LEAST_CONTEXTS texts or more). Tasks add up what they have seen."""
+
+    def run(batches):
+        held: list[list[np.ndarray]] = []
+        kept: dict[str, tuple] = {}
+        size = 0
+
+        def send(kind, a, b, y, n):
+            for i in range(0, len(a), 50_000):
+                x = [pa.array(v[i : i + 50_000]) for v in (a, b, y.astype(np.int32), n)]
+                yield pa.RecordBatch.from_arrays([pa.array([kind] * len(x[0])), *x], ["kind", "a", "b", "y", "n"])
+
+        def add():
+            first, second, y, n, c = (np.concatenate(x) for x in zip(*held, strict=True))
+            y = y.astype(np.int64)
+            for kind, word, count in (("total", first, c), ("before", second, np.ones(len(c), np.int64))):
+                old = kept.get(kind, (np.zeros(0, np.int64),) * 2)
+                kept[kind] = _summed(np.concatenate([old[0], word << 1 | y]), np.concatenate([old[1], count]))
+            on = c <= 2
+            old = kept.get("ones", (np.zeros(0, np.int64),) * 2)
+            kept["ones"] = _summed(np.concatenate([old[0], c[on] << 1 | y[on]]), np.concatenate([old[1], np.ones(on.sum(), np.int64)]))
+            on = n >= LEAST_CONTEXTS
+            yield from send("pair", first[on], second[on], y[on], c[on])
+
+        def rest():
+            for kind, (keys, n) in kept.items():
+                word = (keys.view(np.uint64) >> np.uint64(1)).view(np.int64)
+                yield from send(kind, word, np.zeros(len(word), np.int64), keys & 1, n)
+            kept.clear()
+
+        for batch in batches:
+            held.append([c.to_numpy() for c in batch.columns])
+            size += batch.num_rows
+            if size > 200_000:
+                yield from add()
+                held, size = [], 0
+                if sum(len(k) for k, _ in kept.values()) > 2_000_000:
+                    yield from rest()
+        if held:
+            yield from add()
+        yield from rest()
+
+    return bigrams.select("first", "second", "y", "n", "c").mapInArrow(run, "kind string, a long, b long, y int, n long")
+
+
+def _spread(one: float, two: float) -> float:
+    """Discount of counts of which `one` are 1 and `two` are 2."""
     return min(0.95, max(0.5, one / (one + 2 * two))) if one else 0.75
 
 
+def entries(texts: DataFrame) -> tuple[DataFrame, float]:
+    """(a, b, ratio): log ratios of the kept bigrams a, b, and of the kept words b (where a is -1); and the ratio of every
+    other word. The shared counts of a word that neither class keeps cancel out in its ratio."""
+    parts = written(_parts(bigram_counts(texts)), "counts")
+    count = lambda kind, y: F.coalesce(F.sum(F.when((F.col("kind") == kind) & (F.col("y") == y), F.col("n"))), F.lit(0))
+    counts = [count(kind, y).alias(f"{kind}{y}") for kind in ("total", "before") for y in (0, 1)]
+    known = written(parts.where("kind in ('total', 'before')").groupBy("a").agg(*counts), "words")
+    ones = {(r["y"], r["a"]): r["n"] for r in parts.where("kind = 'ones'").groupBy("y", "a").agg(F.sum("n").alias("n")).collect()}
+    total_of = lambda c, what: F.coalesce(F.sum(F.when(c, what)), F.lit(0))
+    asked = [F.count("*").alias("size")]
+    for y in (0, 1):
+        c = F.col(f"before{y}")
+        asked += [F.coalesce(F.sum(c), F.lit(0)).alias(f"sum{y}"), total_of(c == 1, 1).alias(f"one{y}"), total_of(c == 2, 1).alias(f"two{y}")]
+        asked += [total_of(c >= LEAST_CONTEXTS, c).alias(f"high{y}"), total_of(c >= LEAST_CONTEXTS, 1).alias(f"many{y}")]
+    g = known.agg(*asked).first()
+    both = g["sum0"] + g["sum1"] + 0.5 * (g["size"] + 1)
+    pair, share, low = [], [], []
+    for y in (0, 1):
+        d, total = _spread(g[f"one{y}"], g[f"two{y}"]), max(1, g[f"sum{y}"])
+        left = (total - g[f"high{y}"] + d * g[f"many{y}"]) / total
+        base = (F.coalesce("before0", F.lit(0)) + F.coalesce("before1", F.lit(0)) + 0.5) / both
+        b = F.col(f"before{y}")
+        low.append(F.when(b >= LEAST_CONTEXTS, (b - d) / total).otherwise(0.0) + left * base)
+        share.append(left)
+        pair.append(_spread(ones.get((y, 1), 0), ones.get((y, 2), 0)))
+    enough = known.where(f"before0 >= {LEAST_CONTEXTS} or before1 >= {LEAST_CONTEXTS}")
+    single = enough.select(F.lit(-1).cast("long").alias("a"), F.col("a").alias("b"), F.log(low[1] / low[0]).alias("ratio"))
+    pairs = parts.where("kind = 'pair'").groupBy("a", "b").agg(count("pair", 0).alias("c0"), count("pair", 1).alias("c1"))
+    pairs = pairs.join(known.select("a", "total0", "total1"), "a").join(known.select(F.col("a").alias("b"), "before0", "before1"), "b")
+    p = []
+    for y in (0, 1):
+        c = F.col(f"c{y}")
+        seen = F.least(F.when(c > 0, c - pair[y]).otherwise(0.0) / F.greatest(F.col(f"total{y}"), F.lit(1)), F.lit(MOST_SEEN))
+        p.append(seen + (1 - seen) * low[y])
+    joined = pairs.select("a", "b", F.log(p[1] / p[0]).alias("ratio"))
+    return written(joined.unionByName(single), "model"), math.log(share[1] / share[0])
+
+
 class Model:
     """Log ratio of the probability of every word, given the word before, between the two classes."""
 
-    def __init__(self, tables: dict[tuple[str, int], np.ndarray]):
-        shared = tables["before", 0] + tables["before", 1]
-        base = (shared + 0.5) / (shared.sum() + 0.5 * WORD_CELLS)
-        self.pair, self.scale, self.word = [], [], []
-        for y in (0, 1):
-            before, total_of, pair = tables["before", y], tables["total", y], tables["pair", y]
-            d = _discount(before)
-            low = np.where(before >= LEAST_CONTEXTS, before - d, 0)
-            total = max(1.0, float(before.sum()))
-            self.word.append(((low + (total - low.sum()) * base) / total).astype(np.float32))
-            d = _discount(pair)
-            kept = np.where(pair >= LEAST_CONTEXTS, pair - d, 0)
-            self.pair.append(kept.astype(np.float32))
-            self.scale.append((1 / np.maximum(total_of, 1)).astype(np.float32))
+    def __init__(self, a: np.ndarray, b: np.ndarray, ratio: np.ndarray, other: float):
+        self.other = other
+        one = a < 0
+        self.word, self.pair = (self._table(k, ratio[on]) for k, on in ((b[one].view(np.uint64), one), (_mixed(a[~one], b[~one]), ~one)))
+
+    def _table(self, keys: np.ndarray, ratio: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        order = np.argsort(keys)
+        return keys[order], ratio[order].astype(np.float32)
 
     def ratios(self, h: np.ndarray) -> np.ndarray:
-        p, first, second = _pair_cells(_pairs(h)), _cells(h[:-1]), _cells(h[1:])
-        logs = []
-        for y in (0, 1):
-            seen = np.minimum(self.pair[y][p] * self.scale[y][first], MOST_SEEN)
-            logs.append(np.log(seen + (1 - seen) * self.word[y][second]))
-        return logs[1] - logs[0]
+        out = np.full(len(h) - 1, self.other, np.float32)
+        for (keys, ratio), wanted in ((self.word, h[1:].view(np.uint64)), (self.pair, _mixed(h[:-1], h[1:]))):
+            if len(keys):
+                at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+                on = keys[at] == wanted
+                out[on] = ratio[at[on]]
+        return out.astype(float)
+
+    def summaries(self, hashes: list[np.ndarray]) -> list[tuple[float, ...]]:
+        ends = np.cumsum([len(h) for h in hashes]).tolist()
+        r = self.ratios(np.concatenate(hashes))
+        return [_summary(r[b - len(h) : b - 1]) for h, b in zip(hashes, ends, strict=True)]
+
+
+SEEN = "id long, " + ", ".join(f"{x} double" for x in FEATURES)
+
+
+def _features(ids, rows: list[tuple[float, ...]]) -> list:
+    return [ids, *(pa.array(c, pa.float64()) for c in zip(*rows, strict=True))]
+
+
+def summaries(read: DataFrame, model: DataFrame, other: float) -> DataFrame:
+    """id and FEATURES for each row of `read` (id, text) under the model's entries."""
+    if model.count() > MOST_ENTRIES:
+        return _joined_summaries(read, model, other)
+    table = model.toArrow()
+    held = read.sparkSession.sparkContext.broadcast(Model(*(c.to_numpy() for c in table.columns), other))
+
+    def run(batches):
+        for part, found in text_groups(batches):
+            yield pa.RecordBatch.from_arrays(_features(part.column(0), held.value.summaries(words().hashes(found))), ["id", *FEATURES])
+
+    return read.mapInArrow(run, SEEN)
+
+
+def _joined_summaries(read: DataFrame, model: DataFrame, other: float) -> DataFrame:
+    """The same for a model of any size: chunks of CHUNK_ROWS texts meet the entries of their own distinct bigrams."""
+    shift = CHUNK_ROWS.bit_length() - 1
+    rows = written(read.withColumn("chunk", F.shiftright(F.monotonically_increasing_id(), shift)), "texts")
+
+    def keys(batches):
+        for part, found in text_groups(batches):
+            chunk = np.array(part.column(2).to_pylist(), np.int64)
+            hashes = words().hashes(found)
+            for k in np.unique(chunk).tolist():
+                mine = [hashes[i] for i in np.flatnonzero(chunk == k)]
+                a, b = np.concatenate([h[:-1] for h in mine]), np.concatenate([h[1:] for h in mine])
+                at = np.unique(_mixed(a, b), return_index=True)[1]
+                single = np.unique(b)
+                a, b = np.r_[a[at], np.full(len(single), -1)], np.r_[b[at], single]
+                for i in range(0, len(a), 50_000):
+                    x, y = a[i : i + 50_000], b[i : i + 50_000]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), k)), pa.array(x), pa.array(y)], ["chunk", "a", "b"])
+
+    def score(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not left.num_rows:
+            return pa.Table.from_arrays([pa.array([], pa.int64())] + [pa.array([], pa.float64())] * len(FEATURES), names=["id", *FEATURES])
+        mine = Model(*(right[k].to_numpy() for k in ("a", "b", "ratio")), other)
+        rows = [x for part in left.combine_chunks().to_batches() for _, found in text_groups([part]) for x in mine.summaries(words().hashes(found))]
+        return pa.Table.from_arrays(_features(left["id"], rows), names=["id", *FEATURES])
+
+    met = rows.mapInArrow(keys, "chunk long, a long, b long").distinct().join(model, ["a", "b"]).select("chunk", "a", "b", "ratio")
+    return rows.groupBy("chunk").cogroup(met.groupBy("chunk")).applyInArrow(score, SEEN)
 
 
 def _summary(r: np.ndarray) -> tuple[float, ...]:
@@ -261,16 +470,9 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     last = _last_place(said)
     said = said.withColumn("fits", F.col("place") <= last if last is not None else F.lit(False))
     taught = said.where("not fits").select("id", "y")
-    if said.count() <= BROADCAST_LABELS:
-        taught = F.broadcast(taught)
-    model = spark.sparkContext.broadcast(Model(count_tables(read.join(taught, "id"))))
-
-    def run(batches):
-        for part, found in text_groups(batches):
-            rows = [_summary(model.value.ratios(h)) for h in words().hashes(found)]
-            yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(c, pa.float64()) for c in zip(*rows, strict=True))], ["id", *FEATURES])
-
-    seen = written(read.mapInArrow(run, "id long, " + ", ".join(f"{x} double" for x in FEATURES)), "ratios")
+    small = said.count() <= BROADCAST_LABELS
+    model, other = entries(_distinct_texts(read, F.broadcast(taught) if small else taught, small))
+    seen = written(summaries(read, model, other), "ratios")
     sample = seen.join(said.where("fits").select("id", "y"), "id").collect()
     y = np.array([r["y"] for r in sample], dtype=float)
     if len(y) and 0 < y.sum() < len(y):

@@ -39,3 +39,23 @@ def test_rows_beyond_the_calibration_are_counted(spark, monkeypatch):
     out = _scores(spark, rows)
     held = [(out[i].predicted, y) for i, _, y in rows if _held(i)]
     assert np.mean([p for p, y in held if y]) > 0.9 and np.mean([p for p, y in held if not y]) < 0.1
+
+
+def test_words_of_one_cell_are_told_apart(spark):
+    """A toxic and an ordinary word whose hashes agree in their low 20 bits."""
+    w, cells, n = toxicity.Words(), {}, 0
+    while True:
+        x = "".join("bcdfghjklm"[int(d)] for d in str(n))
+        c = int(toxicity._cells(w.hashes([x])[0][1:])[0])
+        if c in cells:
+            break
+        cells[c], n = x, n + 1
+    rng, rows = random.Random(12), []
+    for i, t in enumerate(_texts(rng, 1200)):
+        bad = i % 4 == 0
+        for _ in range(2):
+            t.insert(rng.randrange(len(t)), (x if bad else cells[c]) if i % 4 < 2 else "neutral")
+        rows.append((i, " ".join(t), int(bad)))
+    out = _scores(spark, rows)
+    held = [(out[i].predicted, y) for i, _, y in rows if _held(i)]
+    assert np.mean([p for p, y in held if y]) > 0.9 and np.mean([p for p, y in held if not y]) < 0.1
