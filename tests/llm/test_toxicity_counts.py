@@ -59,3 +59,50 @@ def test_words_of_one_cell_are_told_apart(spark):
     out = _scores(spark, rows)
     held = [(out[i].predicted, y) for i, _, y in rows if _held(i)]
     assert np.mean([p for p, y in held if y]) > 0.9 and np.mean([p for p, y in held if not y]) < 0.1
+
+
+def _plain(texts):
+    """(first, second, y): texts, occurrences, over distinct texts of a class."""
+    n = {}
+    for t, y in set(texts):
+        w = ["<s>", *t.split()]
+        pairs = list(zip(w, w[1:], strict=False))
+        for p in set(pairs):
+            a, b = n.get((*p, y), (0, 0))
+            n[(*p, y)] = (a + 1, b + pairs.count(p))
+    return n
+
+
+def test_bigram_counts_and_join(spark, monkeypatch):
+    rng = random.Random(13)
+    texts = [(" ".join(rng.choice("abcdef") for _ in range(rng.randint(1, 12))), rng.randrange(2)) for _ in range(300)]
+    texts += texts[:40]  # copies
+    read = spark.createDataFrame([(i // 2, t) for i, (t, _) in enumerate(texts)], "id long, text string")
+    read = read.unionByName(read.limit(10))  # repeated rows
+    y = {i // 2: y for i, (_, y) in enumerate(texts)}
+    taught = spark.createDataFrame(list(y.items()), "id long, y int")
+    kept = toxicity._distinct_texts(read, taught, True).cache()
+    want = _plain([(t, y[i // 2]) for i, (t, _) in enumerate(texts)])
+    h = lambda x: 1 if x == "<s>" else int(toxicity.Words().hashes([x])[0][1])
+    name = {h(x): x for x in ["<s>", *"abcdef"]}
+    got = {(name[r["first"]], name[r["second"]], r.y): (r.n, r.c) for r in toxicity.bigram_counts(kept).collect()}
+    assert got == want
+    model, other = toxicity.entries(kept)
+    one = sorted(map(tuple, toxicity.summaries(read, model, other).collect()))
+    monkeypatch.setattr(toxicity, "MOST_ENTRIES", 0)
+    monkeypatch.setattr(toxicity, "CHUNK_ROWS", 16)
+    assert np.allclose(one, sorted(map(tuple, toxicity.summaries(read, model, other).collect())), atol=1e-5)
+
+
+def test_expression_behind_one_word_only(spark):
+    """Toxic texts say 'you are a schuft', ordinary ones 'you are a' and words of one text only."""
+    rng, rows = random.Random(14), []
+    for i, t in enumerate(_texts(rng, 1200)):
+        bad = int(i % 4 == 0)
+        new = "".join(rng.choice("klmnpr") for _ in range(12))
+        at = rng.randrange(len(t))
+        t[at:at] = ["you", "are", "a", "schuft" if bad else new]
+        rows.append((i, " ".join(t), bad))
+    out = _scores(spark, rows)
+    held = [(out[i].predicted, y) for i, _, y in rows if _held(i)]
+    assert np.mean([p for p, y in held if y]) > 0.9 and np.mean([p for p, y in held if not y]) < 0.1
