@@ -1,18 +1,23 @@
 """Toxicity by class-conditional Kneser-Ney models.
 
-Two bigram models, of toxic and of ordinary labelled texts, give every word the logarithm of the ratio of its two
-probabilities. Copies of a text count once. A bigram counts with its occurrences, if enough distinct texts of the class
-hold it; else it falls back on the distinct words before its second word, and those on counts that both classes share, so
-that an expression seen in too few texts says nothing. All counts are exact and keyed by both words' hashes. What no class
-keeps has one ratio for all, so the model is a table of the kept bigrams and words; it is broadcast while it has at most
-MOST_ENTRIES rows and joined with the texts' distinct bigrams beyond that, with the same result.
+Two models, of toxic and of ordinary labelled texts, give every word the logarithm of the ratio of its two probabilities.
+Each is an interpolated Kneser-Ney model of three layers, whose probabilities sum to 1 behind every context:
+
+- bigrams of words, counted by the distinct texts of the class that hold them;
+- words, counted by the distinct words before them (continuation counts);
+- spellings: letters behind up to ORDER - 1 letters of the word, counted over the distinct words of the class, with
+  continuation counts in the lower orders. The lowest order is shared: both classes back off to the letters of all words.
+
+So an expression seen in too few texts is smoothed by how its words are spelled, and a letter seen in too few words by what
+both classes share. Copies of a text count once. All counts are exact. The layers' discounted probabilities and the backoff
+weights that are not 1 form one table by key; it is broadcast while it has at most MOST_ENTRIES rows, and joined with the
+texts' distinct keys beyond that, with the same result.
 """
 
 from __future__ import annotations
 
-import math
 import re
-import zlib
+import uuid
 
 import numpy as np
 import pyarrow as pa
@@ -20,17 +25,18 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .batches import ChunkCache, small_batches, text_groups, tool, written
+from .batches import CACHE_CHUNKS, ChunkCache, small_batches, text_groups, tool, written
 
-#: Cells of the word and the bigram tables.
-WORD_CELLS, PAIR_CELLS = 1 << 20, 1 << 21
-#: Largest share of a word's probability that its bigram may take.
-MOST_SEEN = 0.9
-#: Cells of a block in which counts travel.
-BLOCK = 4096
+#: Letters of the longest counted run, its last letter included.
+ORDER = 4
+#: Absolute discount of bigrams and of words. Near copies of one text lift counts of 1 to 2, so that discounts from counts
+#: of counts, which are below 1, leave what a single text says nearly whole.
+DISCOUNT = 2
+#: A word's spelling counts as one of at most so many letters.
+LETTERS = 16
 #: Labels up to so many rows are sent to the texts; beyond that the texts are joined by shuffle.
 BROADCAST_LABELS = 2_000_000
-#: Kept bigrams and words up to so many are sent to the texts; beyond that the texts' bigrams are joined by shuffle.
+#: Entries of the model up to so many are sent to the texts; beyond that they are joined by shuffle.
 MOST_ENTRIES = 4_000_000
 #: Rows of texts (a power of two) that are scored together where the model is joined.
 CHUNK_ROWS = 128
@@ -39,10 +45,9 @@ CALIBRATION_ROWS = 20_000
 #: Words of a window whose mean ratio is looked at, besides the whole text.
 WINDOWS = (1, 3)
 WORD = re.compile(r"[^\W\d_]+")
-TABLES = ("pair", "total", "before")
-#: Bigrams in fewer distinct texts of a class, and words behind fewer distinct words, are left to the lower order.
-LEAST_CONTEXTS = 4
 FEATURES = ("whole", "peak1", "peak3", "top3", "short")
+#: Kinds of entries: probability of a pair, weight behind a word, probability of a word, of a run of letters, weight behind one.
+PAIR, BEHIND, SINGLE, RUN, BEHIND_RUN = range(5)
 
 
 class Words:
@@ -62,108 +67,6 @@ def words() -> Words:
     return tool(("toxicity",), Words)
 
 
-def _pairs(h: np.ndarray) -> np.ndarray:
-    """Keys of bigrams: the cells of both words (20 bits each), 23 bits of a hash of both, and a free lowest bit."""
-    x = h[:-1].view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + h[1:].view(np.uint64)
-    x ^= x >> np.uint64(32)
-    x *= np.uint64(0xD6E8FEB86659FD93)
-    c = _cells(h).view(np.uint64)
-    return c[:-1] << np.uint64(44) | c[1:] << np.uint64(24) | (x >> np.uint64(41)) << np.uint64(1)
-
-
-def _pair_cells(pairs: np.ndarray) -> np.ndarray:
-    return ((pairs * np.uint64(0xBF58476D1CE4E5B9)) >> np.uint64(64 - 21)).astype(np.int64)
-
-
-def _cells(h: np.ndarray) -> np.ndarray:
-    return h & (WORD_CELLS - 1)
-
-
-def _types(texts: DataFrame) -> DataFrame:
-    """(pair, bits): every distinct bigram of a class (the lowest bit of its key), and a bitmap of hashes of the words that
-    stand before it. Tasks merge what they have seen, the shuffle the rest; copies of a text add nothing."""
-
-    def run(batches):
-        held: list[np.ndarray] = []
-        size = 0
-
-        def merged() -> np.ndarray:
-            rows = np.concatenate(held)
-            rows = rows[np.argsort(rows[:, 0], kind="stable")]
-            at = np.flatnonzero(np.r_[True, rows[1:, 0] != rows[:-1, 0]])
-            out = rows[at]
-            out[:, 1] = np.bitwise_or.reduceat(rows[:, 1], at)
-            return out
-
-        def send(rows: np.ndarray):
-            for i in range(0, len(rows), 50_000):
-                part = rows[i : i + 50_000]
-                yield pa.RecordBatch.from_arrays([pa.array(part[:, 0]), pa.array(part[:, 1])], ["pair", "bits"])
-
-        for part, found in text_groups(batches):
-            for h, y in zip(words().hashes(found), part.column(1).to_pylist(), strict=True):
-                if len(h) > 1:
-                    before = np.r_[np.int64(0), h[:-2]]  # the word before each bigram
-                    bits = np.left_shift(np.int64(1), (before >> 20) & 63)
-                    held.append(np.stack([(_pairs(h) | np.uint64(y)).view(np.int64), bits], axis=1))
-                    size += len(h) - 1
-            if size > 2_000_000:
-                held = [merged()]
-                size = len(held[0])
-                if size > 1_000_000:
-                    yield from send(held[0])
-                    held, size = [], 0
-        if held:
-            yield from send(merged())
-
-    return texts.select("text", "y").mapInArrow(run, "pair long, bits long").groupBy("pair").agg(F.bit_or("bits").alias("bits"))
-
-
-def _contexts(bits: np.ndarray) -> np.ndarray:
-    """Number of distinct words behind a bitmap of 64 places, by linear counting."""
-    n = np.bitwise_count(bits.view(np.uint64)).astype(float)
-    return -64 * np.log(np.maximum(1 - n / 64, 1 / 128))
-
-
-def count_tables(texts: DataFrame) -> dict[tuple[str, int], np.ndarray]:
-    """Tables of counts over all rows of `texts` (text, y), by name and class: pair (distinct words before a bigram), total
-    (the same, summed over the bigrams that begin with a word) and before (distinct words before a word). Tasks send
-    blocks of cells; a block's sum is a stream in bounded memory, and the driver gets each block once."""
-
-    def count(batches):
-        held = {(k, y): np.zeros(PAIR_CELLS if k == "pair" else WORD_CELLS, np.float32) for k in TABLES for y in (0, 1)}
-        for batch in batches:
-            keys, n = batch.column(0).to_numpy().view(np.uint64), _contexts(batch.column(1).to_numpy()).astype(np.float32)
-            for y in (0, 1):
-                on = (keys & np.uint64(1)) == y
-                pair = keys[on] & ~np.uint64(1)
-                np.add.at(held["pair", y], _pair_cells(pair), n[on])
-                np.add.at(held["total", y], (pair >> np.uint64(44)).astype(np.int64), n[on])
-                np.add.at(held["before", y], (pair >> np.uint64(24)).astype(np.int64) & (WORD_CELLS - 1), np.float32(1))
-        for (name, y), table in held.items():
-            blocks = [k for k in range(len(table) // BLOCK) if table[k * BLOCK : (k + 1) * BLOCK].any()]
-            for a in range(0, len(blocks), 64):
-                part = blocks[a : a + 64]
-                raw = [zlib.compress(table[k * BLOCK : (k + 1) * BLOCK].tobytes(), 1) for k in part]
-                yield pa.RecordBatch.from_arrays([pa.array([name] * len(part)), pa.array([y] * len(part), pa.int32()), pa.array(part, pa.int32()), pa.array(raw, pa.binary())], ["name", "y", "block", "counts"])
-
-    def add(batches):
-        held: dict[tuple, np.ndarray] = {}
-        for batch in batches:
-            for name, y, k, raw in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                got = np.frombuffer(zlib.decompress(raw), np.float32).astype(float)
-                held[name, y, k] = held[name, y, k] + got if (name, y, k) in held else got
-        for (name, y, k), table in held.items():
-            yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([y], pa.int32()), pa.array([k], pa.int32()), pa.array([zlib.compress(table.tobytes(), 1)], pa.binary())], ["name", "y", "block", "counts"])
-
-    schema = "name string, y int, block int, counts binary"
-    sums = _types(texts).select("pair", "bits").mapInArrow(count, schema).repartition("name", "y", "block").mapInArrow(add, schema)
-    out = {(name, y): np.zeros(PAIR_CELLS if name == "pair" else WORD_CELLS) for name in TABLES for y in (0, 1)}
-    for r in sums.toLocalIterator():
-        out[r["name"], r["y"]][r["block"] * BLOCK : (r["block"] + 1) * BLOCK] = np.frombuffer(zlib.decompress(r["counts"]), float)
-    return out
-
-
 def _mixed(first: np.ndarray, second: np.ndarray) -> np.ndarray:
     """Hashes of bigrams in 64 bits."""
     x = first.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + second.view(np.uint64)
@@ -194,17 +97,17 @@ def _distinct_texts(read: DataFrame, taught: DataFrame, small: bool) -> DataFram
 
 
 def bigram_counts(texts: DataFrame) -> DataFrame:
-    """(first, second, y, n, c): distinct bigrams of a class over `texts` (text, y) that hold no copies, with the number
-    of texts and of occurrences. Tasks add up what they have seen before the shuffle."""
+    """(first, second, y, n): distinct bigrams of a class over `texts` (text, y) that hold no copies, with the number of
+    texts. Tasks add up what they have seen before the shuffle."""
 
     def run(batches):
         held: list[tuple] = []
         size = 0
 
-        def send(keys, first, second, n, c):
+        def send(keys, first, second, n):
             for i in range(0, len(keys), 50_000):
                 part = slice(i, i + 50_000)
-                yield pa.RecordBatch.from_arrays([pa.array(first[part]), pa.array(second[part]), *(pa.array(x[part], pa.int32()) for x in (n, c))], ["first", "second", "n", "c"])
+                yield pa.RecordBatch.from_arrays([pa.array(first[part]), pa.array(second[part]), pa.array(n[part], pa.int32())], ["first", "second", "n"])
 
         def merged():
             return _summed(*(np.concatenate(x) for x in zip(*held, strict=True)), keep=2)
@@ -213,8 +116,8 @@ def bigram_counts(texts: DataFrame) -> DataFrame:
             for h, y in zip(words().hashes(found), part.column(1).to_pylist(), strict=True):
                 if len(h) > 1:
                     first = h[:-1] << 1 | y  # a hash has 63 bits
-                    keys, at, c = np.unique(_mixed(first, h[1:]), return_index=True, return_counts=True)
-                    held.append((keys, first[at], h[1:][at], np.ones(len(keys), np.int32), c.astype(np.int32)))
+                    keys, at = np.unique(_mixed(first, h[1:]), return_index=True)
+                    held.append((keys, first[at], h[1:][at], np.ones(len(keys), np.int32)))
                     size += len(keys)
             if size > 2_000_000:
                 held = [merged()]
@@ -225,42 +128,39 @@ def bigram_counts(texts: DataFrame) -> DataFrame:
         if held:
             yield from send(*merged())
 
-    found = texts.select("text", "y").mapInArrow(run, "first long, second long, n int, c int")
-    found = found.groupBy("first", "second").agg(F.sum("n").alias("n"), F.sum("c").alias("c"))
-    return found.select(F.shiftrightunsigned("first", 1).alias("first"), "second", F.col("first").bitwiseAND(F.lit(1)).cast("int").alias("y"), "n", "c")
+    found = texts.select("text", "y").mapInArrow(run, "first long, second long, n int")
+    found = found.groupBy("first", "second").agg(F.sum("n").alias("n"))
+    return found.select(F.shiftrightunsigned("first", 1).alias("first"), "second", F.col("first").bitwiseAND(F.lit(1)).cast("int").alias("y"), "n")
 
 
 def _parts(bigrams: DataFrame) -> DataFrame:
-    """(kind, a, b, y, n) in one pass over bigrams: total (occurrences of bigrams that begin with the word a), before
-    (distinct words before the word a), ones (bigrams that occur a times, for a of 1 and 2) and pair (occurrences of a
-    bigram a, b in LEAST_CONTEXTS texts or more). Tasks add up what they have seen."""
+    """(kind, a, b, y, n, m) in one pass over bigrams: behind (texts of the bigrams that begin with the word a, and what
+    the discount takes of them), before (distinct words before the word a) and pair (texts of a bigram a, b beyond the
+    discount). Tasks add up what they have seen."""
 
     def run(batches):
         held: list[list[np.ndarray]] = []
         kept: dict[str, tuple] = {}
         size = 0
 
-        def send(kind, a, b, y, n):
+        def send(kind, a, b, y, n, m):
             for i in range(0, len(a), 50_000):
-                x = [pa.array(v[i : i + 50_000]) for v in (a, b, y.astype(np.int32), n)]
-                yield pa.RecordBatch.from_arrays([pa.array([kind] * len(x[0])), *x], ["kind", "a", "b", "y", "n"])
+                x = [pa.array(v[i : i + 50_000]) for v in (a, b, y.astype(np.int32), n, m)]
+                yield pa.RecordBatch.from_arrays([pa.array([kind] * len(x[0])), *x], ["kind", "a", "b", "y", "n", "m"])
 
         def add():
-            first, second, y, n, c = (np.concatenate(x) for x in zip(*held, strict=True))
+            first, second, y, n = (np.concatenate(x) for x in zip(*held, strict=True))
             y = y.astype(np.int64)
-            for kind, word, count in (("total", first, c), ("before", second, np.ones(len(c), np.int64))):
-                old = kept.get(kind, (np.zeros(0, np.int64),) * 2)
-                kept[kind] = _summed(np.concatenate([old[0], word << 1 | y]), np.concatenate([old[1], count]))
-            on = c <= 2
-            old = kept.get("ones", (np.zeros(0, np.int64),) * 2)
-            kept["ones"] = _summed(np.concatenate([old[0], c[on] << 1 | y[on]]), np.concatenate([old[1], np.ones(on.sum(), np.int64)]))
-            on = n >= LEAST_CONTEXTS
-            yield from send("pair", first[on], second[on], y[on], c[on])
+            for kind, word, count, less in (("behind", first, n, np.minimum(n, DISCOUNT)), ("before", second, np.ones(len(n), np.int64), np.zeros(len(n), np.int64))):
+                old = kept.get(kind, (np.zeros(0, np.int64),) * 3)
+                kept[kind] = _summed(*(np.concatenate(x) for x in zip(old, (word << 1 | y, count, less), strict=True)))
+            on = n > DISCOUNT
+            yield from send("pair", first[on], second[on], y[on], n[on], n[on])
 
         def rest():
-            for kind, (keys, n) in kept.items():
+            for kind, (keys, n, m) in kept.items():
                 word = (keys.view(np.uint64) >> np.uint64(1)).view(np.int64)
-                yield from send(kind, word, np.zeros(len(word), np.int64), keys & 1, n)
+                yield from send(kind, word, np.zeros(len(word), np.int64), keys & 1, n, m)
             kept.clear()
 
         for batch in batches:
@@ -269,83 +169,249 @@ def _parts(bigrams: DataFrame) -> DataFrame:
             if size > 200_000:
                 yield from add()
                 held, size = [], 0
-                if sum(len(k) for k, _ in kept.values()) > 2_000_000:
+                if sum(len(k) for k, *_ in kept.values()) > 2_000_000:
                     yield from rest()
         if held:
             yield from add()
         yield from rest()
 
-    return bigrams.select("first", "second", "y", "n", "c").mapInArrow(run, "kind string, a long, b long, y int, n long")
+    return bigrams.select("first", "second", "y", "n").mapInArrow(run, "kind string, a long, b long, y int, n long, m long")
+
+
+def word_types(texts: DataFrame) -> DataFrame:
+    """(word, y): the distinct words of a class. Tasks send a word once for each million words they meet."""
+
+    def run(batches):
+        seen: tuple[set[str], set[str]] = (set(), set())
+
+        def send():
+            for y, found in enumerate(seen):
+                todo = list(found)
+                for i in range(0, len(todo), 20_000):
+                    yield pa.RecordBatch.from_arrays([pa.array(todo[i : i + 20_000]), pa.array([y] * len(todo[i : i + 20_000]), pa.int32())], ["word", "y"])
+                found.clear()
+
+        for part, found in text_groups(batches):
+            for t, y in zip(found, part.column(1).to_pylist(), strict=True):
+                seen[y].update(WORD.findall(t.lower()))
+            if len(seen[0]) + len(seen[1]) > 1_000_000:
+                yield from send()
+        yield from send()
+
+    return texts.select("text", "y").mapInArrow(run, "word string, y int").distinct()
+
+
+def letter_runs(types: DataFrame) -> DataFrame:
+    """(y, g, n): runs of 1 to ORDER letters of the words of `types` (word, y), a word beginning with ^ and ending with $.
+    Runs of ORDER letters and those at a word's beginning have their number of words, others their number of distinct
+    letters before them."""
+    text = F.concat(F.lit("^"), "word", F.lit("$"))
+    places = F.sequence(F.lit(2), F.length(text))
+    at = F.transform(places, lambda i: F.substr(text, F.greatest(i - (ORDER - 1), F.lit(1)), F.least(i, F.lit(ORDER))))
+    top = written(types.select("y", F.explode(at).alias("g")).groupBy("y", "g").agg(F.count("*").alias("n")), "runs")
+    out, above = top, top.where(F.length("g") == ORDER)
+    for k in range(ORDER - 1, 0, -1):
+        lower = above.select("y", F.expr("substring(g, 2)").alias("g")).groupBy("y", "g").agg(F.count("*").alias("n"))
+        out = out.unionByName(lower)
+        above = lower.unionByName(top.where(F.length("g") == k))
+    return out
 
 
 def _spread(one: float, two: float) -> float:
     """Discount of counts of which `one` are 1 and `two` are 2."""
-    return min(0.95, max(0.5, one / (one + 2 * two))) if one else 0.75
+    return min(0.95, max(0.5, one / (one + 2 * two))) if one else 0.5
 
 
-def entries(texts: DataFrame) -> tuple[DataFrame, float]:
-    """(a, b, ratio): log ratios of the kept bigrams a, b, and of the kept words b (where a is -1); and the ratio of every
-    other word. The shared counts of a word that neither class keeps cancel out in its ratio."""
-    parts = written(_parts(bigram_counts(texts)), "counts")
-    count = lambda kind, y: F.coalesce(F.sum(F.when((F.col("kind") == kind) & (F.col("y") == y), F.col("n"))), F.lit(0))
-    counts = [count(kind, y).alias(f"{kind}{y}") for kind in ("total", "before") for y in (0, 1)]
-    known = written(parts.where("kind in ('total', 'before')").groupBy("a").agg(*counts), "words")
-    ones = {(r["y"], r["a"]): r["n"] for r in parts.where("kind = 'ones'").groupBy("y", "a").agg(F.sum("n").alias("n")).collect()}
-    total_of = lambda c, what: F.coalesce(F.sum(F.when(c, what)), F.lit(0))
-    asked = [F.count("*").alias("size")]
-    for y in (0, 1):
-        c = F.col(f"before{y}")
-        asked += [F.coalesce(F.sum(c), F.lit(0)).alias(f"sum{y}"), total_of(c == 1, 1).alias(f"one{y}"), total_of(c == 2, 1).alias(f"two{y}")]
-        asked += [total_of(c >= LEAST_CONTEXTS, c).alias(f"high{y}"), total_of(c >= LEAST_CONTEXTS, 1).alias(f"many{y}")]
-    g = known.agg(*asked).first()
-    both = g["sum0"] + g["sum1"] + 0.5 * (g["size"] + 1)
-    pair, share, low = [], [], []
-    for y in (0, 1):
-        d, total = _spread(g[f"one{y}"], g[f"two{y}"]), max(1, g[f"sum{y}"])
-        left = (total - g[f"high{y}"] + d * g[f"many{y}"]) / total
-        base = (F.coalesce("before0", F.lit(0)) + F.coalesce("before1", F.lit(0)) + 0.5) / both
-        b = F.col(f"before{y}")
-        low.append(F.when(b >= LEAST_CONTEXTS, (b - d) / total).otherwise(0.0) + left * base)
-        share.append(left)
-        pair.append(_spread(ones.get((y, 1), 0), ones.get((y, 2), 0)))
-    enough = known.where(f"before0 >= {LEAST_CONTEXTS} or before1 >= {LEAST_CONTEXTS}")
-    single = enough.select(F.lit(-1).cast("long").alias("a"), F.col("a").alias("b"), F.log(low[1] / low[0]).alias("ratio"))
-    pairs = parts.where("kind = 'pair'").groupBy("a", "b").agg(count("pair", 0).alias("c0"), count("pair", 1).alias("c1"))
-    pairs = pairs.join(known.select("a", "total0", "total1"), "a").join(known.select(F.col("a").alias("b"), "before0", "before1"), "b")
-    p = []
+def _run_keys(g: list[str], salt: int) -> np.ndarray:
+    """Keys of runs of letters."""
+    out = np.zeros(len(g), np.int64)
+    for k in {len(x) for x in g}:
+        at = [i for i, x in enumerate(g) if len(x) == k]
+        cp = np.frombuffer("".join(g[i] for i in at).encode("utf-32-le"), np.uint32).reshape(-1, k)
+        out[at] = _poly([cp[:, i] for i in range(k)], salt)
+    return out
+
+
+def _poly(columns: list[np.ndarray], salt: int) -> np.ndarray:
+    """Keys of rows of code points."""
+    x = np.full(columns[0].shape, 8 * len(columns) + salt, np.uint64)
+    for c in columns:
+        x = x * np.uint64(0x9E3779B97F4A7C15) + c.astype(np.uint64)
+        x ^= x >> np.uint64(29)
+    return _mixed(np.full(len(x), salt, np.int64), x.view(np.int64)).view(np.int64)
+
+
+def _pair_keys(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return _mixed(a << 1, b).view(np.int64)
+
+
+def _single_keys(a: np.ndarray, salt: int) -> np.ndarray:
+    return _mixed(np.full(len(a), 2 * salt + 1, np.int64), a).view(np.int64)
+
+
+def _keyed(rows: DataFrame) -> DataFrame:
+    """(kind, key, p0, p1) from (kind, a, b, g, p0, p1): what an entry stands for as one key."""
+
+    def run(batches):
+        for batch in batches:
+            kind, a, b = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
+            g, key = batch.column(3).to_pylist(), np.zeros(batch.num_rows, np.int64)
+            for k in np.unique(kind).tolist():
+                at = np.flatnonzero(kind == k)
+                if k == PAIR:
+                    key[at] = _pair_keys(a[at], b[at])
+                else:
+                    key[at] = _single_keys(a[at], k) if k in (BEHIND, SINGLE) else _run_keys([g[i] for i in at], k)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(key), batch.column(4), batch.column(5)], ["kind", "key", "p0", "p1"])
+
+    return rows.select("kind", "a", "b", "g", "p0", "p1").mapInArrow(run, "kind int, key long, p0 double, p1 double")
+
+
+def _entry(kind: int, a, b, g, p0: Column, p1: Column) -> list[Column]:
+    typed = [F.lit(x).cast(t) if not isinstance(x, Column) else x.cast(t) for x, t in ((kind, "int"), (a, "long"), (b, "long"), (g, "string"))]
+    return [c.alias(n) for c, n in zip([*typed, p0.cast("double"), p1.cast("double")], ("kind", "a", "b", "g", "p0", "p1"), strict=True)]
+
+
+def _of(y: int, what: str = "n") -> Column:
+    return F.coalesce(F.sum(F.when(F.col("y") == y, F.col(what))), F.lit(0))
+
+
+def spelling_entries(types: DataFrame) -> tuple[DataFrame, list[float]]:
+    """Entries of runs of letters and of the weights behind them, and each class's probability of a letter never seen."""
+    runs = written(letter_runs(types).groupBy("g").agg(_of(0).alias("n0"), _of(1).alias("n1")), "runs")
+    k = F.length("g")
+    asked = []
     for y in (0, 1):
-        c = F.col(f"c{y}")
-        seen = F.least(F.when(c > 0, c - pair[y]).otherwise(0.0) / F.greatest(F.col(f"total{y}"), F.lit(1)), F.lit(MOST_SEEN))
-        p.append(seen + (1 - seen) * low[y])
-    joined = pairs.select("a", "b", F.log(p[1] / p[0]).alias("ratio"))
-    return written(joined.unionByName(single), "model"), math.log(share[1] / share[0])
+        asked += [F.sum((F.col(f"n{y}") == c).cast("long")).alias(f"c{c}{y}") for c in (1, 2)]
+    asked += [F.sum(F.col("n0") + F.col("n1")).alias("all"), F.count("*").alias("size"), F.sum((F.col("n0") + F.col("n1") == 1).cast("long")).alias("one"), F.sum((F.col("n0") + F.col("n1") == 2).cast("long")).alias("two")]
+    level = {r["k"]: r for r in runs.groupBy(k.alias("k")).agg(*asked).collect()}
+    if not level:
+        return runs.select(*_entry(RUN, 0, 0, F.col("g"), F.lit(0.0), F.lit(0.0))).limit(0), [1.0, 1.0]
+    discount = lambda y: F.coalesce(*(F.when(k == n, _spread(r[f"c1{y}"], r[f"c2{y}"])) for n, r in level.items()))
+    context = F.expr("substring(g, 1, length(g) - 1)")
+    sums = [F.sum(f"n{y}").alias(f"t{y}") for y in (0, 1)] + [F.sum(F.least(F.col(f"n{y}"), discount(y))).alias(f"m{y}") for y in (0, 1)]
+    behind = written(runs.groupBy(context.alias("c")).agg(*sums), "contexts")
+    weight = lambda y: F.when(F.col(f"t{y}") > 0, F.col(f"m{y}") / F.col(f"t{y}")).otherwise(1.0)
+    own = lambda y: F.when(F.col(f"t{y}") > 0, F.greatest(F.col(f"n{y}") - discount(y), F.lit(0.0)) / F.col(f"t{y}")).otherwise(0.0)
+    low = level[1]
+    d = _spread(low["one"], low["two"])
+    new = d * low["size"] / low["all"] / (low["size"] + 1)  # the shared probability of a letter never seen
+    shared = F.greatest(F.col("n0") + F.col("n1") - d, F.lit(0.0)) / low["all"] + new
+    at = runs.withColumn("c", context).join(behind, "c")
+    first = at.where(k == 1).select(*_entry(RUN, 0, 0, F.col("g"), own(0) + weight(0) * shared, own(1) + weight(1) * shared))
+    later = at.where(k > 1).select(*_entry(RUN, 0, 0, F.col("g"), own(0), own(1)))
+    empty = behind.where("c = ''").select(weight(0).alias("w0"), weight(1).alias("w1")).first()
+    weights = behind.where("c <> ''").select(*_entry(BEHIND_RUN, 0, 0, F.col("c"), weight(0), weight(1)))
+    return first.unionByName(later).unionByName(weights), [empty["w0"] * new, empty["w1"] * new]
+
+
+def entries(texts: DataFrame) -> tuple[DataFrame, dict[str, list[float]]]:
+    """(kind, key, p0, p1), the entries of both classes' models, and their scalars: the share of a class's words that goes to
+    spellings, and the probability of a letter never seen."""
+    parts = written(_parts(bigram_counts(texts)), "counts")
+    before = parts.where("kind = 'before'").groupBy("a").agg(_of(0).alias("n0"), _of(1).alias("n1"))
+    before = written(before, "words")
+    less = lambda y: F.greatest(F.col(f"n{y}") - DISCOUNT, F.lit(0))
+    g = before.agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(n) for y in (0, 1) for c, n in ((F.col(f"n{y}"), f"n{y}"), (less(y), f"own{y}")))).first()
+    share = [1 - g[f"own{y}"] / g[f"n{y}"] if g[f"n{y}"] else 1.0 for y in (0, 1)]
+    single = before.where((less(0) > 0) | (less(1) > 0)).select(*_entry(SINGLE, F.col("a"), 0, None, *(less(y) / max(1, g[f"n{y}"]) for y in (0, 1))))
+    pairs = written(parts.where("kind = 'pair'").groupBy("a", "b").agg(_of(0).alias("n0"), _of(1).alias("n1")), "pairs")
+    heads = parts.where("kind = 'behind'").join(pairs.select("a").distinct(), "a", "left_semi")
+    heads = written(heads.groupBy("a").agg(_of(0).alias("t0"), _of(1).alias("t1"), _of(0, "m").alias("m0"), _of(1, "m").alias("m1")), "heads")
+    whole = lambda y: F.greatest(F.col(f"t{y}"), F.lit(1))
+    behind = heads.select(*_entry(BEHIND, F.col("a"), 0, None, *(F.when(F.col(f"t{y}") > 0, F.col(f"m{y}") / whole(y)).otherwise(1.0) for y in (0, 1))))
+    pair = pairs.join(heads, "a").select(*_entry(PAIR, F.col("a"), F.col("b"), None, *(less(y) / whole(y) for y in (0, 1))))
+    spelled, new = spelling_entries(word_types(texts))
+    rows = pair.unionByName(behind).unionByName(single).unionByName(spelled)
+    return written(_keyed(rows), "model"), {"share": share, "new": new}
 
 
 class Model:
-    """Log ratio of the probability of every word, given the word before, between the two classes."""
+    """Log ratio of the probability of every word, given the word before, between the two classes. `rows` are the columns
+    kind, key, p0 and p1 of the entries; words that were met are remembered up to CACHE_CHUNKS."""
+
+    def __init__(self, kind: np.ndarray, key: np.ndarray, p: np.ndarray, scalars: dict[str, list[float]]):
+        self.tables = []
+        for k in range(5):
+            on = np.flatnonzero(kind == k)
+            on = on[np.argsort(key[on])]
+            self.tables.append((key[on], p[on]))
+        self.share, self.new = (np.array(scalars[k]) for k in ("share", "new"))
+        self._start()
+
+    def _start(self) -> None:
+        self.known, self.hash, self.logs = {}, np.zeros(0, np.int64), np.zeros((0, 2))
+
+    def find(self, kind: int, wanted: np.ndarray, missing) -> tuple[np.ndarray, np.ndarray]:
+        """Values of keys (rows of two), and which of them have an entry."""
+        keys, p = self.tables[kind]
+        out = np.broadcast_to(missing, (len(wanted), 2)).astype(float)
+        if not len(keys):
+            return out, np.zeros(len(wanted), bool)
+        at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+        on = keys[at] == wanted
+        out[on] = p[at[on]]
+        return out, on
+
+    def spellings(self, found: list[str]) -> np.ndarray:
+        """Log probability of the letters of words, in both classes."""
+        cp, j = _letters(found)
+        p, _ = self.find(RUN, _poly([cp], RUN), self.new)
+        for k in range(1, ORDER):
+            at = np.flatnonzero(j >= k)
+            columns = [cp[at - k + i] for i in range(k + 1)]
+            own, _ = self.find(RUN, _poly(columns, RUN), 0.0)
+            weight, _ = self.find(BEHIND_RUN, _poly(columns[:-1], BEHIND_RUN), 1.0)
+            p[at] = own + weight * p[at]
+        sums = np.add.reduceat(np.where((j > 0)[:, None], np.log(p), 0.0), np.flatnonzero(j == 0), axis=0)
+        return sums * np.minimum(1.0, LETTERS / np.array([len(w) for w in found]))[:, None]
+
+    def learn(self, lists: list[list[str]]) -> None:
+        new = list({w for x in lists for w in x if w not in self.known})
+        if new and len(self.known) + len(new) > CACHE_CHUNKS and self.known:
+            self._start()
+            new = list({w for x in lists for w in x})
+        if not new:
+            return
+        h = np.array([xxhash.xxh3_64_intdigest(w) >> 1 for w in new], np.int64)
+        own, _ = self.find(SINGLE, _single_keys(h, SINGLE), 0.0)
+        with np.errstate(divide="ignore"):
+            logs = np.logaddexp(np.log(own), np.log(self.share) + self.spellings(new))
+        self.known.update(zip(new, range(len(self.hash), len(self.hash) + len(new)), strict=True))
+        self.hash, self.logs = np.concatenate([self.hash, h]), np.concatenate([self.logs, logs])
+
+    def log_probabilities(self, lists: list[list[str]]) -> tuple[np.ndarray, list[int]]:
+        """Log probability of every word of the texts, given the word before, in both classes; and where texts end."""
+        self.learn(lists)
+        at = np.fromiter((self.known[w] for x in lists for w in x), np.int64)
+        lengths = np.array([len(x) for x in lists], np.int64)
+        ends = np.cumsum(lengths)
+        logs, h = self.logs[at], self.hash[at]
+        before = np.roll(h, 1)
+        before[(ends - lengths)[lengths > 0]] = 1
+        own, on = self.find(PAIR, _pair_keys(before, h), 0.0)
+        weight, known = self.find(BEHIND, _single_keys(before, BEHIND), 1.0)
+        on |= known
+        with np.errstate(divide="ignore"):
+            logs[on] = np.logaddexp(np.log(own[on]), np.log(weight[on]) + logs[on])
+        return logs, ends.tolist()
+
+    def summaries(self, texts: list[str | None]) -> list[tuple[float, ...]]:
+        lists = [WORD.findall(t.lower()) if t else [] for t in texts]
+        logs, ends = self.log_probabilities(lists)
+        r = logs[:, 1] - logs[:, 0]
+        return [_summary(r[b - len(x) : b]) for x, b in zip(lists, ends, strict=True)]
 
-    def __init__(self, a: np.ndarray, b: np.ndarray, ratio: np.ndarray, other: float):
-        self.other = other
-        one = a < 0
-        self.word, self.pair = (self._table(k, ratio[on]) for k, on in ((b[one].view(np.uint64), one), (_mixed(a[~one], b[~one]), ~one)))
 
-    def _table(self, keys: np.ndarray, ratio: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        order = np.argsort(keys)
-        return keys[order], ratio[order].astype(np.float32)
+def _letters(found: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Code points of words between ^ and $, and the place of each in its word (0 for ^)."""
+    cp = np.frombuffer(("^" + "$^".join(found) + "$").encode("utf-32-le"), np.uint32)
+    lengths = np.array([len(w) + 2 for w in found])
+    return cp, np.arange(len(cp)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
 
-    def ratios(self, h: np.ndarray) -> np.ndarray:
-        out = np.full(len(h) - 1, self.other, np.float32)
-        for (keys, ratio), wanted in ((self.word, h[1:].view(np.uint64)), (self.pair, _mixed(h[:-1], h[1:]))):
-            if len(keys):
-                at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
-                on = keys[at] == wanted
-                out[on] = ratio[at[on]]
-        return out.astype(float)
 
-    def summaries(self, hashes: list[np.ndarray]) -> list[tuple[float, ...]]:
-        ends = np.cumsum([len(h) for h in hashes]).tolist()
-        r = self.ratios(np.concatenate(hashes))
-        return [_summary(r[b - len(h) : b - 1]) for h, b in zip(hashes, ends, strict=True)]
+def _model(table: pa.Table, scalars: dict[str, list[float]]) -> Model:
+    return Model(table["kind"].to_numpy(), table["key"].to_numpy(), np.stack([table["p0"].to_numpy(), table["p1"].to_numpy()], axis=1), scalars)
 
 
 SEEN = "id long, " + ", ".join(f"{x} double" for x in FEATURES)
@@ -355,47 +421,61 @@ def _features(ids, rows: list[tuple[float, ...]]) -> list:
     return [ids, *(pa.array(c, pa.float64()) for c in zip(*rows, strict=True))]
 
 
-def summaries(read: DataFrame, model: DataFrame, other: float) -> DataFrame:
+def summaries(read: DataFrame, model: DataFrame, scalars: dict[str, list[float]]) -> DataFrame:
     """id and FEATURES for each row of `read` (id, text) under the model's entries."""
     if model.count() > MOST_ENTRIES:
-        return _joined_summaries(read, model, other)
-    table = model.toArrow()
-    held = read.sparkSession.sparkContext.broadcast(Model(*(c.to_numpy() for c in table.columns), other))
+        return _joined_summaries(read, model, scalars)
+    held, name = read.sparkSession.sparkContext.broadcast((model.toArrow(), scalars)), uuid.uuid4().hex
 
     def run(batches):
+        mine = tool(("toxicity", name), lambda: _model(*held.value))
         for part, found in text_groups(batches):
-            yield pa.RecordBatch.from_arrays(_features(part.column(0), held.value.summaries(words().hashes(found))), ["id", *FEATURES])
+            yield pa.RecordBatch.from_arrays(_features(part.column(0), mine.summaries(found)), ["id", *FEATURES])
 
     return read.mapInArrow(run, SEEN)
 
 
-def _joined_summaries(read: DataFrame, model: DataFrame, other: float) -> DataFrame:
-    """The same for a model of any size: chunks of CHUNK_ROWS texts meet the entries of their own distinct bigrams."""
+def _asked(lists: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
+    """Kinds and keys of all entries that the words of texts can ask for."""
+    new = list({w for x in lists for w in x})
+    if not new:
+        return np.zeros(0, np.int32), np.zeros(0, np.int64)
+    number = {w: i for i, w in enumerate(new)}
+    h = np.array([xxhash.xxh3_64_intdigest(w) >> 1 for w in new], np.int64)
+    pairs = np.array(sorted({(number[v] if v else -1, number[w]) for x in lists for v, w in zip([None, *x], x, strict=False)}), np.int64)
+    heads = np.where(pairs[:, 0] < 0, 1, h[pairs[:, 0]])
+    cp, j = _letters(new)
+    out = [(PAIR, _pair_keys(heads, h[pairs[:, 1]])), (BEHIND, _single_keys(np.unique(heads), BEHIND)), (SINGLE, _single_keys(h, SINGLE)), (RUN, np.unique(_poly([cp], RUN)))]
+    for k in range(1, ORDER):
+        at = np.flatnonzero(j >= k)
+        columns = [cp[at - k + i] for i in range(k + 1)]
+        out += [(RUN, np.unique(_poly(columns, RUN))), (BEHIND_RUN, np.unique(_poly(columns[:-1], BEHIND_RUN)))]
+    return np.concatenate([np.full(len(x), k, np.int32) for k, x in out]), np.concatenate([x for _, x in out])
+
+
+def _joined_summaries(read: DataFrame, model: DataFrame, scalars: dict[str, list[float]]) -> DataFrame:
+    """The same for a model of any size: chunks of CHUNK_ROWS texts meet the entries that their own words ask for."""
     shift = CHUNK_ROWS.bit_length() - 1
     rows = written(read.withColumn("chunk", F.shiftright(F.monotonically_increasing_id(), shift)), "texts")
 
     def keys(batches):
         for part, found in text_groups(batches):
             chunk = np.array(part.column(2).to_pylist(), np.int64)
-            hashes = words().hashes(found)
+            lists = [WORD.findall(t.lower()) if t else [] for t in found]
             for k in np.unique(chunk).tolist():
-                mine = [hashes[i] for i in np.flatnonzero(chunk == k)]
-                a, b = np.concatenate([h[:-1] for h in mine]), np.concatenate([h[1:] for h in mine])
-                at = np.unique(_mixed(a, b), return_index=True)[1]
-                single = np.unique(b)
-                a, b = np.r_[a[at], np.full(len(single), -1)], np.r_[b[at], single]
-                for i in range(0, len(a), 50_000):
-                    x, y = a[i : i + 50_000], b[i : i + 50_000]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), k)), pa.array(x), pa.array(y)], ["chunk", "a", "b"])
+                kind, key = _asked([lists[i] for i in np.flatnonzero(chunk == k)])
+                for i in range(0, len(key), 50_000):
+                    x, y = kind[i : i + 50_000], key[i : i + 50_000]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), k)), pa.array(x), pa.array(y)], ["chunk", "kind", "key"])
 
     def score(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows:
             return pa.Table.from_arrays([pa.array([], pa.int64())] + [pa.array([], pa.float64())] * len(FEATURES), names=["id", *FEATURES])
-        mine = Model(*(right[k].to_numpy() for k in ("a", "b", "ratio")), other)
-        rows = [x for part in left.combine_chunks().to_batches() for _, found in text_groups([part]) for x in mine.summaries(words().hashes(found))]
+        mine = _model(right, scalars)
+        rows = [x for part in left.combine_chunks().to_batches() for _, found in text_groups([part]) for x in mine.summaries(found)]
         return pa.Table.from_arrays(_features(left["id"], rows), names=["id", *FEATURES])
 
-    met = rows.mapInArrow(keys, "chunk long, a long, b long").distinct().join(model, ["a", "b"]).select("chunk", "a", "b", "ratio")
+    met = rows.mapInArrow(keys, "chunk long, kind int, key long").distinct().join(model, ["kind", "key"]).select("chunk", "kind", "key", "p0", "p1")
     return rows.groupBy("chunk").cogroup(met.groupBy("chunk")).applyInArrow(score, SEEN)
 
 
@@ -452,9 +532,11 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
 
     Labels are learned only from rows whose crc32(id as text) mod 4 is not `held_out` (None: from all). Of those, the ids
     of smallest hash, a quarter but no more than CALIBRATION_ROWS rows, are kept for the calibration; all others feed the
-    counts of both classes. An id labelled twice is toxic if any label is; null labels and null ids teach nothing. Null and
+    counts of both classes. The score is a logistic function, fitted on the calibration, of length-normalised log-likelihood
+    ratios: of the whole text, of its best windows and of its three best words, and of the text's length. An id labelled twice is toxic if any label is; null labels and null ids teach nothing. Null and
     empty texts get the score of a text without words; repeated rows are scored as often as they stand; other columns,
-    whatever their names, are not read. Empty documents give an empty result; without labels of both classes every score
+    whatever their names, are not read. Very long texts are read whole, about two million characters at a time or one text
+    alone. Empty documents give an empty result; without labels of both classes every score
     is the share of toxic ones (0 without labels).
     """
     spark = docs.sparkSession
@@ -471,8 +553,8 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     said = said.withColumn("fits", F.col("place") <= last if last is not None else F.lit(False))
     taught = said.where("not fits").select("id", "y")
     small = said.count() <= BROADCAST_LABELS
-    model, other = entries(_distinct_texts(read, F.broadcast(taught) if small else taught, small))
-    seen = written(summaries(read, model, other), "ratios")
+    model, scalars = entries(_distinct_texts(read, F.broadcast(taught) if small else taught, small))
+    seen = written(summaries(read, model, scalars), "ratios")
     sample = seen.join(said.where("fits").select("id", "y"), "id").collect()
     y = np.array([r["y"] for r in sample], dtype=float)
     if len(y) and 0 < y.sum() < len(y):

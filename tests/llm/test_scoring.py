@@ -125,18 +125,6 @@ def test_toxicity_held_out(spark):
     assert {r.score for r in toxicity.toxicity(docs.limit(5), labels.limit(0)).collect()} == {0.0}
 
 
-def test_count_tables_match_plain_counts(spark):
-    texts = [("a b a b", 1), ("a b c", 1), ("a b c", 1), ("a c", 0)]
-    t = toxicity.count_tables(spark.createDataFrame(texts, "text string, y int"))
-    w = toxicity.Words()
-    h = lambda x: int(toxicity._cells(w.hashes([x])[0][1:])[0])
-    # Distinct words before a word: a after the start and b; b after a; c after b (a copy adds nothing).
-    assert (t["before", 1][h("a")], t["before", 1][h("b")], t["before", 1][h("c")], t["before", 0][h("c")]) == (2, 1, 1, 1)
-    # Bigrams: start-a, a-b (behind the start and behind b), b-a, b-c.
-    assert t["pair", 1].sum() == pytest.approx(5, abs=0.2) and t["pair", 0].sum() == pytest.approx(2, abs=0.1)
-    assert t["total", 1][h("a")] == pytest.approx(2, abs=0.1)
-
-
 # --- language
 
 
