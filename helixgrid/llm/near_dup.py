@@ -10,7 +10,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .batches import ChunkCache, grouped, small_batches, tool, written
@@ -18,8 +18,12 @@ from .components import connected_components
 
 #: Elements of a block of hash evaluations (shingles times permutations).
 BLOCK = 1 << 18
-#: Rows and outliers of a bucket that are compared as one group; a bucket with more outliers is divided first.
-BLOCK_ROWS, MOST_OTHERS = 1024, 4000
+#: Rows of a bucket, and rows that ask in it, that meet in one group while sketches are compared.
+SKETCH_ROWS, SKETCH_ASKS = 1024, 4096
+#: The same in shingles while full sets are compared, so that a group's memory does not follow the length of texts.
+SET_ROWS, SET_ASKS = 1 << 18, 1 << 20
+#: Nodes up to so many are sent to the texts; beyond that the texts are joined by shuffle.
+BROADCAST_NODES = 1_000_000
 
 
 class Shingler:
@@ -137,103 +141,173 @@ def star_pairs(met: DataFrame) -> DataFrame:
 
 
 def _split(rows: DataFrame) -> DataFrame:
-    """Adds major (the bucket's component with the most rows), total and others (rows outside of it) to rows (key, node,
-    comp) of buckets with more than one component; other buckets go."""
+    """Adds asks (whether a row lies outside of the bucket's component with the most rows) to rows (key, node, comp, n) of
+    buckets with more than one component; other buckets go."""
     parts = rows.groupBy("key", "comp").agg(F.count("*").alias("c"))
     sums = parts.groupBy("key").agg(F.max(F.struct("c", "comp")).alias("m"), F.sum("c").alias("total")).where(F.col("m.c") < F.col("total"))
-    return rows.join(sums.select("key", F.col("m.comp").alias("major"), "total", (F.col("total") - F.col("m.c")).alias("others")), "key")
+    return rows.join(sums.select("key", F.col("m.comp").alias("major")), "key").withColumn("asks", F.col("comp") != F.col("major")).drop("major")
 
 
-def missing_pairs(met: DataFrame, classes: DataFrame, parts: DataFrame, percent: int, depth: int = 2) -> DataFrame:
-    """Pairs of nodes of different components that share a bucket and whose sketches do not rule a link out.
-
-    In each bucket that holds more than one component, the rows outside of its largest component (they ask) are compared
-    with all of its rows. Both are dealt to blocks by hash, of about MOST_OTHERS asking rows and BLOCK_ROWS rows, so that
-    no group grows with a bucket. A bucket with over MOST_OTHERS asking rows is first divided by its rows' other band
-    keys, in which linked rows agree again, up to `depth` keys in all. The keys of a division lie above those used so far:
-    no key divides twice, and each set of keys is met once. A pair at a similarity of 0.75 that shares no second key is
-    missed behind a crowded bucket with probability 3e-5; a third key would raise that to 2.5e-4, so it is not the default.
-    """
-    named = met.select("key", "node").join(parts, "node", "left").select("key", "node", F.coalesce("component", "node").alias("comp"))
-    held = classes.select("node", "sketch")
-    out: DataFrame | None = None
-    rows = named.withColumn("used", F.col("key"))
-    for level in range(depth):
-        work = written(_split(rows), "unresolved")
-        crowded = (F.col("others") > MOST_OTHERS) if level < depth - 1 else F.lit(False)
-        found = blocked(work.where(~crowded)).join(held, "node").groupBy("key", "ask", "block").applyInArrow(_comparer(percent), "a long, b long").distinct()
-        out = found if out is None else out.unionByName(found)
-        if level == depth - 1 or work.where(crowded).isEmpty():
-            break
-        keys = classes.select("node", F.explode("keys").alias("k2"))
-        again = work.where(crowded).select("key", "used", "node", "comp").join(keys, "node").where("k2 > used")
-        rows = again.select(F.xxhash64("key", "k2").alias("key"), F.col("k2").alias("used"), "node", "comp")
-    return out.distinct()
-
-
-def blocked(work: DataFrame) -> DataFrame:
-    """(key, node, comp, asks, ask, block) from rows of _split: every row stands in its own block once for each block of
-    asking rows, and every asking row in its own block of these once for each block of rows."""
-    blocks, waves = (F.ceil(F.col(n) / most).cast("long") for n, most in (("total", BLOCK_ROWS), ("others", MOST_OTHERS)))
+def blocked(work: DataFrame, weight: Column, rows: int, asking: int) -> DataFrame:
+    """(key, node, comp, asks, ask, block) from rows (key, node, comp, n, asks): a bucket's rows are dealt to blocks of about
+    `rows` by weight, and its asking rows to waves of about `asking`. Every row stands in its own block once for each wave,
+    and every asking row in its own wave once for each block, so that every asking row meets every row in one group."""
+    sums = work.groupBy("key").agg(F.sum(weight).alias("total"), F.coalesce(F.sum(F.when(F.col("asks"), weight)), F.lit(0)).alias("others"))
+    sized = work.join(sums.where("others > 0"), "key")
+    blocks, waves = (F.greatest(F.ceil(F.col(n) / most), F.lit(1)).cast("long") for n, most in (("total", rows), ("others", asking)))
     own, wave = F.pmod(F.xxhash64("node", F.lit(3)), blocks), F.pmod(F.xxhash64("node", F.lit(4)), waves)
     every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), n - 1))
-    here = work.select("key", "node", "comp", F.lit(False).alias("asks"), every(waves).alias("ask"), own.alias("block"))
-    asks = work.where("comp <> major").select("key", "node", "comp", F.lit(True).alias("asks"), wave.alias("ask"), every(blocks).alias("block"))
+    here = sized.select("key", "node", "comp", F.lit(False).alias("asks"), every(waves).alias("ask"), own.alias("block"))
+    asks = sized.where("asks").select("key", "node", "comp", F.lit(True).alias("asks"), wave.alias("ask"), every(blocks).alias("block"))
     return here.unionByName(asks)
 
 
-def _comparer(percent: int):
-    """Pairs of a block: each asking row with every other row of another component whose sketch agrees in enough places
-    for a similarity of `percent` (less five standard deviations)."""
+def _need(width: int, percent: int) -> float:
+    """Places in which the sketches of a linked pair agree at least, less five standard deviations."""
     share = percent / 100
+    return width * share - 5 * np.sqrt(width * share * (1 - share))
+
+
+def _sketches(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    """Sketches as rows of a matrix."""
+    if isinstance(column, pa.ChunkedArray):
+        column = pa.concat_arrays(column.chunks)
+    width = len(column[0].as_py())
+    packed = column.cast(pa.binary(width))
+    return np.frombuffer(packed.buffers()[1], np.uint8)[packed.offset * width :][: len(packed) * width].reshape(-1, width)
+
+
+def promising(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) whose sizes and sketches do not rule a link out."""
+    side = lambda x: classes.select(F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("sketch").alias(f"s{x}"))
+
+    def run(batches):
+        for batch in batches:
+            if batch.num_rows:
+                left, right = _sketches(batch.column(2)), _sketches(batch.column(3))
+                at = pa.array(np.flatnonzero((left == right).sum(axis=1) >= _need(left.shape[1], percent)))
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at)], ["a", "b"])
+
+    met = pairs.join(side("a"), "a").join(side("b"), "b").where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
+    return met.select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long").distinct()
+
+
+def sets_of(texts: DataFrame, nodes: DataFrame, words: int, repeats: bool) -> DataFrame:
+    """(node, set) of distinct nodes: the sorted hashes of their shingles. `texts`: id, text (binary). Only texts of nodes
+    leave their place, and their sets, not they, are shuffled later. `repeats`: whether an id may stand in several rows."""
+    nodes = written(nodes, "nodes")
+    here = texts.join(F.broadcast(nodes) if nodes.count() <= BROADCAST_NODES else nodes, texts["id"] == nodes["node"], "left_semi")
+    here = here.distinct() if repeats else here
+
+    def run(batches):
+        shingler, _ = _tools(words, 2, 1)
+        for batch in batches:
+            start = 0
+            for group in grouped(batch.column(1).to_pylist(), lambda x: len(x) if x else 0):
+                sets = [x.tobytes() for x in shingler.sets(group)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, len(group)), pa.array(sets, pa.binary())], ["node", "set"])
+                start += len(group)
+
+    return written(here.select("id", "text").mapInArrow(run, "node long, set binary"), "sets")
+
+
+def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs whose full sets satisfy 100 * intersection >= percent * union."""
+
+    def run(batches):
+        for batch in batches:
+            keep = []
+            for i, (x, y) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)):
+                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+                both = len(x) + len(y) - len(np.unique(np.concatenate([x, y])))
+                if both and 100 * both >= percent * (len(x) + len(y) - both):
+                    keep.append(i)
+            if keep:
+                at = pa.array(keep)
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at)], ["a", "b"])
+
+    left = sets.select(F.col("node").alias("a"), F.col("set").alias("sa"))
+    right = sets.select(F.col("node").alias("b"), F.col("set").alias("sb"))
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long").distinct()
+
+
+def _meeting(percent: int):
+    """Rows of a group that may be linked with a row of another component on the other side, told by their sketches."""
 
     def run(table: pa.Table) -> pa.Table:
-        asks = table["asks"].to_numpy()
-        node, comp = table["node"].to_numpy(), table["comp"].to_numpy()
-        width = len(table["sketch"][0].as_py())
-        packed = pa.concat_arrays(table["sketch"].chunks).cast(pa.binary(width))
-        sketch = np.frombuffer(packed.buffers()[1], np.uint8)[packed.offset * width :][: len(packed) * width].reshape(-1, width)
-        need = width * share - 5 * np.sqrt(width * share * (1 - share))
+        asks, comp = table["asks"].to_numpy(), table["comp"].to_numpy()
+        sketch = _sketches(table["sketch"])
         left, right = np.flatnonzero(asks), np.flatnonzero(~asks)
-        a, b = [], []
+        width = sketch.shape[1]
+        need, seen = _need(width, percent), np.zeros(len(asks), bool)
         step = max(1, 8_000_000 // max(1, len(right) * width))
         for i in range(0, len(left), step):
             part = left[i : i + step]
             same = (sketch[part][:, None, :] == sketch[right][None, :, :]).sum(axis=2)
-            x, y = np.nonzero((same >= need) & (comp[part][:, None] != comp[right][None, :]))
-            a.append(node[part[x]])
-            b.append(node[right[y]])
-        a, b = (np.concatenate(v) if v else np.zeros(0, np.int64) for v in (a, b))
-        return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)})
+            on = (same >= need) & (comp[part][:, None] != comp[right][None, :])
+            seen[part] |= on.any(axis=1)
+            seen[right] |= on.any(axis=0)
+        return table.select(["key", "node", "comp", "asks"]).filter(pa.array(seen))
 
     return run
 
 
-def confirmed(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
-    """Pairs whose full sets satisfy 100 * intersection >= percent * union. `texts`: id, text (binary)."""
+def _linking(percent: int):
+    """Links of a group between asking rows and rows, by full sets: a spanning forest over the components, so that there
+    are fewer of them than rows."""
 
-    def run(batches):
-        shingler, _ = _tools(words, 2, 1)
-        for batch in batches:
-            a, b = batch.column(2).to_pylist(), batch.column(3).to_pylist()
-            start = 0
-            for group in grouped(zip(a, b, strict=True), lambda x: len(x[0] or b"") + len(x[1] or b"")):
-                left, right = shingler.sets([x for x, _ in group]), shingler.sets([y for _, y in group])
-                keep = []
-                for i, (x, y) in enumerate(zip(left, right, strict=True)):
-                    if 100 * min(len(x), len(y)) < percent * max(len(x), len(y)):
-                        continue
-                    both = len(x) + len(y) - len(np.unique(np.concatenate([x, y])))
-                    if len(x) and 100 * both >= percent * (len(x) + len(y) - both):
-                        keep.append(start + i)
-                start += len(group)
-                if keep:
-                    at = pa.array(keep)
-                    yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at)], ["a", "b"])
+    def run(table: pa.Table) -> pa.Table:
+        asks, node, comp = (table[c].to_numpy() for c in ("asks", "node", "comp"))
+        sets = [np.frombuffer(x, np.uint64) for x in table["set"].to_pylist()]
+        left, right = np.flatnonzero(asks), np.flatnonzero(~asks)
+        found: list[tuple[int, int]] = []
+        if len(left) and len(right):
+            known = np.unique(np.concatenate([sets[i] for i in right]))
+            ids = np.searchsorted(known, np.concatenate([sets[i] for i in right]))
+            sizes = np.array([len(sets[i]) for i in right])
+            starts, mark, root = np.cumsum(sizes) - sizes, np.zeros(len(known), np.int32), {}
+
+            def top(x):
+                while root.setdefault(x, x) != x:
+                    root[x] = x = root[root[x]]
+                return x
+
+            for i in left:
+                mine = sets[i]
+                at = np.minimum(np.searchsorted(known, mine), len(known) - 1)
+                at = at[known[at] == mine]
+                mark[at] = 1
+                both = np.add.reduceat(mark[ids], starts)
+                mark[at] = 0
+                for j in np.flatnonzero((100 * both >= percent * (sizes + len(mine) - both)) & (comp[right] != comp[i])):
+                    a, b = top(comp[i]), top(comp[right[j]])
+                    if a != b:
+                        root[a] = b
+                        found.append((node[i], node[right[j]]))
+        a, b = (np.array([p[k] for p in found], np.int64) for k in (0, 1))
+        return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)})
+
+    return run
 
-    left = texts.select(F.col("id").alias("a"), F.col("text").alias("ta"))
-    right = texts.select(F.col("id").alias("b"), F.col("text").alias("tb"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
+
+def missing_links(met: DataFrame, classes: DataFrame, parts: DataFrame, sets, percent: int) -> DataFrame:
+    """Links that connect all components whose nodes share a bucket and are linked.
+
+    In each bucket that holds more than one component, the rows outside of its largest component (they ask) are compared
+    with all of its rows: first by sketch, which leaves the rows that may have a link, then by the full sets of these
+    (`sets` gives them for a table of nodes). Both times rows meet in groups of bounded size, however large a bucket is, and
+    a group gives back fewer rows than it has.
+    """
+    named = met.select("key", "node").join(parts, "node", "left").select("key", "node", F.coalesce("component", "node").alias("comp"))
+    work = written(_split(named.join(classes.select("node", "n").distinct(), "node")), "unresolved")
+    near = blocked(work, F.lit(1), SKETCH_ROWS, SKETCH_ASKS).join(classes.select("node", "sketch"), "node")
+    near = near.groupBy("key", "ask", "block").applyInArrow(_meeting(percent), "key long, node long, comp long, asks boolean").distinct()
+    near = written(near, "near")
+    # A node that asks stands among the rows as well, as another asking row may have met it there.
+    rows = near.groupBy("key", "node", "comp").agg(F.max("asks").alias("asks")).join(classes.groupBy("node").agg(F.max("n").alias("n")), "node")
+    held = sets(rows.select("node").distinct())
+    far = blocked(written(rows, "rows"), F.col("n"), SET_ROWS, SET_ASKS).join(held, "node")
+    return far.groupBy("key", "ask", "block").applyInArrow(_linking(percent), "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 75, bands: int = 48, rows: int = 5) -> DataFrame:
@@ -247,19 +321,24 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     unless it has no shingles either way. Other columns, whatever their names, are not read. An empty table gives an
     empty result. At a similarity of 0.75 a link is missed by all bands with probability (1 - 0.75 ** rows) ** bands,
     about 2e-6; every link is confirmed on full sets. Stars within buckets find most links; what they leave apart is
-    compared by missing_pairs, so that no link between components is lost to the choice of a star's centre.
+    compared by missing_links, so that no link between components is lost to the choice of a star's centre. A text of any
+    length is one set of hashes of its shingles, held alone if it is very long.
     """
     small_batches(docs.sparkSession)
     read = docs.select(F.col(id_col).cast("long").alias(id_col), F.col(text_col).cast("string").alias(text_col))
     signed = written(signatures(read, id_col, text_col, words, bands, rows), "signatures")
     some = signed.where("n > 0 and id is not null")
     first = F.min(F.struct("id", "keys", "sketch")).alias("m")
-    classes = written(some.groupBy("d1", "d2").agg(first).select("d1", "d2", F.col("m.id").alias("node"), F.col("m.keys").alias("keys"), F.col("m.sketch").alias("sketch")), "classes")
+    classes = written(some.groupBy("d1", "d2", "n").agg(first).select("d1", "d2", "n", F.col("m.id").alias("node"), F.col("m.keys").alias("keys"), F.col("m.sketch").alias("sketch")), "classes")
     texts = read.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text"))
+    repeats = not some.groupBy("id").count().where("count > 1").isEmpty()
+    sets = lambda nodes: sets_of(texts, nodes, words, repeats)
     met = written(bucket_rows(classes), "buckets")
-    links = written(confirmed(star_pairs(met), texts, words, percent), "links")
+    pairs = written(promising(star_pairs(met), classes, percent), "pairs")
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    links = written(confirmed(pairs, sets(ends), percent), "links")
     parts = connected_components(links)
-    more = written(confirmed(missing_pairs(met, classes, parts, percent), texts, words, percent), "links")
+    more = written(missing_links(met, classes, parts, sets, percent), "links")
     if not more.isEmpty():
         parts = connected_components(links.unionByName(more))
     named = classes.select("d1", "d2", "node").join(parts, "node", "left").select("d1", "d2", F.coalesce("component", "node").alias("component"))
