@@ -340,7 +340,9 @@ class Model:
         self._start()
 
     def _start(self) -> None:
-        self.known, self.hash, self.logs = {}, np.zeros(0, np.int64), np.zeros((0, 2))
+        """Forgets all words; place 0 stands for a text's beginning, whose hash is 1."""
+        self.known, self.hash, self.logs = {}, np.ones(1, np.int64), np.zeros((1, 2))
+        self.weight, self.head = self.find(BEHIND, _single_keys(self.hash, BEHIND), 1.0)
 
     def find(self, kind: int, wanted: np.ndarray, missing) -> tuple[np.ndarray, np.ndarray]:
         """Values of keys (rows of two), and which of them have an entry."""
@@ -377,8 +379,9 @@ class Model:
         own, _ = self.find(SINGLE, _single_keys(h, SINGLE), 0.0)
         with np.errstate(divide="ignore"):
             logs = np.logaddexp(np.log(own), np.log(self.share) + self.spellings(new))
+        weight, head = self.find(BEHIND, _single_keys(h, BEHIND), 1.0)
         self.known.update(zip(new, range(len(self.hash), len(self.hash) + len(new)), strict=True))
-        self.hash, self.logs = np.concatenate([self.hash, h]), np.concatenate([self.logs, logs])
+        self.hash, self.logs, self.weight, self.head = (np.concatenate(x) for x in ((self.hash, h), (self.logs, logs), (self.weight, weight), (self.head, head)))
 
     def log_probabilities(self, lists: list[list[str]]) -> tuple[np.ndarray, list[int]]:
         """Log probability of every word of the texts, given the word before, in both classes; and where texts end."""
@@ -386,14 +389,12 @@ class Model:
         at = np.fromiter((self.known[w] for x in lists for w in x), np.int64)
         lengths = np.array([len(x) for x in lists], np.int64)
         ends = np.cumsum(lengths)
-        logs, h = self.logs[at], self.hash[at]
-        before = np.roll(h, 1)
-        before[(ends - lengths)[lengths > 0]] = 1
-        own, on = self.find(PAIR, _pair_keys(before, h), 0.0)
-        weight, known = self.find(BEHIND, _single_keys(before, BEHIND), 1.0)
-        on |= known
+        logs, before = self.logs[at], np.roll(at, 1)
+        before[(ends - lengths)[lengths > 0]] = 0
+        on = np.flatnonzero(self.head[before])  # pairs have entries behind these words only
+        own, _ = self.find(PAIR, _pair_keys(self.hash[before[on]], self.hash[at[on]]), 0.0)
         with np.errstate(divide="ignore"):
-            logs[on] = np.logaddexp(np.log(own[on]), np.log(weight[on]) + logs[on])
+            logs[on] = np.logaddexp(np.log(own), np.log(self.weight[before[on]]) + logs[on])
         return logs, ends.tolist()
 
     def summaries(self, texts: list[str | None]) -> list[tuple[float, ...]]:
