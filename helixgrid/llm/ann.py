@@ -1,8 +1,8 @@
 """Approximate nearest neighbours by robust-pruned directed graphs.
 
 Distinct vectors are dealt into shards of bounded size. In each shard greedy searches over the graph built so far
-propose neighbours of every vector, and relaxed distance pruning keeps a diverse few of them as edges. Every block of
-queries is then searched by beam in each shard, and the best of all shards are kept.
+propose neighbours of every vector, and relaxed distance pruning keeps a diverse few of them as edges. Each shard then meets
+waves of queries, which are searched by beam, and the best of all shards are kept.
 """
 
 from __future__ import annotations
@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 
 from .batches import written
 
-#: Vectors of a shard and queries of a block, about.
-SHARD, QUERY_BLOCK = 4096, 512
+#: Vectors of a shard, queries that meet a shard in one group, about, and queries that are searched side by side.
+SHARD, WAVE, QUERY_BLOCK = 4096, 16_384, 512
 #: Edges of a vector, width of the beam when building and when searching, and relaxation of the pruning.
 DEGREE, BUILD_BEAM, SEARCH_BEAM, RELAX = 24, 40, 48, 1.2
 
@@ -113,7 +113,14 @@ def build_graph(x: np.ndarray, degree: int = DEGREE, width: int = BUILD_BEAM, re
     return graph, start
 
 
+def _scaled(v: np.ndarray) -> np.ndarray:
+    """Vectors times a power of two, which changes no digit, so that their largest component lies in [0.5, 1): norms and
+    products of very small and very large vectors neither vanish nor overflow."""
+    return np.ldexp(v, -np.frexp(np.abs(v).max(axis=1, keepdims=True))[1])
+
+
 def _unit(v: np.ndarray) -> np.ndarray:
+    """Scaled vectors at length 1."""
     return (v / np.linalg.norm(v, axis=1, keepdims=True)).astype(np.float32)
 
 
@@ -144,47 +151,49 @@ def build_index(nodes: DataFrame, shards: int) -> DataFrame:
         dim, shard = table["dim"][0].as_py(), table["shard"][0].as_py()
         table = table.sort_by("node")
         v = _matrix(table["vec"], dim)
-        graph, start = build_graph(_unit(v))
+        graph, start = build_graph(_unit(_scaled(v)))
         return pa.table({"dim": pa.array([dim], pa.int32()), "shard": pa.array([shard], pa.int32()), "nodes": [table["node"].to_numpy().astype("<i8").tobytes()], "vecs": [v.astype("<f8").tobytes()], "graph": [graph.astype("<i4").tobytes()], "start": pa.array([start], pa.int32())})
 
     dealt = nodes.select("node", "dim", "vec", F.pmod(F.xxhash64("node", F.lit(13)), F.lit(shards)).cast("int").alias("shard"))
-    return dealt.groupBy("dim", "shard").applyInArrow(run, "dim int, shard int, nodes binary, vecs binary, graph binary, start int")
-
-
-def query_blocks(queries: DataFrame, blocks: int) -> DataFrame:
-    """dim, block, and of each block: ids (of queries) and vecs (doubles)."""
-
-    def run(table: pa.Table) -> pa.Table:
-        dim, block = table["dim"][0].as_py(), table["block"][0].as_py()
-        table = table.sort_by("id")
-        return pa.table({"dim": pa.array([dim], pa.int32()), "block": pa.array([block], pa.int32()), "ids": [table["id"].to_numpy().astype("<i8").tobytes()], "queries": [_matrix(table["vec"], dim).astype("<f8").tobytes()]})
-
-    dealt = queries.select("id", "dim", "vec", F.pmod(F.xxhash64("id", F.lit(17)), F.lit(blocks)).cast("int").alias("block"))
-    return dealt.groupBy("dim", "block").applyInArrow(run, "dim int, block int, ids binary, queries binary")
+    # More partitions than shards, so that few of them hold two.
+    return dealt.repartition(2 * shards, "dim", "shard").groupBy("dim", "shard").applyInArrow(run, "dim int, shard int, nodes binary, vecs binary, graph binary, start int")
 
 
-def search_index(index: DataFrame, blocks: DataFrame, shards: int, k: int, width: int = SEARCH_BEAM) -> DataFrame:
+def search_index(index: DataFrame, queries: DataFrame, shards: int, waves: int, k: int, width: int = SEARCH_BEAM) -> DataFrame:
     """query_id, node, score (cosine of the original vectors, in double precision): the best k + 1 nodes of each shard
-    for each query, the query's own node among them where it is there."""
-
-    def run(batches):
-        for batch in batches:
-            for dim, ids, queries, nodes, vecs, graph, start in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                ids, nodes = np.frombuffer(ids, "<i8"), np.frombuffer(nodes, "<i8")
-                q, v = np.frombuffer(queries, "<f8").reshape(-1, dim), np.frombuffer(vecs, "<f8").reshape(-1, dim)
-                edges = np.frombuffer(graph, "<i4").reshape(len(v), -1).astype(np.int64)
-                found, _ = beam_search(_unit(v), edges, start, _unit(q), min(width, len(v)))
+    for each query (id, dim, vec), the query's own node among them where it is there. A group is one shard, decoded once,
+    and one of `waves` waves of queries."""
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        out: tuple[list, list, list] = ([], [], [])
+        if left.num_rows and right.num_rows:
+            dim = left["dim"][0].as_py()
+            nodes = np.frombuffer(left["nodes"][0].as_py(), "<i8")
+            v = _scaled(np.frombuffer(left["vecs"][0].as_py(), "<f8").reshape(-1, dim))
+            edges = np.frombuffer(left["graph"][0].as_py(), "<i4").reshape(len(v), -1).astype(np.int64)
+            unit, lengths, start = _unit(v), np.linalg.norm(v, axis=1), left["start"][0].as_py()
+            ids, asked = right["id"].to_numpy(), _scaled(_matrix(right["vec"], dim))
+            for i in range(0, len(ids), QUERY_BLOCK):
+                q = asked[i : i + QUERY_BLOCK]
+                found, _ = beam_search(unit, edges, start, _unit(q), min(width, len(v)))
                 at = np.maximum(found, 0)
-                score = np.einsum("qkd,qd->qk", v[at], q) / (np.linalg.norm(v, axis=1)[at] * np.linalg.norm(q, axis=1)[:, None])
+                score = np.einsum("qkd,qd->qk", v[at], q) / (lengths[at] * np.linalg.norm(q, axis=1)[:, None])
                 score = np.where(found >= 0, score, -np.inf)
                 best = np.lexsort((nodes[at], -score), axis=1)[:, : k + 1]
                 score, who = np.take_along_axis(score, best, 1), np.take_along_axis(nodes[at], best, 1)
                 on = np.isfinite(score)
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, on.sum(axis=1))), pa.array(who[on]), pa.array(score[on])], ["query_id", "node", "score"])
+                for held, x in zip(out, (np.repeat(ids[i : i + QUERY_BLOCK], on.sum(axis=1)), who[on], score[on]), strict=True):
+                    held.append(x)
+        whole = [np.concatenate(x) if x else np.zeros(0, t) for x, t in zip(out, (np.int64, np.int64, np.float64), strict=True)]
+        return pa.table(dict(zip(("query_id", "node", "score"), whole, strict=True)))
 
-    asked = blocks.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
-    both = asked.join(index, ["dim", "shard"]).select("dim", "ids", "queries", "nodes", "vecs", "graph", "start")
-    return both.mapInArrow(run, "query_id long, node long, score double")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    own = F.pmod(F.xxhash64("id", F.lit(17)), F.lit(waves)).cast("int")
+    keys = ["dim", "shard", "wave"]
+    asked = queries.select("id", "dim", "vec", own.alias("wave"), every(shards).alias("shard"))
+    held = index.withColumn("wave", every(waves))
+    pair = [x.repartition(2 * shards * waves, *keys).groupBy(*keys) for x in (held, asked)]
+    return pair[0].cogroup(pair[1]).applyInArrow(run, "query_id long, node long, score double")
 
 
 def nearest(vectors: DataFrame, every: int = 50, k: int = 5, id_col: str = "vec_id", vec_col: str = "embedding", shard: int = SHARD) -> DataFrame:
@@ -193,13 +202,10 @@ def nearest(vectors: DataFrame, every: int = 50, k: int = 5, id_col: str = "vec_
     Candidates are all other rows of the same dimension, all if there are fewer than k; ties go to the smaller id. Rows
     with a null id, or a vector that is null, empty, zero or holds null or non-finite components, take no part. Equal
     vectors are one node of the graph, from which their k + 1 smallest ids come back. Rows that repeat id and vector
-    count once; an id with several vectors keeps them all as candidates and queries. Other columns, whatever their names,
-    are not read. An empty table gives an empty result. Every vector is indexed and every shard is searched, so only the
+    count once; an id with several vectors keeps them all as candidates and queries. Vectors of any
+    magnitude count by their direction. Other columns, whatever their names, are not read. An empty table gives an empty result. Every vector is indexed and every shard is searched, so only the
     walk within a shard is approximate; the score is exact.
     """
-    spark = vectors.sparkSession
-    # A batch holds a few shards at most.
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "64")
     rows = usable(vectors, id_col, vec_col)
     nodes = written(distinct_vectors(rows, k + 1), "nodes")
     total = nodes.count()
@@ -207,8 +213,7 @@ def nearest(vectors: DataFrame, every: int = 50, k: int = 5, id_col: str = "vec_
     index = written(build_index(nodes, shards), "index")
     members = nodes.select("node", "ids")
     asked = written(rows.where(F.col("id") % every == 0).withColumn("dim", F.size("vec")), "queries")
-    blocks = max(1, -(-asked.count() // QUERY_BLOCK))
-    found = search_index(index, query_blocks(asked, blocks), shards, k)
+    found = search_index(index, asked, shards, max(1, -(-asked.count() // WAVE)), k)
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "node")
     best = found.withColumn("at", F.row_number().over(order)).where(F.col("at") <= k + 1).select("query_id", "node", "score")
     near = best.join(members, "node").select("query_id", "score", F.explode("ids").alias("vec_id")).where("vec_id <> query_id")
