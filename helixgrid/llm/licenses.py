@@ -9,7 +9,9 @@ the template is there and where.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterable
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +27,25 @@ GRAM, WINDOW = 3, 2
 #: Half width of the band, and what matches, mismatches and gaps add to the score of an alignment.
 BAND, MATCH, MISMATCH, GAP = 8, 2, -1, -1
 
+#: Templates of fewer words must be there in full, as one word of them may be another license's name or version.
+SHORT = 20
+#: Share of a template's fingerprints that must lie in a band before the band is aligned.
+VOTE = 0.1
+
 # Public notices and license texts that are looked for by default.
+_BSD = (
+    "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the "
+    "following conditions are met: Redistributions of source code must retain the above copyright notice, this list of "
+    "conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, "
+    "this list of conditions and the following disclaimer in the documentation and/or other materials provided with the "
+    'distribution.{} THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED '
+    "WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR "
+    "PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, "
+    "INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE "
+    "GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF "
+    "LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF "
+    "THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."
+)
 TEMPLATES = {
     "mit-notice": "Released under the MIT License.",
     "mit-notice-licensed": "Licensed under the MIT License.",
@@ -63,16 +83,50 @@ TEMPLATES = {
     ),
     "isc": (
         "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby "
-        "granted, provided that the above copyright notice and this permission notice appear in all copies."
+        "granted, provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS "
+        'PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED '
+        "WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, "
+        "INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN "
+        "AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR "
+        "PERFORMANCE OF THIS SOFTWARE."
+    ),
+    "bsd-2-clause": _BSD.format(""),
+    "bsd-3-clause": _BSD.format(
+        " Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote "
+        "products derived from this software without specific prior written permission."
+    ),
+    "zlib": (
+        "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held "
+        "liable for any damages arising from the use of this software. Permission is granted to anyone to use this software "
+        "for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the "
+        "following restrictions: 1. The origin of this software must not be misrepresented; you must not claim that you wrote "
+        "the original software. If you use this software in a product, an acknowledgment in the product documentation would be "
+        "appreciated but is not required. 2. Altered source versions must be plainly marked as such, and must not be "
+        "misrepresented as being the original software. 3. This notice may not be removed or altered from any source "
+        "distribution."
     ),
-    "bsd": (
-        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the "
-        "following conditions are met: Redistributions of source code must retain the above copyright notice, this list of "
-        "conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright "
-        "notice, this list of conditions and the following disclaimer in the documentation and/or other materials "
-        "provided with the distribution."
+    "unlicense": (
+        "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, "
+        "compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, "
+        "commercial or non-commercial, and by any means. In jurisdictions that recognize copyright laws, the author or authors "
+        "of this software dedicate any and all copyright interest in the software to the public domain. We make this "
+        "dedication for the benefit of the public at large and to the detriment of our heirs and successors. We intend this "
+        "dedication to be an overt act of relinquishment in perpetuity of all present and future rights to this software under "
+        'copyright law. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT '
+        "LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL "
+        "THE AUTHORS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, "
+        "ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."
     ),
 }
+# Addresses of license texts and machine-readable tags, which a notice may consist of.
+TEMPLATES |= {f"spdx-{k}": f"SPDX-License-Identifier: {k}" for k in ("Apache-2.0", "MIT", "GPL-2.0-only", "GPL-3.0-only", "LGPL-2.1-only", "LGPL-3.0-only", "AGPL-3.0-only", "MPL-2.0", "EPL-2.0", "BSD-2-Clause", "BSD-3-Clause", "CC0-1.0")}
+#: Whole public license texts, a file for each.
+TEXTS = Path(__file__).with_name("license_texts")
+
+
+def default_templates() -> dict[str, str]:
+    """TEMPLATES and the texts of the folder TEXTS, by name."""
+    return TEMPLATES | {p.name.lower(): p.read_text() for p in sorted(TEXTS.iterdir())}
 
 
 def _hash(words: list[str]) -> list[int]:
@@ -150,6 +204,7 @@ class Scanner:
             for at in winnow(g).tolist():
                 index.setdefault(int(g[at]), []).append((k, at))
         self.index = index
+        self.least = [max(1, int(VOTE * len(set(winnow(grams(h)).tolist())))) if len(h) >= SHORT else 1 for h in self.words]
         self.prints = np.array(sorted(index), np.uint64)
         self.known = ChunkCache(_hash, 500_000)
 
@@ -180,15 +235,18 @@ class Scanner:
             band = max(1, min(BAND, n // 4))
             # Diagonals that lie close together, as insertions and deletions leave them, share one band.
             near: list[list[int]] = []
-            for shift in sorted({j - i for j, i in hits}):
+            for shift, votes in sorted(Counter(j - i for j, i in hits).items()):
                 if near and shift - near[-1][1] <= 2 * band and shift - near[-1][0] <= 4 * band:
                     near[-1][1] = shift
+                    near[-1][2] += votes
                 else:
-                    near.append([shift, shift])
-            for low, high in near:
+                    near.append([shift, shift, votes])
+            for low, high, votes in near:
+                if votes < self.least[k]:
+                    continue
                 a, b = max(0, low - band), min(len(h), high + n + band + 1)
                 _, m, first, stop = align(self.words[k], h[a:b], (low + high) // 2 - a, band + (high - low + 1) // 2)
-                if m >= self.coverage * n:
+                if m >= (self.coverage * n if n >= SHORT else n):
                     found.append((m, m / n, k, a + first, a + stop))
         # Of matches that overlap, the one with the most words of its template stands.
         found.sort(key=lambda x: (-x[0], -x[1], x[3], x[2]))
@@ -205,13 +263,16 @@ class Scanner:
 def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates: dict[str, str] | None = None, coverage: float = 0.75) -> DataFrame:
     """Places of texts that match a license template: id, template, start_char, end_char (code points, end exclusive),
     matched_words, template_words and coverage (matched share of the template's words), for alignments with at least
-    that `coverage`; several for a text if there are several, none for null, empty or clean texts. Of matches that
+    that `coverage`, or the whole of a template of fewer than SHORT words, in which one word may be another license's name
+    or version; several for a text if there are several, none for null, empty or clean texts. Of matches that
     overlap, whatever their templates, the one with the most matched words stands. Null ids stay; repeated rows are scanned as often as
     they stand; other columns, whatever their names, are not read; an empty table gives an empty result. A narrow pass
-    without shuffle; the index of the templates goes to every task and does not grow with the texts. Templates of fewer
+    without shuffle; the index of the templates goes to every task and does not grow with the texts. A band is aligned only if a share VOTE
+    of the template's fingerprints lies in it, so that words that licenses have in common cost no alignment. Texts of any
+    length are scanned whole, a very long one alone. Templates of fewer
     than GRAM + WINDOW - 1 words are found only where they share a fingerprint.
     """
-    wanted = dict(TEMPLATES if templates is None else templates)
+    wanted = dict(default_templates() if templates is None else templates)
     small_batches(docs.sparkSession)
 
     def run(batches):

@@ -57,6 +57,33 @@ def test_license_scan(spark):
     assert licenses.scan_licenses(df.limit(0)).count() == 0
 
 
+def test_license_bodies_and_edits(spark):
+    """Whole texts with edits: recall, both ends of the span, and matched words against full alignment; short notices of
+    other licenses and versions, and texts of common words, are left alone."""
+    rng, templates = random.Random(9), licenses.default_templates()
+    words = lambda t: [w.lower() for w in licenses.WORD.findall(t)]
+    rows, want = [], {}
+    for i, (name, share) in enumerate((n, s) for n in ("mit", "isc", "bsd-2-clause", "bsd-3-clause", "zlib", "unlicense", "apache-2.0", "gpl-2", "mpl-2.0", "apache-2.0-header") for s in (0.0, 0.05, 0.1)):
+        t = [w if rng.random() >= share or k in (0, 1, 2) or k >= len(words(templates[name])) - 3 else "edited" for k, w in enumerate(words(templates[name]))]
+        want[i] = name
+        rows.append((i, "some words before " + " ".join(t) + " and words behind"))
+    rows += [(900, "Licensed under the Apache License, Version 1.1."), (901, "This work is licensed under the GNU General Public License, version 2."), (902, "of the software and the license " * 3000), (903, "x " * 500_000 + "Released under the MIT License.")]
+    df = spark.createDataFrame(rows + rows[:1], "doc_id long, text string")
+    got = {}
+    for r in licenses.scan_licenses(df).collect():
+        got.setdefault(r.doc_id, []).append(r)
+    assert set(got) == {*want, 903} and len(got[0]) == 2 * len([1])
+    text = dict(rows)
+    for i, name in want.items():
+        r = max(got[i], key=lambda r: r.matched_words)
+        assert r.template == name, (name, r)
+        span = words(text[i][r.start_char : r.end_char])
+        assert span[:3] == words(templates[name])[:3] and span[-3:] == words(templates[name])[-3:]
+        if r.template_words < 400:
+            assert abs(r.matched_words - _full_alignment(words(templates[name]), words(text[i]))) <= 1
+    assert text[903][got[903][0].start_char : got[903][0].end_char] == "Released under the MIT License"
+
+
 def test_license_twice_in_a_text():
     s = "Released under the MIT License. " * 2
     found = next(iter(licenses.Scanner(licenses.TEMPLATES, 0.75).scan([s])))
@@ -219,3 +246,21 @@ def test_every_vector_is_indexed(spark):
     index = ann.build_index(nodes, 3)
     assert sorted(i for r in index.select("nodes").collect() for i in np.frombuffer(bytes(r.nodes), "<i8").tolist()) == list(range(300))
     assert nodes.agg(F.max(F.size("ids"))).first()[0] == 1
+
+
+def test_nearest_of_all_magnitudes(spark):
+    """Directions count, however small or large the vectors are; repeated rows count once; settings stay as they were."""
+    rng = np.random.default_rng(8)
+    base = [rng.normal(size=6) for _ in range(60)]
+    rows = [(i, (base[i] * scale).tolist()) for i, scale in zip(range(60), [1e-170, 1e200, 1.0, 3e-320] * 15, strict=True)]
+    rows += [(100, (base[3] * 1e200).tolist()), (150, (base[7] * 1e-170).tolist())] + rows[:5]
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    got = {}
+    for r in ann.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect():
+        got.setdefault(r.query_id, {})[r["rank"]] = (r.vec_id, r.score)
+    assert spark.conf.get(key) == before and set(got) == {0, 50, 100, 150} and all(sorted(x) == [1, 2, 3, 4, 5] for x in got.values())
+    assert got[150][1][0] == 7 and got[150][1][1] == pytest.approx(1)
+    scaled = [(i, np.array(v) / np.abs(v).max()) for i, v in dict(rows).items()]
+    want = _exact([(i, v.tolist()) for i, v in scaled], 50, 5)
+    assert {q: [x[0] for _, x in sorted(v.items())] for q, v in got.items() if q in (50, 100)} == {q: [i for i, _ in want[q]] for q in (50, 100)}
