@@ -1,8 +1,8 @@
 """A corpus pipeline of four stages: toxicity, language, near duplicates, packing.
 
-A stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of documents. Rows
-without a doc_id leave in the first stage, as nothing could refer to them later; a doc_id that is rejected in one of its
-rows leaves with all of them.
+A stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of documents. A doc_id
+that is rejected in one of its rows leaves with all of them. Rows without a doc_id go by their text, behind all ids: they are
+judged as others are, and rows with one text have one verdict. Texts of any length are judged whole.
 """
 
 from __future__ import annotations
@@ -24,37 +24,46 @@ LEAST_LANGUAGE_SCORE = 0.5
 
 def _sent(ids: DataFrame) -> DataFrame:
     """Distinct ids, written, and marked for broadcast if they are few enough."""
-    ids = written(ids.select("doc_id").distinct(), "ids")
+    ids = written(ids.select("_key").distinct(), "ids")
     return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
 
 
-def _without(docs: DataFrame, rejected: DataFrame) -> DataFrame:
-    return docs.join(_sent(rejected), "doc_id", "left_anti").select(docs.columns)
+def _keyed(docs: DataFrame) -> DataFrame:
+    """Adds _key: the doc_id, or for rows without one a number above 2 ** 62 that follows from the text."""
+    by_text = F.pmod(F.xxhash64("text"), F.lit(1 << 62)) + F.lit(1 << 62)
+    return docs.withColumn("_key", F.coalesce(F.col("doc_id").cast("long"), by_text))
+
+
+def _without(keyed: DataFrame, rejected: DataFrame) -> DataFrame:
+    return keyed.join(_sent(rejected), "_key", "left_anti").select(keyed.columns)
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity model, learned from all labels, does not predict to be toxic."""
-    known = docs.where("doc_id is not null")
-    scored = toxicity(known, spark.read.parquet(f"{sf_dir}/labels.parquet"), held_out=None)
-    return _without(known, scored.where("predicted = 1"))
+    keyed = _keyed(docs)
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").withColumnRenamed("doc_id", "_key")
+    scored = toxicity(keyed, labels, id_col="_key", held_out=None)
+    return _without(keyed, scored.where("predicted = 1")).drop("_key")
 
 
 def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose text is surely in one of the languages that the documents name."""
-    found = language_id(docs, held_out=None)
-    return _without(docs, found.where((F.col("lang_pred") == UNDETERMINED) | (F.col("score") < LEAST_LANGUAGE_SCORE)))
+    keyed = _keyed(docs)
+    found = language_id(keyed, id_col="_key", held_out=None)
+    return _without(keyed, found.where((F.col("lang_pred") == UNDETERMINED) | (F.col("score") < LEAST_LANGUAGE_SCORE))).drop("_key")
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates, that of smallest doc_id, and one row of each document."""
-    found = written(near_duplicates(docs).select("doc_id", "kept"), "groups")
-    kept = _without(docs, found.where(~F.col("kept")))
-    again = found.where("kept").groupBy("doc_id").count().where("count > 1")
+    keyed = _keyed(docs)
+    found = written(near_duplicates(keyed, id_col="_key").select("_key", "kept"), "groups")
+    kept = _without(keyed, found.where(~F.col("kept")))
+    again = found.where("kept").groupBy("_key").count().where("count > 1")
     if again.isEmpty():
-        return kept
+        return kept.drop("_key")
     repeated = _sent(again)
-    once = kept.join(repeated, "doc_id", "left_semi").select(docs.columns).dropDuplicates(["doc_id"])
-    return kept.join(repeated, "doc_id", "left_anti").select(docs.columns).unionByName(once)
+    once = kept.join(repeated, "_key", "left_semi").select(kept.columns).dropDuplicates(["_key"])
+    return kept.join(repeated, "_key", "left_anti").select(kept.columns).unionByName(once).drop("_key")
 
 
 def pack_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
