@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from dataclasses import dataclass
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.seq import chars, revcomp
+from ..functions.seq import best_match, chars, revcomp
 
 PRIMERS = ("custom_primer", "truseq_read1", "truseq_read2", "nextera_read1", "nextera_read2", "illumina_p5", "illumina_p7")
 TARGETS = ("gdna", "cdna")
@@ -80,115 +78,124 @@ def split_fixed(seq: str, qual: str, layout: list[Element]) -> Column:
     return F.filter(F.array(*parts), lambda x: x.isNotNull())
 
 
-class SplitFailure(Exception):
-    """Why a read does not fit its layout."""
+@dataclass(frozen=True)
+class Stretch:
+    """A part of a layout whose beginning is known: elements at known places, then elements whose places are open until the
+    fixed sequence behind them (the anchor; none for the last stretch) is found."""
 
+    head: tuple[Element, ...]
+    open: tuple[Element, ...]
+    anchor: Element | None
 
-_TURN = str.maketrans("ACGT", "TGCA")
 
+def stretches(layout: list[Element]) -> list[Stretch]:
+    """Cuts a layout behind each anchor: the first element of fixed sequence behind one of variable length."""
+    out, head, waiting = [], [], []
+    for e in layout:
+        if not waiting and e.fixed:
+            head.append(e)
+        elif waiting and e.fixed and e.sequence_type == "fixed":
+            out.append(Stretch(tuple(head), tuple(waiting), e))
+            head, waiting = [], []
+        else:
+            waiting.append(e)
+    return [*out, Stretch(tuple(head), tuple(waiting), None)]
 
-def _nearest(text: str, pattern: str) -> tuple[int | None, int]:
-    """Leftmost window of `text` with the fewest mismatches against the pattern; a single base must match exactly."""
-    m = len(pattern)
-    if not m or len(text) < m:
-        return None, -1
-    if (exact := text.find(pattern)) >= 0:
-        return exact, 0
-    if m == 1:
-        return None, 1
-    misses = [sum(a != b for a, b in zip(text[i : i + m], pattern, strict=True)) for i in range(len(text) - m + 1)]
-    low = min(misses)
-    return misses.index(low), low
 
+_PLACE = "array<struct<region_id:string,region_type:string,begin:int,end:int>>"
 
-def split_read(seq: str, layout: list[Element], reverse: bool = False, linker_tolerance: float = 1.0, anchor_tolerance: float = 0.2) -> list[tuple[str, str, int, int]]:
-    """(region_id, region_type, begin, end) of a read's segments, in order.
 
-    Elements of variable length wait, together with those of fixed length behind them, until an element of fixed sequence
-    is found (the anchor) or the read ends. What waits is then taken off the right end as far as it has fixed lengths; the
-    rest is one segment, of several types joined by "+" if more than one element is left. An anchor may differ in
-    `anchor_tolerance` of its bases. Other fixed sequences are only checked if `linker_tolerance` is below 1. For reverse
-    reads patterns are compared with the reverse complement of the window, while places are counted in the window itself.
-    """
-    n, low, high = len(seq), 0, 0
-    waiting: list[Element] = []
-    out: list[tuple[str, str, int, int]] = []
-
-    def settle(end: int) -> None:
-        begin, tail = low - sum(e.min_len for e in waiting), []
-        while waiting and waiting[-1].fixed:
-            e = waiting.pop()
-            tail.append((e.region_id, e.region_type, end - e.max_len, end))
-            end -= e.max_len
-        if waiting:
-            name = waiting[0].region_id if len(waiting) == 1 else "+".join(e.region_id for e in waiting)
-            out.append((name, "+".join(e.region_type for e in waiting), begin, end))
-            waiting.clear()
-        out.extend(reversed(tail))
-
-    def facing(text: str) -> str:
-        return text.translate(_TURN)[::-1] if reverse else text
+def _place(region_id: str, region_type: str, begin: Column, end: Column) -> Column:
+    return F.struct(F.lit(region_id).alias("region_id"), F.lit(region_type).alias("region_type"), begin.cast("int").alias("begin"), end.cast("int").alias("end"))
 
-    for e in layout:
-        if high >= n or low + e.min_len > n:
-            break
-        known = e.sequence_type == "fixed"
-        if not e.fixed or (waiting and not known):
-            waiting.append(e)
-        elif waiting:
-            at, miss = _nearest(facing(seq[low : min(n, high + e.max_len)]), e.sequence)
-            if at is None:
-                raise SplitFailure("anchor_not_found")
-            if miss > anchor_tolerance * len(e.sequence):
-                if high + e.max_len > n:
-                    break
-                raise SplitFailure(f"pattern_mismatch:{miss}")
-            settle(low + at)
-            low = high = low + at
-            out.append((e.region_id, e.region_type, low, low + e.max_len))
-        else:
-            if known and linker_tolerance < 1:
-                miss = sum(a != b for a, b in zip(facing(seq[high : high + e.max_len]), e.sequence, strict=False))
-                if miss > linker_tolerance * e.max_len:
-                    raise SplitFailure(f"pattern_mismatch:{miss}")
-            out.append((e.region_id, e.region_type, high, high + e.max_len))
-        low, high = low + e.min_len, high + e.max_len
-    if waiting:
-        settle(min(high, n))
-    return out
+
+def _between(elements: tuple[Element, ...], begin: Column, end: Column) -> Column:
+    """Places of elements between two known ends: those of fixed length are taken off the right end, what is left of them is
+    one segment, of several types joined by "+" if more than one element is left."""
+    cut = len(elements)
+    while cut and elements[cut - 1].fixed:
+        cut -= 1
+    rest, tail = elements[:cut], elements[cut:]
+    after = lambda i: sum(e.max_len for e in tail[i:])
+    out = [_place("+".join(e.region_id for e in rest), "+".join(e.region_type for e in rest), begin, end - after(0))] if rest else []
+    return F.array(*out, *(_place(e.region_id, e.region_type, end - after(i), end - after(i + 1)) for i, e in enumerate(tail)))
 
 
-def shown(segments: list[tuple[str, str, int, int]], seq: str) -> str:
-    """Text form, such as [B]ACGT,[U]AC."""
-    return ",".join(f"[{roles(t)}]{seq[a:b]}" for _, t, a, b in segments)
+def _reach(elements: tuple[Element, ...], room: Column) -> list[Column]:
+    """For each element, whether a read with `room` bases left reaches it: its least length fits behind the least lengths of
+    those before it, whose greatest lengths do not fill the room; and so for all before it."""
+    out, yes, least, most = [], F.lit(True), 0, 0
+    for e in elements:
+        yes = yes & (room > most) & (room >= least + e.min_len)
+        out.append(yes)
+        least, most = least + e.min_len, most + e.max_len
+    return out
 
 
 def split_reads(reads: DataFrame, layout: list[Element], key: list[str], seq: str = "seq", qual: str = "qual", reverse: bool = False, linker_tolerance: float = 1.0, anchor_tolerance: float = 0.2) -> DataFrame:
     """key, segments (array of region_id, region_type, seq, qual; null for a read that doesn't fit) and status ("ok",
-    "anchor_not_found" or "pattern_mismatch:n"). Layouts of fixed lengths are plain slices; others need the walk above,
-    over Arrow batches."""
+    "no_sequence", "anchor_not_found" or "pattern_mismatch:n").
+
+    A layout is cut into stretches once. A stretch begins at a known place, where its elements of known place stand; its
+    anchor is the best match within the places that the lengths of its open elements allow, and may differ in
+    `anchor_tolerance` of its bases; open elements lie between. A read that ends within a stretch has the elements that it
+    reaches. Other fixed sequences are only checked if `linker_tolerance` is below 1. For reverse reads patterns are compared
+    with the reverse complement of the window, while places are counted in the window itself. All of it are built-in
+    expressions, a projection for each stretch.
+    """
     if all(e.fixed for e in layout) and linker_tolerance >= 1:
-        return reads.select(*key, split_fixed(seq, qual, layout).alias("segments"), F.lit("ok").alias("status"))
-    kind = pa.list_(pa.struct([("region_id", pa.string()), ("region_type", pa.string()), ("seq", pa.string()), ("qual", pa.string())]))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows, status = [], []
-            for s, q in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                try:
-                    if s is None:
-                        raise SplitFailure("no_sequence")
-                    got = split_read(s, layout, reverse, linker_tolerance, anchor_tolerance)
-                    rows.append([{"region_id": i, "region_type": t, "seq": s[a:b], "qual": (q or "")[a:b]} for i, t, a, b in got])
-                    status.append("ok")
-                except SplitFailure as e:
-                    rows.append(None)
-                    status.append(str(e))
-            yield pa.RecordBatch.from_arrays([*batch.columns[2:], pa.array(rows, kind), pa.array(status)], [*batch.schema.names[2:], "segments", "status"])
-
-    read = reads.select(F.col(seq).alias("_seq"), F.col(qual).alias("_qual"), *key)
-    keys = ", ".join(f"`{k}` {read.schema[k].dataType.simpleString()}" for k in key)
-    return read.mapInArrow(run, f"{keys}, segments array<struct<region_id:string,region_type:string,seq:string,qual:string>>, status string")
+        return reads.select(*key, F.when(F.col(seq).isNotNull(), split_fixed(seq, qual, layout)).alias("segments"), F.when(F.col(seq).isNull(), "no_sequence").otherwise("ok").alias("status"))
+    text, n = F.col("_seq"), F.length("_seq")
+    cut = lambda c, begin, end: F.substr(c, (begin + 1).cast("int"), F.greatest(end - begin, F.lit(0)).cast("int"))
+    facing = lambda c: revcomp(c, any_case=False) if reverse else c
+    x = reads.select(*(F.col(k) for k in key), F.col(seq).alias("_seq"), F.coalesce(F.col(qual), F.lit("")).alias("_qual"))
+    # _at: where the stretch begins; _live: whether the read reaches it; _bad: why it does not fit.
+    x = x.withColumns({"_at": F.lit(0), "_live": F.lit(True), "_bad": F.when(F.col("_seq").isNull(), "no_sequence"), "_out": F.array().cast(_PLACE)})
+    for s in stretches(layout):
+        at, live, out, bad = F.col("_at"), F.col("_live"), F.col("_out"), F.col("_bad")
+        known, offset = [], 0
+        for e, here in zip(s.head, _reach(s.head, n - at), strict=True):
+            place = _place(e.region_id, e.region_type, at + offset, at + offset + e.max_len)
+            known.append(F.when(live & here, place))
+            if e.sequence_type == "fixed" and linker_tolerance < 1:
+                window = facing(cut(text, at + offset, at + offset + e.max_len))
+                miss = sum((F.when(F.substring(window, i + 1, 1) != ch, 1).otherwise(0) for i, ch in enumerate(e.sequence)), F.lit(0))
+                bad = F.when(bad.isNull() & live & here & (miss > linker_tolerance * e.max_len), F.concat(F.lit("pattern_mismatch:"), miss.cast("string"))).otherwise(bad)
+            offset += e.max_len
+        whole = _reach(s.head, n - at)[-1] if s.head else F.lit(True)
+        x = x.withColumns({"_out": F.concat(out, F.filter(F.array(*known).cast(_PLACE), lambda p: p.isNotNull())), "_live": live & whole, "_bad": bad, "_at": at + offset})
+        if not s.open:
+            continue
+        least, most = sum(e.min_len for e in s.open), sum(e.max_len for e in s.open)
+        reached = _reach(s.open + ((s.anchor,) if s.anchor else ()), n - at)
+        if s.anchor:
+            window = facing(cut(text, at + least, F.least(n, at + most + s.anchor.max_len)))
+            x = x.withColumns({"_hit": F.when(live & bad.isNull() & reached[-1], best_match(window, s.anchor.sequence))})
+            sought, miss = F.col("_hit").isNotNull(), F.col("_hit.mismatches")
+            close = miss <= anchor_tolerance * len(s.anchor.sequence)
+            beyond = at + most + s.anchor.max_len > n
+            x = x.withColumns({
+                "_found": sought & F.col("_hit.pos").isNotNull() & close,
+                "_bad": F.when(sought & F.col("_hit.pos").isNull(), "anchor_not_found").when(sought & ~close & ~beyond, F.concat(F.lit("pattern_mismatch:"), miss.cast("string"))).otherwise(F.col("_bad")),
+            })
+            anchor = at + least + F.col("_hit.pos")
+            closed = F.concat(_between(s.open, at, anchor), F.array(_place(s.anchor.region_id, s.anchor.region_type, anchor, anchor + s.anchor.max_len)))
+        else:
+            x, anchor, closed = x.withColumn("_found", F.lit(False)), at, F.array().cast(_PLACE)
+        cases = F.when(F.col("_found"), closed.cast(_PLACE))
+        for k in range(len(s.open), 0, -1):
+            end = F.least(at + sum(e.max_len for e in s.open[:k]), n)
+            cases = cases.when(live & reached[k - 1], _between(s.open[:k], at, end).cast(_PLACE))
+        x = x.withColumns({"_out": F.concat(out, cases.otherwise(F.array().cast(_PLACE))), "_live": F.col("_found"), "_at": F.when(F.col("_found"), anchor + (s.anchor.max_len if s.anchor else 0)).otherwise(at)})
+    part = lambda p: F.struct(p["region_id"].alias("region_id"), p["region_type"].alias("region_type"), cut(F.col("_seq"), p["begin"], p["end"]).alias("seq"), cut(F.col("_qual"), p["begin"], p["end"]).alias("qual"))
+    return x.select(*key, F.when(F.col("_bad").isNull(), F.transform("_out", part)).alias("segments"), F.coalesce("_bad", F.lit("ok")).alias("status"))
+
+
+def shown(segments: Column | str) -> Column:
+    """Text form of segments, such as [B]ACGT,[U]AC."""
+    letter = lambda t: F.when(t.isin(*PRIMERS), "P").when(t == "barcode", "B").when(t == "umi", "U").when(t.isin(*TARGETS), "T").otherwise("O")
+    letters = lambda x: F.array_join(F.transform(F.split(x["region_type"], r"\+"), letter), "")
+    return F.array_join(F.transform(segments, lambda x: F.concat(F.lit("["), letters(x), F.lit("]"), x["seq"])), ",")
 
 
 def annotate(split: DataFrame, reverse: bool = False) -> DataFrame:
@@ -211,14 +218,14 @@ def annotate(split: DataFrame, reverse: bool = False) -> DataFrame:
     )
 
 
-def layout_sample(split: DataFrame, onlists: dict[str, DataFrame], sample: int = 1000) -> dict[str, float]:
+def layout_sample(split: DataFrame, onlists: dict[str, DataFrame], sample: int = 1000, reverse: bool = False) -> dict[str, float]:
     """Share of the first `sample` reads that fit the layout, and for each barcode region the share found on its list;
     values below one half deserve a warning. A limit is the point of this check."""
     head = split.limit(sample)
     ok = head.agg(F.avg((F.col("status") == "ok").cast("double"))).first()[0]
     out = {"fits": ok if ok is not None else 0.0}
     for region, onlist in onlists.items():
-        parts = head.select(F.explode("segments").alias("x")).where(F.col("x.region_id") == region).select(F.col("x.seq").alias("barcode"))
+        parts = head.select(F.explode("segments").alias("x")).where(F.col("x.region_id") == region).select((revcomp("x.seq") if reverse else F.col("x.seq")).alias("barcode"))
         known = onlist.select("barcode").distinct().withColumn("hit", F.lit(1.0))
         share = parts.join(known, "barcode", "left").agg(F.avg(F.coalesce("hit", F.lit(0.0)))).first()[0]
         out[region] = share if share is not None else 0.0

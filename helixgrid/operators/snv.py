@@ -1,116 +1,97 @@
-"""Variants of single reads from alignment strings. Walking a CIGAR and an MD tag side by side has state that built-in
-functions can't carry, so it is a Python function over Arrow batches; everything around it is built in."""
+"""Variants of single reads, from their CIGAR and MD texts, as built-in expressions.
 
-from __future__ import annotations
+Both texts become runs on one axis, that of the reference bases which CIGAR and MD describe alike. A substitution of MD is
+looked up in the aligned run that covers its place; deletions must be the same runs in both; insertions are in CIGAR alone.
+"""
 
-import re
-from collections.abc import Iterator
+from __future__ import annotations
 
-import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.seq import md_tokens, reference_length
+
 #: Least base quality (without offset) of a substitution, and of the first base of an insertion.
 LEAST_QUALITY = 30
-_OPS, _MD = re.compile(r"(\d+)([MIDNSHP=X])"), re.compile(r"\d+|\^[A-Za-z]+|[A-Za-z]")
-
-
-class AlignmentError(ValueError):
-    """CIGAR and MD do not fit each other, or variants do not fit the read."""
-
-
-def read_variants(pos: int, cigar: str, md: str, seq: str, qual: str) -> list[tuple[int, str, int, str]]:
-    """(position, kind, length, bases) of a read, kind sub, del or ins, positions 0-based in the reference.
-
-    Skipped regions do not move the reference position, and "=" only moves the read, both as defined for parity.
-    """
-    ops = [(int(n), op) for n, op in _OPS.findall(cigar)]
-    lead = 0
-    while lead < len(ops) and ops[lead][1] in "SH":
-        lead += 1
-    at = sum(n for n, op in ops[:lead] if op == "S")  # in the read
-    ref = pos - 1
-    # One entry for every aligned base or deletion that MD describes.
-    plan: list[tuple[str, int]] = []
-    for t in _MD.findall(md):
-        if t[0] == "^":
-            plan.append(("del", len(t) - 1))
-        elif t.isdigit():
-            if int(t):
-                plan.append(("same", int(t)))
-        else:
-            plan.append(("sub", 1))
-    plan.reverse()
-    out = []
-    for n, op in ops[lead:]:
-        if op in "MX":
-            left = n
-            while left:
-                kind, m = plan.pop() if plan else ("end", 0)
-                if kind == "same":
-                    step = min(m, left)
-                    if m > step:
-                        plan.append(("same", m - step))
-                elif kind == "sub":
-                    step = 1
-                    if ord(qual[at]) - 33 >= LEAST_QUALITY:
-                        out.append((ref, "sub", 1, seq[at]))
-                else:
-                    raise AlignmentError(f"MD {md} has no match where CIGAR {cigar} has one")
-                at, ref, left = at + step, ref + step, left - step
-        elif op == "D":
-            if not plan or plan.pop() != ("del", n):
-                raise AlignmentError(f"MD {md} has no deletion of {n} where CIGAR {cigar} has one")
-            out.append((ref, "del", n, ""))
-            ref += n
-        elif op == "I":
-            if ord(qual[at]) - 33 >= LEAST_QUALITY:
-                out.append((ref, "ins", n, seq[at : at + n]))
-            at += n
-        elif op not in "NPH":
-            at += n
-    return out
-
-
-def render_variants(variants: list[tuple[int, str, int, str]], start: int, end: int) -> str:
-    """Text of the variants of a read that spans [start, end): matches as numbers, bases, ^ and dashes, + and bases."""
-    if not variants:
-        return str(end - start)
-    parts, done = [], start
-    for where, kind, n, bases in variants:
-        if where < done:
-            raise AlignmentError(f"variant at {where} lies before {done}")
-        parts.append(str(where - done))
-        parts.append({"sub": bases, "del": "^" + "-" * n, "ins": "+" + bases}[kind])
-        done = where + (0 if kind == "ins" else n)
-    if done > end:
-        raise AlignmentError(f"a variant ends at {done}, behind the read's end {end}")
-    return "".join([*parts, str(end - done)] if done < end else parts)
-
-
-def call_variants(alignments: DataFrame, key: str = "name") -> DataFrame:
-    """key, snvs (array of position, kind, length, bases), text and error of alignments with pos (1-based), cigar, md, seq
-    and qual (text). A row that can't be read, or has a null among these, has null results and says why in error."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kind = pa.list_(pa.struct([("position", pa.int64()), ("kind", pa.string()), ("length", pa.int32()), ("bases", pa.string())]))
-        for batch in batches:
-            found, texts, errors = [], [], []
-            for pos, cigar, md, seq, qual, length in zip(*(c.to_pylist() for c in batch.columns[1:]), strict=True):
-                try:
-                    if None in (pos, cigar, md, seq, qual):
-                        raise AlignmentError("missing field")
-                    x = read_variants(pos, cigar, md, seq, qual)
-                    texts.append(render_variants(x, pos - 1, pos - 1 + length))
-                    found.append([dict(zip(("position", "kind", "length", "bases"), v, strict=True)) for v in x])
-                    errors.append(None)
-                except (AlignmentError, IndexError) as e:
-                    found.append(None)
-                    texts.append(None)
-                    errors.append(str(e))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, kind), pa.array(texts, pa.string()), pa.array(errors, pa.string())], [batch.schema.names[0], "snvs", "text", "error"])
-
-    from ..functions.seq import reference_length
-
-    read = alignments.select(key, F.col("pos").cast("long"), "cigar", "md", "seq", "qual", reference_length("cigar").alias("length"))
-    return read.mapInArrow(run, f"{key} {read.schema[key].dataType.simpleString()}, snvs array<struct<position:bigint,kind:string,length:int,bases:string>>, text string, error string")
+_RUN = "array<struct<i:int,kind:string,n:bigint,axis:bigint,read:bigint>>"
+
+
+def _runs(tokens: Column, kind, length, on_axis, in_read) -> Column:
+    """Array of (i, kind, n, axis, read): every token with its length and where it begins on the axis and in the read."""
+
+    def step(s: Column, t: Column) -> Column:
+        k, n = kind(t), length(t)
+        here = F.struct(F.size(s["out"]).alias("i"), k.alias("kind"), n.alias("n"), s["axis"].alias("axis"), s["read"].alias("read"))
+        move = lambda yes: F.when(yes, n).otherwise(F.lit(0).cast("long"))
+        return F.struct((s["axis"] + move(on_axis(k))).alias("axis"), (s["read"] + move(in_read(k))).alias("read"), F.concat(s["out"], F.array(here)).alias("out"))
+
+    zero = F.lit(0).cast("long")
+    return F.aggregate(tokens, F.struct(zero.alias("axis"), zero.alias("read"), F.array().cast(_RUN).alias("out")), step)
+
+
+def cigar_runs(cigar: Column | str) -> Column:
+    """struct(axis, read, out): total lengths and runs of a CIGAR text. M, X and D lie on the axis; M, X, "=", I and S in the
+    read. Skipped regions and "=" do not move the axis, both as defined for parity."""
+    ops = F.regexp_extract_all(F.col(cigar) if isinstance(cigar, str) else cigar, F.lit(r"(\d+[MIDNSHP=X])"), 1)
+    return _runs(ops, lambda t: F.right(t, F.lit(1)), lambda t: F.regexp_extract(t, r"^(\d+)", 1).cast("long"), lambda k: k.isin("M", "X", "D"), lambda k: k.isin("M", "X", "=", "I", "S"))
+
+
+def md_runs(md: Column | str) -> Column:
+    """struct(axis, read, out): total length and runs of an MD text, of kind same, sub or del."""
+    deleted, number = (lambda t: t.startswith("^")), (lambda t: t.rlike(r"^\d"))
+    kind = lambda t: F.when(deleted(t), "del").when(number(t), "same").otherwise("sub")
+    length = lambda t: F.when(deleted(t), F.length(t) - 1).when(number(t), t.cast("long")).otherwise(1).cast("long")
+    return _runs(md_tokens(md), kind, length, lambda k: F.lit(True), lambda k: F.lit(False))
+
+
+def _found(cigar: Column, md: Column) -> Column:
+    """All variants (i, axis, kind, n, read), in the order of the read."""
+    as_kind = lambda name: lambda r: F.struct(r["i"].alias("i"), r["axis"].alias("axis"), F.lit(name).alias("kind"), r["n"].alias("n"), r["read"].alias("read"))
+
+    def substitutions(op: Column) -> Column:
+        inside = F.filter(md, lambda t: (t["kind"] == "sub") & (t["axis"] >= op["axis"]) & (t["axis"] < op["axis"] + op["n"]))
+        return F.transform(inside, lambda t: F.struct(op["i"].alias("i"), t["axis"].alias("axis"), F.lit("sub").alias("kind"), t["n"].alias("n"), (op["read"] + t["axis"] - op["axis"]).alias("read")))
+
+    of = lambda *kinds: F.filter(cigar, lambda r: r["kind"].isin(*kinds))
+    return F.array_sort(F.concat(F.flatten(F.transform(of("M", "X"), substitutions)), F.transform(of("D"), as_kind("del")), F.transform(of("I"), as_kind("ins"))))
+
+
+def render_variants(variants: Column, length: Column) -> Column:
+    """struct(done, text): text of the variants (axis, kind, n, bases) of a read that spans `length` bases: matches as
+    numbers, bases, ^ and dashes, + and bases. done is null if a variant lies before the end of the one before it."""
+
+    def step(s: Column, v: Column) -> Column:
+        shown = F.when(v["kind"] == "sub", v["bases"]).when(v["kind"] == "del", F.concat(F.lit("^"), F.repeat(F.lit("-"), v["n"].cast("int")))).otherwise(F.concat(F.lit("+"), v["bases"]))
+        done = F.when(v["axis"] >= s["done"], v["axis"] + F.when(v["kind"] == "ins", 0).otherwise(v["n"]))
+        return F.struct(done.alias("done"), F.concat(s["text"], (v["axis"] - s["done"]).cast("string"), shown).alias("text"))
+
+    last = F.aggregate(variants, F.struct(F.lit(0).cast("long").alias("done"), F.lit("").alias("text")), step)
+    return F.struct(last["done"].alias("done"), F.concat(last["text"], F.when((last["done"] < length) | (F.size(variants) == 0), (length - last["done"]).cast("string")).otherwise("")).alias("text"))
+
+
+def call_variants(alignments: DataFrame, *keys: str) -> DataFrame:
+    """keys (name, if none is given), snvs (array of position, kind, length, bases; kind sub, del or ins, positions 0-based in the reference), text and
+    error of alignments with pos (1-based), cigar, md, seq and qual (text). A row whose texts do not fit each other, or that
+    has a null among these, has null results and says why in error. A step for each run of a read, and a copy of the runs
+    before it, which suits the few runs of short reads."""
+    keys = keys or ("name",)
+    x = alignments.withColumns({"_n": reference_length("cigar"), "_c": cigar_runs("cigar"), "_m": md_runs("md")})
+    x = x.withColumn("_v", _found(F.col("_c.out"), F.col("_m.out")))
+    base = lambda r: F.ascii(F.substr("qual", (r["read"] + 1).cast("int"), F.lit(1))) - 33
+    good = F.filter("_v", lambda v: (v["kind"] == "del") | (base(v) >= LEAST_QUALITY))
+    bases = lambda v: F.when(v["kind"] == "del", "").otherwise(F.substr("seq", (v["read"] + 1).cast("int"), v["n"].cast("int")))
+    x = x.withColumn("_k", F.transform(good, lambda v: F.struct(v["axis"].alias("axis"), v["kind"].alias("kind"), v["n"].alias("n"), bases(v).alias("bases"))))
+    x = x.withColumn("_t", render_variants(F.col("_k"), F.col("_n")))
+    gaps = lambda runs, kind: F.transform(F.filter(runs, lambda r: (r["kind"] == kind) & (r["axis"] < F.col("_c.axis"))), lambda r: F.struct(r["axis"].alias("axis"), r["n"].alias("n")))
+    short = F.exists("_v", lambda v: (v["kind"] != "del") & (v["read"] >= F.least(F.length("seq"), F.length("qual"))))
+    error = (
+        F.when(F.greatest(*(F.col(c).isNull().cast("int") for c in ("pos", "cigar", "md", "seq", "qual"))) == 1, "missing field")
+        .when(F.col("_m.axis") < F.col("_c.axis"), F.concat(F.lit("MD "), "md", F.lit(" is shorter than CIGAR "), "cigar"))
+        .when(gaps(F.col("_c.out"), "D") != gaps(F.col("_m.out"), "del"), F.concat(F.lit("deletions of MD "), "md", F.lit(" are not those of CIGAR "), "cigar"))
+        .when(short, "alignment is longer than the read")
+        .when(F.col("_t.done").isNull(), "a variant lies before the end of another")
+        .when(F.col("_t.done") > F.col("_n"), "a variant ends behind the read's end")
+    )
+    snvs = F.transform("_k", lambda v: F.struct((F.col("pos").cast("long") - 1 + v["axis"]).alias("position"), v["kind"].alias("kind"), v["n"].cast("int").alias("length"), v["bases"].alias("bases")))
+    out, ok = x.withColumn("_e", error), F.col("_e").isNull()
+    return out.select(*keys, F.when(ok, snvs).alias("snvs"), F.when(ok, F.col("_t.text")).alias("text"), F.col("_e").alias("error"))

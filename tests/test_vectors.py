@@ -37,6 +37,7 @@ def linker(s):
     return M.Element("l", "linker", "fixed", s, len(s), len(s))
 
 
+# Published cases of splitting, with the segments they must give.
 SPLITS = [
     ("AAAAAA", [cdna(1, 5), linker("ATGT")], "[T]AAAAA"),
     ("AAAATTCCC", [bc(4), umi(2), cdna(2, 4), poly(2, 4)], "[B]AAAA,[U]TT,[T]CCC"),
@@ -56,9 +57,21 @@ SPLITS = [
 ]
 
 
-@pytest.mark.parametrize("seq,layout,want", SPLITS)
-def test_split(seq, layout, want):
-    assert M.shown(M.split_read(seq, layout), seq) == want
+def test_split(spark):
+    parts = [M.split_reads(spark.createDataFrame([(i, seq, "F" * len(seq))], "id int, seq string, qual string"), layout, ["id"]) for i, (seq, layout, _) in enumerate(SPLITS)]
+    got = {r.id: r.shown for p in parts for r in p.select("id", M.shown("segments").alias("shown")).collect()}
+    assert [got[i] for i in range(len(SPLITS))] == [want for *_, want in SPLITS]
+
+
+def test_split_edges(spark):
+    """A reverse read, a linker that is checked, a read that ends within the anchor's reach, and no anchor at all."""
+    one = lambda seq, layout, **how: M.split_reads(spark.createDataFrame([(1, seq, "F" * len(seq))], "id int, seq string, qual string"), layout, ["id"], **how).select("status", M.shown("segments").alias("s")).first()
+    assert tuple(one("AAAACCGT", [bc(4), linker("ACGG")], linker_tolerance=0.0, reverse=True)) == ("ok", "[B]AAAA,[O]CCGT")
+    assert tuple(one("AAAACCGA", [bc(4), linker("CCGT")], linker_tolerance=0.1)) == ("pattern_mismatch:1", None)
+    assert tuple(one("AAAATTTTGG", [bc(4), var(1, 5), linker("ACTG")])) == ("ok", "[B]AAAA,[O]TTTTG")
+    assert tuple(one("AAAATTTTGGGGGGGGG", [bc(4), var(1, 5), linker("ACTG")])) == ("pattern_mismatch:2", None)
+    assert tuple(one("AAAATTTTTTTT", [bc(4), var(1, 2), linker("A")])) == ("anchor_not_found", None)
+    assert tuple(one("AAAAGTTCAG", [bc(4), var(1, 3), linker("CTG"), cdna(1, 9)], reverse=True)) == ("ok", "[B]AAAA,[O]G,[O]TTC,[T]AG")
 
 
 def test_split_over_rows(spark):
@@ -76,6 +89,7 @@ def test_truncated():
     assert [e.region_id for e in M.truncated(layout, 7)] == ["b", "u"]
 
 
+# Published cases of variants, with the texts they must give.
 SNVS = [
     (10003, "50M", "0A49", "CCCCTAACCCTAACCCTAACCCTAACCCTAACCCTAACCCTAACCCTAAC", "FFFF:FFFFF:FF:FF:FFFFFFFFFFFFFFFFF,FF:FF,FFFFFFFFF", "0C49"),
     (10004, "49M", "9T39", "CCCTAACCCAAACCCTAACCCTAACCCTAACCCTAACCCTAACCCTAAC", "FFFFFFFFF,FFFFF:FFFFFFF:FFFFFFFFF:FFFFFFFFFFFFFFF", "49"),
