@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import warnings
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -10,8 +11,10 @@ from pyspark.sql import functions as F
 from .functions.seq import revcomp, spliced_segments
 from .operators import barcodes as B
 from .operators import fragments as G
+from .operators import intervals as I
 from .operators import qc as Q
 from .operators import segments as M
+from .operators import snv as V
 from .operators import transcriptome as T
 from .operators.aligner import Aligner, align_reads
 from .operators.storage import materialized
@@ -29,6 +32,10 @@ class Run:
     output: DataFrame
     metrics: dict[str, DataFrame] = field(default_factory=dict)
     genes: DataFrame | None = None
+    #: Of a gene by cell table: barcode, linear (index of a fragment's 5' end in the genome) and size.
+    coverage: DataFrame | None = None
+    #: ord, name, length and offset of the reference sequences.
+    references: DataFrame | None = None
 
 
 def _parts(split: DataFrame, read_id: str, regions: list[str], reverse: bool) -> dict[str, Column]:
@@ -43,11 +50,26 @@ def _parts(split: DataFrame, read_id: str, regions: list[str], reverse: bool) ->
     return out
 
 
-def annotated_reads(spark: SparkSession, assay: Assay, modality: str | None = None, threshold: float = 0.9, distance: int = 1, max_expected_errors: float | None = None) -> tuple[DataFrame, dict[str, DataFrame]]:
+#: Reads that are looked at when a layout is checked, and the tolerance of fixed sequences then.
+SAMPLE, SAMPLE_TOLERANCE = 1000, 0.2
+
+
+def _warn_of_layout(spark: SparkSession, read_id: str, reads: DataFrame, layout: list[M.Element], onlists: dict, reverse: bool) -> None:
+    """Warns if fewer than half of a file's first reads fit the layout, or of their barcodes stand on the list."""
+    sample = M.split_reads(reads.limit(SAMPLE), layout, ["rec_idx"], reverse=reverse, linker_tolerance=SAMPLE_TOLERANCE, anchor_tolerance=SAMPLE_TOLERANCE)
+    lists = {e.region_id: FQ.read_onlist(spark, onlists[e.region_id].url) for e in layout if e.region_type == "barcode" and onlists.get(e.region_id)}
+    for what, share in M.layout_sample(sample, lists, SAMPLE, reverse).items():
+        if share < 0.5:
+            warnings.warn(f"{read_id}: only {share:.0%} of the first reads " + ("fit the layout" if what == "fits" else f"have a barcode on the list of {what}"), stacklevel=3)
+
+
+def annotated_reads(spark: SparkSession, assay: Assay, modality: str | None = None, threshold: float = 0.9, distance: int = 1, max_expected_errors: float | None = None, call_cells: bool = True, verify: bool = True) -> tuple[DataFrame, dict[str, DataFrame]]:
     """name, barcode, barcode_qual, corrected, umi, umi_qual, r1, r2 of an assay's reads, and metrics.
 
     Every barcode region is counted and corrected against its own list (or its own plausible barcodes, where it has none);
-    a read is corrected if all of its regions are. Files that carry neither barcode, UMI nor target are not read.
+    a read is corrected if all of its regions are. Files that carry neither barcode, UMI nor target are not read. Without a
+    list, and with `call_cells`, a region's barcodes below the order-of-magnitude threshold are not plausible. With `verify`
+    the first reads are held against the layout and the lists, and a share below one half gives a warning.
     """
     m = modality or assay.modality()
     layouts = assay.segments_by_modality(m, needed_only=True)
@@ -64,7 +86,10 @@ def annotated_reads(spark: SparkSession, assay: Assay, modality: str | None = No
     table = reads.select("rec_idx", "name")
     for k, layout in layouts.items():
         rev = assay.reads[k].reverse
-        part = M.split_reads(reads.select("rec_idx", F.col(f"{k}.seq").alias("seq"), F.col(f"{k}.qual").alias("qual")), layout, ["rec_idx"], reverse=rev)
+        alone = reads.select("rec_idx", F.col(f"{k}.seq").alias("seq"), F.col(f"{k}.qual").alias("qual"))
+        part = M.split_reads(alone, layout, ["rec_idx"], reverse=rev)
+        if verify:
+            _warn_of_layout(spark, k, alone, layout, onlists, rev)
         metrics[f"structure_{k}"] = Q.read_defects(part.select(F.lit(k).alias("read_id"), "status"))
         table = table.join(part.select("rec_idx", F.struct("segments", "status").alias(k)), "rec_idx")
         regions = [e.region_id for e in layout if e.region_type == "barcode"]
@@ -85,7 +110,12 @@ def annotated_reads(spark: SparkSession, assay: Assay, modality: str | None = No
     for r in bars:
         ref: FileRef | None = onlists.get(r)
         hist = B.barcode_histogram(flat, [], f"bc_{r}")
-        counts = materialized(B.whitelist_counts(hist, FQ.read_onlist(spark, ref.url) if ref else None))
+        least = None
+        if not ref and call_cells:
+            hist = materialized(hist)
+            called = B.ordmag_threshold(hist.where(B.plausible("barcode"))).first()
+            least = called["threshold"] if called else None
+        counts = materialized(B.whitelist_counts(hist, FQ.read_onlist(spark, ref.url) if ref else None, least))
         metrics[f"barcode_{r}"] = B.whitelist_stats(counts)
         flat = B.correct_barcodes(flat, counts.where("listed").select("barcode", "n"), ["rec_idx"], f"bc_{r}", f"bq_{r}", distance, threshold, max_expected_errors)
         flat = flat.withColumnRenamed("corrected", f"ok_{r}").drop("status", "posterior")
@@ -106,42 +136,80 @@ def make_fastq(spark: SparkSession, assay: Assay, out_dir: str, modality: str |
     return metrics
 
 
-def align(spark: SparkSession, assay: Assay | list[Assay], aligner: Aligner, output: str, *, modality: str | None = None, transcripts: DataFrame | None = None, mito_dna: list[str] = (), shift_left: int = 4, shift_right: int = -5, strandedness: str | None = None, least_mapq: int = 30) -> Run:
-    """Aligns the reads of one or several assays and returns alignments, unique fragments or a gene by cell table."""
+def _fragments(primary: DataFrame, umi: bool, shifts: tuple[int, int], least_mapq: int, variants: bool) -> DataFrame:
+    """Unique fragments of primary alignments: of pairs, and of reads that have no mate."""
+    placed = G.with_extents(primary.where((F.col("flags").bitwiseAND(4) == 0) & F.col("barcode").isNotNull()))
+    snvs = F.lit(None).cast("array<struct<position:bigint,kind:string,length:int,bases:string>>")
+    if variants:
+        placed = V.call_variants(placed, *placed.columns).drop("text", "error")
+    else:
+        placed = placed.withColumn("snvs", snvs)
+    side = F.struct("flags", "mapq", "chrom", "start", "end", "unclipped_start", "unclipped_end", "snvs")
+    mate = lambda k: F.first(F.when(F.coalesce("mate", F.lit(1)) == k, side), ignorenulls=True)
+    both = placed.groupBy("name", "barcode", "umi").agg(mate(1).alias("r1"), mate(2).alias("r2"))
+    kept = ["barcode", "umi", "chrom", "left_5p", "right_5p", "orientation"]
+    spans = lambda *names: [c for k in (1, 2) for c in ((F.col(f"{names[k - 1]}.start") - 1, F.col(f"{names[k - 1]}.end"), F.col(f"{names[k - 1]}.snvs")) if k <= len(names) else (F.lit(None).cast("long"), F.lit(None).cast("long"), snvs))]
+    named = lambda cols: [c.alias(n) for c, n in zip(cols, ("s1", "e1", "v1", "s2", "e2", "v2"), strict=True)]
+    pairs = G.pair_fingerprint(both.where(F.col("r1").isNotNull() & F.col("r2").isNotNull() & (F.col("r1.chrom") == F.col("r2.chrom"))).where(G.pair_passes(least=least_mapq)))
+    pairs = pairs.withColumn("chrom", F.col("r1.chrom")).select("name", *kept, *(c.alias(n) for n, c in G.pair_coordinates().items()), *named(spans("r1", "r2")))
+    one = both.where(F.col("r2").isNull() & F.col("r1").isNotNull() & (F.col("r1.flags").bitwiseAND(1) == 0)).select("name", "barcode", "umi", "r1", "r1.*").where(G.read_passes(least=least_mapq))
+    single = G.single_fingerprint(one).select("name", *kept, *(c.alias(n) for n, c in G.single_coordinates().items()), *named(spans("r1")))
+    reads = pairs.unionByName(single)
+    if not variants:
+        return G.unique_fragments(reads, *shifts, umi="umi" if umi else None)
+    keys = kept if umi else [k for k in kept if k != "umi"]
+    reads = materialized(reads)
+    out = G.unique_fragments(reads, *shifts, umi="umi" if umi else None, keep=[k for k in keys if k not in ("barcode", "chrom")])
+    for k in (1, 2):
+        piles = G.variant_pileup(reads.where(F.col(f"s{k}").isNotNull()), keys, f"s{k}", f"e{k}", f"v{k}").select(*(F.col(c).alias(f"_{c}") for c in keys), F.col("read_start").alias(f"read_start{k}"), F.col("pileup").alias(f"snv{k}"))
+        same = F.lit(True)
+        for c in keys:
+            same = same & F.col(c).eqNullSafe(F.col(f"_{c}"))
+        out = out.join(piles, same, "left").drop(*(f"_{c}" for c in keys))
+    return out.drop(*(k for k in keys if k not in ("barcode", "chrom")))
+
+
+def align(
+    spark: SparkSession, assay: Assay | list[Assay], aligner: Aligner, output: str, *, modality: str | None = None, transcripts: DataFrame | None = None, mito_dna: list[str] = (), shift_left: int = 4, shift_right: int = -5, strandedness: str | None = None,
+    least_mapq: int = 30, mismatch: int = 1, confidence: float = 0.9, max_expected_errors: float | None = None, call_cells: bool = True, compute_snv: bool = False, verify: bool = True,
+) -> Run:
+    """Aligns the reads of one or several assays and returns alignments, unique fragments or a gene by cell table.
+
+    Barcodes may differ from their list in `mismatch` places and need a posterior of `confidence`. Duplicates of a fragment
+    agree in the UMI too, where the assay has one. `compute_snv` adds the reads' variants to fragments. The gene by cell
+    table comes with the coverage of its molecules. Written results take a compression at the sinks.
+    """
     if output not in OUTPUTS:
         raise ValueError(f"output must be one of {OUTPUTS}")
     assays = assay if isinstance(assay, list) else [assay]
     parts, metrics = [], {}
     for i, a in enumerate(assays):
-        reads, found = annotated_reads(spark, a, modality)
+        reads, found = annotated_reads(spark, a, modality, confidence, mismatch, max_expected_errors, call_cells, verify)
         parts.append(reads)
         metrics |= {f"{k}_{i}" if len(assays) > 1 else k: v for k, v in found.items()}
     reads = FQ.concat_assays(*parts).withColumn("name", F.concat_ws(":", "assay_idx", "name"))
-    mate = lambda k: reads.where(F.col(f"r{k}").isNotNull()).select("name", F.lit(k).alias("mate"), f"r{k}.seq", f"r{k}.qual")
-    found = align_reads(mate(1).unionByName(mate(2)), aligner)
-    tags = reads.select("name", F.col("corrected").alias("barcode"), F.col("barcode").alias("raw_barcode"), "umi")
-    alignments = materialized(A.multimaps(found).join(tags, "name"))
+    some = reads.where("r1 is not null or r2 is not null")
+    first = F.coalesce("r1", "r2")  # a read whose first mate is missing goes alone
+    second = F.when(F.col("r1").isNotNull(), F.col("r2"))
+    given = some.select("name", first["seq"].alias("seq1"), first["qual"].alias("qual1"), second["seq"].alias("seq2"), second["qual"].alias("qual2"))
+    tags = reads.select("name", F.col("corrected").alias("barcode"), F.col("barcode").alias("raw_barcode"), F.col("barcode_qual").alias("raw_barcode_qual"), "umi", "umi_qual")
+    alignments = materialized(A.multimaps(align_reads(given, aligner)).join(tags, "name"))
     primary = alignments.where("is_primary")
     metrics["alignment"] = Q.align_qc(primary, list(mito_dna))
+    references = I.genome_offsets(spark.createDataFrame([(i, n, size) for i, (n, size) in enumerate(aligner.header())], "ord long, name string, length long"))
     if output == "alignment":
-        return Run(alignments, metrics)
+        return Run(alignments, metrics, references=references)
     if output == "fragment":
-        placed = G.with_extents(primary.where((F.col("flags").bitwiseAND(4) == 0) & F.col("barcode").isNotNull()))
-        side = F.struct("flags", "mapq", "chrom", "start", "end", "unclipped_start", "unclipped_end")
-        both = placed.groupBy("name", "barcode").agg(F.max(F.when(F.col("mate") == 1, side)).alias("r1"), F.max(F.when(F.col("mate") == 2, side)).alias("r2"))
-        pairs = G.pair_fingerprint(both.where(F.col("r1").isNotNull() & F.col("r2").isNotNull() & (F.col("r1.chrom") == F.col("r2.chrom"))).where(G.pair_passes(least=least_mapq)))
-        kept = ["name", "barcode", "chrom", "left_5p", "right_5p", "orientation"]
-        pairs = pairs.withColumn("chrom", F.col("r1.chrom")).select(*kept, *(c.alias(n) for n, c in G.pair_coordinates().items()))
-        one = both.where(F.col("r2").isNull() & F.col("r1").isNotNull() & (F.col("r1.flags").bitwiseAND(1) == 0)).select("name", "barcode", "r1.*").where(G.read_passes(least=least_mapq))
-        single = G.single_fingerprint(one).select(*kept, *(c.alias(n) for n, c in G.single_coordinates().items()))
-        frags = materialized(G.unique_fragments(pairs.unionByName(single), shift_left, shift_right))
+        umi = not reads.where("umi is not null").isEmpty()
+        frags = materialized(_fragments(primary, umi, (shift_left, shift_right), least_mapq, compute_snv))
         metrics["fragment"] = G.fragment_qc(frags, list(mito_dna))
-        return Run(frags, metrics)
+        return Run(frags, metrics, references=references)
     if transcripts is None:
         raise ValueError("gene_quantification needs transcripts")
+    mate = F.coalesce("mate", F.lit(1))
     mapped = alignments.where((F.col("flags").bitwiseAND(4) == 0) & F.col("barcode").isNotNull())
-    back = (F.col("flags").bitwiseAND(16) != 0) != (F.col("mate") == 2)  # second reads are turned round
-    spliced = mapped.select(F.col("name").alias("read_id"), "aln_idx", "mate", "chrom", spliced_segments("pos", "cigar").alias("segments"), F.when(back, "-").otherwise("+").alias("strand"), "is_multi", "barcode", "umi").where(F.size("segments") > 0)
+    back = (F.col("flags").bitwiseAND(16) != 0) != (mate == 2)  # second reads are turned round
+    spliced = mapped.select(F.col("name").alias("read_id"), "aln_idx", mate.alias("mate"), "chrom", spliced_segments("pos", "cigar").alias("segments"), F.when(back, "-").otherwise("+").alias("strand"), "is_multi", "is_primary", "barcode", "umi").where(F.size("segments") > 0)
     if strandedness is None:
         strandedness = T.strandedness_vote(spliced.where("not is_multi"), transcripts).first()["strandedness"]
     hits = materialized(T.transcript_hits(spliced.select("read_id", "aln_idx", "mate", "chrom", "segments", "strand"), transcripts, strandedness))
@@ -153,9 +221,13 @@ def align(spark: SparkSession, assay: Assay | list[Assay], aligner: Aligner, out
     metrics["gene"] = Q.gene_qc(genes_of)
     genes = T.gene_index(transcripts)
     tagged = genes_of.where("kind = 'aligned'").join(tags.select(F.col("name").alias("read_id"), "barcode", "umi"), "read_id").join(genes.select("gene_id", "gene_idx"), "gene_id")
-    molecules = materialized(T.annotate_molecules(T.molecules(tagged, ["barcode", "gene_idx"]), ["barcode", "gene_idx"]))
+    cells = ["barcode", "gene_idx"]
+    assigned = materialized(T.molecules(tagged, cells))
+    molecules = materialized(T.annotate_molecules(assigned, cells))
     metrics["quantification"] = Q.quantification_qc(molecules)
-    return Run(T.count_layers(molecules), metrics, genes)
+    parts = spliced.where("is_primary").select("read_id", "chrom", "strand", F.explode("segments").alias("s")).select("read_id", "chrom", "strand", "s.start", "s.end")
+    covered = T.molecule_fragments(parts.join(assigned.select("read_id", *cells, "molecule"), "read_id"), cells)
+    return Run(T.count_layers(molecules), metrics, genes, I.coverage_values(covered, references), references)
 
 
 def metrics_dict(metrics: dict[str, DataFrame]) -> dict:

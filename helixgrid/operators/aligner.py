@@ -8,7 +8,7 @@ from typing import Protocol
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-#: Columns that an aligner returns.
+#: Columns that an aligner returns; mate is 1 or 2 for pairs and null for single reads.
 SCHEMA = "name string, mate int, aln_idx int, flags int, chrom string, pos long, mapq int, cigar string, md string, seq string, qual string"
 FASTA_ENDINGS = (".fa", ".fasta", ".fna", ".ffn", ".faa", ".frn")
 
@@ -16,47 +16,23 @@ FASTA_ENDINGS = (".fa", ".fasta", ".fna", ".ffn", ".faa", ".frn")
 class Aligner(Protocol):
     """Made once for each task; must be picklable until then."""
 
+    def header(self) -> list[tuple[str, int]]:
+        """Names and lengths of the reference sequences, in their order."""
+
     def align(self, reads: pa.RecordBatch) -> pa.RecordBatch:
-        """Alignments of reads (name, mate, seq, qual), at least one for each, unmapped ones included."""
+        """Alignments of reads (name, seq1, qual1, seq2, qual2; the last two null for single reads), at least one for each
+        read, unmapped ones included. Both mates of a pair come together, so that they can be placed and flagged as one."""
 
 
 def align_reads(reads: DataFrame, aligner: Aligner) -> DataFrame:
-    """Runs an aligner within the tasks that hold the reads; `reads`: name, mate, seq, qual."""
+    """Runs an aligner within the tasks that hold the reads; `reads`: name, seq1, qual1, seq2, qual2."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield aligner.align(batch)
 
-    return reads.select("name", "mate", "seq", "qual").mapInArrow(run, SCHEMA)
+    return reads.select("name", "seq1", "qual1", "seq2", "qual2").mapInArrow(run, SCHEMA)
 
 
 def is_fasta(path: str) -> bool:
     return path.removesuffix(".gz").endswith(FASTA_ENDINGS)
-
-
-class ExactAligner:
-    """Finds reads that occur unchanged, on either strand, in a few short sequences: for tests and as an example."""
-
-    def __init__(self, sequences: dict[str, str]):
-        self.sequences = sequences
-
-    def align(self, reads: pa.RecordBatch) -> pa.RecordBatch:
-        turn = str.maketrans("ACGTacgt", "TGCATGCA")
-        rows = []
-        for name, mate, seq, qual in zip(*(c.to_pylist() for c in reads.columns), strict=True):
-            hits = []
-            for back, s in ((0, seq), (16, seq.translate(turn)[::-1])):
-                for chrom, text in self.sequences.items():
-                    at = text.find(s)
-                    while at >= 0:
-                        hits.append((chrom, at + 1, back, s))
-                        at = text.find(s, at + 1)
-            base = 0 if mate is None else 1 | (64 if mate == 1 else 128)
-            if not hits:
-                rows.append((name, mate, 0, base | 4, None, None, 0, None, None, seq, qual))
-            for i, (chrom, pos, back, s) in enumerate(sorted(hits)):
-                rows.append((name, mate, i, base | back | (256 if i else 0), chrom, pos, 60 if len(hits) == 1 else 0, f"{len(s)}M", str(len(s)), s, qual[::-1] if back else qual))
-        kinds = [pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.int64(), pa.int32(), pa.string(), pa.string(), pa.string(), pa.string()]
-        cols = list(zip(*rows, strict=True)) if rows else [()] * len(kinds)
-        names = [x.split()[0] for x in SCHEMA.split(", ")]
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.seq import clip_after, clip_before, five_prime, reference_length
@@ -67,8 +67,8 @@ def pair_coordinates(first: str = "r1", second: str = "r2") -> dict[str, Column]
     return {"frag_start": F.least(a, b) - 1, "frag_end": F.greatest(a, b), "strand": F.lit(None).cast("string")}
 
 
-def unique_fragments(reads: DataFrame, shift_left: int = 0, shift_right: int = 0, umi: str | None = None, name: str = "name") -> DataFrame:
-    """chrom, start, end, barcode, count, strand of the fragments that are left when duplicates become one.
+def unique_fragments(reads: DataFrame, shift_left: int = 0, shift_right: int = 0, umi: str | None = None, name: str = "name", keep: list[str] = ()) -> DataFrame:
+    """chrom, start, end, barcode, count, strand (and the columns `keep` of the fingerprint) of the fragments that are left when duplicates become one.
 
     `reads` has barcode, chrom, left_5p, right_5p, orientation, frag_start, frag_end, strand and `name`. Duplicates agree
     in all of the fingerprint (and the UMI, nulls alike); the coordinates are those of the smallest (start, end, name), so
@@ -80,7 +80,7 @@ def unique_fragments(reads: DataFrame, shift_left: int = 0, shift_right: int = 0
     first = F.min(F.struct("frag_start", "frag_end", F.col(name).alias("name"), "strand"))
     found = reads.where(F.col("barcode").isNotNull()).groupBy(*keys).agg(F.count("*").alias("count"), first.alias("f"))
     moved = lambda c, by: F.when(F.col("f.strand").isNull(), F.greatest(F.col(c) + by, F.lit(0))).otherwise(F.col(c)).cast("long")
-    out = found.select("chrom", moved("f.frag_start", shift_left).alias("start"), moved("f.frag_end", shift_right).alias("end"), "barcode", "count", F.col("f.strand").alias("strand"))
+    out = found.select("chrom", moved("f.frag_start", shift_left).alias("start"), moved("f.frag_end", shift_right).alias("end"), "barcode", "count", F.col("f.strand").alias("strand"), *keep)
     return out.where(F.col("end") > F.col("start"))
 
 
@@ -89,9 +89,11 @@ def ordered_fragments(fragments: DataFrame) -> DataFrame:
     return fragments.repartitionByRange("barcode", "chrom", "start").sortWithinPartitions("barcode", "chrom", "start", "end", "count")
 
 
-def fragment_line() -> Column:
-    """A fragment as a line of tab-separated text; missing barcodes and strands are dots."""
-    return F.concat_ws("\t", "chrom", F.col("start").cast("string"), F.col("end").cast("string"), F.coalesce("barcode", F.lit(".")), F.col("count").cast("string"), F.coalesce("strand", F.lit(".")))
+def fragment_line(variants: bool = False) -> Column:
+    """A fragment as a line of tab-separated text; missing barcodes and strands are dots. `variants`: the begin and the
+    pile-up of each read follow, those of a second read only where there is one."""
+    line = F.concat_ws("\t", "chrom", F.col("start").cast("string"), F.col("end").cast("string"), F.coalesce("barcode", F.lit(".")), F.col("count").cast("string"), F.coalesce("strand", F.lit(".")))
+    return F.concat_ws("\t", line, *(F.col(f"{c}{k}").cast("string") for k in (1, 2) for c in ("read_start", "snv"))) if variants else line
 
 
 def parse_fragments(lines: DataFrame, column: str = "value") -> DataFrame:
@@ -124,13 +126,31 @@ def read_extents(reads: DataFrame, keys: list[str]) -> DataFrame:
     return reads.groupBy(*keys).agg(F.min("read_start").alias("read_start"), F.max("read_end").alias("read_end"))
 
 
+def variant_pileup(reads: DataFrame, keys: list[str], start: str, end: str, variants: str) -> DataFrame:
+    """keys, read_start and pileup: the span of a duplicate group's reads, 0-based, and its reads' variants as texts over
+    this span, as in snv_pileup. `variants`: arrays of (position, kind, length, bases), null or empty for none. Reads of one
+    group with the same variants are one row before anything is collected."""
+    from .snv import render_variants
+
+    counted = reads.groupBy(*keys, F.coalesce(F.col(variants), F.array().cast("array<struct<position:bigint,kind:string,length:int,bases:string>>")).alias("_v")).agg(F.count("*").alias("n"), F.min(start).alias("_s"), F.max(end).alias("_e"))
+    group = Window.partitionBy(*keys)
+    spans = counted.withColumns({"read_start": F.min("_s").over(group), "_end": F.max("_e").over(group)})
+    moved = F.transform("_v", lambda v: F.struct((v["position"] - F.col("read_start")).alias("axis"), v["kind"].alias("kind"), v["length"].cast("long").alias("n"), v["bases"].alias("bases")))
+    texts = spans.withColumn("e", render_variants(moved, F.col("_end") - F.col("read_start"))["text"]).groupBy(*keys, "read_start", "e").agg(F.sum("n").alias("n"))
+    return _joined(texts, [*keys, "read_start"])
+
+
+def _joined(counted: DataFrame, keys: list[str]) -> DataFrame:
+    """keys and pileup of texts e with numbers of reads n."""
+    joined = counted.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("e", "n"))).alias("x"), F.sum("n").alias("all"))
+    line = F.array_join(F.transform("x", lambda r: F.when(r["n"] == F.col("all"), r["e"]).otherwise(F.concat(r["e"], F.lit(":"), r["n"].cast("string")))), ";")
+    return joined.select(*keys, line.alias("pileup"))
+
+
 def snv_pileup(reads: DataFrame, keys: list[str]) -> DataFrame:
     """keys and pileup: the different SNV strings of a duplicate group with their numbers of reads, in order, joined by
     ";". `reads` has snvs (null: none) and length. A read without SNV counts under its length; a number that is the whole
     group's is left out. A group's strings are as many as it has different ones."""
     entry = F.coalesce(F.col("snvs"), F.col("length").cast("string"))
     counted = reads.groupBy(*keys, entry.alias("e")).agg(F.count("*").alias("n"))
-    texts = F.array_sort(F.collect_list(F.struct("e", "n")))
-    joined = counted.groupBy(*keys).agg(texts.alias("x"), F.sum("n").alias("all"))
-    line = F.array_join(F.transform("x", lambda r: F.when(r["n"] == F.col("all"), r["e"]).otherwise(F.concat(r["e"], F.lit(":"), r["n"].cast("string")))), ";")
-    return joined.select(*keys, line.alias("pileup"))
+    return _joined(counted, keys)

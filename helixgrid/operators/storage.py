@@ -9,10 +9,13 @@ from pyspark.sql import DataFrame
 
 def materialized(df: DataFrame) -> DataFrame:
     """Writes a table under spark.checkpoint.dir and reads it back, so that later plans start from files that outlive an
-    executor. Where the setting is unset, as in tests, a temporary folder is made and set."""
+    executor. Where the setting is unset, a local session makes and sets a
+    temporary folder; a cluster fails."""
     spark = df.sparkSession
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         import tempfile
 
         folder = "file://" + tempfile.mkdtemp(prefix="spark-shared-")

@@ -48,9 +48,10 @@ def read_fragments(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_fragments(fragments: DataFrame, path: str, header: dict[str, str] | None = None, compression: str = "gzip") -> None:
-    """A folder of fragment files, in the order of cells and places; the header is a file of its own that sorts first."""
+    """A folder of fragment files, in the order of cells and places, with variants where the table has them. A header is
+    written beside it as <path>_header, since the files of a folder are written by tasks."""
     spark = fragments.sparkSession
-    lines = ordered_fragments(fragments).select(fragment_line().alias("value"))
+    lines = ordered_fragments(fragments).select(fragment_line("snv1" in fragments.columns).alias("value"))
     lines.write.mode("append").option("compression", compression).text(path)
     if header:
         rows = [(f"# {k}={v}",) for k, v in header.items()]
@@ -72,10 +73,16 @@ def write_alignments(alignments: DataFrame, path: str, as_text: bool = False) ->
         alignments.write.parquet(path)
 
 
-def write_counts(counts: DataFrame, genes: DataFrame, path: str) -> None:
-    """A count table as Parquet triples, a folder for each layer, beside the genes."""
-    counts.write.partitionBy("layer").parquet(f"{path.rstrip('/')}/counts")
-    genes.write.parquet(f"{path.rstrip('/')}/genes")
+def write_counts(counts: DataFrame, genes: DataFrame, path: str, coverage: DataFrame | None = None, references: DataFrame | None = None) -> None:
+    """A count table as Parquet triples, a folder for each layer, beside the genes, the coverage (barcode, linear, size; in
+    the order of cells and places) and the reference sequences with their lengths, if these are given."""
+    root = path.rstrip("/")
+    counts.write.partitionBy("layer").parquet(f"{root}/counts")
+    genes.write.parquet(f"{root}/genes")
+    if coverage is not None:
+        coverage.repartitionByRange("barcode", "linear").sortWithinPartitions("barcode", "linear", "size").write.parquet(f"{root}/coverage")
+    if references is not None:
+        references.write.parquet(f"{root}/references")
 
 
 def collated_pairs(alignments: DataFrame) -> DataFrame:

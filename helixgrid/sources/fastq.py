@@ -14,18 +14,52 @@ from ..functions.seq import strip_mate_suffix
 BROADCAST_SPLITS = 500_000
 
 
-def _zstd_lines(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """Lines of zstd files, which Spark's text reader only knows with native libraries: each file is read whole by a task
-    and decompressed as a stream."""
+def _files(spark: SparkSession, paths: list[str]) -> list[tuple[int, str, str]]:
+    """(index of the given path, file as Spark reads it, file as the scan names it) of all files behind the paths, in their
+    order; files of a folder in the order of names. A path without files fails."""
+    hadoop, out = spark._jvm.org.apache.hadoop.fs, []
+    conf = spark._jsc.hadoopConfiguration()
+    for i, p in enumerate(paths):
+        path = hadoop.Path(p)
+        fs = path.getFileSystem(conf)
+        found = [fs.getFileStatus(path)] if fs.exists(path) else list(fs.globStatus(path) or [])
+        inner = [x for s in found for x in (sorted(fs.listStatus(s.getPath()), key=lambda x: x.getPath().getName()) if s.isDirectory() else [s])]
+        inner = [x.getPath() for x in inner if x.isFile() and (x.getPath().getName()[0] not in "._")]
+        if not inner:
+            raise FileNotFoundError(p)
+        out += [(i, x.toString(), x.toUri().toString()) for x in inner]
+    return out
+
+
+def _is_gzip(spark: SparkSession, path: str) -> bool:
+    """Whether a file begins as gzip data do, whatever its name."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    stream = p.getFileSystem(spark._jsc.hadoopConfiguration()).open(p)
+    try:
+        return stream.read() == 0x1F and stream.read() == 0x8B
+    finally:
+        stream.close()
+
+
+def _plain_uri(c: Column) -> Column:
+    """A file's address with one slash after the scheme where there is no host."""
+    return F.regexp_replace(c, "^([a-z0-9+.-]+):/+(?=[^/])", "$1:/")
+
+
+def _packed_lines(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """Lines of zstd files, which Spark's text reader only knows with native libraries, and of gzip files that are not named
+    so: each file is read whole by a task and decompressed as a stream."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import gzip
         import io
 
         import zstandard
 
         for batch in batches:
             for name, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                text = io.TextIOWrapper(zstandard.ZstdDecompressor().stream_reader(io.BytesIO(raw), read_across_frames=True))
+                data = io.BytesIO(raw)
+                text = io.TextIOWrapper(gzip.GzipFile(fileobj=data) if raw[:2] == b"\x1f\x8b" else zstandard.ZstdDecompressor().stream_reader(data, read_across_frames=True))
                 first, held = 0, []
                 for line in text:
                     held.append(line.rstrip("\r\n"))
@@ -35,15 +69,15 @@ def _zstd_lines(spark: SparkSession, paths: list[str]) -> DataFrame:
                 if held:
                     yield pa.RecordBatch.from_arrays([pa.array([name] * len(held)), pa.array(range(first, first + len(held)), pa.int64()), pa.array(held)], ["file", "line_no", "value"])
 
-    return spark.read.format("binaryFile").load(paths).select("path", "content").mapInArrow(run, "file string, line_no long, value string")
+    return spark.read.format("binaryFile").load(paths).select(F.col("_metadata.file_path").alias("path"), "content").mapInArrow(run, "file string, line_no long, value string")
 
 
 def _numbered(spark: SparkSession, paths: list[str]) -> DataFrame:
     """file, line_no (from 0 in its file) and value of every line. Lines are numbered within their split as they stream;
     the splits' first numbers are a running sum over the splits' counts."""
-    packed = [p for p in paths if p.endswith(".zst")]
+    packed = {p for p in paths if p.endswith(".zst") or (not p.endswith(".gz") and _is_gzip(spark, p))}
     if packed:
-        lines, rest = _zstd_lines(spark, packed), [p for p in paths if not p.endswith(".zst")]
+        lines, rest = _packed_lines(spark, sorted(packed)), [p for p in paths if p not in packed]
         return lines.unionByName(_numbered(spark, rest)) if rest else lines
     raw = spark.read.text(paths).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), "value")
 
@@ -68,30 +102,33 @@ def _numbered(spark: SparkSession, paths: list[str]) -> DataFrame:
 def read_fastq(spark: SparkSession, paths: list[str] | str, max_len: int = 0, min_len: int = 0) -> DataFrame:
     """file_idx, rec_idx (from 0 over all files, in their order), name, descr, seq, qual of FASTQ files.
 
-    Compressed files (by extension: gz, zst and whatever Spark reads) are read whole by a task each, plain ones in splits.
-    A record's four lines meet by their number; sequences are cut at `max_len` if it is above 0, and a shorter sequence
-    than `min_len` fails. Files keep the order in which they are given; no file gives an empty table.
+    Compressed files (by extension: gz, zst and whatever Spark reads; gzip by its first bytes too) are read whole by a task
+    each, plain ones in splits. A record's four lines meet by their number; sequences are cut at `max_len` if it is above 0,
+    and a shorter sequence than `min_len` fails. Files keep the order in which they are given, and a file given twice is
+    read as two; a folder stands for its files; no file gives an empty table.
     """
     paths = [paths] if isinstance(paths, str) else list(paths)
     schema = "file_idx int, rec_idx long, name string, descr string, seq string, qual string"
     if not paths:
         return spark.createDataFrame([], schema)
-    lines = _numbered(spark, paths)
+    files = _files(spark, paths)
+    lines = _numbered(spark, sorted({f for _, f, _ in files}))
     part = lambda k: F.max(F.when(F.col("line_no") % 4 == k, F.col("value")))
     records = lines.groupBy("file", F.floor(F.col("line_no") / 4).alias("r")).agg(part(0).alias("h"), part(1).alias("s"), part(2).alias("p"), part(3).alias("q"))
-    order = F.lit(None).cast("int")
-    for i, p in enumerate(paths):
-        order = F.when(F.col("file").endswith(p.split("://")[-1].split("/")[-1]) & F.col("file").contains(p.split("://")[-1].lstrip("/")), i).otherwise(order)
-    whole = records.where("h is not null and h <> ''").withColumn("file_idx", order)
-    sizes = whole.groupBy("file_idx").agg(F.count("*").alias("n"))
-    base = sizes.select("file_idx", F.coalesce(F.sum("n").over(Window.orderBy("file_idx").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))
+    whole = records.where("h is not null and h <> ''").withColumn("file", _plain_uri(F.col("file")))
+    # A row for each given file, so that it is as small as the list of paths.
+    given = spark.createDataFrame([(uri, k, i) for k, (i, _, uri) in enumerate(files)], "file string, place int, file_idx int").withColumn("file", _plain_uri(F.col("file")))
+    sizes = whole.groupBy("file").agg(F.count("*").alias("n"))
+    before = F.sum(F.coalesce("n", F.lit(0))).over(Window.orderBy("place").rowsBetween(Window.unboundedPreceding, -1))
+    base = given.join(sizes, "file", "left").select("file", "file_idx", F.coalesce(before, F.lit(0)).alias("base"))
+    known = F.when(F.col("file_idx").isNull(), F.raise_error(F.concat(F.lit("a record of no given file: "), "file")).cast("int")).otherwise(F.col("file_idx"))
     bad = ~F.col("h").startswith("@") | F.col("s").isNull() | ~F.coalesce(F.col("p").startswith("+"), F.lit(False)) | (F.length("s") != F.length("q"))
     short = F.length("s") < min_len
     cut = (lambda c: F.substring(c, 1, max_len)) if max_len > 0 else F.col
     head = F.substring("h", 2, 1 << 30)
     seq = F.when(bad, F.raise_error(F.concat(F.lit("broken record: "), F.coalesce("h", F.lit("?")))).cast("string")).when(F.lit(min_len > 0) & short, F.raise_error(F.lit("a sequence is shorter than min_len")).cast("string")).otherwise(cut("s"))
-    return whole.join(F.broadcast(base), "file_idx").select(
-        "file_idx",
+    return whole.join(F.broadcast(base), "file", "left").select(
+        known.alias("file_idx"),
         (F.col("base") + F.col("r")).cast("long").alias("rec_idx"),
         F.substring_index(head, " ", 1).alias("name"),
         F.when(F.instr(head, " ") > 0, F.expr("substring(h, instr(h, ' ') + 1)")).otherwise("").alias("descr"),
@@ -155,11 +192,24 @@ def consolidated(reads: DataFrame, corrected: bool = False) -> DataFrame:
     return kept.select("name", front(bc, F.col("umi"), F.col("r1.seq")).alias("seq1"), front(F.col("barcode_qual"), F.col("umi_qual"), F.col("r1.qual")).alias("qual1"), F.col("r2.seq").alias("seq2"), F.col("r2.qual").alias("qual2"))
 
 
-def strip_groups(text: Column, pattern: str, groups: int) -> tuple[Column, list[Column]]:
-    """The text without its captured groups, and the groups, of a pattern with `groups` plain, not nested groups, which
-    must be separated within it so that concatenating what is between them gives the rest back. Null where it doesn't
-    match."""
-    found = [F.when(text.rlike(pattern), F.regexp_extract(text, pattern, i)) for i in range(1, groups + 1)]
+def group_names(pattern: str) -> dict[str, int]:
+    """Numbers of a pattern's named groups."""
+    import re
+
+    return dict(re.compile(re.sub(r"\(\?<(?=[A-Za-z])", "(?P<", pattern)).groupindex)
+
+
+def strip_groups(text: Column, pattern: str, groups: int | list[str] | None = None) -> tuple[Column, list[Column]]:
+    """The text without its captured groups, and the groups: the first `groups` ones, those of the given names, or all of a
+    pattern. Groups must be separated within the pattern, so that concatenating what is between them gives the rest back;
+    a group within a group leaves with it. Null where it doesn't match."""
+    import re
+
+    names = group_names(pattern)
+    if groups is None:
+        groups = re.compile(re.sub(r"\(\?<(?=[A-Za-z])", "(?P<", pattern)).groups
+    wanted = list(range(1, groups + 1)) if isinstance(groups, int) else [names[g] for g in groups]
+    found = [F.when(text.rlike(pattern), F.regexp_extract(text, pattern, i)) for i in wanted]
     return F.when(text.rlike(pattern), _rest(text, pattern)), found
 
 
@@ -183,6 +233,11 @@ def _rest(text: Column, pattern: str) -> Column:
             skip = pattern.index(">", i) + 1 if pattern.startswith("(?<", i) and pattern[i + 3] not in "=!" else i + 1
             i, depth = skip, 1
             continue
+        if ch == "(" and depth and (pattern[i + 1] != "?" or (pattern.startswith("(?<", i) and pattern[i + 3] not in "=!")):
+            now += "(?:"  # a group within a group leaves with it
+            i = pattern.index(">", i) + 1 if pattern[i + 1] == "?" else i + 1
+            depth += 1
+            continue
         if ch == "(":
             depth += 1
         elif ch == ")":

@@ -4,11 +4,13 @@ import random
 
 import pytest
 
-from helixgrid.api import align, make_fastq, metrics_dict
-from helixgrid.operators.aligner import ExactAligner
+from helixgrid.api import align, annotated_reads, make_fastq, metrics_dict
+from helixgrid.operators.fragments import fragment_line
 from helixgrid.plans.layout import Assay
+from helixgrid.sources.alignments import write_counts
 from helixgrid.sources.fastq import read_fastq
 from helixgrid.streaming.running import fragment_qc_to, running_histogram
+from tests.exact_aligner import Edited, ExactAligner
 
 LAYOUT = """!Assay
 assay_id: demo
@@ -55,19 +57,79 @@ def test_gene_quantification(spark, run):
     m = metrics_dict(r.metrics)
     assert m["barcode_bc"]["total"] == 8 and m["barcode_bc"]["mismatches"] == 2
     assert m["alignment"]["sequenced_reads"] == 8 and m["alignment"]["frac_valid_barcode"] == pytest.approx(7 / 8)
+    assert {(x.barcode, x.linear, x.size) for x in r.coverage.collect()} == {("AAAACCCC", 100, 25), ("AAAACCCC", 110, 20), ("GGGGTTTT", 120, 20)}
+    assert [(x.name, x.length, x.offset) for x in r.references.collect()] == [("chr1", 2000, 0)]
+    write_counts(r.output, r.genes, str(d / "out"), r.coverage, r.references)
+    assert {x.name: spark.read.parquet(str(x)).count() for x in (d / "out").iterdir()} == {"counts": 4, "genes": 1, "coverage": 3, "references": 1}
     assert m["gene"]["frac_intergenic"] == pytest.approx(1 / 7) and m["quantification"]["num_unique_umi"] == 3
 
 
 def test_fragments(spark, run):
+    """Single reads: their strand and their ends as they are; UMIs tell duplicates apart."""
     d, genome = run
     r = align(spark, Assay.load(str(d / "l.yaml")), ExactAligner({"chr1": genome}), "fragment")
-    got = {(x.barcode, x.start): x["count"] for x in r.output.collect()}
-    assert got == {} or all(k[0] in ("AAAACCCC", "GGGGTTTT") for k in got)
-    assert align(spark, Assay.load(str(d / "l.yaml")), ExactAligner({"chr1": genome}), "alignment").output.count() == 8
+    got = sorted((x.barcode, x.chrom, x.start, x.end, x["count"], x.strand) for x in r.output.collect())
+    assert got == [("AAAACCCC", "chr1", 100, 120, 3, "+"), ("AAAACCCC", "chr1", 105, 125, 1, "+"), ("AAAACCCC", "chr1", 110, 130, 1, "+"), ("GGGGTTTT", "chr1", 120, 140, 1, "+"), ("GGGGTTTT", "chr1", 1500, 1520, 1, "+")]
+    found = align(spark, Assay.load(str(d / "l.yaml")), ExactAligner({"chr1": genome}), "alignment").output
+    assert found.count() == 8 and {"raw_barcode_qual", "umi_qual"} <= set(found.columns)
     with pytest.raises(ValueError):
         align(spark, Assay.load(str(d / "l.yaml")), ExactAligner({}), "nothing")
 
 
+PAIRS = """!Assay
+assay_id: pairs
+modalities: [atac]
+sequence_spec:
+- !Read {read_id: R1, modality: atac, primer_id: p1, min_len: 28, max_len: 28, strand: pos, files: [!File {file_id: a, filetype: fastq, url: a.fastq, urltype: local}]}
+- !Read {read_id: R2, modality: atac, primer_id: p2, min_len: 20, max_len: 20, strand: neg, files: [!File {file_id: b, filetype: fastq, url: b.fastq, urltype: local}]}
+library_spec:
+- !Region
+  region_id: atac
+  region_type: atac
+  sequence_type: joined
+  regions:
+  - !Region {region_id: p1, region_type: truseq_read1, sequence_type: fixed, sequence: ACGT, min_len: 4, max_len: 4}
+  - !Region {region_id: bc, region_type: barcode, sequence_type: random, sequence: NNNNNNNN, min_len: 8, max_len: 8}
+  - !Region {region_id: gdna, region_type: gdna, sequence_type: random, sequence: X, min_len: 1, max_len: 100}
+  - !Region {region_id: p2, region_type: truseq_read2, sequence_type: fixed, sequence: ACGT, min_len: 4, max_len: 4}
+"""
+
+
+def test_pairs(spark, tmp_path):
+    """Mates go to the aligner together; duplicates, shifted ends, variants and cell calling without a list."""
+    rng = random.Random(6)
+    genome = "".join(rng.choice("ACGT") for _ in range(1000))
+    (tmp_path / "l.yaml").write_text(PAIRS)
+    rows = [("AAAACCCC", 100)] * 3 + [("AAAACCCC", 300)] * 12 + [("GGGGTTTT", 300)] * 25 + [("CACACACA", 300)] * 2 + [("CTCTCTCT", 300)]
+    with open(tmp_path / "a.fastq", "w") as a, open(tmp_path / "b.fastq", "w") as b:
+        for i, (bc, at) in enumerate(rows):
+            a.write(f"@n{i}\n{bc}{genome[at : at + 20]}\n+\n{'F' * 28}\n")
+            b.write(f"@n{i}\n{genome[at + 80 : at + 100].translate(TURN)[::-1]}\n+\n{'F' * 20}\n")
+    assay = Assay.load(str(tmp_path / "l.yaml"))
+    r = align(spark, assay, Edited({"chr1": genome}), "fragment", compute_snv=True)
+    base = genome[105]
+    got = {(x.barcode, x.start, x.end): (x["count"], x.strand, x.read_start1, x.snv1, x.read_start2, x.snv2) for x in r.output.collect()}
+    want = {
+        ("AAAACCCC", 104, 195): (3, None, 100, f"20:1;5{base}14:2", 180, "20"),
+        ("AAAACCCC", 304, 395): (12, None, 300, "20", 380, "20"),
+        ("GGGGTTTT", 304, 395): (25, None, 300, "20", 380, "20"),
+        ("CACACACA", 304, 395): (2, None, 300, "20", 380, "20"),
+    }  # the threshold is the first count below the called cells, 2, so that CTCTCTCT, seen once, goes
+    assert got == want
+    lines = [x.value for x in r.output.select(fragment_line(True).alias("value")).collect()]
+    assert f"chr1\t104\t195\tAAAACCCC\t3\t.\t100\t20:1;5{base}14:2\t180\t20" in lines
+    every = align(spark, assay, ExactAligner({"chr1": genome}), "fragment", call_cells=False).output
+    assert every.count() == 5 and metrics_dict(r.metrics)["alignment"]["frac_properly_paired"] == 1.0
+
+
+def test_layout_warning(spark, run, tmp_path):
+    d, genome = run
+    (tmp_path / "l.yaml").write_text(LAYOUT.replace("r1.fastq", str(d / "r1.fastq")).replace("r2.fastq", str(d / "r2.fastq")))
+    (tmp_path / "list.txt").write_text("TTTTTTTT\nGGGGGGGG\n")
+    with pytest.warns(UserWarning, match="have a barcode on the list of bc"):
+        annotated_reads(spark, Assay.load(str(tmp_path / "l.yaml")))
+
+
 def test_make_fastq(spark, run, tmp_path):
     d, genome = run
     make_fastq(spark, Assay.load(str(d / "l.yaml")), str(tmp_path), correct_barcode=True)

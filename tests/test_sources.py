@@ -4,11 +4,13 @@ import gzip
 
 import pytest
 import zstandard
+from pyspark.sql import functions as F
 
-from helixgrid.operators.aligner import ExactAligner, align_reads, is_fasta
+from helixgrid.operators.aligner import align_reads, is_fasta
 from helixgrid.plans.layout import Assay, LayoutError, parse_region_type
 from helixgrid.sources import alignments as A
 from helixgrid.sources import fastq as Q
+from tests.exact_aligner import ExactAligner
 
 LAYOUT = """!Assay
 assay_id: demo
@@ -114,8 +116,10 @@ def test_fragment_files(spark, tmp_path):
 
 
 def test_exact_aligner(spark):
-    reads = spark.createDataFrame([("a", 1, "ACGTT", "ABCDE"), ("b", 1, "AACGT", "ABCDE"), ("c", None, "GGGGG", "FFFFF")], "name string, mate int, seq string, qual string")
-    got = {r.name: r for r in align_reads(reads, ExactAligner({"chr1": "TTACGTTCC"})).collect()}
+    reads = spark.createDataFrame([("a", "ACGTT", "ABCDE", None, None), ("b", "AACGT", "ABCDE", None, None), ("c", "GGGGG", "ABCDE", None, None), ("d", "ACGTT", "ABCDE", "GGAAC", "EDCBA")], "name string, seq1 string, qual1 string, seq2 string, qual2 string")
+    rows = align_reads(reads, ExactAligner({"chr1": "TTACGTTCC"})).collect()
+    got = {r.name: r for r in rows if r.mate is None}
+    assert [(r.mate, r.flags, r.pos) for r in rows if r.name == "d"] == [(1, 67, 3), (2, 147, 5)]
     assert (got["a"].pos, got["a"].flags & 16, got["b"].pos, got["b"].flags & 16, got["b"].qual, got["c"].flags) == (3, 0, 3, 16, "EDCBA", 4)
     assert is_fasta("x.fa.gz") and not is_fasta("x.fastq")
 
@@ -150,3 +154,31 @@ def test_layout_rules():
     deep = "!Assay\nlibrary_spec:\n- !Region {region_id: a, region_type: rna, regions: [!Region {region_id: b, region_type: umi, regions: [!Region {region_id: c, region_type: umi}]}]}"
     with pytest.raises(LayoutError):
         Assay.parse(deep)
+
+
+def test_read_fastq_odd_paths(spark, tmp_path):
+    """Spaces and signs in names, a file given twice, gzip data under another name, a folder, and an empty file."""
+    import gzip
+
+    names = ["a b.fastq", "c%20d.fastq", "e#f+g.fastq", "same.fastq"]
+    for i, n in enumerate(names):
+        (tmp_path / n).write_text("".join(f"@r{i}{k}\nACG{'ACGT'[k]}\n+\nFFFF\n" for k in range(3)))
+    (tmp_path / "packed").write_bytes(gzip.compress(b"@z\nAC\n+\nFF\n"))
+    (tmp_path / "empty.fastq").write_text("")
+    (tmp_path / "dir").mkdir()
+    (tmp_path / "dir" / "same.fastq").write_text("@d\nA\n+\nF\n")
+    paths = [str(tmp_path / n) for n in ["same.fastq", "a b.fastq", "empty.fastq", "same.fastq", "c%20d.fastq", "packed", "e#f+g.fastq", "dir"]]
+    rows = Q.read_fastq(spark, paths).orderBy("rec_idx").collect()
+    assert [r.rec_idx for r in rows] == list(range(17))
+    assert [r.file_idx for r in rows] == [0] * 3 + [1] * 3 + [3] * 3 + [4] * 3 + [5] + [6] * 3 + [7]
+    assert [r.name for r in rows] == ["r30", "r31", "r32", "r00", "r01", "r02", "r30", "r31", "r32", "r10", "r11", "r12", "z", "r20", "r21", "r22", "d"]
+    with pytest.raises(FileNotFoundError):
+        Q.read_fastq(spark, str(tmp_path / "missing.fastq"))
+
+
+def test_groups_by_name_and_within_groups(spark):
+    x = spark.createDataFrame([("AB12cdXY",), ("zz",)], "t string")
+    rest, (code, kind) = Q.strip_groups(F.col("t"), r"^AB(?<kind>(?<digit>\d)\d)cd(?<code>[A-Z]+)$", ["code", "kind"])
+    rows = x.select(rest.alias("r"), code.alias("c"), kind.alias("k")).collect()
+    assert tuple(rows[0]) == ("ABcd", "XY", "12") and tuple(rows[1]) == (None, None, None)
+    assert Q.group_names(r"(?<a>x)(y)(?<b>z)") == {"a": 1, "b": 3}
