@@ -16,8 +16,9 @@ from ..operators import qc as Q
 from ..operators import segments as M
 from ..operators import snv as V
 from ..operators import transcriptome as T
+from ..operators.storage import materialized
 from ..sources import alignments as A
-from ..sources.fastq import strip_groups
+from ..sources import fastq as FQ
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -92,9 +93,21 @@ def _listed(reads: DataFrame, onlist: DataFrame) -> DataFrame:
     return B.whitelist_counts(h, onlist).where("listed").select("barcode", "n")
 
 
+def sql_miss(x: str, key: str, n: int, every: int) -> str:
+    """A base of every so many barcodes is another one."""
+    p = f"cast(1 + {key} % {n} as int)"
+    return f"case when {key} % {every} = 0 then substr({x}, 1, {p} - 1) || translate(substr({x}, {p}, 1), 'ACGT', 'CGTA') || substr({x}, {p} + 1) else {x} end"
+
+
+def _miss(x: Column, key: str, n: int, every: int) -> Column:
+    p = (1 + F.col(key) % n).cast("int")
+    changed = F.concat(F.substr(x, F.lit(1), p - 1), F.translate(F.substr(x, p, F.lit(1)), "ACGT", "CGTA"), F.substr(x, p + 1, F.lit(n)))
+    return F.when(F.col(key) % every == 0, changed).otherwise(x)
+
+
 @query(
-    f"""with r as (select event_id, {sql4('event_id % 3000', 10)} bc, 33 + event_id % 41 a, 33 + user_id % 8 * 5 b from events),
-    d as (select distinct {sql4('p_partkey', 10)} cand from part where p_partkey % 3 = 0),
+    f"""with r as (select event_id, {sql_miss(sql4('event_id % 3000', 10), 'event_id', 10, 3)} bc, 33 + event_id % 41 a, 33 + user_id % 8 * 5 b from events),
+    d as (select distinct {sql4('p_partkey', 10)} cand from part),
     k as (select cand, count(r.bc) n from d left join r on r.bc = d.cand group by 1),
     u as (select distinct bc from r where bc not in (select cand from d)),
     near as (select bc, cand, n, list_filter(range(1, 11), lambda i: substr(bc, i, 1) <> substr(cand, i, 1))[1] p from u join k on hamming(bc, cand) = 1),
@@ -108,15 +121,15 @@ def _listed(reads: DataFrame, onlist: DataFrame) -> DataFrame:
 def barcode_correct_1mm(spark, sf_dir):
     q = lambda c: F.chr((33 + c).cast("long"))
     qual = F.concat(F.repeat(q(F.col("event_id") % 41), 5), F.repeat(q(F.col("user_id") % 8 * 5), 5))
-    reads = table(spark, sf_dir, "events").select("event_id", S.base4(F.col("event_id") % 3000, 10).alias("barcode"), qual.alias("qual"))
-    onlist = table(spark, sf_dir, "part").where("p_partkey % 3 = 0").select(S.base4("p_partkey", 10).alias("barcode"))
+    reads = table(spark, sf_dir, "events").select("event_id", _miss(S.base4(F.col("event_id") % 3000, 10), "event_id", 10, 3).alias("barcode"), qual.alias("qual"))
+    onlist = table(spark, sf_dir, "part").select(S.base4("p_partkey", 10).alias("barcode"))
     out = B.correct_barcodes(reads, _listed(reads.select("barcode"), onlist), ["event_id"], threshold=0.9)
     return out.select("event_id", "corrected", F.round("posterior", 4).alias("posterior"), "status")
 
 
 @query(
-    f"""with r as (select o_orderkey, {sql4('o_custkey', 9)} bc, 33 + o_orderkey % 40 a, 33 + o_orderkey % 7 * 5 b from orders),
-    d as (select distinct {sql4('c_custkey', 9)} cand from customer where c_custkey % 40 = 0),
+    f"""with r as (select o_orderkey, {sql_miss(sql4('o_custkey', 9), 'o_orderkey', 9, 4)} bc, 33 + o_orderkey % 40 a, 33 + o_orderkey % 7 * 5 b from orders),
+    d as (select distinct {sql4('c_custkey', 9)} cand from customer),
     k as (select cand, count(r.bc) n from d left join r on r.bc = d.cand group by 1),
     u as (select distinct bc from r where bc not in (select cand from d)),
     near as (select bc, cand, n, list_filter(range(1, 10), lambda i: substr(bc, i, 1) <> substr(cand, i, 1)) p from u join k on hamming(bc, cand) in (1, 2)),
@@ -131,8 +144,8 @@ def barcode_correct_1mm(spark, sf_dir):
 def barcode_correct_2mm(spark, sf_dir):
     q = lambda c: F.chr((33 + c).cast("long"))
     qual = F.concat(F.repeat(q(F.col("o_orderkey") % 40), 5), F.repeat(q(F.col("o_orderkey") % 7 * 5), 4))
-    reads = table(spark, sf_dir, "orders").select("o_orderkey", S.base4("o_custkey", 9).alias("barcode"), qual.alias("qual"))
-    onlist = table(spark, sf_dir, "customer").where("c_custkey % 40 = 0").select(S.base4("c_custkey", 9).alias("barcode"))
+    reads = table(spark, sf_dir, "orders").select("o_orderkey", _miss(S.base4("o_custkey", 9), "o_orderkey", 9, 4).alias("barcode"), qual.alias("qual"))
+    onlist = table(spark, sf_dir, "customer").select(S.base4("c_custkey", 9).alias("barcode"))
     out = B.correct_barcodes(reads, _listed(reads.select("barcode"), onlist), ["o_orderkey"], distance=2, threshold=0.9)
     return out.select("o_orderkey", "corrected", F.round("posterior", 4).alias("posterior"), "status")
 
@@ -178,7 +191,7 @@ def multiplex_barcodes(spark, sf_dir):
 def regex_strip(spark, sf_dir):
     """Names such as EV:7:000042click lose their captured groups."""
     name = F.concat(F.lit("EV:"), F.col("event_id").cast("string"), F.lit(":"), F.lpad(F.col("user_id").cast("string"), 6, "0"), F.col("event_type"))
-    rest, (a, b) = strip_groups(name, r"(?<code>\d{6})(?<kind>[a-z_]+)$", 2)
+    rest, (a, b) = FQ.strip_groups(name, r"(?<code>\d{6})(?<kind>[a-z_]+)$", ["code", "kind"])
     return table(spark, sf_dir, "events").select("event_id", rest.alias("rest"), a.alias("g1"), b.alias("g2"))
 
 
@@ -194,17 +207,16 @@ def segment_split_fixed(spark, sf_dir):
 
 @query(
     f"""with r as (select event_id, {sql4('event_id * 7919 + 13', 16)} s from events)
-    select event_id, substr(s, 1, 4) barcode, case when position('TTA' in substr(s, 5, 6)) > 0 then substr(s, 5, position('TTA' in substr(s, 5, 6)) - 1) end spacer,
-    case when position('TTA' in substr(s, 5, 6)) > 0 then 'ok' else 'pattern_mismatch' end status from r"""
+    select event_id, case when position('TTA' in substr(s, 5, 6)) > 0 then substr(s, 1, 4) end barcode, case when position('TTA' in substr(s, 5, 6)) > 0 then substr(s, 5, position('TTA' in substr(s, 5, 6)) - 1) end spacer,
+    case when position('TTA' in substr(s, 5, 6)) > 0 then substr(s, 7 + position('TTA' in substr(s, 5, 6))) end target, case when position('TTA' in substr(s, 5, 6)) > 0 then 'ok' else 'pattern_mismatch' end status from r"""
 )
 def segment_split_anchored(spark, sf_dir):
     """A spacer of 0 to 3 bases before an anchor that must match exactly."""
     layout = [M.Element("b", "barcode", "onlist", "", 4, 4), M.Element("v", "linker", "random", "", 0, 3), M.Element("a", "linker", "fixed", "TTA", 3, 3), M.Element("t", "cdna", "random", "", 1, 20)]
     reads = table(spark, sf_dir, "events").select("event_id", S.base4(F.col("event_id") * 7919 + 13, 16).alias("seq"), F.repeat(F.lit("F"), 16).alias("qual"))
     out = M.split_reads(reads, layout, ["event_id"], anchor_tolerance=0.0)
-    spacer = F.get(F.filter("segments", lambda x: x["region_id"] == "v"), F.lit(0))["seq"]
-    full = reads.select("event_id", F.substring("seq", 1, 4).alias("barcode"))
-    return out.join(full, "event_id").select("event_id", "barcode", spacer.alias("spacer"), F.regexp_replace("status", ":.*", "").alias("status"))
+    part = lambda k: F.get(F.filter("segments", lambda x: x["region_id"] == k), F.lit(0))["seq"]
+    return out.select("event_id", part("b").alias("barcode"), part("v").alias("spacer"), part("t").alias("target"), F.regexp_replace("status", ":.*", "").alias("status"))
 
 
 @query(
@@ -457,8 +469,8 @@ def gene_resolution(spark, sf_dir):
 
 _MATES = (
     _TX
-    + """, hm as (select rid // 10 pid, rid % 10 mate, tid, gid, an0, typ from h where rid % 10 in (1, 2)),
-    ps as (select rid // 10 pid from r where rid % 10 in (1, 2) group by 1 having count(*) = 2),
+    + """, hm as (select rid // 10 * 10 + (rid % 10 + 1) // 2 pid, (rid + 1) % 2 + 1 mate, tid, gid, an0, typ from h),
+    ps as (select rid // 10 * 10 + (rid % 10 + 1) // 2 pid from r group by 1 having count(*) = 2),
     j as (select a.pid, a.tid, a.gid, a.an0, case when a.typ = 'intronic' and b.typ = 'intronic' then 'intronic' when a.typ = 'exonic' and b.typ = 'exonic' then 'exonic' when 'discordant' in (a.typ, b.typ) then 'discordant' else 'spanning' end typ
       from hm a join hm b on a.pid = b.pid and a.tid = b.tid and a.an0 = b.an0 and a.mate = 1 and b.mate = 2),
     s as (select pid, min(gid) filter (where not an0 and typ <> 'discordant') g0, max(gid) filter (where not an0 and typ <> 'discordant') g1, bool_or(an0) an, bool_or(not an0 and typ = 'discordant') di from j group by 1)"""
@@ -467,8 +479,9 @@ _MATES = (
 
 @query(f"with {_MATES} select pid read_id, case when g0 <> g1 then 'multimapped' when g0 is not null then 'aligned' when coalesce(di, false) then 'discordant' when coalesce(an, false) then 'antisense' else 'intergenic' end kind, case when g0 = g1 then g0 end gene_id from ps left join s using (pid)")
 def gene_resolution_pairs(spark, sf_dir):
-    """The first two lines of an order as mates."""
-    mates = _reads(spark, sf_dir).where("read_id % 10 in (1, 2)").withColumn("mate", (F.col("read_id") % 10).cast("int")).withColumn("read_id", F.floor(F.col("read_id") / 10))
+    """Lines 1 and 2, 3 and 4, 5 and 6 of an order as mates; a line without a mate is in no pair."""
+    mates = _reads(spark, sf_dir).withColumn("mate", ((F.col("read_id") + 1) % 2 + 1).cast("int"))
+    mates = mates.withColumn("read_id", F.floor(F.col("read_id") / 10) * 10 + F.floor((F.col("read_id") % 10 + 1) / 2))
     pairs = mates.groupBy("read_id", "aln_idx").agg(F.count("*").alias("n")).where("n = 2").select("read_id", "aln_idx")
     hits = T.transcript_hits(mates, _transcripts(spark, sf_dir), bin_size=256).join(pairs.select("read_id"), "read_id", "left_semi")
     return T.resolve_pairs(pairs, hits).select("read_id", "kind", "gene_id")
@@ -512,9 +525,10 @@ _MOL = (
 
 
 def _molecules(spark, sf_dir) -> DataFrame:
+    """Genes of reads are used several times below, so they are written once."""
     tags = _reads(spark, sf_dir).select("read_id", "l_suppkey", S.base4(F.col("l_orderkey") % 64, 4).alias("umi"))
-    aligned = _resolved(spark, sf_dir).where("kind = 'aligned'").join(tags, "read_id")
-    return T.annotate_molecules(T.molecules(aligned, ["l_suppkey", "gene_id"]), ["l_suppkey", "gene_id"])
+    aligned = materialized(_resolved(spark, sf_dir).where("kind = 'aligned'").join(tags, "read_id"))
+    return T.annotate_molecules(materialized(T.molecules(aligned, ["l_suppkey", "gene_id"])), ["l_suppkey", "gene_id"])
 
 
 @query(f"with {_MOL} select l_suppkey, gid gene_id, mol molecule, n_reads, ann annotation from mo")
@@ -599,3 +613,164 @@ def multimap_ranks(spark, sf_dir):
     first = F.row_number().over(Window.partitionBy("name", "mate").orderBy("pos", "read_id"))
     x = x.withColumn("flags", F.when(first == 1, 0).otherwise(256 + 4096 * first))
     return A.multimaps(x).select("name", "mate", "pos", "aln_idx", "is_multi")
+
+
+# --- further columns and rules, one query each
+
+
+@query(
+    _FRAGS.replace("l_orderkey * 10 + l_linenumber name from", "l_orderkey * 10 + l_linenumber name, l_orderkey % 4 umi from").replace("chrom, a, b, o order", "chrom, a, b, o, umi order").replace("chrom, a, b, o))", "chrom, a, b, o, umi))")
+    + ' select chrom, st "start", en "end", barcode, cnt "count", strand from f where en > st'
+)
+def fragment_dedup_umi(spark, sf_dir):
+    """Duplicates agree in the UMI too."""
+    p, q = F.col("l_partkey"), F.col("l_quantity").cast("long") * 10
+    reads = table(spark, sf_dir, "lineitem").select(
+        S.base4("l_suppkey", 8).alias("barcode"), F.concat(F.lit("chr"), F.col("l_linenumber").cast("string")).alias("chrom"), p.alias("left_5p"), (p + q).alias("right_5p"), F.col("l_returnflag").alias("orientation"), (F.col("l_orderkey") % 4).alias("umi"),
+        (p - F.col("l_orderkey") % 3).alias("frag_start"), (p + q).alias("frag_end"), F.when(F.col("l_returnflag") != "N", "+").alias("strand"), read_key().alias("name"),
+    )
+    return G.unique_fragments(reads, 4, -5, umi="umi")
+
+
+@query(
+    """with r as (select l_orderkey * 10 + l_linenumber read_id, l_partkey s, l_partkey + 49 e, l_linenumber c, l_suppkey % 4 d, l_orderkey % 2 = 1 rev from lineitem)
+    select read_id, case when rev then e + d else s - c end left_5p, case when rev then 'R' else 'F' end orientation, s - 1 frag_start, e frag_end, case when rev then '-' else '+' end strand from r"""
+)
+def single_fingerprints(spark, sf_dir):
+    """Keys of duplicates and fragments of reads without a mate."""
+    p = F.col("l_partkey")
+    x = table(spark, sf_dir, "lineitem").select(read_key(), (F.col("l_orderkey") % 2 * 16).cast("int").alias("flags"), p.alias("start"), (p + 49).alias("end"), (p - F.col("l_linenumber")).alias("unclipped_start"), (p + 49 + F.col("l_suppkey") % 4).alias("unclipped_end"))
+    y = G.single_fingerprint(x)
+    return y.select("read_id", "left_5p", "orientation", *(c.alias(n) for n, c in G.single_coordinates().items()))
+
+
+_SPANS = "l_suppkey, l_orderkey % 64 molecule, l_partkey % 900 s, l_partkey % 900 + cast(l_quantity as bigint) e, l_returnflag = 'R' rev"
+
+
+@query(
+    f"""with {_CHROMS}, r as (select {_SPANS}, off from lineitem join chroms on ord = l_suppkey % 25),
+    m as (select *, case when s <= max(e) over (partition by l_suppkey, molecule, rev order by s, e rows between unbounded preceding and 1 preceding) then 0 else 1 end nw from r),
+    i as (select *, sum(nw) over (partition by l_suppkey, molecule, rev order by s, e rows unbounded preceding) isl from m),
+    u as (select l_suppkey, molecule, rev, off, min(s) s, max(e) e from i group by l_suppkey, molecule, rev, off, isl)
+    select l_suppkey barcode, off + case when rev then e - 1 else s end linear, cast(case when rev then s - e else e - s end as int) size from u"""
+)
+def molecule_coverage(spark, sf_dir):
+    """Spliced segments of molecules, joined strand by strand, as signed coverage."""
+    o = _offsets(spark, sf_dir)
+    place = o.select(F.col("ord").cast("long").alias("ord"), F.col("name").alias("chrom"))
+    s = F.col("l_partkey") % 900
+    x = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("barcode"), (F.col("l_orderkey") % 64).alias("molecule"), (F.col("l_suppkey") % 25).alias("ord"), s.alias("start"), (s + F.col("l_quantity").cast("long")).alias("end"), F.when(F.col("l_returnflag") == "R", "-").otherwise("+").alias("strand"))
+    return I.coverage_values(T.molecule_fragments(x.join(F.broadcast(place), "ord"), ["barcode"]), o)
+
+
+@query("select l_suppkey, l_linenumber, min(l_partkey) read_start, max(l_partkey + cast(l_quantity as bigint)) read_end from lineitem group by all")
+def read_spans(spark, sf_dir):
+    x = table(spark, sf_dir, "lineitem").select("l_suppkey", "l_linenumber", F.col("l_partkey").alias("read_start"), (F.col("l_partkey") + F.col("l_quantity").cast("long")).alias("read_end"))
+    return G.read_extents(x, ["l_suppkey", "l_linenumber"])
+
+
+@query("select l_orderkey, l_linenumber from lineitem where l_partkey % 4 <> 0 and l_orderkey % 2048 & 4 = 0")
+def confident_reads(spark, sf_dir):
+    x = table(spark, sf_dir, "lineitem").withColumns({"flags": (F.col("l_orderkey") % 2048).cast("int"), "is_multi": F.col("l_partkey") % 4 == 0})
+    return x.where(A.confidently_mapped()).select("l_orderkey", "l_linenumber")
+
+
+@query(
+    """with r as (select l_orderkey * 10 + l_linenumber read_id, l_orderkey % 64 f1, l_partkey % 64 f2, l_suppkey % 3 c1, l_linenumber % 3 c2, cast(l_quantity as bigint) * 40 - 900 t from lineitem)
+    select read_id, f1 & 4 = 0 and f2 & 4 = 0 and c1 = c2 and f1 & 16 <> f2 & 16 and abs(t) <= 1000 proper from r"""
+)
+def proper_pairs(spark, sf_dir):
+    i = lambda c: c.cast("int")
+    p = A.proper_pair(i(F.col("l_orderkey") % 64), F.col("l_suppkey") % 3, F.lit(0), i(F.col("l_partkey") % 64), (F.col("l_linenumber") % 3).cast("long"), F.lit(0), F.col("l_quantity").cast("long") * 40 - 900)
+    return table(spark, sf_dir, "lineitem").select(read_key(), p.alias("proper"))
+
+
+@query(
+    """with p as (select p_partkey, p_partkey * 10 s, p_partkey * 10 + p_size * 2 pos from part)
+    select p_partkey, case when pos < s + 20 then pos - s when pos >= s + 40 and pos < s + 60 then pos - s - 20 when pos >= s + 80 and pos < s + 100 then pos - s - 40 end "offset", cast(60 as bigint) exonic_length from p"""
+)
+def transcript_offsets(spark, sf_dir):
+    """Places of genome positions within spliced transcripts."""
+    x = _transcripts(spark, sf_dir).select(F.substring("transcript_id", 2, 20).cast("long").alias("p_partkey"), "exons").join(table(spark, sf_dir, "part").select("p_partkey", "p_size"), "p_partkey")
+    return x.select("p_partkey", S.transcript_offset("exons", F.col("p_partkey") * 10 + F.col("p_size") * 2).cast("long").alias("offset"), S.exonic_length("exons").alias("exonic_length"))
+
+
+@query("select p_partkey, p_size % 5 <> 0 and p_size % 3 <> 0 valid from part")
+def exon_checks(spark, sf_dir):
+    """Exons that overlap, or are empty."""
+    k, exon = F.col("p_partkey"), lambda a, b: F.struct(a.cast("long").alias("start"), b.cast("long").alias("end"))
+    exons = F.array(exon(k, k + 10), exon(F.when(F.col("p_size") % 5 == 0, k + 9).otherwise(k + 10), k + 20), exon(k + 30, F.when(F.col("p_size") % 3 == 0, k + 30).otherwise(k + 40)))
+    return table(spark, sf_dir, "part").select("p_partkey", S.exons_valid(exons).alias("valid"))
+
+
+@query(
+    f"""with r as (select event_id, ['sub', 'del', 'ins'][cast(event_id % 3 as int) + 1] k, case when event_id % 3 = 0 then 1 else cast(1 + event_id % 5 as int) end n, {sql4('event_id', 12)} b from events)
+    select event_id, case k when 'sub' then substr(b, 1, 1) when 'del' then 'D' || n else 'I' || substr(b, 1, n) end name, case k when 'del' then 0 else n end query_length, case k when 'ins' then 0 else n end reference_length from r"""
+)
+def mutation_names(spark, sf_dir):
+    kind = F.element_at(F.array(F.lit("sub"), F.lit("del"), F.lit("ins")), (F.col("event_id") % 3 + 1).cast("int"))
+    n = F.when(F.col("event_id") % 3 == 0, 1).otherwise((1 + F.col("event_id") % 5).cast("int"))
+    x = table(spark, sf_dir, "events").select("event_id", kind.alias("k"), n.alias("n"), F.substr(S.base4("event_id", 12), F.lit(1), n).alias("b"))
+    return x.select("event_id", S.mutation_name("k", "n", "b").alias("name"), S.mutation_query_length("k", "n").alias("query_length"), S.mutation_reference_length("k", "n").alias("reference_length"))
+
+
+@query(
+    """with r as (select event_id, ['v3LT', 'v4', 'v3'][cast(event_id % 3 as int) + 1] c, nullif(event_id % 4, 0) n from events), t as (select event_id, case when c = 'v3LT' then 9000 when c = 'v4' then coalesce(80000 * n, 160000) else coalesce(45000 * n, 90000) end top from r)
+    select event_id, cast(top // 2 as bigint) first_rank, cast(top as bigint) last_rank from t"""
+)
+def empty_drops_ranks(spark, sf_dir):
+    c = F.element_at(F.array(F.lit("v3LT"), F.lit("v4"), F.lit("v3")), (F.col("event_id") % 3 + 1).cast("int"))
+    r = S.empty_drops_range(c, F.nullif(F.col("event_id") % 4, F.lit(0)))
+    return table(spark, sf_dir, "events").select("event_id", r.alias("r")).select("event_id", F.col("r.first").alias("first_rank"), F.col("r.last").alias("last_rank"))
+
+
+@query("select l_orderkey * 10 + l_linenumber read_id, round(8 * power(10e0, -cast(l_quantity as int) / 10e0) + l_linenumber * power(10e0, -3.7e0), 9) errors from lineitem")
+def expected_error_sums(spark, sf_dir):
+    q = F.concat(F.repeat(F.chr((33 + F.col("l_quantity").cast("int")).cast("long")), 8), F.repeat(F.lit("F"), F.col("l_linenumber")))
+    return table(spark, sf_dir, "lineitem").select(read_key(), F.round(S.expected_errors(q), 9).alias("errors"))
+
+
+@query(
+    f"""with r as (select event_id, case when event_id % 2 = 0 then lower({sql4('event_id', 10)}) else {sql4('event_id', 10)} end s from events)
+    select event_id, reverse(translate(s, 'ACGTacgt', 'TGCATGCA')) upper_rc, reverse(translate(s, 'ACGT', 'TGCA')) proper_rc, translate(s, 'ACGTacgt', 'TGCAtgca') complement, case when event_id % 3 = 0 then 'r' || event_id else 'r' || event_id || '/3' end as name from r"""
+)
+def case_and_suffix(spark, sf_dir):
+    """Complements of both cases, and names with and without a mate's suffix."""
+    s = F.when(F.col("event_id") % 2 == 0, F.lower(S.base4("event_id", 10))).otherwise(S.base4("event_id", 10))
+    name = F.concat(F.lit("r"), F.col("event_id").cast("string"), F.when(F.col("event_id") % 3 == 0, F.concat(F.lit("/"), (1 + F.col("event_id") % 2).cast("string"))).otherwise("/3"))
+    return table(spark, sf_dir, "events").select("event_id", S.revcomp(s).alias("upper_rc"), S.revcomp(s, any_case=False).alias("proper_rc"), S.complement_keeping_case(s).alias("complement"), S.strip_mate_suffix(name).alias("name"))
+
+
+@query("select l_orderkey * 10 + l_linenumber read_id, case when l_linenumber = 1 then 'A' when l_linenumber = 2 then '^CTC' else cast(cast(l_quantity as int) as varchar) end token from lineitem")
+def md_token_places(spark, sf_dir):
+    """The second, third or first token of an MD text."""
+    md = F.concat(F.col("l_quantity").cast("int").cast("string"), F.lit("A0^CTC7"))
+    at = F.when(F.col("l_linenumber") == 1, 1).when(F.col("l_linenumber") == 2, 3).otherwise(0)
+    return table(spark, sf_dir, "lineitem").select(read_key(), F.get(S.md_tokens(md), at).alias("token"))
+
+
+@query(
+    """with r as (select l_orderkey * 10 + l_linenumber name, l_orderkey % 4096 flags, case when l_suppkey % 5 = 0 then null else 'chr' || l_suppkey % 5 end chrom, l_partkey pos, nullif(cast(l_quantity as int), 50) mapq, case when l_linenumber = 1 then null else 'AC' || l_linenumber end bc from lineitem)
+    select name || chr(9) || flags || chr(9) || coalesce(chrom, '*') || chr(9) || pos || chr(9) || coalesce(mapq, 255) || chr(9) || '4M' || chr(9) || '*' || chr(9) || '0' || chr(9) || '0' || chr(9) || 'ACGT' || chr(9) || 'FFFF' || chr(9) || 'MD:Z:4' || coalesce(chr(9) || 'CB:Z:' || bc, '') as line from r"""
+)
+def sam_lines(spark, sf_dir):
+    """Alignments as lines of text; unknown places and qualities, and tags where there are any."""
+    none = F.lit(None).cast("string")
+    x = table(spark, sf_dir, "lineitem").select(
+        (F.col("l_orderkey") * 10 + F.col("l_linenumber")).cast("string").alias("name"), (F.col("l_orderkey") % 4096).cast("int").alias("flags"), F.when(F.col("l_suppkey") % 5 != 0, F.concat(F.lit("chr"), (F.col("l_suppkey") % 5).cast("string"))).alias("chrom"),
+        F.col("l_partkey").alias("pos"), F.nullif(F.col("l_quantity").cast("int"), F.lit(50)).alias("mapq"), F.lit("4M").alias("cigar"), F.lit("4").alias("md"), F.lit("ACGT").alias("seq"), F.lit("FFFF").alias("qual"),
+        none.alias("raw_barcode"), F.when(F.col("l_linenumber") != 1, F.concat(F.lit("AC"), F.col("l_linenumber").cast("string"))).alias("barcode"), none.alias("umi"),
+    )
+    return x.select(A.sam_line().alias("line"))
+
+
+@query(
+    f"""with r as (select event_id, {sql4('user_id', 6)} bc, case when user_id % 3 <> 0 then {sql4('user_id', 6)} end ok, {sql4('event_id % 256', 4)} umi, {sql4('event_id', 12)} s from events)
+    select event_id as name, ok || umi || s seq1, 'IIIIIIFFFF' || repeat(':', 12) qual1, case when event_id % 2 = 0 then substr(s, 1, 5) end seq2 from r where ok is not null"""
+)
+def consolidated_reads(spark, sf_dir):
+    """Corrected barcode, UMI and first read as one record; reads that could not be corrected go."""
+    s, b = S.base4("event_id", 12), S.base4("user_id", 6)
+    read = lambda x, q: F.struct(x.alias("seq"), F.repeat(F.lit(q), F.length(x)).alias("qual"))
+    x = table(spark, sf_dir, "events").select(F.col("event_id").alias("name"), b.alias("barcode"), F.lit("IIIIII").alias("barcode_qual"), F.when(F.col("user_id") % 3 != 0, b).alias("corrected"), S.base4(F.col("event_id") % 256, 4).alias("umi"), F.lit("FFFF").alias("umi_qual"), read(s, ":").alias("r1"), F.when(F.col("event_id") % 2 == 0, read(F.substring(s, 1, 5), ":")).alias("r2"))
+    return FQ.consolidated(x, True).select("name", "seq1", "qual1", "seq2")
