@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import re
 import uuid
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -54,7 +55,7 @@ class Words:
     """Hashes of the words of texts; a text begins with a mark of its own."""
 
     def __init__(self):
-        self.known = ChunkCache(lambda found: [xxhash.xxh3_64_intdigest(w) >> 1 for w in found], 500_000)
+        self.known = ChunkCache(lambda found: [xxhash.xxh3_64_intdigest(w) >> 1 for w in found])
 
     def hashes(self, texts: list[str | None]) -> list[np.ndarray]:
         lists = [WORD.findall(t.lower()) if t else [] for t in texts]
@@ -119,10 +120,10 @@ def bigram_counts(texts: DataFrame) -> DataFrame:
                     keys, at = np.unique(_mixed(first, h[1:]), return_index=True)
                     held.append((keys, first[at], h[1:][at], np.ones(len(keys), np.int32)))
                     size += len(keys)
-            if size > 2_000_000:
+            if size > 1_000_000:
                 held = [merged()]
                 size = len(held[0][0])
-                if size > 1_000_000:
+                if size > 500_000:
                     yield from send(*held[0])
                     held, size = [], 0
         if held:
@@ -169,7 +170,7 @@ def _parts(bigrams: DataFrame) -> DataFrame:
             if size > 200_000:
                 yield from add()
                 held, size = [], 0
-                if sum(len(k) for k, *_ in kept.values()) > 2_000_000:
+                if sum(len(k) for k, *_ in kept.values()) > 1_000_000:
                     yield from rest()
         if held:
             yield from add()
@@ -179,7 +180,7 @@ def _parts(bigrams: DataFrame) -> DataFrame:
 
 
 def word_types(texts: DataFrame) -> DataFrame:
-    """(word, y): the distinct words of a class. Tasks send a word once for each million words they meet."""
+    """(word, y): the distinct words of a class. Tasks send a word once for each 300,000 words that they have met."""
 
     def run(batches):
         seen: tuple[set[str], set[str]] = (set(), set())
@@ -194,7 +195,7 @@ def word_types(texts: DataFrame) -> DataFrame:
         for part, found in text_groups(batches):
             for t, y in zip(found, part.column(1).to_pylist(), strict=True):
                 seen[y].update(WORD.findall(t.lower()))
-            if len(seen[0]) + len(seen[1]) > 1_000_000:
+            if len(seen[0]) + len(seen[1]) > 300_000:
                 yield from send()
         yield from send()
 
@@ -356,23 +357,30 @@ class Model:
         return out, on
 
     def spellings(self, found: list[str]) -> np.ndarray:
-        """Log probability of the letters of words, in both classes."""
+        """Log probability of the letters of words, in both classes. Each different run of letters is looked up once."""
         cp, j = _letters(found)
-        p, _ = self.find(RUN, _poly([cp], RUN), self.new)
+        logs = np.zeros((len(cp), 2))
         for k in range(1, ORDER):
-            at = np.flatnonzero(j >= k)
-            columns = [cp[at - k + i] for i in range(k + 1)]
-            own, _ = self.find(RUN, _poly(columns, RUN), 0.0)
-            weight, _ = self.find(BEHIND_RUN, _poly(columns[:-1], BEHIND_RUN), 1.0)
-            p[at] = own + weight * p[at]
-        sums = np.add.reduceat(np.where((j > 0)[:, None], np.log(p), 0.0), np.flatnonzero(j == 0), axis=0)
+            at = np.flatnonzero(j == k if k < ORDER - 1 else j >= k)
+            if len(at):
+                _, first, back = np.unique(_poly([cp[at - k + i] for i in range(k + 1)], RUN), return_index=True, return_inverse=True)
+                logs[at] = np.log(self._letter(cp, at[first], k))[back]
+        sums = np.add.reduceat(logs, np.flatnonzero(j == 0), axis=0)
         return sums * np.minimum(1.0, LETTERS / np.array([len(w) for w in found]))[:, None]
 
+    def _letter(self, cp: np.ndarray, at: np.ndarray, k: int) -> np.ndarray:
+        """Probability of the letters at some places behind the k letters before them."""
+        p, _ = self.find(RUN, _poly([cp[at]], RUN), self.new)
+        for m in range(1, k + 1):
+            columns = [cp[at - m + i] for i in range(m + 1)]
+            p = self.find(RUN, _poly(columns, RUN), 0.0)[0] + self.find(BEHIND_RUN, _poly(columns[:-1], BEHIND_RUN), 1.0)[0] * p
+        return p
+
     def learn(self, lists: list[list[str]]) -> None:
-        new = list({w for x in lists for w in x if w not in self.known})
+        new = list(set(chain.from_iterable(lists)).difference(self.known))
         if new and len(self.known) + len(new) > CACHE_CHUNKS and self.known:
             self._start()
-            new = list({w for x in lists for w in x})
+            new = list(set(chain.from_iterable(lists)))
         if not new:
             return
         h = np.array([xxhash.xxh3_64_intdigest(w) >> 1 for w in new], np.int64)
@@ -386,8 +394,8 @@ class Model:
     def log_probabilities(self, lists: list[list[str]]) -> tuple[np.ndarray, list[int]]:
         """Log probability of every word of the texts, given the word before, in both classes; and where texts end."""
         self.learn(lists)
-        at = np.fromiter((self.known[w] for x in lists for w in x), np.int64)
         lengths = np.array([len(x) for x in lists], np.int64)
+        at = np.fromiter(map(self.known.__getitem__, chain.from_iterable(lists)), np.int64, int(lengths.sum()))
         ends = np.cumsum(lengths)
         logs, before = self.logs[at], np.roll(at, 1)
         before[(ends - lengths)[lengths > 0]] = 0
