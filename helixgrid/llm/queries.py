@@ -76,5 +76,18 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (op1_token_counts, op2_minhash_near_dedup, op3_license_scan, op4_byte_bpe, op5_nearest_neighbours, op6_quality_rules, op7_best_fit_packing, op8_token_files, op9_toxicity, op10_language_id)}
 
 
+#: All pairs of documents by their exact shingle sets, and what links reach.
+_NEAR_DUPLICATES = r"""with recursive d as (
+      select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') w from documents),
+    s as (select distinct doc_id, unnest(case when len(w) = 0 then [] when len(w) < 5 then [array_to_string(w, ' ')] else list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) end) g from d),
+    n as (select doc_id, count(*) n from s group by 1),
+    p as (select a.doc_id a, b.doc_id b, count(*) c from s a join s b on a.g = b.g and a.doc_id < b.doc_id group by 1, 2),
+    l as (select a, b from p join n x on x.doc_id = a join n y on y.doc_id = b where 100 * c >= 75 * (x.n + y.n - c)),
+    e as (select a, b from l union all select b, a from l),
+    r(a, b) as (select doc_id, doc_id from documents union select r.a, e.b from r join e on r.b = e.a),
+    m as (select a doc_id, min(b) component_id from r group by 1)
+    select d.doc_id, cast(coalesce(n, 0) as bigint) n_shingles, component_id, d.doc_id = component_id kept from d join m using (doc_id) left join n using (doc_id)"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op2_minhash_near_dedup": _NEAR_DUPLICATES}

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -9,10 +11,12 @@ from pyspark.sql import functions as F
 from .batches import ChunkCache, small_batches, text_groups, tool
 from .vocab import WORD_PATTERN, Encoder, byte_characters, default_path, is_latin, load
 
+
+@lru_cache(maxsize=4)
 def prove_whole_tokens(path: str, word_end: str = "</w>") -> frozenset[str]:
     """Strings of the vocabulary that the library, given the string alone, encodes as one token.
 
-    Done once, off line: every candidate is encoded and kept only if the result is a single id.
+    Done once for a vocabulary in a driver process: every candidate is encoded and kept only if the result is a single id.
     """
     tok = load(path)
     words = [w.removesuffix(word_end) for w in tok.get_vocab(with_added_tokens=False) if w.endswith(word_end)]

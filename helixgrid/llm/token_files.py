@@ -201,8 +201,8 @@ def read_token_files(spark: SparkSession, folder: str, manifest: DataFrame) -> D
                 crc = [zlib.crc32(plain[4 * a : 4 * b]) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array([name] * len(docs)), pa.array(docs, pa.int64()), pa.array(starts), pa.array(counts), pa.array(crc, pa.int64())], ["file", "id", "at", "n_tokens", "ids_crc32"])
 
-    # The running sum is over the manifest, a row for each file.
-    before = F.sum("n_tokens").over(Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1))
+    # The running sum is over the manifest, a row for each file, in the order of the files' numbers.
+    before = F.sum("n_tokens").over(Window.orderBy(F.regexp_extract("file", r"(\d+)", 1).cast("long"), "file").rowsBetween(Window.unboundedPreceding, -1))
     base = manifest.select("file", F.coalesce(before, F.lit(0)).alias("base"))
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*.hgt").load(folder)
     rows = files.select(F.element_at(F.split("path", "/"), -1).alias("file"), "content").mapInArrow(run, "file string, id long, at long, n_tokens long, ids_crc32 long")
