@@ -110,6 +110,15 @@ def test_vector_best_fit_keeps_constraints(by, caps):
         assert len(np.unique(bins)) <= np.ceil(lengths.sum() / 100) * 1.05
 
 
+def test_preferred_capacities_decide_and_cost_nothing():
+    rng = np.random.default_rng(6)
+    lengths = np.minimum(rng.lognormal(5, 1.2, 3000).astype(int) + 1, 4095)
+    fewest, caps = -(-int(lengths.sum()) // 4096), (4096, 4096, 4096.0**2)
+    plain, _ = packing.vector_best_fit(lengths, caps)
+    liked, _ = packing.vector_best_fit(lengths, caps, preferred=(2 * len(lengths) / fewest, 2 * (lengths.astype(float) ** 2).sum() / fewest))
+    assert liked.max() <= max(plain.max(), fewest) and (plain != liked).any()
+
+
 def test_pack(docs, texts):
     want = {i: x + [1] for i, x in enumerate(_library("word_bpe_49k.json", texts))} | {10_000: [1]}
     rows = packing.pack(docs.where("doc_id is not null"), capacity=64).collect()
