@@ -125,6 +125,14 @@ def annotated_reads(spark: SparkSession, assay: Assay, modality: str | None = No
     return out, metrics
 
 
+def update_read(spark: SparkSession, assay: Assay, read_id: str, fastqs: list[str] | None = None, infer: bool = True, **edits) -> list[str]:
+    """Adds or changes a read of a layout, as Assay.update_read. Bounds of its length that are not given are those of the
+    first records of its files, which are also looked at where only bounds are to be brought up to date."""
+    files = fastqs if fastqs is not None else (assay.reads[read_id].fastqs() if read_id in assay.reads else [])
+    lengths = M.infer_lengths(FQ.read_fastq(spark, files), sample=SAMPLE) if infer and files else None
+    return assay.update_read(read_id, fastqs=fastqs, lengths=lengths, **edits)
+
+
 def make_fastq(spark: SparkSession, assay: Assay, out_dir: str, modality: str | None = None, correct_barcode: bool = False) -> dict[str, DataFrame]:
     """Writes R1 (barcode, UMI and first read) and, for pairs, R2; with `correct_barcode` reads that can't be corrected go."""
     reads, metrics = annotated_reads(spark, assay, modality)
@@ -239,4 +247,4 @@ def metrics_dict(metrics: dict[str, DataFrame]) -> dict:
     return out
 
 
-__all__ = ["OUTPUTS", "Run", "align", "annotated_reads", "make_fastq", "metrics_dict"]
+__all__ = ["OUTPUTS", "Run", "align", "annotated_reads", "make_fastq", "metrics_dict", "update_read"]

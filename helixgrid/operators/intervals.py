@@ -26,13 +26,20 @@ def overlap_join(left: DataFrame, right: DataFrame, bin_size: int, contained: bo
     return met.where(inside & once).drop("_bin", "_fbin")
 
 
-def merge_intervals(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """keys, start, end and n of the unions of overlapping or touching intervals of each group."""
+def _islands(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, start, end and summed n of the unions of overlapping or touching intervals of each group."""
     order = Window.partitionBy(*keys).orderBy("start", "end")
     reach = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
-    marked = rows.select(*keys, "start", "end", F.when(F.col("start") <= reach, 0).otherwise(1).alias("_new"))
+    marked = rows.select(*keys, "start", "end", "n", F.when(F.col("start") <= reach, 0).otherwise(1).alias("_new"))
     island = F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    return marked.withColumn("_island", island).groupBy(*keys, "_island").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.count("*").alias("n")).drop("_island")
+    return marked.withColumn("_island", island).groupBy(*keys, "_island").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.sum("n").alias("n")).drop("_island")
+
+
+def merge_intervals(rows: DataFrame, keys: list[str], bin_size: int = 1 << 16) -> DataFrame:
+    """keys, start, end and n of the unions of overlapping or touching intervals of each group. Intervals that begin in one
+    bin are merged first, so that a group with very many of them is spread by its bins, and only their unions meet."""
+    binned = rows.select(*keys, "start", "end", F.lit(1).cast("long").alias("n"), F.floor(F.col("start") / bin_size).alias("_bin"))
+    return _islands(_islands(binned, [*keys, "_bin"]).drop("_bin"), keys)
 
 
 def genome_offsets(chroms: DataFrame) -> DataFrame:

@@ -4,7 +4,7 @@ import random
 
 import pytest
 
-from helixgrid.api import align, annotated_reads, make_fastq, metrics_dict
+from helixgrid.api import align, annotated_reads, make_fastq, metrics_dict, update_read
 from helixgrid.operators.fragments import fragment_line
 from helixgrid.plans.layout import Assay
 from helixgrid.sources.alignments import write_counts
@@ -122,6 +122,15 @@ def test_pairs(spark, tmp_path):
     assert every.count() == 5 and metrics_dict(r.metrics)["alignment"]["frac_properly_paired"] == 1.0
 
 
+def test_update_read_infers_lengths(spark, run):
+    d, _ = run
+    assay = Assay.load(str(d / "l.yaml"))
+    update_read(spark, assay, "R3", [str(d / "r1.fastq"), str(d / "r2.fastq")], modality="rna", primer_id="p1", is_reverse=False)
+    assert (assay.reads["R3"].min_len, assay.reads["R3"].max_len) == (12, 20)
+    update_read(spark, assay, "R2", min_len=15)
+    assert (assay.reads["R2"].min_len, assay.reads["R2"].max_len) == (15, 20)
+
+
 def test_layout_warning(spark, run, tmp_path):
     d, genome = run
     (tmp_path / "l.yaml").write_text(LAYOUT.replace("r1.fastq", str(d / "r1.fastq")).replace("r2.fastq", str(d / "r2.fastq")))
