@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 
@@ -10,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 #: Characters of text handled together, so that a task's memory does not follow the length of texts.
-GROUP_CHARS = 2_000_000
+GROUP_CHARS = 1_000_000
 #: Chunks remembered by a Python worker before it starts over.
 CACHE_CHUNKS = 250_000
 
@@ -50,11 +53,20 @@ def small_batches(spark: SparkSession, rows: int = 500) -> None:
 _tool: dict = {}
 
 
+def give_back() -> None:
+    """Returns memory that a Python worker has freed to the system, which else stays with the worker for later stages."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # of glibc only
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def tool(key: tuple, make: Callable[[], object]):
     """What an operator keeps in a Python worker process between batches. A worker holds one at a time, as Spark reuses
     workers for later stages, whose tools would else add up."""
     if key not in _tool:
         _tool.clear()
+        give_back()
         _tool[key] = make()
     return _tool[key]
 

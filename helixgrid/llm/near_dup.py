@@ -31,7 +31,7 @@ class Shingler:
 
     def __init__(self, words: int):
         self.words = words
-        self.known = ChunkCache(lambda found: list(map(xxhash.xxh3_64_intdigest, found)), 400_000)
+        self.known = ChunkCache(lambda found: list(map(xxhash.xxh3_64_intdigest, found)))
         self.weights = np.random.default_rng(7).integers(0, 1 << 63, words, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
     def sets(self, texts: list[bytes | None]) -> list[np.ndarray]:

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .batches import CACHE_CHUNKS, ChunkCache, small_batches, text_groups, tool, written
+from .batches import CACHE_CHUNKS, ChunkCache, give_back, small_batches, text_groups, tool, written
 
 #: Letters of the longest counted run, its last letter included.
 ORDER = 4
@@ -120,14 +120,16 @@ def bigram_counts(texts: DataFrame) -> DataFrame:
                     keys, at = np.unique(_mixed(first, h[1:]), return_index=True)
                     held.append((keys, first[at], h[1:][at], np.ones(len(keys), np.int32)))
                     size += len(keys)
-            if size > 1_000_000:
+            if size > 500_000:
                 held = [merged()]
                 size = len(held[0][0])
-                if size > 500_000:
+                if size > 250_000:
                     yield from send(*held[0])
                     held, size = [], 0
         if held:
             yield from send(*merged())
+            held.clear()
+        give_back()
 
     found = texts.select("text", "y").mapInArrow(run, "first long, second long, n int")
     found = found.groupBy("first", "second").agg(F.sum("n").alias("n"))
@@ -170,17 +172,19 @@ def _parts(bigrams: DataFrame) -> DataFrame:
             if size > 200_000:
                 yield from add()
                 held, size = [], 0
-                if sum(len(k) for k, *_ in kept.values()) > 1_000_000:
+                if sum(len(k) for k, *_ in kept.values()) > 500_000:
                     yield from rest()
         if held:
             yield from add()
+            held = []
         yield from rest()
+        give_back()
 
     return bigrams.select("first", "second", "y", "n").mapInArrow(run, "kind string, a long, b long, y int, n long, m long")
 
 
 def word_types(texts: DataFrame) -> DataFrame:
-    """(word, y): the distinct words of a class. Tasks send a word once for each 300,000 words that they have met."""
+    """(word, y): the distinct words of a class. Tasks send a word once for each 150,000 words that they have met."""
 
     def run(batches):
         seen: tuple[set[str], set[str]] = (set(), set())
@@ -195,9 +199,10 @@ def word_types(texts: DataFrame) -> DataFrame:
         for part, found in text_groups(batches):
             for t, y in zip(found, part.column(1).to_pylist(), strict=True):
                 seen[y].update(WORD.findall(t.lower()))
-            if len(seen[0]) + len(seen[1]) > 300_000:
+            if len(seen[0]) + len(seen[1]) > 150_000:
                 yield from send()
         yield from send()
+        give_back()
 
     return texts.select("text", "y").mapInArrow(run, "word string, y int").distinct()
 
@@ -328,15 +333,11 @@ def entries(texts: DataFrame) -> tuple[DataFrame, dict[str, list[float]]]:
 
 
 class Model:
-    """Log ratio of the probability of every word, given the word before, between the two classes. `rows` are the columns
-    kind, key, p0 and p1 of the entries; words that were met are remembered up to CACHE_CHUNKS."""
-
-    def __init__(self, kind: np.ndarray, key: np.ndarray, p: np.ndarray, scalars: dict[str, list[float]]):
-        self.tables = []
-        for k in range(5):
-            on = np.flatnonzero(kind == k)
-            on = on[np.argsort(key[on])]
-            self.tables.append((key[on], p[on]))
+    """Log ratio of the probability of every word, given the word before, between the two classes. `tables` has sorted keys
+    and rows of two probabilities for each kind of entry; words that were met are remembered up to CACHE_CHUNKS."""
+
+    def __init__(self, tables: list[tuple[np.ndarray, np.ndarray]], scalars: dict[str, list[float]]):
+        self.tables = tables
         self.share, self.new = (np.array(scalars[k]) for k in ("share", "new"))
         self._start()
 
@@ -419,8 +420,18 @@ def _letters(found: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return cp, np.arange(len(cp)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
 
 
+def _tables(table: pa.Table) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Entries by kind, in the order of keys."""
+    kind, key, out = table["kind"].to_numpy(), table["key"].to_numpy(), []
+    for k in range(5):
+        on = np.flatnonzero(kind == k)
+        on = on[np.argsort(key[on])]
+        out.append((key[on], np.stack([table[c].to_numpy()[on] for c in ("p0", "p1")], axis=1)))
+    return out
+
+
 def _model(table: pa.Table, scalars: dict[str, list[float]]) -> Model:
-    return Model(table["kind"].to_numpy(), table["key"].to_numpy(), np.stack([table["p0"].to_numpy(), table["p1"].to_numpy()], axis=1), scalars)
+    return Model(_tables(table), scalars)
 
 
 SEEN = "id long, " + ", ".join(f"{x} double" for x in FEATURES)
@@ -434,10 +445,10 @@ def summaries(read: DataFrame, model: DataFrame, scalars: dict[str, list[float]]
     """id and FEATURES for each row of `read` (id, text) under the model's entries."""
     if model.count() > MOST_ENTRIES:
         return _joined_summaries(read, model, scalars)
-    held, name = read.sparkSession.sparkContext.broadcast((model.toArrow(), scalars)), uuid.uuid4().hex
+    held, name = read.sparkSession.sparkContext.broadcast((_tables(model.toArrow()), scalars)), uuid.uuid4().hex
 
     def run(batches):
-        mine = tool(("toxicity", name), lambda: _model(*held.value))
+        mine = tool(("toxicity", name), lambda: Model(*held.value))
         for part, found in text_groups(batches):
             yield pa.RecordBatch.from_arrays(_features(part.column(0), mine.summaries(found)), ["id", *FEATURES])
 
