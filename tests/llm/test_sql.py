@@ -7,7 +7,8 @@ from helixgrid.llm.queries import oracle_sql, queries
 
 def test_queries_with_sql(spark, sf_dir):
     con = duckdb.connect()
-    con.sql(f"create view documents as select * from '{sf_dir}/documents.parquet'")
+    for t in ("documents", "benchmark"):
+        con.sql(f"create view {t} as select * from '{sf_dir}/{t}.parquet'")
     for name, sql in oracle_sql().items():
         df = queries()[name](spark, sf_dir)
         rel = con.sql(sql)
