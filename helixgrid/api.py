@@ -77,7 +77,7 @@ def annotated_reads(spark: SparkSession, assay: Assay, modality: str | None = No
     if not layouts:
         raise ValueError(f"no read of {m} has FASTQ files and useful segments")
     onlists = assay.onlists(m)
-    reads = materialized(FQ.lockstep({k: FQ.read_fastq(spark, assay.reads[k].fastqs(), assay.reads[k].max_len, 0) for k in layouts}))
+    reads = materialized(FQ.read_lockstep(spark, {k: assay.reads[k].fastqs() for k in layouts}, {k: assay.reads[k].max_len for k in layouts}))
     metrics: dict[str, DataFrame] = {}
     cols: dict[str, Column] = {}
     bars: list[str] = []

@@ -2,154 +2,79 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.seq import strip_mate_suffix
-
-#: File splits whose first line numbers are sent to the scan; beyond that they are joined by shuffle.
-BROADCAST_SPLITS = 500_000
-
-
-def _files(spark: SparkSession, paths: list[str]) -> list[tuple[int, str, str]]:
-    """(index of the given path, file as Spark reads it, file as the scan names it) of all files behind the paths, in their
-    order; files of a folder in the order of names. A path without files fails."""
-    hadoop, out = spark._jvm.org.apache.hadoop.fs, []
-    conf = spark._jsc.hadoopConfiguration()
-    for i, p in enumerate(paths):
-        path = hadoop.Path(p)
-        fs = path.getFileSystem(conf)
-        found = [fs.getFileStatus(path)] if fs.exists(path) else list(fs.globStatus(path) or [])
-        inner = [x for s in found for x in (sorted(fs.listStatus(s.getPath()), key=lambda x: x.getPath().getName()) if s.isDirectory() else [s])]
-        inner = [x.getPath() for x in inner if x.isFile() and (x.getPath().getName()[0] not in "._")]
-        if not inner:
-            raise FileNotFoundError(p)
-        out += [(i, x.toString(), x.toUri().toString()) for x in inner]
-    return out
-
-
-def _is_gzip(spark: SparkSession, path: str) -> bool:
-    """Whether a file begins as gzip data do, whatever its name."""
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    stream = p.getFileSystem(spark._jsc.hadoopConfiguration()).open(p)
-    try:
-        return stream.read() == 0x1F and stream.read() == 0x8B
-    finally:
-        stream.close()
-
-
-def _plain_uri(c: Column) -> Column:
-    """A file's address with one slash after the scheme where there is no host."""
-    return F.regexp_replace(c, "^([a-z0-9+.-]+):/+(?=[^/])", "$1:/")
-
-
-def _packed_lines(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """Lines of zstd files, which Spark's text reader only knows with native libraries, and of gzip files that are not named
-    so: each file is read whole by a task and decompressed as a stream."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import gzip
-        import io
-
-        import zstandard
-
-        for batch in batches:
-            for name, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                data = io.BytesIO(raw)
-                text = io.TextIOWrapper(gzip.GzipFile(fileobj=data) if raw[:2] == b"\x1f\x8b" else zstandard.ZstdDecompressor().stream_reader(data, read_across_frames=True))
-                first, held = 0, []
-                for line in text:
-                    held.append(line.rstrip("\r\n"))
-                    if len(held) == 20_000:
-                        yield pa.RecordBatch.from_arrays([pa.array([name] * len(held)), pa.array(range(first, first + len(held)), pa.int64()), pa.array(held)], ["file", "line_no", "value"])
-                        first, held = first + len(held), []
-                if held:
-                    yield pa.RecordBatch.from_arrays([pa.array([name] * len(held)), pa.array(range(first, first + len(held)), pa.int64()), pa.array(held)], ["file", "line_no", "value"])
-
-    return spark.read.format("binaryFile").load(paths).select(F.col("_metadata.file_path").alias("path"), "content").mapInArrow(run, "file string, line_no long, value string")
-
-
-def _numbered(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """file, line_no (from 0 in its file) and value of every line. Lines are numbered within their split as they stream;
-    the splits' first numbers are a running sum over the splits' counts."""
-    packed = {p for p in paths if p.endswith(".zst") or (not p.endswith(".gz") and _is_gzip(spark, p))}
-    if packed:
-        lines, rest = _packed_lines(spark, sorted(packed)), [p for p in paths if p not in packed]
-        return lines.unionByName(_numbered(spark, rest)) if rest else lines
-    raw = spark.read.text(paths).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), "value")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: dict[tuple, int] = {}
-        for batch in batches:
-            files, blocks = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            at = []
-            for k in zip(files, blocks, strict=True):
-                n = seen.get(k, 0)
-                at.append(n)
-                seen[k] = n + 1
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(at, pa.int64())], ["file", "block", "value", "at"])
-
-    lines = raw.mapInArrow(run, "file string, block long, value string, at long")
-    before = F.sum("n").over(Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1))
-    splits = raw.groupBy("file", "block").agg(F.count("*").alias("n")).select("file", "block", F.coalesce(before, F.lit(0)).cast("long").alias("first"))
-    small = F.broadcast(splits) if splits.count() <= BROADCAST_SPLITS else splits
-    return lines.join(small, ["file", "block"]).select("file", (F.col("first") + F.col("at")).alias("line_no"), "value")
-
-
-def read_fastq(spark: SparkSession, paths: list[str] | str, max_len: int = 0, min_len: int = 0) -> DataFrame:
+from .containers import RANGE_BYTES
+from .fastq_scan import index, scan, scan_together
+
+
+def _fields(head: str, seq: str, plus: str, qual: str, size: str, max_len: int, min_len: int) -> dict[str, Column]:
+    """Columns of a record's lines; a record that is none, or takes fewer bytes than `min_len`, fails."""
+    h, s, p, q = F.col(head), F.col(seq), F.col(plus), F.col(qual)
+    bad = ~h.startswith("@") | ~p.startswith("+") | (F.length(s) != F.length(q))
+    cut = (lambda c: F.substring(c, 1, max_len)) if max_len > 0 else (lambda c: c)
+    fail = lambda text: F.raise_error(F.concat(F.lit(text), h)).cast("string")
+    checked = F.when(bad, fail("broken record: "))
+    if min_len > 0:
+        checked = checked.when(F.col(size) < min_len, fail("a record takes fewer bytes than min_len: "))
+    title = F.substring(h, 2, 1 << 30)
+    return {
+        "name": F.substring_index(title, " ", 1),
+        "descr": F.when(F.instr(title, " ") > 0, F.expr(f"substring({head}, instr({head}, ' ') + 1)")).otherwise(""),
+        "seq": checked.otherwise(cut(s)),
+        "qual": cut(q),
+    }
+
+
+def read_fastq(spark: SparkSession, paths: list[str] | str, max_len: int = 0, min_len: int = 0, range_bytes: int = RANGE_BYTES) -> DataFrame:
     """file_idx, rec_idx (from 0 over all files, in their order), name, descr, seq, qual of FASTQ files.
 
-    Compressed files (by extension: gz, zst and whatever Spark reads; gzip by its first bytes too) are read whole by a task
-    each, plain ones in splits. A record's four lines meet by their number; sequences are cut at `max_len` if it is above 0,
-    and a shorter sequence than `min_len` fails. Files keep the order in which they are given, and a file given twice is
-    read as two; a folder stands for its files; no file gives an empty table.
+    Files are plain, gzip (of one or many members, BGZF too) or zstd (of one or many frames), told by their first bytes.
+    Tasks read ranges of about `range_bytes`: a range owns the records that begin in it, or in the members that begin in it,
+    so that a file of a single member is streamed by one task. A first pass counts records, the scan is one more and has no
+    shuffle. Sequences are cut at `max_len` if it is above 0, and a record whose four lines take fewer bytes than `min_len`
+    fails. Files keep the order in which they are given, and a file given twice is read as two; a folder stands for its
+    files, a pattern for those it matches; no file gives an empty table. Paths are local ones and those that Arrow's file
+    systems open (hdfs, s3, gs, abfs).
     """
     paths = [paths] if isinstance(paths, str) else list(paths)
-    schema = "file_idx int, rec_idx long, name string, descr string, seq string, qual string"
-    if not paths:
-        return spark.createDataFrame([], schema)
-    files = _files(spark, paths)
-    lines = _numbered(spark, sorted({f for _, f, _ in files}))
-    part = lambda k: F.max(F.when(F.col("line_no") % 4 == k, F.col("value")))
-    records = lines.groupBy("file", F.floor(F.col("line_no") / 4).alias("r")).agg(part(0).alias("h"), part(1).alias("s"), part(2).alias("p"), part(3).alias("q"))
-    whole = records.where("h is not null and h <> ''").withColumn("file", _plain_uri(F.col("file")))
-    # A row for each given file, so that it is as small as the list of paths.
-    given = spark.createDataFrame([(uri, k, i) for k, (i, _, uri) in enumerate(files)], "file string, place int, file_idx int").withColumn("file", _plain_uri(F.col("file")))
-    sizes = whole.groupBy("file").agg(F.count("*").alias("n"))
-    before = F.sum(F.coalesce("n", F.lit(0))).over(Window.orderBy("place").rowsBetween(Window.unboundedPreceding, -1))
-    base = given.join(sizes, "file", "left").select("file", "file_idx", F.coalesce(before, F.lit(0)).alias("base"))
-    known = F.when(F.col("file_idx").isNull(), F.raise_error(F.concat(F.lit("a record of no given file: "), "file")).cast("int")).otherwise(F.col("file_idx"))
-    bad = ~F.col("h").startswith("@") | F.col("s").isNull() | ~F.coalesce(F.col("p").startswith("+"), F.lit(False)) | (F.length("s") != F.length("q"))
-    short = F.length("s") < min_len
-    cut = (lambda c: F.substring(c, 1, max_len)) if max_len > 0 else F.col
-    head = F.substring("h", 2, 1 << 30)
-    seq = F.when(bad, F.raise_error(F.concat(F.lit("broken record: "), F.coalesce("h", F.lit("?")))).cast("string")).when(F.lit(min_len > 0) & short, F.raise_error(F.lit("a sequence is shorter than min_len")).cast("string")).otherwise(cut("s"))
-    return whole.join(F.broadcast(base), "file", "left").select(
-        known.alias("file_idx"),
-        (F.col("base") + F.col("r")).cast("long").alias("rec_idx"),
-        F.substring_index(head, " ", 1).alias("name"),
-        F.when(F.instr(head, " ") > 0, F.expr("substring(h, instr(h, ' ') + 1)")).otherwise("").alias("descr"),
-        seq.alias("seq"),
-        F.coalesce(cut("q"), F.lit("")).alias("qual"),
-    )
+    ranges = index(spark, paths, range_bytes) if paths else []
+    if not any(r.n for r in ranges):
+        return spark.createDataFrame([], "file_idx int, rec_idx long, name string, descr string, seq string, qual string")
+    return scan(spark, ranges).select("file_idx", "rec_idx", *[c.alias(k) for k, c in _fields("head", "seq", "plus", "qual", "size", max_len, min_len).items()])
+
+
+def _agreed(names: list[Column]) -> Column:
+    """The name that reads share; others than equal ones fail."""
+    agree = F.lit(True)
+    for n in names:
+        agree = agree & F.coalesce(n == names[0], F.lit(False))
+    return F.when(agree, names[0]).otherwise(F.raise_error(F.concat(F.lit("reads do not belong together at record "), F.col("rec_idx").cast("string"))).cast("string"))
+
+
+def read_lockstep(spark: SparkSession, paths: dict[str, list[str]], max_len: dict[str, int] | None = None, range_bytes: int = RANGE_BYTES) -> DataFrame:
+    """Reads that belong together, straight from their files: rec_idx, name and for each read id a struct (seq, qual), as
+    `lockstep` gives them, without a shuffle. A task reads one stretch of record numbers of all files, each from the range
+    that holds its first one. Files with unequal numbers of records, or names that differ, fail."""
+    ranges = {k: index(spark, p, range_bytes) for k, p in paths.items()}
+    if not any(r.n for x in ranges.values() for r in x):
+        return spark.createDataFrame([], "rec_idx long, name string, " + ", ".join(f"`{k}` struct<seq:string,qual:string>" for k in paths))
+    rows, fields = scan_together(spark, ranges), {}
+    for k in paths:
+        fields[k] = _fields(*[f"`{k}`.{c}" for c in ("head", "seq", "plus", "qual", "size")], (max_len or {}).get(k, 0), 0)
+    name = _agreed([strip_mate_suffix(f["name"]) for f in fields.values()])
+    return rows.select("rec_idx", name.alias("name"), *[F.struct(f["seq"].alias("seq"), f["qual"].alias("qual")).alias(k) for k, f in fields.items()])
 
 
 def lockstep(reads: dict[str, DataFrame]) -> DataFrame:
-    """Reads that belong together, by record number: rec_idx, name and for each read id a struct (seq, qual). A record
-    that one of the files lacks, or names that differ (but for /1 and /2), fail."""
+    """The same for reads that are tables already, met by record number: a shuffle of each."""
     out: DataFrame | None = None
     for k, df in reads.items():
         one = df.select("rec_idx", strip_mate_suffix("name").alias(f"_n_{k}"), F.struct("seq", "qual").alias(k))
         out = one if out is None else out.join(one, "rec_idx", "full")
-    names = [F.col(f"_n_{k}") for k in reads]
-    agree = F.lit(True)
-    for n in names:
-        agree = agree & F.coalesce(n == names[0], F.lit(False))
-    name = F.when(agree, names[0]).otherwise(F.raise_error(F.concat(F.lit("reads do not belong together at record "), F.col("rec_idx").cast("string"))).cast("string"))
-    return out.select("rec_idx", name.alias("name"), *reads)
+    return out.select("rec_idx", _agreed([F.col(f"_n_{k}") for k in reads]).alias("name"), *reads)
 
 
 def concat_assays(*reads: DataFrame) -> DataFrame:
