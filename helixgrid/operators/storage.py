@@ -4,14 +4,12 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def materialized(df: DataFrame) -> DataFrame:
-    """Writes a table under spark.checkpoint.dir and reads it back, so that later plans start from files that outlive an
-    executor. Where the setting is unset, a local session makes and sets a
-    temporary folder; a cluster fails."""
-    spark = df.sparkSession
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new path under spark.checkpoint.dir. Where the setting is unset, a local session makes and sets a temporary folder;
+    a cluster fails."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
         if not spark.sparkContext.master.startswith("local"):
@@ -20,6 +18,13 @@ def materialized(df: DataFrame) -> DataFrame:
 
         folder = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
         spark.sparkContext.setCheckpointDir(folder)
-    path = f"{folder.rstrip('/')}/table-{uuid.uuid4().hex}"
+    return f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def materialized(df: DataFrame) -> DataFrame:
+    """Writes a table under spark.checkpoint.dir and reads it back, so that later plans start from files that outlive an
+    executor."""
+    spark = df.sparkSession
+    path = shared_path(spark, "table")
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

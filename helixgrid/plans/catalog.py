@@ -16,7 +16,7 @@ from ..operators import qc as Q
 from ..operators import segments as M
 from ..operators import snv as V
 from ..operators import transcriptome as T
-from ..operators.storage import materialized
+from ..operators.storage import materialized, shared_path
 from ..sources import alignments as A
 from ..sources import fastq as FQ
 
@@ -749,6 +749,37 @@ def md_token_places(spark, sf_dir):
     return table(spark, sf_dir, "lineitem").select(read_key(), F.get(S.md_tokens(md), at).alias("token"))
 
 
+@query(
+    f"""select cast(l_orderkey * 10 + l_linenumber as varchar) as name, cast(l_orderkey % 4096 as int) flags, case when l_suppkey % 5 <> 0 then 'chr' || l_suppkey % 5 end chrom, cast(l_partkey as bigint) pos, nullif(cast(l_quantity as int), 50) mapq,
+      case when l_linenumber <> 3 then (8 - l_linenumber) || 'M' || l_linenumber || 'S' end cigar, {sql4('l_orderkey', 8)} seq, case when l_linenumber <> 2 then repeat(chr(cast(40 + l_linenumber as int)), 8) end qual, cast(8 - l_linenumber as varchar) md, case when l_linenumber <> 1 then {sql4('l_suppkey', 8)} end barcode, case when l_orderkey % 3 = 0 then 'chr1' end mate_chrom, case when (l_orderkey % 4096) & 128 <> 0 then 2 else 1 end mate
+    from lineitem"""
+)
+def bam_round_trip(spark, sf_dir):
+    """Alignments written as BAM files and read back by ranges of blocks."""
+    none = F.lit(None).cast("string")
+    n = F.col("l_linenumber").cast("int")
+    x = table(spark, sf_dir, "lineitem").select(
+        (F.col("l_orderkey") * 10 + n).cast("string").alias("name"), (F.col("l_orderkey") % 4096).cast("int").alias("flags"), F.when(F.col("l_suppkey") % 5 != 0, F.concat(F.lit("chr"), (F.col("l_suppkey") % 5).cast("string"))).alias("chrom"),
+        F.col("l_partkey").cast("long").alias("pos"), F.nullif(F.col("l_quantity").cast("int"), F.lit(50)).alias("mapq"), F.when(n != 3, F.concat((8 - n).cast("string"), F.lit("M"), n.cast("string"), F.lit("S"))).alias("cigar"), S.base4("l_orderkey", 8).alias("seq"),
+        F.when(n != 2, F.repeat(F.char(40 + n), F.lit(8))).alias("qual"), (8 - n).cast("string").alias("md"), none.alias("raw_barcode"), F.when(n != 1, S.base4("l_suppkey", 8)).alias("barcode"), none.alias("umi"), F.when(F.col("l_orderkey") % 3 == 0, "chr1").alias("mate_chrom"),
+    )
+    path = shared_path(spark, "bam")
+    A.write_bam(x, path, [(f"chr{i}", 1 << 29) for i in range(1, 5)])
+    return A.read_bam(spark, path, 1 << 20).select("name", "flags", "chrom", "pos", "mapq", "cigar", "seq", "qual", "md", "barcode", "mate_chrom", "mate")
+
+
+@query(f"select row_number() over (order by event_id) - 1 as rec_idx, 'r' || event_id as name, {sql4('user_id', 8)} as seq1, repeat('@', 8) as qual1, {sql4('event_id', 12)} as seq2 from events")
+def fastq_lockstep(spark, sf_dir):
+    """Two reads of every event written as compressed FASTQ files and read back together, a range of records at a time."""
+    x = table(spark, sf_dir, "events").select("event_id", S.base4("user_id", 8).alias("a"), S.base4("event_id", 12).alias("b"))
+    paths = {k: shared_path(spark, k) for k in ("R1", "R2")}
+    for k, seq in (("R1", "a"), ("R2", "b")):
+        named = x.select("event_id", F.concat(F.lit("r"), F.col("event_id").cast("string"), F.lit(f"/{k[1]}")).alias("name"), F.col(seq).alias("seq"), F.repeat(F.lit("@"), F.length(seq)).alias("qual"))
+        FQ.write_fastq(named, paths[k], compression="gzip" if k == "R1" else "none", order="event_id")
+    both = FQ.read_lockstep(spark, {k: [p] for k, p in paths.items()}, range_bytes=1 << 20)
+    return both.select("rec_idx", "name", F.col("R1.seq").alias("seq1"), F.col("R1.qual").alias("qual1"), F.col("R2.seq").alias("seq2"))
+
+
 @query(
     """with r as (select l_orderkey * 10 + l_linenumber name, l_orderkey % 4096 flags, case when l_suppkey % 5 = 0 then null else 'chr' || l_suppkey % 5 end chrom, l_partkey pos, nullif(cast(l_quantity as int), 50) mapq, case when l_linenumber = 1 then null else 'AC' || l_linenumber end bc from lineitem)
     select name || chr(9) || flags || chr(9) || coalesce(chrom, '*') || chr(9) || pos || chr(9) || coalesce(mapq, 255) || chr(9) || '4M' || chr(9) || '*' || chr(9) || '0' || chr(9) || '0' || chr(9) || 'ACGT' || chr(9) || 'FFFF' || chr(9) || 'MD:Z:4' || coalesce(chr(9) || 'CB:Z:' || bc, '') as line from r"""

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions.seq import revcomp, strip_mate_suffix
 from ..operators.fragments import fragment_line, ordered_fragments, parse_fragments
+from .bam import read_bam, write_bam
+from .containers import kind_of, list_files
 
 
 def read_sam(spark: SparkSession, path: str) -> DataFrame:
@@ -65,9 +67,17 @@ def sam_line() -> Column:
     return F.concat_ws("\t", "name", F.col("flags").cast("string"), star("chrom"), F.coalesce(F.col("pos").cast("string"), F.lit("0")), F.coalesce(F.col("mapq").cast("string"), F.lit("255")), star("cigar"), F.lit("*"), F.lit("0"), F.lit("0"), star("seq"), star("qual"), tag("MD", "md"), tag("CR", "raw_barcode"), tag("CB", "barcode"), tag("UR", "umi"))
 
 
-def write_alignments(alignments: DataFrame, path: str, as_text: bool = False) -> None:
-    """Alignments as Parquet, or as a folder of SAM text."""
-    if as_text:
+def read_alignments(spark: SparkSession, path: str) -> DataFrame:
+    """Alignments of BAM files or SAM text, told by the first bytes of the first file."""
+    is_bam = kind_of(list_files(path)[0][0]) == "gzip"
+    return read_bam(spark, path) if is_bam else read_sam(spark, path)
+
+
+def write_alignments(alignments: DataFrame, path: str, as_text: bool = False, references: DataFrame | None = None) -> None:
+    """Alignments as Parquet, as a folder of SAM text, or, with the sequences they lie on (ord, name, length), as BAM files."""
+    if references is not None:
+        write_bam(alignments, path, references)
+    elif as_text:
         alignments.select(sam_line().alias("value")).write.text(path)
     else:
         alignments.write.parquet(path)

@@ -200,7 +200,7 @@ def chained(ranges: list[Range], count) -> list[Range]:
                     break
             out.append(r.at(skip=carry, base=base, n=n))
             base += n
-            carry = over if n else max(0, carry - owned)
+            carry = over if n or over else max(0, carry - owned)
         if not again:
             return out
         ((i, carry),) = again.items()

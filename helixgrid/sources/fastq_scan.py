@@ -69,7 +69,7 @@ class Records:
             self.n += len(lines) // 4
             if lines:
                 yield lines
-        self.over = max(0, at - self.owned)
+        self.over = max(0, at + drop - self.owned)
 
     def _first(self, held: bytes, at_line: bool, limit: int | None, ended: bool) -> tuple[int | None, bool]:
         """Where the first record begins, and whether it is certain that none does."""

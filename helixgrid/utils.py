@@ -50,18 +50,21 @@ def multiplex_fastq(spark: SparkSession, first: list[str], second: list[str] | N
     FQ.write_fastq(both, f"{out_dir}/I1", "name", "barcode", None)
 
 
-def sam_to_fastq(spark: SparkSession, path: str, out_dir: str) -> None:
-    """Reads of paired alignments, turned back to their own strand, with the barcode as index read, in the order of names."""
-    pairs = A.alignments_to_fastq(A.read_sam(spark, path))
+def bam_to_fastq(spark: SparkSession, path: str, out_dir: str) -> None:
+    """Reads of paired alignments in BAM files or SAM text, turned back to their own strand, with the barcode as index read, in the order of names."""
+    pairs = A.alignments_to_fastq(A.read_alignments(spark, path))
     for k, name in (("r1", "R1"), ("r2", "R2"), ("index", "I1")):
         one = pairs.where(F.col(k).isNotNull()).select("name", f"{k}.seq", f"{k}.qual")
         FQ.write_fastq(one, f"{out_dir}/{name}", order="name")
 
 
+sam_to_fastq = bam_to_fastq
+
+
 def file_md5(spark: SparkSession, path: str) -> dict[str, str]:
     """Hex MD5 of files, by their names."""
     rows = spark.read.format("binaryFile").load(path).select(F.element_at(F.split("path", "/"), -1).alias("name"), F.md5("content").alias("md5"))
     return {r["name"]: r["md5"] for r in rows.collect()}
 
 
-__all__ = ["extract_barcode_from_name", "file_md5", "multiplex_fastq", "sam_to_fastq", "strip_barcode_from_fastq", "strip_barcodes"]
+__all__ = ["bam_to_fastq", "extract_barcode_from_name", "file_md5", "multiplex_fastq", "sam_to_fastq", "strip_barcode_from_fastq", "strip_barcodes"]
