@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.seq import error_probability, expected_errors, revcomp
+from .storage import materialized
 
 #: Status of a corrected barcode.
 OK, NO_MATCH, LOW_CONFIDENCE, TOO_MANY_ERRORS = "ok", "no_match", "low_confidence", "exceeds_expected_errors"
@@ -51,25 +52,39 @@ def correct_exact(reads: DataFrame, counts: DataFrame, barcode: str = "barcode")
     return reads.join(known, F.col(barcode) == F.col("_known"), "left").withColumn("corrected", F.col("_known")).withColumn("posterior", F.when(F.col("_known").isNotNull(), 1.0).otherwise(0.0)).drop("_known")
 
 
-def _neighbours(query: str, distance: int, length: Column) -> Column:
-    """Array of struct(cand, p1, p2, ord): texts that differ from the query in one place, or in two where `distance` is 2.
-    `ord` is the order in which equally good candidates are preferred: by first place and base, a single change before
-    its second ones."""
-    q, bases = F.col(query), F.array(*map(F.lit, "ACGT"))
-    put = lambda t, i, b: F.concat(F.substr(t, F.lit(1), i - 1), b, F.substr(t, i + 1, F.length(t)))
-    at = F.sequence(F.lit(1), length)
-    other = lambda i: F.filter(bases, lambda b: b != F.substr(q, i, F.lit(1)))
-    rank = lambda b: F.array_position(bases, b)
-    row = lambda cand, i, j, o: F.struct(cand.alias("cand"), i.alias("p1"), j.cast("int").alias("p2"), o.cast("long").alias("ord"))
-    first = lambda i, b: (i.cast("long") * 5 + rank(b)) * 1_000_000
-    one = F.flatten(F.transform(at, lambda i: F.transform(other(i), lambda b: row(put(q, i, b), i, F.lit(None), first(i, b)))))
+def _masks(text: Column, length: Column, distance: int) -> Column:
+    """Array of struct(key, i, j): the text with one place left out, or with each two places where `distance` is 2 and it
+    has two. Texts that differ in no more than these places share a key."""
+    put = lambda t, i: F.concat(F.substr(t, F.lit(1), i - 1), F.lit("*"), F.substr(t, i + 1, F.length(t)))
+    none = F.lit(None).cast("int")
+    one = F.transform(F.sequence(F.lit(1), length), lambda i: F.struct(put(text, i).alias("key"), i.alias("i"), none.alias("j")))
     if distance == 1:
         return one
-    later = lambda i: F.filter(at, lambda j: j > i)
-    two = F.flatten(
-        F.transform(at, lambda i: F.flatten(F.transform(other(i), lambda b: F.flatten(F.transform(later(i), lambda j: F.transform(other(j), lambda c: row(put(put(q, i, b), j, c), i, j, first(i, b) + j * 5 + rank(c)))))))),
-    )
-    return F.concat(one, two)
+    pairs = lambda i: F.transform(F.sequence(i + 1, length), lambda j: F.struct(put(put(text, i), j).alias("key"), i.alias("i"), j.alias("j")))
+    return F.when(length < 2, one).otherwise(F.flatten(F.transform(F.sequence(F.lit(1), F.greatest(length - 1, F.lit(1))), pairs)))
+
+
+def near_entries(queries: DataFrame, known: DataFrame, distance: int) -> DataFrame:
+    """q, near: for every text of `queries` (q) the entries of `known` (cand, n) that differ from it in one place, or in up to
+    two, by A, C, G or T: array of struct(ord, cand, n, p1, p2), in the order in which equally good ones are preferred: by
+    first place and base, a single change before its second ones. Both sides are exploded into keys with places left out,
+    16 for 16 bases (120 for two places) where their neighbours would be 48 (about 1,100), and meet by equality."""
+    by_key = known.where(F.length("cand") > 0).select("cand", "n", F.explode(_masks(F.col("cand"), F.length("cand"), distance)).alias("x")).select("cand", "n", F.col("x.key").alias("key"))
+    asked = queries.where(F.length("q") > 0).select("q", F.explode(_masks(F.col("q"), F.length("q"), distance)).alias("x")).select("q", "x.*")
+    met = asked.join(by_key, "key")
+    base = lambda c, i: F.substr(F.col(c), F.col(i), F.lit(1))
+    differs = lambda i: base("q", i) != base("cand", i)
+    # A pair that differs in one place shares all keys that leave it out; the one with the first other place counts.
+    at_i = differs("i") & (F.col("j").isNull() | (~differs("j") & (F.col("i") == 1) & (F.col("j") == 2)))
+    at_j = F.col("j").isNotNull() & differs("j") & ~differs("i") & (F.col("i") == 1)
+    both = F.col("j").isNotNull() & differs("i") & differs("j")
+    p1 = F.when(at_j, F.col("j")).otherwise(F.col("i"))
+    placed = met.where(at_i | at_j | both).withColumns({"p1": p1, "p2": F.when(both, F.col("j"))})
+    bases = F.array(*map(F.lit, "ACGT"))
+    rank = lambda p: F.array_position(bases, base("cand", p))
+    order = (F.col("p1").cast("long") * 5 + rank("p1")) * 1_000_000 + F.coalesce(F.col("p2") * 5 + rank("p2"), F.lit(0))
+    kept = placed.where((rank("p1") > 0) & (F.col("p2").isNull() | (rank("p2") > 0)))
+    return kept.groupBy("q").agg(F.array_sort(F.collect_list(F.struct(order.alias("ord"), "cand", "n", "p1", "p2"))).alias("near"))
 
 
 def correct_barcodes(reads: DataFrame, counts: DataFrame, read_id: list[str], barcode: str = "barcode", qual: str = "qual", distance: int = 1, threshold: float = 0.975, max_expected_errors: float | None = None) -> DataFrame:
@@ -77,26 +92,31 @@ def correct_barcodes(reads: DataFrame, counts: DataFrame, read_id: list[str], ba
 
     `counts`: barcode, n (0 for listed but unseen ones). A listed barcode stands for itself with posterior 1. Otherwise
     every listed barcode within `distance` changes weighs (1 + n) times the error probabilities of the changed qualities
-    (capped at 66), and the heaviest is taken if its share reaches `threshold`. Neighbours are generated once for each
-    distinct unknown barcode and met with the dictionary by equality, never by comparing all pairs; reads with very
-    frequent unknown barcodes are split by the join. The dictionary is broadcast only if it is small.
+    (capped at 66), and the heaviest is taken if its share reaches `threshold`. Each distinct unknown barcode is met once
+    with the dictionary (near_entries), the entries near it are written as one row, and reads take that row: they are neither
+    exploded nor grouped, and not shuffled at all where dictionary and rows are small enough to be sent. Beyond that only
+    reads with unknown barcodes are shuffled, by barcode; very frequent ones are split by the join. `read_id` is kept for
+    callers and not used.
     """
     if distance not in (1, 2):
         raise ValueError("distance must be 1 or 2")
-    known = counts.select(F.col("barcode").alias("cand"), F.col("n").cast("long").alias("n"))
+    known = materialized(counts.select(F.col("barcode").alias("cand"), F.col("n").cast("long").alias("n")))
     sent = F.broadcast(known) if known.count() <= BROADCAST_ENTRIES else known
     marked = reads.join(sent.select(F.col("cand").alias(barcode), F.lit(True).alias("_listed")), barcode, "left")
-    errors = F.lit(False) if max_expected_errors is None else expected_errors(qual) >= max_expected_errors
+    errors = F.lit(False) if max_expected_errors is None else F.coalesce(expected_errors(qual) >= max_expected_errors, F.lit(False))
     marked = marked.withColumn("_late", errors)
-    todo = marked.where(F.col("_listed").isNull() & ~F.col("_late") & F.col(barcode).isNotNull())
-    queries = todo.select(F.col(barcode).alias("q")).distinct()
-    near = queries.select("q", F.explode(_neighbours("q", distance, F.length("q"))).alias("x")).select("q", "x.*").join(sent, "cand")
+    open_ = F.col("_listed").isNull() & ~F.col("_late") & F.col(barcode).isNotNull()
+    near = materialized(near_entries(marked.where(open_).select(F.col(barcode).alias("q")).distinct(), known, distance))
+    if (near.agg(F.sum(F.size("near"))).first()[0] or 0) <= BROADCAST_ENTRIES:
+        met = marked.join(F.broadcast(near), F.when(open_, F.col(barcode)) == F.col("q"), "left")
+    else:
+        rest = marked.where(open_).join(near, F.col(barcode) == F.col("q"), "left")
+        met = marked.where(~open_).withColumns({"q": F.lit(None).cast("string"), "near": F.lit(None).cast(near.schema["near"].dataType)}).unionByName(rest)
     capped = lambda p: error_probability(F.least(F.ascii(F.substr(F.col(qual), p, F.lit(1))), F.lit(66)))
-    weight = (1 + F.col("n")) * capped(F.col("p1")) * F.when(F.col("p2").isNull(), 1.0).otherwise(capped(F.col("p2")))
-    scored = todo.join(near, F.col(barcode) == F.col("q")).select(*read_id, weight.alias("w"), "ord", "cand")
-    best = scored.groupBy(*read_id).agg(F.max(F.struct("w", (-F.col("ord")).alias("o"), "cand")).alias("m"), F.sum("w").alias("s"))
-    best = best.select(*read_id, F.col("m.cand").alias("_cand"), (F.col("m.w") / F.col("s")).alias("_share"))
-    out = marked.join(best, read_id, "left")
+    weight = lambda x: (1 + x["n"]) * capped(x["p1"]) * F.when(x["p2"].isNull(), 1.0).otherwise(capped(x["p2"]))
+    weighed = F.transform("near", lambda x: F.struct(weight(x).alias("w"), (-x["ord"]).alias("o"), x["cand"].alias("cand")))
+    best, total = F.array_max("_near"), F.aggregate("_near", F.lit(0.0), lambda s, x: s + x["w"])
+    out = met.withColumn("_near", weighed).withColumns({"_cand": best["cand"], "_share": F.try_divide(best["w"], total)})
     status = (
         F.when(F.col(barcode).isNull(), NO_MATCH)
         .when(F.col("_late"), TOO_MANY_ERRORS)
@@ -106,7 +126,7 @@ def correct_barcodes(reads: DataFrame, counts: DataFrame, read_id: list[str], ba
         .otherwise(LOW_CONFIDENCE)
     )
     out = out.withColumn("status", status).withColumn("posterior", F.when(F.col("_late"), None).when(F.col("_listed"), 1.0).otherwise(F.coalesce("_share", F.lit(0.0))))
-    return out.withColumn("corrected", F.when(F.col("status") == OK, F.when(F.col("_listed"), F.col(barcode)).otherwise(F.col("_cand")))).drop("_listed", "_late", "_cand", "_share")
+    return out.withColumn("corrected", F.when(F.col("status") == OK, F.when(F.col("_listed"), F.col(barcode)).otherwise(F.col("_cand")))).drop("_listed", "_late", "_cand", "_share", "_near", "q", "near")
 
 
 def join_parts(*corrected: str) -> Column:

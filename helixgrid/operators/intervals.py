@@ -5,25 +5,61 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .storage import materialized
+
+#: A bin of the next level holds so many.
+FANOUT = 8
 #: Chromosome tables up to so many rows are broadcast (they are assemblies' lists of sequences).
 BROADCAST_CHROMS = 1_000_000
 
 
+def _levels(bin_size: int) -> list[int]:
+    """Sizes of bins, each FANOUT times the one below it, up to one that holds any interval."""
+    sizes = [bin_size]
+    while sizes[-1] < 1 << 40:
+        sizes.append(sizes[-1] * FANOUT)
+    return sizes
+
+
+def _own_level(start: str, end: str, sizes: list[int]) -> Column:
+    """Number of the smallest bin that holds an interval; one behind them all where none does."""
+    out = F.lit(len(sizes))
+    for k in range(len(sizes) - 1, -1, -1):
+        out = F.when(F.floor(F.col(start) / sizes[k]) == F.floor((F.col(end) - 1) / sizes[k]), k).otherwise(out)
+    return out
+
+
+def _tagged(bins: Column, level: int) -> Column:
+    return F.transform(bins, lambda b: F.struct(F.lit(level).alias("level"), b.alias("bin")))
+
+
 def overlap_join(left: DataFrame, right: DataFrame, bin_size: int, contained: bool = False) -> DataFrame:
     """Pairs of rows whose intervals overlap (or, with `contained`, of which the left one lies within the right one).
 
     `left` has chrom, start, end and `right` has chrom, start, end; the columns of `right` come back with the prefix
-    "f_". Both sides are cut into bins and met by equality of (chrom, bin); a pair is kept in the first bin that the two
-    share, so it appears once. Empty intervals meet nothing.
+    "f_". Every interval of `right` is one row, in the smallest bin that holds it, of bins of `bin_size` and of FANOUT times
+    that, and so on: one as long as a chromosome costs no more than a short one. The rows of `left` visit the bins that they
+    touch, at the levels that `right` has intervals at (with `contained`, at those at which one bin holds them, as a bin that
+    holds `right` holds them too), and a pair meets in one bin alone. Empty intervals meet nothing. `right` is read once more,
+    for its levels.
     """
-    renamed = right.select(*(F.col(c).alias(f"f_{c}") for c in right.columns)).where("f_end > f_start")
-    bins = lambda s, e: F.explode(F.sequence(F.floor(F.col(s) / bin_size), F.floor((F.col(e) - 1) / bin_size)))
-    a = left.where("end > start").withColumn("_bin", bins("start", "end"))
-    b = renamed.withColumn("_fbin", bins("f_start", "f_end"))
-    met = a.join(b, (F.col("chrom") == F.col("f_chrom")) & (F.col("_bin") == F.col("_fbin")))
+    sizes = _levels(bin_size)
+    renamed = right.select(*(F.col(c).alias(f"f_{c}") for c in right.columns)).where("f_end > f_start").withColumn("_flevel", _own_level("f_start", "f_end", sizes))
+    size_of = F.coalesce(*[F.when(F.col("_flevel") == k, F.lit(z)) for k, z in enumerate(sizes)])
+    indexed = renamed.withColumn("_fbin", F.coalesce(F.floor(F.col("f_start") / size_of), F.lit(0).cast("long")))
+    # At most as many rows as there are levels.
+    levels = sorted(r[0] for r in renamed.select("_flevel").distinct().collect())
+    touched = []
+    for k in levels:
+        bins = F.array(F.lit(0).cast("long")) if k == len(sizes) else F.sequence(F.floor(F.col("start") / sizes[k]), F.floor((F.col("end") - 1) / sizes[k]))
+        if contained and k < len(sizes):
+            bins = F.when(F.size(bins) == 1, bins).otherwise(F.array().cast("array<bigint>"))
+        touched.append(_tagged(bins, k))
+    none = F.array().cast("array<struct<level:int,bin:bigint>>")
+    probes = left.where("end > start").withColumn("_at", F.explode(F.concat(*touched) if touched else none))
+    met = probes.join(indexed, (F.col("chrom") == F.col("f_chrom")) & (F.col("_at.level") == F.col("_flevel")) & (F.col("_at.bin") == F.col("_fbin")))
     inside = (F.col("f_start") <= F.col("start")) & (F.col("end") <= F.col("f_end")) if contained else (F.col("start") < F.col("f_end")) & (F.col("f_start") < F.col("end"))
-    once = F.col("_bin") == F.floor(F.greatest("start", "f_start") / bin_size)
-    return met.where(inside & once).drop("_bin", "_fbin")
+    return met.where(inside).drop("_at", "_flevel", "_fbin")
 
 
 def _islands(rows: DataFrame, keys: list[str]) -> DataFrame:
@@ -36,10 +72,27 @@ def _islands(rows: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def merge_intervals(rows: DataFrame, keys: list[str], bin_size: int = 1 << 16) -> DataFrame:
-    """keys, start, end and n of the unions of overlapping or touching intervals of each group. Intervals that begin in one
-    bin are merged first, so that a group with very many of them is spread by its bins, and only their unions meet."""
+    """keys, start, end and n of the unions of overlapping or touching intervals of each group.
+
+    Intervals that begin in one bin are merged first, so that a group with very many of them is spread by its bins. Of these
+    unions at most one a bin reaches into the next bins; how far the ones before a bin reach is carried on to it, and unions
+    that begin within reach become one row for their bin. Only those rows and the reaching unions are merged once more: of a
+    group never more than two for each bin that its sequence has, however many intervals there are. All others are done."""
     binned = rows.select(*keys, "start", "end", F.lit(1).cast("long").alias("n"), F.floor(F.col("start") / bin_size).alias("_bin"))
-    return _islands(_islands(binned, [*keys, "_bin"]).drop("_bin"), keys)
+    local = materialized(_islands(binned, [*keys, "_bin"]).withColumn("_on", F.floor(F.col("end") / bin_size) > F.col("_bin")))
+    order = Window.partitionBy(*keys).orderBy("_bin")
+    reaching = local.where("_on").select(*keys, "_bin", F.max("end").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)).alias("_reach"), F.lead("_bin").over(order).alias("_next"))
+    # The next reaching union carries on from its bin, so that each bin is named once.
+    until = F.least(F.floor(F.col("_reach") / bin_size), F.coalesce("_next", F.floor(F.col("_reach") / bin_size)))
+    reach = reaching.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.explode(F.sequence(F.col("_bin") + 1, until)).alias("_b"), "_reach")
+    same = F.col("_bin") == F.col("_b")
+    for i, k in enumerate(keys):
+        same &= F.col(k).eqNullSafe(F.col(f"_k{i}"))
+    met = local.join(reach, same, "left").withColumn("_within", F.coalesce(F.col("start") <= F.col("_reach"), F.lit(False)))
+    done = met.where(~F.col("_within") & ~F.col("_on")).select(*keys, "start", "end", "n")
+    own = F.when(~F.col("_within"), F.col("start"))
+    waiting = met.where(F.col("_within") | F.col("_on")).groupBy(*keys, "_bin", own.alias("_own")).agg(F.min("start").alias("start"), F.max("end").alias("end"), F.sum("n").alias("n"))
+    return done.unionByName(_islands(waiting.drop("_bin", "_own"), keys))
 
 
 def genome_offsets(chroms: DataFrame) -> DataFrame:

@@ -95,3 +95,58 @@ def test_empty_inputs(spark):
     assert T.umi_targets(spark.createDataFrame([], "k int, umi string"), ["k"]).count() == 0
     stats = B.whitelist_stats(spark.createDataFrame([], "barcode string, n long, listed boolean")).first()
     assert (stats.total, stats.frac_exact) == (0, 0.0)
+
+
+def test_overlap_join_of_all_lengths(spark):
+    """Lengths from 1 to 10^8: every interval of the indexed side stays one row, and pairs meet once."""
+    rng = random.Random(4)
+    rows = lambda n: [(i, rng.choice("ab"), s := rng.randrange(10 ** rng.randint(1, 9)), s + int(10 ** rng.uniform(0, 8))) for i in range(n)]
+    a, b = rows(120), rows(100) + [(100, "a", 0, 1 << 41), (101, "b", (1 << 40) - 5, (1 << 40) + 5)]
+    left = spark.createDataFrame(a, "id int, chrom string, start long, end long")
+    right = spark.createDataFrame(b, "id int, chrom string, start long, end long")
+    for contained in (False, True):
+        got = sorted((r.id, r.f_id) for r in I.overlap_join(left, right, 1 << 14, contained).select("id", "f_id").collect())
+        meets = lambda x, y: y[2] <= x[2] and x[3] <= y[3] if contained else x[2] < y[3] and y[2] < x[3]  # noqa: B023, E731
+        assert got == sorted((x[0], y[0]) for x, y in itertools.product(a, b) if x[1] == y[1] and meets(x, y))
+
+
+def _merged(rows):
+    out = []
+    for k, s, e in sorted(rows, key=lambda r: (r[0] or "", r[1], r[2])):
+        if out and out[-1][0] == k and s <= out[-1][2]:
+            out[-1][2], out[-1][3] = max(out[-1][2], e), out[-1][3] + 1
+        else:
+            out.append([k, s, e, 1])
+    return sorted(map(str, out))
+
+
+@pytest.mark.parametrize("bin_size", [7, 64, 1 << 16])
+def test_merge_intervals_over_bins(spark, bin_size):
+    """Unions that reach over many bins, touch at their borders, lie within others, or stand alone; a null key is one key."""
+    for seed, longest in ((1, 5), (2, 60), (3, 900)):
+        rng = random.Random(seed)
+        rows = [(rng.choice(["a", "b", None]), s := rng.randrange(3000), s + rng.choice([1, 7, rng.randint(1, longest)])) for _ in range(250)]
+        got = I.merge_intervals(spark.createDataFrame(rows, "k string, start long, end long"), ["k"], bin_size).select("k", "start", "end", "n").collect()
+        assert sorted(str(list(r)) for r in got) == _merged(rows)
+
+
+@pytest.mark.parametrize("distance,keys", [(1, 16), (2, 120)])
+def test_keys_of_near_entries(spark, distance, keys):
+    """A text of 16 bases has 16 keys for one place, 120 for two; the entries met, their places and order are those of all pairs."""
+    rng = random.Random(5)
+    base = "".join(rng.choice("ACGT") for _ in range(16))
+    change = lambda t, k: "".join(rng.choice("ACGTN") if i in rng.sample(range(16), k) else c for i, c in enumerate(t))
+    known = sorted({change(base, rng.randint(0, 3)) for _ in range(60)} | {"A", "AC", "ACG", ""})
+    queries = sorted(({change(base, rng.randint(0, 2)) for _ in range(20)} | {"C", "AG", "TCG", ""}) - set(known))
+    k = spark.createDataFrame([(c, i) for i, c in enumerate(known)], "cand string, n long")
+    q = spark.createDataFrame([(x,) for x in queries], "q string")
+    assert {len(r.m) for r in q.where("length(q) = 16").select(B._masks(q.q, B.F.length("q"), distance).alias("m")).collect()} == {keys}
+    want = {}
+    for x in queries:
+        for n, c in enumerate(known):
+            at = [i for i in range(len(x)) if x[i] != c[i]] if len(x) == len(c) else []
+            if 0 < len(at) <= distance and all(c[i] in "ACGT" for i in at):
+                spot = [(i + 1, "ACGT".index(c[i]) + 1) for i in at]
+                want.setdefault(x, []).append((*spot[0], *(spot[1] if len(at) == 2 else (0, 0)), c, n))
+    got = {r.q: [(e.cand, e.n) for e in r.near] for r in B.near_entries(q, k, distance).collect()}
+    assert got == {x: [(c, n) for *_, c, n in sorted(v)] for x, v in want.items()}
