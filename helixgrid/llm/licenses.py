@@ -27,7 +27,7 @@ GRAM, WINDOW = 3, 2
 #: Half width of the band, and what matches, mismatches and gaps add to the score of an alignment.
 BAND, MATCH, MISMATCH, GAP = 8, 2, -1, -1
 
-#: Templates of fewer words must be there in full, as one word of them may be another license's name or version.
+#: Templates of fewer words must be there in full, and nothing else between them.
 SHORT = 20
 #: Share of a template's fingerprints that must lie in a band before the band is aligned.
 VOTE = 0.1
@@ -57,18 +57,6 @@ TEMPLATES = {
         '"AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the '
         "specific language governing permissions and limitations under the License."
     ),
-    "gpl-3.0-notice": "This work is licensed under the GNU General Public License, version 3.",
-    "gpl-3.0-header": (
-        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General "
-        "Public License as published by the Free Software Foundation, either version 3 of the License, or (at your "
-        "option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY "
-        "WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU "
-        "General Public License for more details."
-    ),
-    "cc-by-4.0-notice": "Licensed under CC BY 4.0.",
-    "cc-by-sa-4.0-notice": "Licensed under CC BY-SA 4.0.",
-    "cc-by-nc-4.0-notice": "Licensed under CC BY-NC 4.0.",
-    "cc-by-4.0": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
     "mit": (
         "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated "
         'documentation files (the "Software"), to deal in the Software without restriction, including without limitation '
@@ -118,8 +106,55 @@ TEMPLATES = {
         "ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."
     ),
 }
-# Addresses of license texts and machine-readable tags, which a notice may consist of.
-TEMPLATES |= {f"spdx-{k}": f"SPDX-License-Identifier: {k}" for k in ("Apache-2.0", "MIT", "GPL-2.0-only", "GPL-3.0-only", "LGPL-2.1-only", "LGPL-3.0-only", "AGPL-3.0-only", "MPL-2.0", "EPL-2.0", "BSD-2-Clause", "BSD-3-Clause", "CC0-1.0")}
+# Notices of the GNU licenses by name and version, with and without later versions.
+_GNU = (
+    "This program is free software: you can redistribute it and/or modify it under the terms of the GNU {0} as published by "
+    "the Free Software Foundation, either version {1} of the License, or (at your option) any later version. This program is "
+    "distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of "
+    "MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU {0} for more details."
+)
+_GNU_ONLY = (
+    "This program is free software; you can redistribute it and/or modify it under the terms of the GNU {0} version {1} as "
+    "published by the Free Software Foundation. This program is distributed in the hope that it will be useful, but WITHOUT "
+    "ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU {0} "
+    "for more details."
+)
+_GNU_NAMES = {"gpl": "General Public License", "lgpl": "Lesser General Public License", "agpl": "Affero General Public License"}
+_GNU_VERSIONS = (("gpl", "2.0", "2"), ("gpl", "3.0", "3"), ("lgpl", "2.1", "2.1"), ("lgpl", "3.0", "3"), ("agpl", "3.0", "3"))
+for _k, _v, _shown in _GNU_VERSIONS:
+    TEMPLATES |= {
+        f"{_k}-{_v}-header": _GNU.format(_GNU_NAMES[_k], _shown),
+        f"{_k}-{_v}-only-header": _GNU_ONLY.format(_GNU_NAMES[_k], _shown),
+        f"{_k}-{_v}-notice": f"This work is licensed under the GNU {_GNU_NAMES[_k]}, version {_shown}.",
+    }
+TEMPLATES["lgpl-2.0-header"] = _GNU.format("Library General Public License", "2")
+# Notices of other licenses of which there are several.
+TEMPLATES |= {
+    "mpl-2.0-header": (
+        "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not "
+        "distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."
+    ),
+    "epl-2.0-header": (
+        "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 "
+        "which is available at https://www.eclipse.org/legal/epl-2.0/"
+    ),
+    "epl-1.0-header": (
+        "All rights reserved. This program and the accompanying materials are made available under the terms of the Eclipse "
+        "Public License v1.0 which accompanies this distribution, and is available at http://www.eclipse.org/legal/epl-v10.html"
+    ),
+}
+_CC = {"by": "Attribution", "by-sa": "Attribution-ShareAlike", "by-nc": "Attribution-NonCommercial", "by-nd": "Attribution-NoDerivatives", "by-nc-sa": "Attribution-NonCommercial-ShareAlike", "by-nc-nd": "Attribution-NonCommercial-NoDerivatives"}
+for _k, _name in _CC.items():
+    TEMPLATES |= {f"cc-{_k}-4.0-notice": f"Licensed under CC {_k.upper()} 4.0.", f"cc-{_k}-4.0": f"This work is licensed under a Creative Commons {_name} 4.0 International License."}
+# Machine-readable tags, which a notice may consist of.
+_TAGS = ["Apache-2.0", "MIT", "MIT-0", "MPL-2.0", "EPL-1.0", "EPL-2.0", "BSD-2-Clause", "BSD-3-Clause", "CC0-1.0", "ISC", "Zlib", "Unlicense"]
+_TAGS += [f"{k.upper()}-{v}{end}" for k, v, _ in _GNU_VERSIONS for end in ("", "-only", "-or-later")] + [f"CC-{k.upper()}-4.0" for k in _CC]
+TEMPLATES |= {f"spdx-{k}": f"SPDX-License-Identifier: {k}" for k in _TAGS}
+#: Words, or pairs of them, that tell a longer notice from its relatives, in groups of which one stands for the others: the
+#: text must have one of a group exactly if the template has.
+DECIDING = ("gnu general", "gnu lesser", "gnu affero", "gnu library", "later|option|either", "1", "2", "3", "mozilla", "eclipse", "v1")
+#: Names of templates to which they apply.
+RELATED = re.compile(r"(a|l)?gpl-.*-header|(m|e)pl-.*-header")
 #: Whole public license texts, a file for each.
 TEXTS = Path(__file__).with_name("license_texts")
 
@@ -204,12 +239,15 @@ class Scanner:
             for at in winnow(g).tolist():
                 index.setdefault(int(g[at]), []).append((k, at))
         self.index = index
+        self.asked = [[tuple(_hash(phrase.split())) for phrase in group.split("|")] for group in DECIDING]
+        self.deciding = [self.named(h) if RELATED.fullmatch(k) else None for k, h in zip(self.names, self.words, strict=True)]
         self.least = [max(1, int(VOTE * len(set(winnow(grams(h)).tolist())))) if len(h) >= SHORT else 1 for h in self.words]
         self.prints = np.array(sorted(index), np.uint64)
         self.known = ChunkCache(_hash, 500_000)
 
     def scan(self, texts: list[str | None]) -> Iterable[list[tuple]]:
-        """For each text its matches: template, start and end (characters), matched words, words of the template."""
+        """For each text its matches: template, start and end (characters), matched words, words of the template, words
+        between start and end."""
         lists = [WORD.findall(t) if t else [] for t in texts]
         self.known.learn(lists)
         get = self.known.__getitem__
@@ -224,6 +262,12 @@ class Scanner:
             at = at[self.prints[near] == g[at]]
             yield self.matches(text, h, g, at.tolist()) if len(at) else []
 
+    def named(self, span: np.ndarray) -> list[bool]:
+        """Which groups of deciding words a stretch of words has."""
+        held = span.tolist()
+        words, pairs = set(held), set(zip(held, held[1:]))  # noqa: B905
+        return [any(p in pairs if len(p) == 2 else p[0] in words for p in group) for group in self.asked]
+
     def matches(self, text: str, h: np.ndarray, g: np.ndarray, at: list[int]) -> list[tuple]:
         by: dict[int, list[tuple[int, int]]] = {}
         for j in at:
@@ -246,7 +290,9 @@ class Scanner:
                     continue
                 a, b = max(0, low - band), min(len(h), high + n + band + 1)
                 _, m, first, stop = align(self.words[k], h[a:b], (low + high) // 2 - a, band + (high - low + 1) // 2)
-                if m >= (self.coverage * n if n >= SHORT else n):
+                if n < SHORT and (m < n or stop - first > n):
+                    continue
+                if m >= self.coverage * n and (self.deciding[k] is None or self.deciding[k] == self.named(h[a + first : a + stop])):
                     found.append((m, m / n, k, a + first, a + stop))
         # Of matches that overlap, the one with the most words of its template stands.
         found.sort(key=lambda x: (-x[0], -x[1], x[3], x[2]))
@@ -257,14 +303,15 @@ class Scanner:
         if not kept:
             return []
         spans = [x.span() for x in WORD.finditer(text)]
-        return [(self.names[k], spans[first][0], spans[stop - 1][1], m, len(self.words[k])) for m, _, k, first, stop in sorted(kept, key=lambda x: x[3])]
+        return [(self.names[k], spans[first][0], spans[stop - 1][1], m, len(self.words[k]), stop - first) for m, _, k, first, stop in sorted(kept, key=lambda x: x[3])]
 
 
 def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates: dict[str, str] | None = None, coverage: float = 0.75) -> DataFrame:
     """Places of texts that match a license template: id, template, start_char, end_char (code points, end exclusive),
-    matched_words, template_words and coverage (matched share of the template's words), for alignments with at least
-    that `coverage`, or the whole of a template of fewer than SHORT words, in which one word may be another license's name
-    or version; several for a text if there are several, none for null, empty or clean texts. Of matches that
+    matched_words, template_words, coverage (matched share of the template's words) and text_coverage (matched share of the
+    words between the match's ends), for alignments with at least that `coverage`. A template of fewer than SHORT words must
+    be there whole and without a word between its own, as one word may be another license's name or version; of the longer
+    notices of licenses that differ by such words alone (RELATED), the DECIDING ones must agree. Several for a text if there are several, none for null, empty or clean texts. Of matches that
     overlap, whatever their templates, the one with the most matched words stands. Null ids stay; repeated rows are scanned as often as
     they stand; other columns, whatever their names, are not read; an empty table gives an empty result. A narrow pass
     without shuffle; the index of the templates goes to every task and does not grow with the texts. A band is aligned only if a share VOTE
@@ -279,11 +326,11 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         scanner = tool(("licenses", tuple(wanted.items()), coverage), lambda: Scanner(wanted, coverage))
         for part, texts in text_groups(batches):
             ids = part.column(0).to_pylist()
-            rows = [(i, *m, m[3] / m[4]) for i, found in zip(ids, scanner.scan(texts), strict=True) for m in found]
+            rows = [(i, *m[:5], m[3] / m[4], m[3] / m[5]) for i, found in zip(ids, scanner.scan(texts), strict=True) for m in found]
             if rows:
                 cols = list(zip(*rows, strict=True))
-                kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], ["id", "template", "start_char", "end_char", "matched_words", "template_words", "coverage"])
+                kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], ["id", "template", "start_char", "end_char", "matched_words", "template_words", "coverage", "text_coverage"])
 
     read = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    return read.mapInArrow(run, "id long, template string, start_char long, end_char long, matched_words long, template_words long, coverage double").withColumnRenamed("id", id_col)
+    return read.mapInArrow(run, "id long, template string, start_char long, end_char long, matched_words long, template_words long, coverage double, text_coverage double").withColumnRenamed("id", id_col)

@@ -67,7 +67,7 @@ def test_license_bodies_and_edits(spark):
         t = [w if rng.random() >= share or k in (0, 1, 2) or k >= len(words(templates[name])) - 3 else "edited" for k, w in enumerate(words(templates[name]))]
         want[i] = name
         rows.append((i, "some words before " + " ".join(t) + " and words behind"))
-    rows += [(900, "Licensed under the Apache License, Version 1.1."), (901, "This work is licensed under the GNU General Public License, version 2."), (902, "of the software and the license " * 3000), (903, "x " * 500_000 + "Released under the MIT License.")]
+    rows += [(900, "Licensed under the Apache License, Version 1.1."), (901, "This work is licensed under the GNU General Public License, version 1."), (902, "of the software and the license " * 3000), (903, "x " * 500_000 + "Released under the MIT License.")]
     df = spark.createDataFrame(rows + rows[:1], "doc_id long, text string")
     got = {}
     for r in licenses.scan_licenses(df).collect():
