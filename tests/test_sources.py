@@ -144,6 +144,25 @@ def test_layout(tmp_path):
     assert a.update_read("new", modality="rna", primer_id="bc", is_reverse=False)  # warns: not a primer
 
 
+def test_illumina_reads_of_partial_libraries():
+    """Without P7 there is no second read; an index read stops before the fixed sequences next to the adapter."""
+    spacer = "  - !Region {region_id: s%d, region_type: linker, sequence_type: fixed, sequence: AC, min_len: 2, max_len: 2}\n"
+    lines = LAYOUT.splitlines(keepends=True)
+    at = next(i for i, x in enumerate(lines) if "region_id: i5" in x)
+    padded = "".join([*lines[:at], spacer % 1, lines[at], spacer % 2, *lines[at + 1 :]])
+    a = Assay.parse(padded)
+    a.add_illumina_reads("rna", 50, forward_strand_workflow=True)
+    assert a.reads["rna-I2"].max_len == 6  # the spacer next to P5 and the index
+    a.add_illumina_reads("rna", 50)
+    assert a.reads["rna-I2"].max_len == 6  # the spacer next to the primer and the index
+    b = Assay.parse(LAYOUT.replace("illumina_p7", "linker"))
+    b.add_illumina_reads("rna")
+    assert set(b.reads) == {"rna-R1", "rna-I2"} and b.reads["rna-R1"].max_len == 150
+    c = Assay.parse(LAYOUT.replace("illumina_p5", "linker"))
+    c.add_illumina_reads("rna")
+    assert set(c.reads) == {"rna-R2", "rna-I1"}
+
+
 def test_layout_rules():
     assert parse_region_type("PolyA") == "poly_a" and parse_region_type("TruSeq_Read1") == "truseq_read1"
     with pytest.raises(LayoutError):
