@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .intervals import merge_intervals, overlap_join
+from .storage import materialized
 
 EXONIC, INTRONIC, SPANNING, DISCORDANT = "exonic", "intronic", "spanning", "discordant"
 FORWARD, REVERSE, UNSTRANDED = "forward", "reverse", "unstranded"
@@ -223,3 +224,35 @@ def csr_rows(counts: DataFrame, cell: str = "barcode", gene: str = "gene_idx") -
     """One sparse row for each cell: cols and vals in the order of genes. A row is as long as a cell has genes."""
     rows = counts.groupBy(cell).agg(F.array_sort(F.collect_list(F.struct(gene, "value"))).alias("x"))
     return rows.select(cell, F.transform("x", lambda r: r[gene]).alias("cols"), F.transform("x", lambda r: r["value"]).alias("vals"))
+
+
+def indexed_rows(counts: DataFrame, cell: str = "barcode", gene: str = "gene_idx") -> DataFrame:
+    """The rows of `csr_rows` with row_idx (from 0, in the order of cells) and ptr, the entries in the rows before. Cells are
+    sorted by ranges; entries are summed within each range and over the ranges before it, of which there is a row each."""
+    rows = csr_rows(counts, cell, gene)
+    placed = materialized(materialized(rows).repartitionByRange(cell).sortWithinPartitions(cell).withColumn("_at", F.monotonically_increasing_id())).withColumn("_range", F.shiftright("_at", 33))
+    inner = Window.partitionBy("_range").orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)
+    light = placed.select(cell, "_range", "_at", F.size("cols").cast("long").alias("_n"))
+    sums = light.groupBy("_range").agg(F.min("_at").alias("_first"), F.count("*").alias("_rows"), F.sum("_n").alias("_entries"))
+    earlier = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    before = sums.select("_range", "_first", F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias("_r"), F.coalesce(F.sum("_entries").over(earlier), F.lit(0)).alias("_e"))
+    pointers = light.withColumn("_p", F.coalesce(F.sum("_n").over(inner), F.lit(0))).join(before, "_range")
+    pointers = pointers.select("_at", (F.col("_at") - F.col("_first") + F.col("_r")).alias("row_idx"), (F.col("_p") + F.col("_e")).alias("ptr"))
+    return placed.join(pointers, "_at").select("row_idx", "ptr", cell, "cols", "vals")
+
+
+def csr_blocks(counts: DataFrame, cell: str = "barcode", gene: str = "gene_idx", entries: int = 1 << 20) -> DataFrame:
+    """The sparse matrix of cells by genes in blocks of rows: first_row, cells, indptr (pointers into the whole matrix, one more
+    than rows), indices and data. A block takes the rows whose first entry lies in its `entries`, so that it has these and
+    the rest of one row at most; rows are never empty. Blocks in the order of first_row are the whole matrix."""
+    rows = indexed_rows(counts, cell, gene).withColumn("_block", F.expr(f"ptr div {entries}"))
+    x = F.array_sort(F.collect_list(F.struct("row_idx", "ptr", F.col(cell).alias("cell"), "cols", "vals")))
+    grouped = rows.groupBy("_block").agg(x.alias("x"))
+    last = F.element_at("x", -1)
+    return grouped.select(
+        F.get("x", F.lit(0))["row_idx"].alias("first_row"),
+        F.col("x.cell").alias("cells"),
+        F.concat(F.col("x.ptr"), F.array(last["ptr"] + F.size(last["cols"]))).alias("indptr"),
+        F.flatten("x.cols").alias("indices"),
+        F.flatten("x.vals").alias("data"),
+    )

@@ -749,6 +749,20 @@ def md_token_places(spark, sf_dir):
     return table(spark, sf_dir, "lineitem").select(read_key(), F.get(S.md_tokens(md), at).alias("token"))
 
 
+@query(
+    f"""with c as (select {sql4('l_suppkey', 8)} barcode, l_partkey % 500 g, count(*) v from lineitem group by all), r as (select barcode, count(*) n, sum(v) total, sum(v * g) weighted from c group by 1)
+    select barcode, row_number() over (order by barcode) - 1 as row_idx, cast(sum(n) over (order by barcode) - n as bigint) as ptr, n as entries, cast(total as bigint) total, cast(weighted as bigint) weighted from r"""
+)
+def matrix_blocks(spark, sf_dir):
+    """A sparse matrix of cells by genes in blocks, taken apart again by its pointers."""
+    c = table(spark, sf_dir, "lineitem").groupBy(S.base4("l_suppkey", 8).alias("barcode"), (F.col("l_partkey") % 500).alias("gene_idx")).agg(F.count("*").alias("value"))
+    b = T.csr_blocks(c, entries=4096).select("first_row", "indptr", "indices", "data", F.posexplode("cells").alias("i", "barcode"))
+    ptr, n = F.get("indptr", F.col("i")), F.get("indptr", F.col("i") + 1) - F.get("indptr", F.col("i"))
+    own = lambda x: F.slice(x, (ptr - F.get("indptr", F.lit(0)) + 1).cast("int"), n.cast("int"))
+    total = lambda x: F.aggregate(x, F.lit(0).cast("long"), lambda s, v: s + v)
+    return b.select("barcode", (F.col("first_row") + F.col("i")).alias("row_idx"), ptr.alias("ptr"), n.alias("entries"), total(own("data")).alias("total"), total(F.zip_with(own("indices"), own("data"), lambda g, v: g * v)).alias("weighted"))
+
+
 @query(
     f"""select cast(l_orderkey * 10 + l_linenumber as varchar) as name, cast(l_orderkey % 4096 as int) flags, case when l_suppkey % 5 <> 0 then 'chr' || l_suppkey % 5 end chrom, cast(l_partkey as bigint) pos, nullif(cast(l_quantity as int), 50) mapq,
       case when l_linenumber <> 3 then (8 - l_linenumber) || 'M' || l_linenumber || 'S' end cigar, {sql4('l_orderkey', 8)} seq, case when l_linenumber <> 2 then repeat(chr(cast(40 + l_linenumber as int)), 8) end qual, cast(8 - l_linenumber as varchar) md, case when l_linenumber <> 1 then {sql4('l_suppkey', 8)} end barcode, case when l_orderkey % 3 = 0 then 'chr1' end mate_chrom, case when (l_orderkey % 4096) & 128 <> 0 then 2 else 1 end mate

@@ -7,8 +7,11 @@ from pyspark.sql import functions as F
 
 from ..functions.seq import revcomp, strip_mate_suffix
 from ..operators.fragments import fragment_line, ordered_fragments, parse_fragments
+from ..operators.storage import materialized
+from ..operators.transcriptome import indexed_rows
 from .bam import read_bam, write_bam
 from .containers import kind_of, list_files
+from .parts import write_lines
 
 
 def read_sam(spark: SparkSession, path: str) -> DataFrame:
@@ -50,14 +53,10 @@ def read_fragments(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_fragments(fragments: DataFrame, path: str, header: dict[str, str] | None = None, compression: str = "gzip") -> None:
-    """A folder of fragment files, in the order of cells and places, with variants where the table has them. A header is
-    written beside it as <path>_header, since the files of a folder are written by tasks."""
-    spark = fragments.sparkSession
+    """A folder of fragment files, in the order of cells and places, with variants where the table has them. One after the
+    other they are one fragment file, with the header's lines in front; gzip is written in BGZF blocks."""
     lines = ordered_fragments(fragments).select(fragment_line("snv1" in fragments.columns).alias("value"))
-    lines.write.mode("append").option("compression", compression).text(path)
-    if header:
-        rows = [(f"# {k}={v}",) for k, v in header.items()]
-        spark.createDataFrame(rows, "value string").coalesce(1).write.option("compression", "none").text(f"{path.rstrip('/')}_header")
+    write_lines(lines, path, "\n".join(f"# {k}={v}" for k, v in (header or {}).items()), ".tsv", compression)
 
 
 def sam_line() -> Column:
@@ -95,6 +94,21 @@ def write_counts(counts: DataFrame, genes: DataFrame, path: str, coverage: DataF
         references.write.parquet(f"{root}/references")
 
 
+def write_matrix(counts: DataFrame, genes: DataFrame, path: str, compression: str = "gzip") -> None:
+    """A layer of counts (barcode, gene_idx, value) as the three files that matrix readers know: matrix.mtx (MatrixMarket,
+    genes by cells, counted from 1, in the order of cells and genes), barcodes.tsv and features.tsv (gene_id, gene_name).
+    Each is a folder of files that one after the other are one file. Cells stand in the order of barcodes; genes without
+    counts have their lines too."""
+    root = path.rstrip("/")
+    rows = materialized(indexed_rows(counts))
+    total = rows.agg(F.count("*").alias("cells"), F.coalesce(F.sum(F.size("cols")), F.lit(0)).alias("entries")).first()
+    entries = rows.select("row_idx", F.explode(F.arrays_zip("cols", "vals")).alias("x")).select("row_idx", F.col("x.cols").alias("col"), F.col("x.vals").alias("val")).orderBy("row_idx", "col")
+    header = f"%%MatrixMarket matrix coordinate integer general\n{genes.count()} {total.cells} {total.entries}"
+    write_lines(entries.select(F.concat_ws(" ", F.col("col") + 1, F.col("row_idx") + 1, "val").alias("value")), f"{root}/matrix.mtx", header, ".mtx", compression)
+    write_lines(rows.orderBy("row_idx").select("barcode"), f"{root}/barcodes.tsv", "", ".tsv", compression)
+    write_lines(genes.orderBy("gene_idx").select(F.concat_ws("\t", "gene_id", F.coalesce("gene_name", "gene_id")).alias("value")), f"{root}/features.tsv", "", ".tsv", compression)
+
+
 def collated_pairs(alignments: DataFrame) -> DataFrame:
     """name, r1, r2: the two primary reads of every name, as structs; a name with more than one of either fails."""
     s = F.struct(*[c for c in alignments.columns if c != "name"])

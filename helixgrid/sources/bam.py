@@ -11,29 +11,25 @@ import base64
 import json
 import pickle
 import struct
-import uuid
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition
 
 from ..functions.seq import strip_mate_suffix
-from .containers import RANGE_BYTES, Range, chained, decoded, list_files, open_path, ranges_of
+from .containers import RANGE_BYTES, Range, chained, decoded, list_files, ranges_of
+from .parts import Blocks, PartsWriter
 
 # Fixed values of the format.
 MAGIC = b"BAM\1"
 BASES = "=ACMGRSVTWYHKDBN"
 CIGAR_OPS = "MIDNSHP=X"
 TAG_SIZES = {"A": 1, "c": 1, "C": 1, "s": 2, "S": 2, "i": 4, "I": 4, "f": 4}
-END_BLOCK = bytes.fromhex("1f8b08040000000000ff0600424302001b0003000000000000000000")
 #: The fixed part of a record, its size included.
 FIXED = np.dtype([("size", "<i4"), ("ref", "<i4"), ("pos", "<i4"), ("l_name", "u1"), ("mapq", "u1"), ("bin", "<u2"), ("n_cigar", "<u2"), ("flag", "<u2"), ("l_seq", "<i4"), ("next_ref", "<i4"), ("next_pos", "<i4"), ("tlen", "<i4")])
-#: Bytes of a block before compression.
-BLOCK = 0xFF00
 #: Consecutive plausible records that a guess asks for.
 CHAIN = 6
 TAGS = {"MD": "md", "CB": "barcode", "CR": "raw_barcode", "UB": "umi_corrected", "UR": "umi_raw"}
@@ -380,77 +376,19 @@ def header_bytes(references: list[tuple[str, int]], text: str = "") -> bytes:
     return out
 
 
-def block(raw: bytes) -> bytes:
-    """Bytes as a BGZF block."""
-    c = zlib.compressobj(6, zlib.DEFLATED, -15)
-    data = c.compress(raw) + c.flush()
-    return b"\x1f\x8b\x08\x04\0\0\0\0\0\xff\x06\0BC\x02\0" + struct.pack("<H", len(data) + 25) + data + struct.pack("<II", zlib.crc32(raw), len(raw))
-
-
-class Written(WriterCommitMessage):
-    def __init__(self, part: int, path: str):
-        self.part, self.path = part, path
-
-
-class _Writer(DataSourceWriter):
-    """Tasks write files under names of their own attempts; the driver's commit gives those of the attempts that count their
-    final names, so that a task that ran twice leaves one file."""
-
+class _Writer(PartsWriter):
     def __init__(self, path: str, references: list, text: str, overwrite: bool):
-        self.path, self.references, self.text, self.overwrite = path.rstrip("/"), references, text, overwrite
-        self.attempts = f"{self.path}/_attempts-{uuid.uuid4().hex}"
-
-    def write(self, iterator) -> Written:
-        from pyspark import TaskContext
+        super().__init__(path, ".bam", overwrite)
+        self.references, self.text = references, text
 
-        part = TaskContext.get().partitionId()
-        path = f"{self.attempts}/{part}-{uuid.uuid4().hex}"
-        system, inner = open_path(path)
-        system.create_dir(inner.rpartition("/")[0], recursive=True)
+    def put(self, rows, f, part: int) -> None:
+        out = Blocks(f)
+        out.put(header_bytes(self.references, self.text))
+        out.flush()
         ids = {n: i for i, (n, _) in enumerate(self.references)}
-        with system.open_output_stream(inner, compression=None) as f:
-            head = header_bytes(self.references, self.text)
-            for a in range(0, len(head), BLOCK):
-                f.write(block(head[a : a + BLOCK]))
-            held: list[bytes] = []
-            size = 0
-            for row in iterator:
-                raw = encode(row, ids)
-                if held and size + len(raw) > BLOCK:
-                    f.write(block(b"".join(held)))
-                    held, size = [], 0
-                while len(raw) > BLOCK:
-                    f.write(block(raw[:BLOCK]))
-                    raw = raw[BLOCK:]
-                held.append(raw)
-                size += len(raw)
-            if held:
-                f.write(block(b"".join(held)))
-            f.write(END_BLOCK)
-        return Written(part, path)
-
-    def commit(self, messages) -> None:
-        from pyarrow import fs
-
-        system, folder = open_path(self.path)
-        system.create_dir(folder, recursive=True)
-        old = [x.path for x in system.get_file_info(fs.FileSelector(folder)) if x.base_name.startswith("part-")]
-        if old and not self.overwrite:
-            first = 1 + max(int(p.rpartition("/")[2][5:10]) for p in old)
-        else:
-            first = 0
-            for p in old:
-                system.delete_file(p)
-        for m in sorted((m for m in messages if m is not None), key=lambda m: m.part):
-            system.move(open_path(m.path)[1], f"{folder}/part-{first + m.part:05d}.bam")
-        system.delete_dir(open_path(self.attempts)[1])
-
-    def abort(self, messages) -> None:
-        system, inner = open_path(self.attempts)
-        import contextlib
-
-        with contextlib.suppress(FileNotFoundError):
-            system.delete_dir(inner)
+        for row in rows:
+            out.put(encode(row, ids), whole=True)
+        out.close()
 
 
 def write_bam(alignments: DataFrame, path: str, references: DataFrame | list[tuple[str, int]], text: str = "", overwrite: bool = False) -> None:

@@ -8,6 +8,7 @@ import pytest
 from helixgrid.sources import alignments as A
 from helixgrid.sources import bam as B
 from helixgrid.sources import containers as C
+from helixgrid.sources.parts import END_BLOCK, block
 
 REFS = [("chr1", 100_000), ("chr2", 5_000), ("chrM", 90)]
 SCHEMA = "name string, flags int, chrom string, pos long, mapq int, cigar string, seq string, qual string, md string, barcode string, raw_barcode string, umi string, mate_chrom string"
@@ -61,7 +62,7 @@ def test_every_split(tmp_path, monkeypatch):
 
     data = [dict(zip(COLUMNS, r, strict=True)) for r in rows(40, 3)]
     raw = B.header_bytes(REFS) + b"".join(B.encode(Row(r), {n: i for i, (n, _) in enumerate(REFS)}) for r in data)
-    packed = b"".join(B.block(raw[a : a + 97]) for a in range(0, len(raw), 97)) + B.END_BLOCK
+    packed = b"".join(block(raw[a : a + 97]) for a in range(0, len(raw), 97)) + END_BLOCK
     (tmp_path / "x.bam").write_bytes(packed)
     path = str(tmp_path / "x.bam")
     _, refs, header = B.read_header(path)
@@ -101,6 +102,6 @@ def test_empty_broken_and_repeated_writes(spark, tmp_path):
     part.write_bytes(part.read_bytes()[:-60])
     with pytest.raises(Exception, match="ends within"):
         B.read_bam(spark, str(part)).collect()
-    (tmp_path / "no.bam").write_bytes(B.block(b"something else entirely"))
+    (tmp_path / "no.bam").write_bytes(block(b"something else entirely"))
     with pytest.raises(ValueError, match="no BAM"):
         B.read_bam(spark, str(tmp_path / "no.bam"))
