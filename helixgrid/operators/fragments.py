@@ -76,11 +76,23 @@ def unique_fragments(reads: DataFrame, shift_left: int = 0, shift_right: int = 0
     empty go. One shuffle, after partial aggregation, on barcode and fingerprint: a cell with very many reads is spread
     by its fragments.
     """
-    keys = ["barcode", "chrom", "left_5p", "right_5p", "orientation", *([umi] if umi else [])]
+    return shifted_fragments(fingerprint_groups(reads, umi, name), shift_left, shift_right, keep)
+
+
+def fingerprint_keys(umi: str | None = None) -> list[str]:
+    return ["barcode", "chrom", "left_5p", "right_5p", "orientation", *([umi] if umi else [])]
+
+
+def fingerprint_groups(reads: DataFrame, umi: str | None = None, name: str = "name") -> DataFrame:
+    """A row for each fingerprint: count, and f, the smallest (frag_start, frag_end, name, strand). Reads may be a stream."""
     first = F.min(F.struct("frag_start", "frag_end", F.col(name).alias("name"), "strand"))
-    found = reads.where(F.col("barcode").isNotNull()).groupBy(*keys).agg(F.count("*").alias("count"), first.alias("f"))
+    return reads.where(F.col("barcode").isNotNull()).groupBy(*fingerprint_keys(umi)).agg(F.count("*").alias("count"), first.alias("f"))
+
+
+def shifted_fragments(groups: DataFrame, shift_left: int, shift_right: int, keep: list[str] = ()) -> DataFrame:
+    """The fragments of fingerprints; see unique_fragments."""
     moved = lambda c, by: F.when(F.col("f.strand").isNull(), F.greatest(F.col(c) + by, F.lit(0))).otherwise(F.col(c)).cast("long")
-    out = found.select("chrom", moved("f.frag_start", shift_left).alias("start"), moved("f.frag_end", shift_right).alias("end"), "barcode", "count", F.col("f.strand").alias("strand"), *keep)
+    out = groups.select("chrom", moved("f.frag_start", shift_left).alias("start"), moved("f.frag_end", shift_right).alias("end"), "barcode", "count", F.col("f.strand").alias("strand"), *keep)
     return out.where(F.col("end") > F.col("start"))
 
 
