@@ -92,7 +92,7 @@ def resolve_single(reads: DataFrame, hits: DataFrame) -> DataFrame:
     has several alignments or no good antisense hit; else antisense. A read's hits are as many as its alignments meet
     transcripts.
     """
-    n = reads.groupBy("read_id").agg(F.countDistinct("aln_idx").alias("n_aln"))
+    n = reads.groupBy("read_id").agg((F.min("aln_idx") < F.max("aln_idx")).alias("several"))
     good = ~F.col("antisense") & (F.col("align_type") != DISCORDANT)
     sums = hits.groupBy("read_id").agg(
         F.count_if(good).alias("n_good"),
@@ -105,7 +105,7 @@ def resolve_single(reads: DataFrame, hits: DataFrame) -> DataFrame:
     met = n.join(sums, "read_id", "left")
     kind = (
         F.when(F.col("n_good").isNull(), "intergenic")
-        .when(F.col("n_good") == 0, F.when((F.col("n_aln") > 1) | ~F.col("anti"), "discordant").otherwise("antisense"))
+        .when(F.col("n_good") == 0, F.when(F.col("several") | ~F.col("anti"), "discordant").otherwise("antisense"))
         .when(F.col("g0") != F.col("g1"), "multimapped")
         .otherwise("aligned")
     )
