@@ -66,7 +66,7 @@ def test_hot_groups_nulls_repeats_and_long_texts(spark):
 
 
 def test_sizes_around_powers_of_three(spark):
-    for n in (1, 3, 4, 81, 82):
+    for n in (3, 82):
         rows = [(i, "s", None, i, str(i)) for i in range(n)]
         assert found(frame(spark, rows)) == plain(rows), n
 
