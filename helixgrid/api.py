@@ -18,7 +18,7 @@ from .operators import snv as V
 from .operators import transcriptome as T
 from .operators.aligner import Aligner, align_reads
 from .operators.storage import materialized
-from .plans.layout import Assay, FileRef
+from .plans.layout import Assay, FileRef, LayoutError
 from .sources import alignments as A
 from .sources import fastq as FQ
 
@@ -125,12 +125,23 @@ def annotated_reads(spark: SparkSession, assay: Assay, modality: str | None = No
     return out, metrics
 
 
-def update_read(spark: SparkSession, assay: Assay, read_id: str, fastqs: list[str] | None = None, infer: bool = True, **edits) -> list[str]:
+def update_read(spark: SparkSession, assay: Assay, read_id: str, fastqs: list[str] | None = None, infer: bool = True, verify: bool = True, **edits) -> list[str]:
     """Adds or changes a read of a layout, as Assay.update_read. Bounds of its length that are not given are those of the
-    first records of its files, which are also looked at where only bounds are to be brought up to date."""
-    files = fastqs if fastqs is not None else (assay.reads[read_id].fastqs() if read_id in assay.reads else [])
-    lengths = M.infer_lengths(FQ.read_fastq(spark, files), sample=SAMPLE) if infer and files else None
-    return assay.update_read(read_id, fastqs=fastqs, lengths=lengths, **edits)
+    first records of its files, which are also looked at where only bounds are to be brought up to date. With `verify` a read
+    whose primer the library lacks is refused, and the layout stays as it was; the first records of its files are held
+    against the read's segments and lists, and a share below one half gives a warning."""
+    old = assay.reads.get(read_id)
+    files = fastqs if fastqs is not None else (old.fastqs() if old else [])
+    table = FQ.read_fastq(spark, files) if files and (infer or verify) else None
+    found = assay.update_read(read_id, fastqs=fastqs, lengths=M.infer_lengths(table, sample=SAMPLE) if infer and files else None, **edits)
+    read = assay.reads[read_id]
+    if verify and assay.region(read.primer_id) is None:
+        assay.reads = {k: (old if k == read_id else r) for k, r in assay.reads.items() if k != read_id or old}
+        raise LayoutError(f"the library has no region {read.primer_id}, at which {read_id} would begin")
+    layout = assay.segments(read_id) if verify and files else []
+    if layout:
+        _warn_of_layout(spark, read_id, table.select("rec_idx", "seq", "qual"), layout, assay.onlists(read.modality), read.reverse)
+    return found
 
 
 def make_fastq(spark: SparkSession, assay: Assay, out_dir: str, modality: str | None = None, correct_barcode: bool = False) -> dict[str, DataFrame]:

@@ -1,12 +1,13 @@
 """Whole small runs, from files to tables, and streams."""
 
 import random
+import warnings
 
 import pytest
 
 from helixgrid.api import align, annotated_reads, make_fastq, metrics_dict, update_read
 from helixgrid.operators.fragments import fragment_line
-from helixgrid.plans.layout import Assay
+from helixgrid.plans.layout import Assay, LayoutError
 from helixgrid.sources.alignments import write_counts
 from helixgrid.sources.fastq import read_fastq
 from helixgrid.streaming.running import fragment_qc_to, running_histogram
@@ -131,6 +132,23 @@ def test_update_read_infers_lengths(spark, run):
     assert (assay.reads["R2"].min_len, assay.reads["R2"].max_len) == (15, 20)
 
 
+def test_update_read_is_verified(spark, run, tmp_path):
+    """An unknown primer is refused and nothing changes; files that do not fit the lists give a warning; those that fit none."""
+    d, _ = run
+    assay = Assay.load(str(d / "l.yaml"))
+    before = dict(assay.reads)
+    for name in ("R1", "R9"):
+        with pytest.raises(LayoutError):
+            update_read(spark, assay, name, [str(d / "r1.fastq")], modality="rna", primer_id="nowhere", is_reverse=False)
+    assert assay.reads == before and list(assay.reads) == ["R1", "R2"]
+    (tmp_path / "odd.fastq").write_text("".join(f"@x{i}\n{'TCTCTCTCACGT'}\n+\n{'F' * 12}\n" for i in range(9)))
+    with pytest.warns(UserWarning, match="R1: only 0% .* list of bc"):
+        update_read(spark, assay, "R1", [str(tmp_path / "odd.fastq")])
+    with warnings.catch_warnings():
+        warnings.simplefilter("error", UserWarning)
+        update_read(spark, assay, "R1", [str(d / "r1.fastq")])
+
+
 def test_layout_warning(spark, run, tmp_path):
     d, genome = run
     (tmp_path / "l.yaml").write_text(LAYOUT.replace("r1.fastq", str(d / "r1.fastq")).replace("r2.fastq", str(d / "r2.fastq")))
