@@ -16,19 +16,20 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .batches import RowCache, small_batches, text_groups, tool, written
+from .long_words import Stretches, expected, log_sums
 from .vocab import default_path, is_latin
 
 WORD = re.compile(r"[^\W\d_]+")
 #: The same within Latin-1, written out.
 LATIN_WORD = re.compile(r"[a-zª²³µ¹º¼-¾ß-öø-ÿ]+")
-#: Words of more characters go through the forward algorithm one by one, rescaled as they go.
+#: Words of more characters are summed in stretches, scaled from one to the next.
 TOGETHER_CHARS = 32
 #: Distinct words that the expectation step handles side by side.
 WORDS_TOGETHER = 50_000
 #: The score counts evidence of so many characters at most, so that long texts are not always certain.
 SCORE_CHARS = 60
-#: Languages that may be learned, as a table of pieces by languages is sent to every task.
-MOST_LANGUAGES = 500
+#: Languages of a model: a table of pieces by languages is sent to every task. More of them are models one after the other.
+LANGUAGES_TOGETHER = 500
 UNDETERMINED = "und"
 
 
@@ -131,21 +132,22 @@ class Lattice:
                 by.setdefault(len(w), []).append(i)
         return by, long
 
-    def one(self, word: str) -> list[list[tuple[int, int]]]:
-        """For each end of a long word, (start, piece)."""
-        w, n, get = "▁" + word, len(word), self.index.get
-        out = []
-        for j in range(1, n + 1):
-            here = []
-            for i in range(max(0, j - self.longest), j):
-                p = get(w[:j + 1] if i == 0 else w[i + 1 : j + 1], -1)
-                if p < 0 and i == j - 1:
-                    p = 0
-                if p >= 0:
-                    here.append((i, p))
-            out.append(here)
+    def places(self, chars: np.ndarray, first: np.ndarray) -> np.ndarray:
+        """(places, lengths) for a run of characters of words without their marks; `first`: where a word begins. Lengths count
+        characters, so that pieces of the longest length with a mark end in the column before the last."""
+        n = len(chars)
+        out = np.full((n, self.longest), -1, np.int32)
+        h = np.zeros(n, np.uint64)
+        h[first] = _extend(h[first], np.array([ord("▁")]))
+        for k in range(min(self.longest, n)):
+            h = _extend(h[: n - k], chars[k:])
+            out[: n - k, k] = self.table.find(h)
+        out[:, 0][out[:, 0] < 0] = 0
         return out
 
+    def stretches(self, words: list[str]) -> Stretches:
+        return Stretches(words, self.longest, self.places)
+
 
 def forward(lattice: np.ndarray, prob: np.ndarray) -> np.ndarray:
     """Sums over all segmentations up to each place: (places, words, columns). `prob`: pieces by columns."""
@@ -175,19 +177,11 @@ class Scorer:
                 part = at[s : s + step]
                 last = forward(self.lattice.build(["▁" + words[i] for i in part]), self.prob)[-1]
                 out[part] = np.log(np.maximum(last, 1e-300))
-        for i in long:
-            out[i] = self.score_long(words[i])
+        if long:
+            table = np.vstack([self.prob, np.ones((1, self.prob.shape[1])), np.zeros((1, self.prob.shape[1]))])
+            out[long] = log_sums(self.lattice.stretches([words[i] for i in long]), lambda piece, word: table[piece], self.prob.shape[1])
         return out
 
-    def score_long(self, word: str) -> np.ndarray:
-        logs: list[np.ndarray] = [np.zeros(self.prob.shape[1])]
-        table = np.log(self.prob)
-        for here in self.lattice.one(word):
-            x = np.stack([logs[i] + table[p] for i, p in here])
-            top = x.max(axis=0)
-            logs.append(top + np.log(np.exp(x - top).sum(axis=0)))
-        return logs[-1]
-
     def texts(self, texts: list[str | None]) -> tuple[list[np.ndarray | None], list[int]]:
         """Log-probabilities of texts by language (None: no letter) and their numbers of letters."""
         lists = [words_of(t) for t in texts]
@@ -235,6 +229,7 @@ def expected_counts(counts: DataFrame, path: str, prob: np.ndarray) -> np.ndarra
 
     def run(batches):
         lattice, p = Lattice(path), model.value
+        table = np.vstack([p, np.ones((1, p.shape[1])), np.zeros((1, p.shape[1]))])
         total = np.zeros(p.shape)
 
         def add(words: list[str], lang: np.ndarray, n: np.ndarray) -> None:
@@ -244,8 +239,10 @@ def expected_counts(counts: DataFrame, path: str, prob: np.ndarray) -> np.ndarra
                 for s in range(0, len(at), step):
                     part = at[s : s + step]
                     _expect(lattice.build(["▁" + words[i] for i in part]), p, lang[part], n[part], total)
-            for i in long:
-                _expect_long(lattice.one(words[i]), p[:, lang[i]], n[i], total[:, lang[i]])
+            if long:
+                mine = lang[long]
+                for piece, word, worth in expected(lattice.stretches([words[i] for i in long]), lambda k, w: table[k, mine[w]][:, None], n[long]):
+                    np.add.at(total, (piece, mine[word]), worth)
 
         words, lang, n = [], [], []
         for batch in batches:
@@ -290,20 +287,6 @@ def _expect(m: np.ndarray, p: np.ndarray, lang: np.ndarray, n: np.ndarray, total
     total += np.bincount(np.concatenate(at), np.concatenate(worth), total.size).reshape(total.shape)
 
 
-def _expect_long(ends: list[list[tuple[int, int]]], p: np.ndarray, n: float, total: np.ndarray) -> None:
-    table, length = np.log(p), len(ends)
-    a, b = np.full(length + 1, -np.inf), np.full(length + 1, -np.inf)
-    a[0] = b[length] = 0.0
-    for j, here in enumerate(ends, 1):
-        a[j] = np.logaddexp.reduce([a[i] + table[k] for i, k in here])
-    for j in range(length, 0, -1):
-        for i, k in ends[j - 1]:
-            b[i] = np.logaddexp(b[i], b[j] + table[k])
-    for j, here in enumerate(ends, 1):
-        for i, k in here:
-            total[k] += n * np.exp(a[i] + table[k] + b[j] - a[length])
-
-
 def fit(counts: DataFrame, languages: int, path: str, rounds: int = 2, extra: float = 0.5) -> np.ndarray:
     """Piece probabilities (pieces by languages) after some rounds of expectation maximisation from equal ones; `extra`
     is added to every expected count."""
@@ -326,40 +309,57 @@ def language_id(docs: DataFrame, taught: DataFrame | None = None, id_col: str =
     `held_out` (None: all rows); rows without an id are not learned from. lang_pred is a learned language, or "und" with
     score 0 where the text is null or has no letter, or nothing could be learned; ties go to the first language by name.
     score is the posterior share of that language on at most SCORE_CHARS characters' evidence. Repeated rows stay as
-    often as they stand; other columns, whatever their names, are not read. An empty table gives an empty result.
+    often as they stand; other columns, whatever their names, are not read. An empty table gives an empty result. Any
+    number of languages may be learned, LANGUAGES_TOGETHER in one model; their names come to the driver. A text of any
+    length is scored whole, and a word of any length in stretches side by side.
     """
-    spark = docs.sparkSession
-    small_batches(spark)
+    small_batches(docs.sparkSession)
     path = path or default_path("piece_bpe_32k.model")
     ident = F.col(id_col).cast("long")
     source = (docs if taught is None else taught).select(ident.alias("id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang")).where("lang is not null and id is not null")
     if held_out is not None:
         source = source.where(_crc(F.col("id")) % 5 != held_out)
-    names = sorted(r[0] for r in source.select("lang").distinct().limit(MOST_LANGUAGES + 1).collect())
-    if len(names) > MOST_LANGUAGES:
-        raise ValueError(f"more than {MOST_LANGUAGES} languages to learn")
+    names = sorted(r[0] for r in source.select("lang").distinct().collect())
     out = F.lit(False) if held_out is None else F.coalesce(_crc(F.col("id")) % 5 == held_out, F.lit(False))
     read = docs.select(ident.alias("id"), F.col(text_col).cast("string").alias("text"))
     if not names:
         return read.select(F.col("id").alias(id_col), out.alias("held_out"), F.lit(UNDETERMINED).alias("lang_pred"), F.lit(0.0).alias("score"))
+    scored = read.select("id", "text", F.lit(UNDETERMINED).alias("lang_pred"), F.lit(None).cast("double").alias("log"), F.lit(0.0).alias("rest"))
+    for i in range(0, len(names), LANGUAGES_TOGETHER):
+        scored = _scored(scored, source, names[i : i + LANGUAGES_TOGETHER], path, i + LANGUAGES_TOGETHER < len(names))
+    score = F.when(F.col("log").isNull(), F.lit(0.0)).otherwise(1 / F.col("rest"))
+    return scored.select(F.col("id").alias(id_col), out.alias("held_out"), "lang_pred", score.alias("score"))
+
+
+def _scored(docs: DataFrame, source: DataFrame, names: list[str], path: str, more: bool) -> DataFrame:
+    """`docs` (id, text, lang_pred, log, rest) after the languages `names`: the best language so far, its log-probability, and
+    the sum of all languages' shares relative to it; without the text unless there are `more` languages to come. A language's pieces are learned from its own texts alone, so that a
+    model of some languages is the same whatever others there are."""
+    spark = docs.sparkSession
     number = F.element_at(F.create_map(*(F.lit(x) for i, k in enumerate(names) for x in (k, i))), F.col("lang"))
-    counts = written(word_counts(source.select(number.cast("int").alias("lang"), "text")), "words")
-    prob = fit(counts, len(names), path)
+    taught = source.where(F.col("lang").isin(names)).select(number.cast("int").alias("lang"), "text")
+    prob = fit(written(word_counts(taught), "words"), len(names), path)
     model = spark.sparkContext.broadcast(prob)
     key = f"{id(model)}-{float(prob[:, 0] @ np.arange(len(prob)))}"
+    kept = ["id", "text"] if more else ["id"]
 
     def run(batches):
         scorer = _scorer(path, key, model)
         for part, found in text_groups(batches):
-            langs, scores = [], []
-            for x, n in zip(*scorer.texts(found), strict=True):
-                if x is None:
-                    langs.append(UNDETERMINED)
-                    scores.append(0.0)
-                    continue
-                best = int(np.argmax(x))
-                langs.append(names[best])
-                scores.append(float(1 / np.exp((x - x[best]) * min(1.0, SCORE_CHARS / n)).sum()))
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(langs), pa.array(scores, pa.float64())], ["id", "lang_pred", "score"])
-
-    return read.mapInArrow(run, "id long, lang_pred string, score double").select(F.col("id").alias(id_col), out.alias("held_out"), "lang_pred", "score")
+            before = [part.column(c).to_pylist() for c in ("lang_pred", "log", "rest")]
+            langs, logs, rests = [], [], []
+            for x, n, lang, log, rest in zip(*scorer.texts(found), *before, strict=True):
+                if x is not None:
+                    share = min(1.0, SCORE_CHARS / n)
+                    best = int(np.argmax(x))
+                    if log is None or x[best] > log:
+                        rest = rest * float(np.exp((log - x[best]) * share)) if log is not None else 0.0
+                        lang, log = names[best], float(x[best])
+                    rest += float(np.exp((x - log) * share).sum())
+                langs.append(lang)
+                logs.append(log)
+                rests.append(rest)
+            found = [pa.array(langs, pa.string()), pa.array(logs, pa.float64()), pa.array(rests, pa.float64())]
+            yield pa.RecordBatch.from_arrays([*map(part.column, kept), *found], [*kept, "lang_pred", "log", "rest"])
+
+    return docs.mapInArrow(run, docs.select(*kept, "lang_pred", "log", "rest").schema)

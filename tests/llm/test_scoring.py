@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from helixgrid.llm import ann, language, licenses, quality, toxicity
+from helixgrid.llm import ann, language, licenses, long_words, quality, toxicity
 from helixgrid.llm.vocab import default_path
 
 # --- licenses
@@ -162,6 +162,10 @@ def test_forward_sums_all_segmentations():
     prob = rng.random((len(index) + 1, 3))
     prob /= prob.sum(axis=0)
     scorer = language.Scorer(path, prob)
+    table = np.vstack([prob, np.ones((1, 3)), np.zeros((1, 3))])
+
+    def in_stretches(found):
+        return long_words.log_sums(scorer.lattice.stretches(found), lambda piece, _: table[piece], 3)
 
     def plain(w):
         s = "▁" + w
@@ -179,11 +183,12 @@ def test_forward_sums_all_segmentations():
         return np.log(go(0))
 
     for w in ["the", "onelésse", "x", "ththtion", "ñŋß", "中文字"]:
-        assert np.allclose(scorer.score([w])[0], plain(w)) and np.allclose(scorer.score_long(w), plain(w))
+        assert np.allclose(scorer.score([w])[0], plain(w)) and np.allclose(in_stretches([w])[0], plain(w))
     one, two = np.zeros(prob.shape), np.zeros(prob.shape)
     for w in ("theoldone", "überlong"):
         language._expect(scorer.lattice.build(["▁" + w]), prob, np.array([1]), np.array([2.0]), one)
-        language._expect_long(scorer.lattice.one(w), prob[:, 1], 2.0, two[:, 1])
+        for piece, _, worth in long_words.expected(scorer.lattice.stretches([w]), lambda k, _: table[k, 1][:, None], np.array([2.0])):
+            np.add.at(two[:, 1], piece, worth)
     assert np.allclose(one, two)
 
 
