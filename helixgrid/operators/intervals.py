@@ -21,43 +21,45 @@ def _levels(bin_size: int) -> list[int]:
     return sizes
 
 
-def _own_level(start: str, end: str, sizes: list[int]) -> Column:
-    """Number of the smallest bin that holds an interval; one behind them all where none does."""
+def _level(length: Column, sizes: list[int]) -> Column:
+    """Number of the smallest bins that are as long as an interval; one behind them all where none is."""
     out = F.lit(len(sizes))
     for k in range(len(sizes) - 1, -1, -1):
-        out = F.when(F.floor(F.col(start) / sizes[k]) == F.floor((F.col(end) - 1) / sizes[k]), k).otherwise(out)
+        out = F.when(length <= sizes[k], k).otherwise(out)
     return out
 
 
-def _tagged(bins: Column, level: int) -> Column:
-    return F.transform(bins, lambda b: F.struct(F.lit(level).alias("level"), b.alias("bin")))
-
-
 def overlap_join(left: DataFrame, right: DataFrame, bin_size: int, contained: bool = False) -> DataFrame:
     """Pairs of rows whose intervals overlap (or, with `contained`, of which the left one lies within the right one).
 
     `left` has chrom, start, end and `right` has chrom, start, end; the columns of `right` come back with the prefix
-    "f_". Every interval of `right` is one row, in the smallest bin that holds it, of bins of `bin_size` and of FANOUT times
-    that, and so on: one as long as a chromosome costs no more than a short one. The rows of `left` visit the bins that they
-    touch, at the levels that `right` has intervals at (with `contained`, at those at which one bin holds them, as a bin that
-    holds `right` holds them too), and a pair meets in one bin alone. Empty intervals meet nothing. `right` is read once more,
-    for its levels.
+    "f_". Every interval of `right` is one row, in the bin of its start, of the smallest bins that are as long as it is, of
+    `bin_size` and of FANOUT times that, and so on: one as long as a chromosome costs no more than a short one. It ends in
+    its own bin or the next one, so the rows of `left` visit, at the levels that `right` has intervals at, the bins that they
+    touch and the one before these (with `contained` that of their start and the one before it, where such bins are as long
+    as they are), and a pair meets in one bin alone. Empty intervals meet nothing. `right` is read once more, for its levels.
     """
     sizes = _levels(bin_size)
-    renamed = right.select(*(F.col(c).alias(f"f_{c}") for c in right.columns)).where("f_end > f_start").withColumn("_flevel", _own_level("f_start", "f_end", sizes))
-    size_of = F.coalesce(*[F.when(F.col("_flevel") == k, F.lit(z)) for k, z in enumerate(sizes)])
-    indexed = renamed.withColumn("_fbin", F.coalesce(F.floor(F.col("f_start") / size_of), F.lit(0).cast("long")))
+    # A bin's number and its level in one key.
+    key = lambda bins, k: bins * (len(sizes) + 1) + k
+    renamed = right.select(*(F.col(c).alias(f"f_{c}") for c in right.columns)).where("f_end > f_start").withColumn("_flevel", _level(F.col("f_end") - F.col("f_start"), sizes))
+    own = F.coalesce(*[F.when(F.col("_flevel") == k, key(F.floor(F.col("f_start") / z), k)) for k, z in enumerate(sizes)], F.lit(len(sizes)).cast("long"))
+    indexed = renamed.withColumn("_fbin", own)
     # At most as many rows as there are levels.
     levels = sorted(r[0] for r in renamed.select("_flevel").distinct().collect())
     touched = []
     for k in levels:
-        bins = F.array(F.lit(0).cast("long")) if k == len(sizes) else F.sequence(F.floor(F.col("start") / sizes[k]), F.floor((F.col("end") - 1) / sizes[k]))
-        if contained and k < len(sizes):
-            bins = F.when(F.size(bins) == 1, bins).otherwise(F.array().cast("array<bigint>"))
-        touched.append(_tagged(bins, k))
-    none = F.array().cast("array<struct<level:int,bin:bigint>>")
-    probes = left.where("end > start").withColumn("_at", F.explode(F.concat(*touched) if touched else none))
-    met = probes.join(indexed, (F.col("chrom") == F.col("f_chrom")) & (F.col("_at.level") == F.col("_flevel")) & (F.col("_at.bin") == F.col("_fbin")))
+        if k == len(sizes):
+            touched.append(F.array(F.lit(k).cast("long")))
+            continue
+        low, high = (F.floor(F.col(c) / sizes[k]) for c in ("start", "start" if contained else "_last"))
+        bins = F.sequence(key(low - 1, k), key(high, k), F.lit(len(sizes) + 1).cast("long"))
+        if contained and k:
+            bins = F.when(F.col("_last") - F.col("start") < sizes[k], bins).otherwise(F.array().cast("array<bigint>"))
+        touched.append(bins)
+    at = F.concat(*touched) if touched else F.array().cast("array<bigint>")
+    probes = left.where("end > start").withColumn("_last", F.col("end") - 1).withColumn("_at", F.explode(at)).drop("_last")
+    met = probes.join(indexed, (F.col("chrom") == F.col("f_chrom")) & (F.col("_at") == F.col("_fbin")))
     inside = (F.col("f_start") <= F.col("start")) & (F.col("end") <= F.col("f_end")) if contained else (F.col("start") < F.col("f_end")) & (F.col("f_start") < F.col("end"))
     return met.where(inside).drop("_at", "_flevel", "_fbin")
 

@@ -94,12 +94,19 @@ def resolve_single(reads: DataFrame, hits: DataFrame) -> DataFrame:
     """
     n = reads.groupBy("read_id").agg((F.min("aln_idx") < F.max("aln_idx")).alias("several"))
     good = ~F.col("antisense") & (F.col("align_type") != DISCORDANT)
+    # Smallest of twice an alignment's number, and one more where `holds`: its last bit tells of a read's first alignment
+    # with a good hit whether all of its hits hold.
+    all_of_first = lambda holds: F.min(F.when(good, F.col("aln_idx").cast("long") * 2 + holds.cast("long"))) % 2 == 1
+    kind_is = lambda k: F.col("align_type") == k
     sums = hits.groupBy("read_id").agg(
         F.count_if(good).alias("n_good"),
         F.min(F.when(good, F.col("gene_id"))).alias("g0"),
         F.max(F.when(good, F.col("gene_id"))).alias("g1"),
         F.bool_or(F.col("antisense") & (F.col("align_type") != DISCORDANT)).alias("anti"),
         F.min(F.when(good, F.col("aln_idx"))).alias("first"),
+        all_of_first(kind_is(EXONIC)).alias("ex"),
+        all_of_first(kind_is(INTRONIC)).alias("it"),
+        (all_of_first(~kind_is(EXONIC)) & ~all_of_first(~kind_is(SPANNING))).alias("sp"),
         F.collect_list(F.when(good, F.struct("aln_idx", "transcript_id", "align_type"))).alias("all"),
     )
     met = n.join(sums, "read_id", "left")
@@ -111,9 +118,12 @@ def resolve_single(reads: DataFrame, hits: DataFrame) -> DataFrame:
     )
     of_first = F.array_sort(F.transform(F.filter("all", lambda x: x["aln_idx"] == F.col("first")), lambda x: F.struct(x["transcript_id"].alias("transcript_id"), x["align_type"].alias("align_type"))))
     empty = F.array().cast("array<struct<transcript_id:string,align_type:string>>")
-    out = met.select("read_id", kind.alias("kind"), F.col("g0").alias("g0"), of_first.alias("x"))
-    aligned = F.col("kind") == "aligned"
-    return _flags(out.select("read_id", "kind", F.when(aligned, F.col("g0")).alias("gene_id"), F.when(aligned, F.col("x")).otherwise(empty).alias("hits")))
+    aligned = kind == "aligned"
+    flag = lambda c: F.coalesce(aligned & F.col(c), F.lit(False))
+    return met.select(
+        "read_id", kind.alias("kind"), F.when(aligned, F.col("g0")).alias("gene_id"), F.when(aligned, of_first).otherwise(empty).alias("hits"),
+        flag("ex").alias("exonic_only"), flag("it").alias("intronic_only"), flag("sp").alias("spanning"),
+    )
 
 
 def combine_mates(a: Column, b: Column) -> Column:
