@@ -24,6 +24,8 @@ SKETCH_ROWS, SKETCH_ASKS = 1024, 4096
 SET_ROWS, SET_ASKS = 1 << 18, 1 << 20
 #: Nodes up to so many are sent to the texts; beyond that the texts are joined by shuffle.
 BROADCAST_NODES = 1_000_000
+#: Places (a power of two) of the table that estimates how frequent shingles are. It has this size for any number of rows.
+PLACES = 1 << 20
 
 
 class Shingler:
@@ -231,6 +233,72 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long").distinct()
 
 
+def prefix_lengths(n: int, percent: int) -> tuple[int, int]:
+    """How many of the first shingles, in an order that all sets share, a set of `n` needs so that it has one in common with
+    every set it is linked with: (against sets that are as large or larger, against sets that are as large or smaller).
+
+    Of two linked sets the smaller one, of size n, shares at least 2 * percent * n / (100 + percent) shingles, and the larger
+    one, of size n, at least percent * n / 100. Where o shingles are shared, the first n - o + 1 of both sets share one.
+    """
+    return n + 1 - -(-2 * percent * n // (100 + percent)), n + 1 - -(-percent * n // 100)
+
+
+def shingle_counts(sets: DataFrame) -> np.ndarray:
+    """Upper bounds of the number of sets that hold a shingle, by the place of its hash in a table of PLACES."""
+
+    def run(batches):
+        table = np.zeros(PLACES, np.int64)
+        for batch in batches:
+            for x in batch.column(0).to_pylist():
+                np.add.at(table, (np.frombuffer(x, np.uint64) % np.uint64(PLACES)).view(np.int64), 1)
+        at = np.flatnonzero(table)
+        for i in range(0, len(at), 50_000):
+            yield pa.RecordBatch.from_arrays([pa.array(at[i : i + 50_000]), pa.array(table[at[i : i + 50_000]])], ["place", "c"])
+
+    found = sets.select("set").mapInArrow(run, "place long, c long").groupBy("place").agg(F.sum("c").alias("c")).toArrow()
+    out = np.zeros(PLACES, np.int64)
+    out[found["place"].to_numpy()] = found["c"].to_numpy()
+    return out
+
+
+def prefixes(sets: DataFrame, percent: int) -> DataFrame:
+    """(token, node, n, leads): the first shingles of each set (node, set), the rarest first. leads: whether the set may meet
+    sets that are as large or larger there. Shingles that no other set can hold are left out."""
+    counts = sets.sparkSession.sparkContext.broadcast(shingle_counts(sets))
+
+    def run(batches):
+        often = counts.value
+        for batch in batches:
+            out: list[tuple[np.ndarray, ...]] = []
+            for node, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                found = np.frombuffer(x, np.uint64)
+                lead, most = prefix_lengths(len(found), percent)
+                c = often[(found % np.uint64(PLACES)).view(np.int64)]
+                first = np.lexsort((found, c))[:most]
+                leads = np.arange(len(first)) < lead
+                on = c[first] > 1
+                first, leads = first[on], leads[on]
+                out.append((found[first].view(np.int64), np.full(len(first), node), np.full(len(first), len(found)), leads))
+            if out:
+                columns = [np.concatenate(c) for c in zip(*out, strict=True)]
+                for i in range(0, len(columns[0]), 50_000):
+                    yield pa.RecordBatch.from_arrays([pa.array(c[i : i + 50_000]) for c in columns], ["token", "node", "n", "leads"])
+
+    return sets.select("node", "set").mapInArrow(run, "token long, node long, n long, leads boolean")
+
+
+def sharing(sets: DataFrame, percent: int) -> DataFrame:
+    """(key, node, n): groups of nodes that share one of their first shingles, one of them leading there. Linked sets of
+    different nodes meet in one group at least; groups of equal members are one."""
+    rows = written(prefixes(sets, percent), "prefixes")
+    mark = F.xxhash64("node", "n")
+    halves = [F.sum(F.shiftrightunsigned(mark, 32)).alias("s1"), F.sum(mark.bitwiseAND(F.lit(0xFFFFFFFF))).alias("s2")]
+    ends = [F.min("node").alias("lo"), F.max("node").alias("hi"), F.max("leads").alias("leads"), F.count("*").alias("c")]
+    groups = rows.groupBy("token").agg(*ends, *halves).where("lo < hi and leads")
+    groups = groups.groupBy("lo", "hi", "c", "s1", "s2").agg(F.min("token").alias("token"))
+    return rows.join(groups.select("token"), "token").groupBy(F.col("token").alias("key"), "node").agg(F.max("n").alias("n"))
+
+
 def _meeting(percent: int):
     """Rows of a group that may be linked with a row of another component on the other side, told by their sketches."""
 
@@ -293,19 +361,22 @@ def _linking(percent: int):
 def missing_links(met: DataFrame, classes: DataFrame, parts: DataFrame, sets, percent: int) -> DataFrame:
     """Links that connect all components whose nodes share a bucket and are linked.
 
-    In each bucket that holds more than one component, the rows outside of its largest component (they ask) are compared
-    with all of its rows: first by sketch, which leaves the rows that may have a link, then by the full sets of these
-    (`sets` gives them for a table of nodes). Both times rows meet in groups of bounded size, however large a bucket is, and
-    a group gives back fewer rows than it has.
+    The nodes of buckets that hold more than one component meet by prefix: their shingles are put into one order, the rarest
+    first, and linked sets share one of their first shingles (`sharing`), so that nodes which have only frequent shingles in
+    common do not meet. In each such group that holds more than one component, the rows outside of its largest component
+    (they ask) are compared with all of its rows: first by sketch, which leaves the rows that may have a link, then by the
+    full sets of these (`sets` gives them for a table of nodes). Both times rows meet in groups of bounded size, however
+    many share a shingle, and a group gives back fewer rows than it has.
     """
-    named = met.select("key", "node").join(parts, "node", "left").select("key", "node", F.coalesce("component", "node").alias("comp"))
-    work = written(_split(named.join(classes.select("node", "n").distinct(), "node")), "unresolved")
+    named = written(classes.select("node").distinct().join(parts, "node", "left").select("node", F.coalesce("component", "node").alias("comp")), "components")
+    open_ = met.select("key", "node").join(named, "node").groupBy("key").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).where("a < b")
+    held = sets(met.select("key", "node").join(open_.select("key"), "key", "left_semi").select("node").distinct())
+    work = written(_split(sharing(held, percent).join(named, "node")), "unresolved")
     near = blocked(work, F.lit(1), SKETCH_ROWS, SKETCH_ASKS).join(classes.select("node", "sketch"), "node")
     near = near.groupBy("key", "ask", "block").applyInArrow(_meeting(percent), "key long, node long, comp long, asks boolean").distinct()
-    near = written(near, "near")
     # A node that asks stands among the rows as well, as another asking row may have met it there.
-    rows = near.groupBy("key", "node", "comp").agg(F.max("asks").alias("asks")).join(classes.groupBy("node").agg(F.max("n").alias("n")), "node")
-    held = sets(rows.select("node").distinct())
+    rows = written(near, "near").groupBy("key", "node", "comp").agg(F.max("asks").alias("asks"))
+    rows = rows.join(work.select("key", "node", "n"), ["key", "node"])
     far = blocked(written(rows, "rows"), F.col("n"), SET_ROWS, SET_ASKS).join(held, "node")
     return far.groupBy("key", "ask", "block").applyInArrow(_linking(percent), "a long, b long").distinct()
 
