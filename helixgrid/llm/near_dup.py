@@ -19,7 +19,7 @@ from .components import connected_components
 #: Elements of a block of hash evaluations (shingles times permutations).
 BLOCK = 1 << 18
 #: Rows of a bucket, and rows that ask in it, that meet in one group while sketches are compared.
-SKETCH_ROWS, SKETCH_ASKS = 1024, 4096
+SKETCH_ROWS, SKETCH_ASKS = 1024, 1024
 #: The same in shingles while full sets are compared, so that a group's memory does not follow the length of texts.
 SET_ROWS, SET_ASKS = 1 << 18, 1 << 20
 #: Nodes up to so many are sent to the texts; beyond that the texts are joined by shuffle.
@@ -151,7 +151,7 @@ def _split(rows: DataFrame) -> DataFrame:
 
 
 def blocked(work: DataFrame, weight: Column, rows: int, asking: int) -> DataFrame:
-    """(key, node, comp, asks, ask, block) from rows (key, node, comp, n, asks): a bucket's rows are dealt to blocks of about
+    """The rows (key, node, comp, asks, ...) with ask and block: a bucket's rows are dealt to blocks of about
     `rows` by weight, and its asking rows to waves of about `asking`. Every row stands in its own block once for each wave,
     and every asking row in its own wave once for each block, so that every asking row meets every row in one group."""
     sums = work.groupBy("key").agg(F.sum(weight).alias("total"), F.coalesce(F.sum(F.when(F.col("asks"), weight)), F.lit(0)).alias("others"))
@@ -159,8 +159,9 @@ def blocked(work: DataFrame, weight: Column, rows: int, asking: int) -> DataFram
     blocks, waves = (F.greatest(F.ceil(F.col(n) / most), F.lit(1)).cast("long") for n, most in (("total", rows), ("others", asking)))
     own, wave = F.pmod(F.xxhash64("node", F.lit(3)), blocks), F.pmod(F.xxhash64("node", F.lit(4)), waves)
     every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), n - 1))
-    here = sized.select("key", "node", "comp", F.lit(False).alias("asks"), every(waves).alias("ask"), own.alias("block"))
-    asks = sized.where("asks").select("key", "node", "comp", F.lit(True).alias("asks"), wave.alias("ask"), every(blocks).alias("block"))
+    kept = [c for c in work.columns if c != "asks"]
+    here = sized.select(*kept, F.lit(False).alias("asks"), every(waves).alias("ask"), own.alias("block"))
+    asks = sized.where("asks").select(*kept, F.lit(True).alias("asks"), wave.alias("ask"), every(blocks).alias("block"))
     return here.unionByName(asks)
 
 
@@ -288,34 +289,47 @@ def prefixes(sets: DataFrame, percent: int) -> DataFrame:
 
 
 def sharing(sets: DataFrame, percent: int) -> DataFrame:
-    """(key, node, n): groups of nodes that share one of their first shingles, one of them leading there. Linked sets of
-    different nodes meet in one group at least; groups of equal members are one."""
-    rows = written(prefixes(sets, percent), "prefixes")
-    mark = F.xxhash64("node", "n")
+    """(key, node, n, leads): groups of sets that share one of their first shingles, one of them leading there. Linked sets of
+    different nodes meet in one group at least, where the smaller one leads; groups of equal members are one."""
+    rows = written(prefixes(sets, percent).withColumnRenamed("token", "key"), "prefixes")
+    mark = F.xxhash64("node", "n", "leads")
     halves = [F.sum(F.shiftrightunsigned(mark, 32)).alias("s1"), F.sum(mark.bitwiseAND(F.lit(0xFFFFFFFF))).alias("s2")]
-    ends = [F.min("node").alias("lo"), F.max("node").alias("hi"), F.max("leads").alias("leads"), F.count("*").alias("c")]
-    groups = rows.groupBy("token").agg(*ends, *halves).where("lo < hi and leads")
-    groups = groups.groupBy("lo", "hi", "c", "s1", "s2").agg(F.min("token").alias("token"))
-    return rows.join(groups.select("token"), "token").groupBy(F.col("token").alias("key"), "node").agg(F.max("n").alias("n"))
+    ends = [F.min("node").alias("lo"), F.max("node").alias("hi"), F.max("leads").alias("on"), F.count("*").alias("c")]
+    groups = rows.groupBy("key").agg(*ends, *halves).where("lo < hi and on")
+    return rows.join(groups.groupBy("lo", "hi", "c", "s1", "s2").agg(F.min("key").alias("key")).select("key"), "key")
 
 
 def _meeting(percent: int):
-    """Rows of a group that may be linked with a row of another component on the other side, told by their sketches."""
+    """Pairs (a, b) that connect the nodes of a group which may be linked, told by sizes, leading shingles and sketches:
+    each such node and the first one that it is connected with."""
 
     def run(table: pa.Table) -> pa.Table:
-        asks, comp = table["asks"].to_numpy(), table["comp"].to_numpy()
-        sketch = _sketches(table["sketch"])
+        asks, comp, n, leads, node = (table[c].to_numpy() for c in ("asks", "comp", "n", "leads", "node"))
         left, right = np.flatnonzero(asks), np.flatnonzero(~asks)
-        width = sketch.shape[1]
-        need, seen = _need(width, percent), np.zeros(len(asks), bool)
-        step = max(1, 8_000_000 // max(1, len(right) * width))
-        for i in range(0, len(left), step):
-            part = left[i : i + step]
-            same = (sketch[part][:, None, :] == sketch[right][None, :, :]).sum(axis=2)
-            on = (same >= need) & (comp[part][:, None] != comp[right][None, :])
-            seen[part] |= on.any(axis=1)
-            seen[right] |= on.any(axis=0)
-        return table.select(["key", "node", "comp", "asks"]).filter(pa.array(seen))
+        if not len(left) or not len(right):
+            return pa.table({"a": node[:0], "b": node[:0]})
+        x, y = left[:, None], right[None, :]
+        on = (comp[x] != comp[y]) & (100 * np.minimum(n[x], n[y]) >= percent * np.maximum(n[x], n[y]))
+        on &= (leads[x] & (n[x] <= n[y])) | (leads[y] & (n[y] <= n[x]))
+        sketch = _sketches(table["sketch"])
+        need = _need(sketch.shape[1], percent)
+        i, j = np.nonzero(on)
+        for k in range(0, len(i), 50_000):
+            part = slice(k, k + 50_000)
+            on[i[part], j[part]] = (sketch[left[i[part]]] == sketch[right[j[part]]]).sum(axis=1) >= need
+        i, j = np.nonzero(on)
+        order = np.argsort(j, kind="stable")
+        (mine, at), (theirs, there) = np.unique(i, return_index=True), np.unique(j[order], return_index=True)
+        low = np.arange(len(node))  # the smallest place that a row is connected with
+        while len(i):
+            old = low.copy()
+            low[left[mine]] = np.minimum(low[left[mine]], np.minimum.reduceat(low[right[j]], at))
+            low[right[theirs]] = np.minimum(low[right[theirs]], np.minimum.reduceat(low[left[i[order]]], there))
+            if (low == old).all():
+                break
+        p, q = node, node[low]
+        seen = p != q
+        return pa.table({"a": np.minimum(p, q)[seen], "b": np.maximum(p, q)[seen]})
 
     return run
 
@@ -364,20 +378,20 @@ def missing_links(met: DataFrame, classes: DataFrame, parts: DataFrame, sets, pe
     The nodes of buckets that hold more than one component meet by prefix: their shingles are put into one order, the rarest
     first, and linked sets share one of their first shingles (`sharing`), so that nodes which have only frequent shingles in
     common do not meet. In each such group that holds more than one component, the rows outside of its largest component
-    (they ask) are compared with all of its rows: first by sketch, which leaves the rows that may have a link, then by the
-    full sets of these (`sets` gives them for a table of nodes). Both times rows meet in groups of bounded size, however
-    many share a shingle, and a group gives back fewer rows than it has.
+    (they ask) are held against all of its rows by sketch. What may be linked is connected, and within what is connected,
+    where a node stands once, full sets are compared in the same way (`sets` gives them for a table of nodes). Both times
+    rows meet in groups of bounded size, however many there are, and a group gives back fewer rows than it has.
     """
     named = written(classes.select("node").distinct().join(parts, "node", "left").select("node", F.coalesce("component", "node").alias("comp")), "components")
     open_ = met.select("key", "node").join(named, "node").groupBy("key").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).where("a < b")
     held = sets(met.select("key", "node").join(open_.select("key"), "key", "left_semi").select("node").distinct())
     work = written(_split(sharing(held, percent).join(named, "node")), "unresolved")
     near = blocked(work, F.lit(1), SKETCH_ROWS, SKETCH_ASKS).join(classes.select("node", "sketch"), "node")
-    near = near.groupBy("key", "ask", "block").applyInArrow(_meeting(percent), "key long, node long, comp long, asks boolean").distinct()
-    # A node that asks stands among the rows as well, as another asking row may have met it there.
-    rows = written(near, "near").groupBy("key", "node", "comp").agg(F.max("asks").alias("asks"))
-    rows = rows.join(work.select("key", "node", "n"), ["key", "node"])
-    far = blocked(written(rows, "rows"), F.col("n"), SET_ROWS, SET_ASKS).join(held, "node")
+    near = near.groupBy("key", "ask", "block").applyInArrow(_meeting(percent), "a long, b long").distinct()
+    near = connected_components(written(near, "near")).select("node", F.col("component").alias("key")).join(named, "node")
+    sizes = held.groupBy("node").agg(F.max(F.length("set") / 8).cast("long").alias("n"))
+    rows = written(_split(near.join(sizes, "node")), "rows")
+    far = blocked(rows, F.col("n"), SET_ROWS, SET_ASKS).join(held, "node")
     return far.groupBy("key", "ask", "block").applyInArrow(_linking(percent), "a long, b long").distinct()
 
 
