@@ -507,8 +507,10 @@ def _umi_reads(spark, sf_dir) -> DataFrame:
 
 @query(f"with {_UMI} select l_suppkey, gene, count(*) n_molecules, cast(sum(n) as bigint) n_reads from x group by all")
 def umi_correct_count(spark, sf_dir):
+    """Lines of one number are reads of one name, so that names do not tell the reads without a UMI apart."""
     m = T.molecules(_umi_reads(spark, sf_dir), ["l_suppkey", "gene"])
-    return m.groupBy("l_suppkey", "gene").agg(F.countDistinct("molecule").alias("n_molecules"), F.count("*").alias("n_reads"))
+    n = F.countDistinct(F.when(F.col("umi").isNotNull(), F.col("molecule"))) + F.count_if(F.col("umi").isNull())
+    return m.groupBy("l_suppkey", "gene").agg(n.alias("n_molecules"), F.count("*").alias("n_reads"))
 
 
 _MOL = (
