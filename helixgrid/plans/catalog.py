@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import seq as S
@@ -482,9 +482,11 @@ def gene_resolution_pairs(spark, sf_dir):
     """Lines 1 and 2, 3 and 4, 5 and 6 of an order as mates; a line without a mate is in no pair."""
     mates = _reads(spark, sf_dir).withColumn("mate", ((F.col("read_id") + 1) % 2 + 1).cast("int"))
     mates = mates.withColumn("read_id", F.floor(F.col("read_id") / 10) * 10 + F.floor((F.col("read_id") % 10 + 1) / 2))
-    pairs = mates.groupBy("read_id", "aln_idx").agg(F.count("*").alias("n")).where("n = 2").select("read_id", "aln_idx")
-    hits = T.transcript_hits(mates, _transcripts(spark, sf_dir), bin_size=256).join(pairs.select("read_id"), "read_id", "left_semi")
-    return T.resolve_pairs(pairs, hits).select("read_id", "kind", "gene_id")
+    # Most lines have no mate, so they go before their transcripts are looked for.
+    both = F.count("*").over(Window.partitionBy("read_id", "aln_idx"))
+    paired = materialized(mates.select("read_id", "aln_idx", "mate", "chrom", "segments", "strand", both.alias("n")).where("n = 2").drop("n"))
+    hits = T.transcript_hits(paired, _transcripts(spark, sf_dir), bin_size=256)
+    return T.resolve_pairs(paired.select("read_id", "aln_idx").distinct(), hits).select("read_id", "kind", "gene_id")
 
 
 @query(
