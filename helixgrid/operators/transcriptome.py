@@ -84,15 +84,17 @@ def _hits() -> Column:
     return F.array_sort(F.collect_list(F.struct("transcript_id", "align_type")))
 
 
-def resolve_single(reads: DataFrame, hits: DataFrame) -> DataFrame:
-    """Gene of each single read: read_id, kind, gene_id, hits, exonic_only, intronic_only, spanning.
+def resolve_single(reads: DataFrame, hits: DataFrame, tags: list[str] | None = None) -> DataFrame:
+    """Gene of each single read: read_id, kind, gene_id, hits, exonic_only, intronic_only, spanning. With `tags`, columns of
+    `reads`, there is a row for each row of `reads` instead, with these columns of it.
 
     Over the sense hits that are not discordant: two genes or more make the read multimapped, one is its gene, with the
     hits of its first alignment that has any. Without such hits a read is intergenic if nothing overlaps; discordant if it
     has several alignments or no good antisense hit; else antisense. A read's hits are as many as its alignments meet
     transcripts.
     """
-    n = reads.groupBy("read_id").agg((F.min("aln_idx") < F.max("aln_idx")).alias("several"))
+    own = [F.collect_list(F.struct(*tags)).alias("_tags")] if tags else []
+    n = reads.groupBy("read_id").agg((F.min("aln_idx") < F.max("aln_idx")).alias("several"), *own)
     good = ~F.col("antisense") & (F.col("align_type") != DISCORDANT)
     # Smallest of twice an alignment's number, and one more where `holds`: its last bit tells of a read's first alignment
     # with a good hit whether all of its hits hold.
@@ -120,10 +122,11 @@ def resolve_single(reads: DataFrame, hits: DataFrame) -> DataFrame:
     empty = F.array().cast("array<struct<transcript_id:string,align_type:string>>")
     aligned = kind == "aligned"
     flag = lambda c: F.coalesce(aligned & F.col(c), F.lit(False))
-    return met.select(
+    out = met.select(
         "read_id", kind.alias("kind"), F.when(aligned, F.col("g0")).alias("gene_id"), F.when(aligned, of_first).otherwise(empty).alias("hits"),
-        flag("ex").alias("exonic_only"), flag("it").alias("intronic_only"), flag("sp").alias("spanning"),
+        flag("ex").alias("exonic_only"), flag("it").alias("intronic_only"), flag("sp").alias("spanning"), *(["_tags"] if tags else []),
     )
+    return out.select("*", F.inline("_tags")).drop("_tags") if tags else out
 
 
 def combine_mates(a: Column, b: Column) -> Column:
@@ -179,17 +182,18 @@ def umi_targets(reads: DataFrame, keys: list[str], umi: str = "umi") -> DataFram
 
     The target is the best UMI, by (count, text), that differs in one place, where it has a base of A, C, G, T, and is
     better than the UMI itself; one hop only. UMIs meet in buckets that leave out one place, of which none holds more
-    than a few, so that a gene with very many UMIs never becomes all of their pairs.
+    than a few, so that a gene with very many UMIs never becomes all of their pairs. The distinct UMIs of a group are
+    shuffled once, before they are put into buckets.
     """
-    counts = reads.where(F.col(umi).isNotNull()).groupBy(*keys, F.col(umi).alias("umi")).agg(F.count("*").alias("n"))
-    at = F.explode(F.sequence(F.lit(1), F.length("umi"))).alias("p")
-    holes = counts.where(F.length("umi") > 0).select(*keys, "umi", "n", at)
+    counts = reads.where(F.col(umi).isNotNull()).groupBy(*keys, F.col(umi).alias("umi")).agg(F.count("*").alias("n")).repartition(*keys)
+    at = F.explode_outer(F.when(F.length("umi") > 0, F.sequence(F.lit(1), F.length("umi")))).alias("p")
+    holes = counts.select(*keys, "umi", "n", at)
     holes = holes.withColumn("mask", F.concat(F.substr("umi", F.lit(1), F.col("p") - 1), F.lit("*"), F.substr("umi", F.col("p") + 1, F.length("umi"))))
     proper = F.substr("umi", F.col("p"), F.lit(1)).isin(*"ACGT")
     best = F.max(F.when(proper, F.struct("n", "umi"))).over(Window.partitionBy(*keys, "p", "mask"))
-    found = holes.withColumn("b", best).where(F.col("b") > F.struct("n", "umi"))
-    up = found.groupBy(*keys, "umi").agg(F.max("b").alias("b"))
-    return counts.join(up, [*keys, "umi"], "left").select(*keys, "umi", "n", F.coalesce("b.umi", "umi").alias("target"))
+    better = F.when(F.col("b") > F.struct("n", "umi"), F.col("b"))
+    up = holes.withColumn("b", best).groupBy(*keys, "umi").agg(F.first("n").alias("n"), F.max(better).alias("b"))
+    return up.select(*keys, "umi", "n", F.coalesce("b.umi", "umi").alias("target"))
 
 
 def molecules(reads: DataFrame, keys: list[str], umi: str = "umi", read_id: str = "read_id") -> DataFrame:
@@ -206,11 +210,13 @@ def annotate_molecules(reads: DataFrame, keys: list[str]) -> DataFrame:
     it hits has an intronic or spanning hit, else ambiguous.
     """
     ids = [*keys, "molecule"]
-    sums = reads.groupBy(*ids).agg(F.count("*").alias("n_reads"), F.bool_or("spanning").alias("any_spanning"), F.bool_and("exonic_only").alias("all_exonic"))
-    each = reads.select(*ids, F.explode("hits").alias("h")).groupBy(*ids, F.col("h.transcript_id").alias("t")).agg(F.bool_or(F.col("h.align_type").isin(INTRONIC, SPANNING)).alias("in"))
-    every = each.groupBy(*ids).agg(F.bool_and("in").alias("every_in"))
-    kind = F.when(F.col("any_spanning"), "unspliced").when(F.col("all_exonic"), "spliced").when(F.coalesce("every_in", F.lit(True)), "unspliced").otherwise("ambiguous")
-    return sums.join(every, ids, "left").select(*ids, "n_reads", kind.alias("annotation"))
+    # Distinct lists of hits, of which a gene has few however many reads it has.
+    seen = F.collect_set(F.transform("hits", lambda h: F.struct(h["transcript_id"].alias("t"), h["align_type"].isin(INTRONIC, SPANNING).alias("in"))))
+    sums = reads.groupBy(*ids).agg(F.count("*").alias("n_reads"), F.bool_or("spanning").alias("any_spanning"), F.bool_and("exonic_only").alias("all_exonic"), F.flatten(seen).alias("seen"))
+    sums = sums.withColumn("held", F.transform(F.filter("seen", lambda x: x["in"]), lambda x: x["t"]))
+    every = F.forall("seen", lambda x: x["in"] | F.array_contains("held", x["t"]))
+    kind = F.when(F.col("any_spanning"), "unspliced").when(F.col("all_exonic"), "spliced").when(every, "unspliced").otherwise("ambiguous")
+    return sums.select(*ids, "n_reads", kind.alias("annotation"))
 
 
 def molecule_fragments(segments: DataFrame, keys: list[str]) -> DataFrame:

@@ -530,9 +530,10 @@ _MOL = (
 
 def _molecules(spark, sf_dir) -> DataFrame:
     """Genes of reads are used several times below, so they are written once."""
-    tags = _reads(spark, sf_dir).select("read_id", "l_suppkey", S.base4(F.col("l_orderkey") % 64, 4).alias("umi"))
-    aligned = materialized(_resolved(spark, sf_dir).where("kind = 'aligned'").join(tags, "read_id"))
-    return T.annotate_molecules(materialized(T.molecules(aligned, ["l_suppkey", "gene_id"])), ["l_suppkey", "gene_id"])
+    reads = _reads(spark, sf_dir).select("read_id", "aln_idx", "l_suppkey", (F.col("l_orderkey") % 64).alias("code"))
+    found = T.resolve_single(reads, _hits(spark, sf_dir), ["l_suppkey", "code"]).where("kind = 'aligned'")
+    aligned = materialized(found.select("read_id", "l_suppkey", "gene_id", "hits", "exonic_only", "spanning", S.base4("code", 4).alias("umi")))
+    return T.annotate_molecules(T.molecules(aligned, ["l_suppkey", "gene_id"]), ["l_suppkey", "gene_id"])
 
 
 @query(f"with {_MOL} select l_suppkey, gid gene_id, mol molecule, n_reads, ann annotation from mo")
