@@ -8,8 +8,10 @@ costs another count and never a record. Records become columns by numpy over who
 from __future__ import annotations
 
 import base64
+import functools
 import json
 import pickle
+import re
 import struct
 from collections.abc import Iterator
 
@@ -336,29 +338,47 @@ _CODES = {c: i for i, c in enumerate(BASES)} | {c.lower(): i for i, c in enumera
 _OPS = {c: i for i, c in enumerate(CIGAR_OPS)}
 
 
+class _Digits(dict):
+    """Hex digits of bases, by their code points; other letters are N."""
+
+    def __missing__(self, _):
+        return "f"
+
+
+_HEX = _Digits({ord(c): f"{i:x}" for c, i in _CODES.items()})
+_PHRED = bytes(max(c - 33, 0) for c in range(256))
+
+
+@functools.lru_cache(1 << 14)
+def _packed_cigar(cigar: str) -> tuple[bytes, int]:
+    """Operations of a CIGAR string as a record holds them, and the bases of the reference that they span."""
+    ops = [(int(n), op) for n, op in re.findall(r"(\d+)([MIDNSHP=X])", cigar)]
+    return struct.pack(f"<{len(ops)}I", *(n << 4 | _OPS[op] for n, op in ops)), sum(n for n, op in ops if op in "MDN=X")
+
+
 def encode(row, ids: dict[str, int]) -> bytes:
     """A row as a record; columns that it lacks are unknown."""
-    import re
-
     x = row.asDict()
     get = x.get
     name = (get("name") or "*").encode() + b"\0"
     if len(name) > 255:
         raise ValueError("a name is longer than 254 bytes")
-    ops = [(int(n), op) for n, op in re.findall(r"(\d+)([MIDNSHP=X])", get("cigar") or "")]
+    text = get("cigar") or ""
+    # Short ones recur; long ones would fill the memory of the cache.
+    cigar, span = _packed_cigar(text) if len(text) <= 64 else _packed_cigar.__wrapped__(text)
     seq, qual = get("seq") or "", get("qual")
     pos = (get("pos") or 0) - 1
-    span = sum(n for n, op in ops if op in "MDN=X")
-    cigar = struct.pack(f"<{len(ops)}I", *(n << 4 | _OPS[op] for n, op in ops))
-    codes = [_CODES.get(c, 15) for c in seq] + [0] * (len(seq) % 2)
-    packed = bytes(a << 4 | b for a, b in zip(codes[::2], codes[1::2], strict=True))
+    packed = bytes.fromhex(seq.translate(_HEX) + "0" * (len(seq) % 2))
     if qual is not None and len(qual) != len(seq):
         raise ValueError(f"qualities and bases of {get('name')} differ in length")
     tags = b"".join(k.encode() + b"Z" + x[c].encode() + b"\0" for k, c in (("MD", "md"), ("CR", "raw_barcode"), ("CB", "barcode"), ("UR", "umi")) if get(c) is not None)
-    if len(ops) > 0xFFFF:
-        tags += b"CGBI" + struct.pack("<I", len(ops)) + cigar
+    if len(cigar) > 4 * 0xFFFF:
+        tags += b"CGBI" + struct.pack("<I", len(cigar) // 4) + cigar
         cigar = struct.pack("<2I", len(seq) << 4 | _OPS["S"], span << 4 | _OPS["N"])
-    quality = b"\xff" * len(seq) if qual is None else bytes(c - 33 for c in qual.encode("latin-1"))
+    raw = None if qual is None else qual.encode("latin-1")
+    if raw and min(raw) < 33:
+        raise ValueError(f"a quality of {get('name')} is below 0")
+    quality = b"\xff" * len(seq) if raw is None else raw.translate(_PHRED)
     ref = -1 if get("chrom") is None else ids[x["chrom"]]
     next_ref = -1 if get("mate_chrom") is None else ids[x["mate_chrom"]]
     mapq = 255 if get("mapq") is None else x["mapq"]

@@ -105,3 +105,15 @@ def test_empty_broken_and_repeated_writes(spark, tmp_path):
     (tmp_path / "no.bam").write_bytes(block(b"something else entirely"))
     with pytest.raises(ValueError, match="no BAM"):
         B.read_bam(spark, str(tmp_path / "no.bam"))
+
+
+def test_encoding_a_record_parses_a_cigar_once():
+    from pyspark.sql import Row
+
+    from helixgrid.sources import bam
+
+    row = Row(name="r", flags=0, chrom="a", pos=5, cigar="3M1D2S", seq="acgTN", qual="!I~FF")
+    bam._packed_cigar.cache_clear()
+    one, two = (bam.encode(row, {"a": 0}) for _ in range(2))
+    assert one == two and bam._packed_cigar.cache_info()[:2] == (1, 1)
+    assert bytes([0x12, 0x48, 0xF0]) + bytes([0, 40, 93, 37, 37]) in one
