@@ -245,7 +245,7 @@ def align(
     molecules = materialized(T.annotate_molecules(assigned, cells))
     metrics["quantification"] = Q.quantification_qc(molecules)
     parts = spliced.where("is_primary").select("read_id", "chrom", "strand", F.explode("segments").alias("s")).select("read_id", "chrom", "strand", "s.start", "s.end")
-    covered = T.molecule_fragments(parts.join(assigned.select("read_id", *cells, "molecule"), "read_id"), cells)
+    covered = T.molecule_fragments(materialized(parts.join(assigned.select("read_id", *cells, "molecule"), "read_id")), cells)
     return Run(T.count_layers(molecules), metrics, genes, I.coverage_values(covered, references), references)
 
 

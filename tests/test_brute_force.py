@@ -1,5 +1,7 @@
 """Operators against plain versions on random rows."""
 
+import contextlib
+import io
 import itertools
 import random
 
@@ -130,6 +132,35 @@ def test_merge_intervals_over_bins(spark, bin_size):
         assert sorted(str(list(r)) for r in got) == _merged(rows)
 
 
+def test_merge_intervals_without_ends(spark):
+    """Intervals without a start or an end stand alone unless their start is within reach, as in SQL with nulls behind all else."""
+    rows = [("a", 3, 9), ("a", 5, None), ("a", 12, None), ("a", 12, None), ("a", 14, 30), ("a", None, 4), ("a", None, None), (None, 1, None), (None, 2, 40), (None, 39, None), (None, 45, 46)]
+    want = [("a", 3, 9, 2), ("a", 12, None, 1), ("a", 12, None, 1), ("a", 14, 30, 1), ("a", None, 4, 1), ("a", None, None, 1), (None, 1, None, 1), (None, 2, 40, 2), (None, 45, 46, 1)]
+    for bin_size in (4, 16, 1 << 16):
+        got = I.merge_intervals(spark.createDataFrame(rows, "k string, start long, end long"), ["k"], bin_size).select("k", "start", "end", "n").collect()
+        assert sorted(map(str, map(tuple, got))) == sorted(map(str, want))
+
+
+def test_islands_keep_no_rows_by_island(spark):
+    """Groups are sorted once and read on; nothing holds a row for each of their unions in memory."""
+    rows = spark.createDataFrame([("a", 1, 2, 1)], "k string, start long, end long, n long")
+    with contextlib.redirect_stdout(io.StringIO()) as out:
+        I._islands(rows, ["k"]).explain()
+    assert "Aggregate" not in out.getvalue() and out.getvalue().count("Sort [") == 1
+
+
+def test_merge_intervals_spreads_by_rows(spark, monkeypatch):
+    """Tasks become more with the rows, however few shuffle partitions a session has; unions stay as they are."""
+    rng = random.Random(7)
+    rows = [(rng.choice("abcdef"), s := rng.randrange(100_000), s + rng.randint(1, 300)) for _ in range(2000)]
+    given = spark.createDataFrame(rows, "k string, start long, end long")
+    dealt, kept = [], I.materialized
+    monkeypatch.setattr(I, "ROWS_A_TASK", 50, raising=False)
+    monkeypatch.setattr(I, "materialized", lambda df: dealt.append(df.rdd.getNumPartitions()) or kept(df))
+    got = I.merge_intervals(given, ["k"], 256).select("k", "start", "end", "n").collect()
+    assert sorted(str(list(r)) for r in got) == _merged(rows) and dealt == [40]
+
+
 @pytest.mark.parametrize("distance,keys", [(1, 16), (2, 120)])
 def test_keys_of_near_entries(spark, distance, keys):
     """A text of 16 bases has 16 keys for one place, 120 for two; the entries met, their places and order are those of all pairs."""
