@@ -10,23 +10,28 @@ Each is an interpolated Kneser-Ney model of three layers, whose probabilities su
 
 So an expression seen in too few texts is smoothed by how its words are spelled, and a letter seen in too few words by what
 both classes share. Copies of a text count once. All counts are exact. The layers' discounted probabilities and the backoff
-weights that are not 1 form one table by key; it is broadcast while it has at most MOST_ENTRIES rows, and joined with the
-texts' distinct keys beyond that, with the same result.
+weights that are not 1 form one table by key; it is broadcast while it has at most MOST_ENTRIES rows. Beyond that it is
+sorted into files of the shared folder, which the texts' tasks map into memory, so that texts are neither written nor
+shuffled. Only where Python reaches no such files are texts joined with it by their distinct keys. The result is the same.
 """
 
 from __future__ import annotations
 
 import re
+import shutil
+import tempfile
 import uuid
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .batches import CACHE_CHUNKS, ChunkCache, give_back, small_batches, text_groups, tool, written
+from ..sources.containers import open_path
+from .batches import CACHE_CHUNKS, ChunkCache, give_back, shared_dir, small_batches, text_groups, tool, written
 
 #: Letters of the longest counted run, its last letter included.
 ORDER = 4
@@ -37,8 +42,10 @@ DISCOUNT = 2
 LETTERS = 16
 #: Labels up to so many rows are sent to the texts; beyond that the texts are joined by shuffle.
 BROADCAST_LABELS = 2_000_000
-#: Entries of the model up to so many are sent to the texts; beyond that they are joined by shuffle.
+#: Entries of the model up to so many are sent to the texts; beyond that they are read from files.
 MOST_ENTRIES = 4_000_000
+#: Entries of a model's file (about 24 bytes each).
+FILE_ENTRIES = 1_000_000
 #: Rows of texts (a power of two) that are scored together where the model is joined.
 CHUNK_ROWS = 128
 #: Labelled rows that the calibration is fitted on at most; all others are counted.
@@ -413,6 +420,21 @@ class Model:
         return [_summary(r[b - len(x) : b]) for x, b in zip(lists, ends, strict=True)]
 
 
+class StoredModel(Model):
+    """The same over entries in files: `tables` has, for each kind, sorted keys and rows of two probabilities of each file
+    that has some of it, the files in the order of their keys."""
+
+    def find(self, kind: int, wanted: np.ndarray, missing) -> tuple[np.ndarray, np.ndarray]:
+        asked, back = np.unique(wanted, return_inverse=True)  # each once, and neighbours from the same pages
+        out, on = np.broadcast_to(missing, (len(asked), 2)).astype(float), np.zeros(len(asked), bool)
+        cuts = [*np.searchsorted(asked, np.array([keys[0] for keys, _ in self.tables[kind]], np.int64)).tolist(), len(asked)]
+        for (keys, p), a, b in zip(self.tables[kind], cuts, cuts[1:], strict=False):
+            at = np.minimum(np.searchsorted(keys, asked[a:b]), len(keys) - 1)
+            hit = np.flatnonzero(keys[at] == asked[a:b])
+            out[a + hit], on[a + hit] = p[at[hit]], True
+        return out[back], on[back]
+
+
 def _letters(found: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Code points of words between ^ and $, and the place of each in its word (0 for ^)."""
     cp = np.frombuffer(("^" + "$^".join(found) + "$").encode("utf-32-le"), np.uint32)
@@ -443,18 +465,77 @@ def _features(ids, rows: list[tuple[float, ...]]) -> list:
 
 def summaries(read: DataFrame, model: DataFrame, scalars: dict[str, list[float]]) -> DataFrame:
     """id and FEATURES for each row of `read` (id, text) under the model's entries."""
-    if model.count() > MOST_ENTRIES:
-        return _joined_summaries(read, model, scalars)
-    held, name = read.sparkSession.sparkContext.broadcast((_tables(model.toArrow()), scalars)), uuid.uuid4().hex
+    size, name = model.count(), uuid.uuid4().hex
+    if size > MOST_ENTRIES:
+        folder = f"{shared_dir(read.sparkSession)}/entries-{name}"
+        if not _reached(folder):
+            return _joined_summaries(read, model, scalars)
+        files = _stored(model, folder, size)
+        make = lambda: StoredModel(_mapped(files), scalars)
+    else:
+        held = read.sparkSession.sparkContext.broadcast((_tables(model.toArrow()), scalars))
+        make = lambda: Model(*held.value)
 
     def run(batches):
-        mine = tool(("toxicity", name), lambda: Model(*held.value))
+        mine = tool(("toxicity", name), make)
         for part, found in text_groups(batches):
             yield pa.RecordBatch.from_arrays(_features(part.column(0), mine.summaries(found)), ["id", *FEATURES])
 
     return read.mapInArrow(run, SEEN)
 
 
+def _reached(folder: str) -> bool:
+    """Whether Python can make the folder, which tells the shared folder's file system from one that only Spark reads."""
+    try:
+        store, inner = open_path(folder)
+        store.create_dir(inner, recursive=True)
+    except (OSError, pa.ArrowException, ImportError):
+        return False
+    return True
+
+
+def _stored(model: DataFrame, folder: str, size: int) -> list[tuple[str, list[tuple[int, int]]]]:
+    """Writes the entries to files of about FILE_ENTRIES, in the order of kind and key: for each kind its keys, then its
+    rows of two probabilities. Returns the path of each file with its kinds and their numbers of entries, a row for each."""
+
+    def run(batches):
+        held = [[c.to_numpy() for c in batch.columns] for batch in batches]
+        if not held:
+            return
+        kind, key, p0, p1 = (np.concatenate(x) for x in zip(*held, strict=True))
+        kinds, n = np.unique(kind, return_counts=True)
+        store, inner = open_path(f"{folder}/{uuid.uuid4().hex}")  # another name each time: attempts do not meet
+        with store.open_output_stream(inner) as f:
+            for b, m in zip(np.cumsum(n).tolist(), n.tolist(), strict=True):
+                f.write(key[b - m : b].astype("<i8").tobytes())
+                f.write(np.stack([p0[b - m : b], p1[b - m : b]], axis=1).astype("<f8").tobytes())
+        yield pa.RecordBatch.from_arrays([pa.array([int(key[0])]), pa.array([inner]), pa.array([kinds.tolist()], pa.list_(pa.int32())), pa.array([n.tolist()], pa.list_(pa.int64()))], ["first", "path", "kinds", "n"])
+
+    ordered = model.repartitionByRange(max(1, -(-size // FILE_ENTRIES)), "kind", "key").sortWithinPartitions("kind", "key").select("kind", "key", "p0", "p1")
+    made = ordered.mapInArrow(run, "first long, path string, kinds array<int>, n array<long>").collect()
+    made.sort(key=lambda r: (r["kinds"][0], r["first"]))
+    return [(f"{folder}/{r['path'].rpartition('/')[2]}", list(zip(r["kinds"], r["n"], strict=True))) for r in made]
+
+
+def _mapped(files: list[tuple[str, list[tuple[int, int]]]]) -> list[list[tuple[np.ndarray, np.ndarray]]]:
+    """Tables of StoredModel. Files are mapped where they are, or in a copy without a name where they are not local."""
+    out: list[list[tuple[np.ndarray, np.ndarray]]] = [[] for _ in range(5)]
+    for path, kinds in files:
+        store, inner = open_path(path)
+        if isinstance(store, fs.LocalFileSystem):
+            raw = np.memmap(inner, np.uint8, "r")
+        else:
+            with tempfile.TemporaryFile() as copy, store.open_input_stream(inner) as f:
+                shutil.copyfileobj(f, copy, 1 << 20)
+                copy.flush()
+                raw = np.memmap(copy, np.uint8, "r")
+        at = 0
+        for kind, n in kinds:
+            out[kind].append((raw[at : at + 8 * n].view("<i8"), raw[at + 8 * n : at + 24 * n].view("<f8").reshape(-1, 2)))
+            at += 24 * n
+    return out
+
+
 def _asked(lists: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
     """Kinds and keys of all entries that the words of texts can ask for."""
     new = list({w for x in lists for w in x})
@@ -474,7 +555,7 @@ def _asked(lists: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _joined_summaries(read: DataFrame, model: DataFrame, scalars: dict[str, list[float]]) -> DataFrame:
-    """The same for a model of any size: chunks of CHUNK_ROWS texts meet the entries that their own words ask for."""
+    """The same without files of Python's own: chunks of CHUNK_ROWS texts meet the entries that their own words ask for."""
     shift = CHUNK_ROWS.bit_length() - 1
     rows = written(read.withColumn("chunk", F.shiftright(F.monotonically_increasing_id(), shift)), "texts")
 
